@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import table
 from .bpe import bpe_encode
+from .mixing import replicate
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .secrets import secret_spans
+from .suffix_dedup import remove_repeats
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replicate(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_chars")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,10 +32,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_poisson_mixing": op3_poisson_mixing,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op8_secrets": op8_secrets,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES = {
@@ -49,4 +64,12 @@ ORACLES = {
         r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
         SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT id, min(c) AS component_id FROM r GROUP BY id) m ON m.id = s.doc_id
     """,
+    "op3_poisson_mixing": """
+        WITH s AS (SELECT coalesce(source, chr(0)) AS s, count(*) AS n FROM documents GROUP BY 1),
+        r AS (SELECT s, (pow(CAST(n AS DOUBLE), 0.5) * (SELECT sum(n) FROM s) / (SELECT sum(pow(CAST(n AS DOUBLE), 0.5)) FROM s)) / n AS rate FROM s),
+        p AS (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS below FROM r, range(0, 200) g(k)),
+        u AS (SELECT doc_id, source, n_chars, (CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u FROM documents),
+        c AS (SELECT doc_id, source, n_chars, (SELECT count(*) FROM p WHERE p.s = coalesce(u.source, chr(0)) AND p.below < u.u AND p.k < 60) AS many FROM u)
+        SELECT doc_id, source, CAST(g.copy AS INTEGER) AS copy, n_chars FROM c, range(0, 60) g(copy) WHERE g.copy < many
+    """,
 }
