@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .bpe import bpe_encode
+from .cap_filters import near_vectors
 from .mixing import replicate
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
@@ -40,6 +41,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_poisson_mixing": op3_poisson_mixing,
@@ -47,6 +52,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_cap_filters": op10_cap_filters,
 }
 
 ORACLES = {
@@ -72,4 +78,13 @@ ORACLES = {
         c AS (SELECT doc_id, source, n_chars, (SELECT count(*) FROM p WHERE p.s = coalesce(u.source, chr(0)) AND p.below < u.u AND p.k < 60) AS many FROM u)
         SELECT doc_id, source, CAST(g.copy AS INTEGER) AS copy, n_chars FROM c, range(0, 60) g(copy) WHERE g.copy < many
     """,
+    "op10_cap_filters": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+        m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.id = v.vec_id
+    """,
 }
