@@ -11,6 +11,8 @@ from .mixing import replicate
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
 from .secrets import secret_spans
+from .span_dedup import remove_repeated_spans
+from .spotsigs import WORDS, edited_fingerprints
 from .suffix_dedup import remove_repeats
 
 
@@ -45,11 +47,36 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _spots(text: str) -> str:
+    """SQL for the fingerprint of a text column."""
+    common = ", ".join(f"'{w}'" for w in WORDS)
+    words = f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\pL\\pN]+'), lambda w: w <> '')"
+    return f"""(SELECT array_to_string(CASE WHEN len(s) > 0 THEN list_sort(list_distinct(s)) ELSE [substr(md5('all ' || array_to_string(t, ' ')), 1, 8)] END, ' ') FROM (
+        SELECT t, list_transform(list_filter(range(1, len(c)), lambda k: CASE WHEN k = 1 THEN c[1] > 1 ELSE c[k - 1] < c[k] - 1 END), lambda k: substr(md5(t[c[k] - 1] || ' ' || t[c[k]] || ' ' || t[c[k + 1]]), 1, 8)) AS s FROM (
+        SELECT t, list_filter(range(1, len(t) + 1), lambda i: t[i] NOT IN ({common})) AS c FROM (SELECT {words} AS t))))"""
+
+
+def _near(x: str, y: str) -> str:
+    a, b = f"string_split({x}, ' ')", f"string_split({y}, ' ')"
+    both = f"CAST(len(list_intersect({a}, {b})) AS DOUBLE)"
+    return f"CASE WHEN {x} = {y} THEN 1.0::DOUBLE ELSE {both} / (len({a}) + len({b}) - {both}) END"
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op6_sentence_spans": op6_sentence_spans,
+    "op7_spotsigs": op7_spotsigs,
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cap_filters": op10_cap_filters,
@@ -87,4 +114,10 @@ ORACLES = {
         m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
         SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.id = v.vec_id
     """,
+    "op7_spotsigs": f"""
+        WITH o AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nxt FROM documents WINDOW w AS (ORDER BY doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(nxt, length(text) // 2) AS edited FROM o),
+        f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_spots("text")} AS fingerprint, {_spots("edited")} AS edited_fingerprint, {_spots("nxt")} AS nx FROM e)
+        SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near("fingerprint", "edited_fingerprint")} AS near_edited, {_near("fingerprint", "nx")} AS near_next FROM f
+    """,
 }
