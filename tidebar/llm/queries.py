@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import bpe_encode
 from .cap_filters import near_vectors
+from .licenses import TEMPLATES, license_scan, model
 from .mixing import replicate
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
@@ -16,6 +18,14 @@ from .spotsigs import WORDS, edited_fingerprints
 from .suffix_dedup import remove_repeats
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: source/language/hundred/name stands for one, and short texts are the licence files."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.length("text") < 400, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", hundred, name)))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -55,6 +65,26 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _license_sql() -> str:
+    idf, other, rows, _ = model()
+    known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
+    units = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE)" for k, w, x in rows)
+    names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(TEMPLATES))
+    return f"""
+        WITH k AS (SELECT * FROM (VALUES {known}) k(word, idf)), t AS (SELECT * FROM (VALUES {units}) t(template, word, unit)), n AS (SELECT * FROM (VALUES {names}) n(template, license)),
+        l AS (SELECT doc_id, generate_subscripts(a, 1) AS line, unnest(a) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+        w AS (SELECT doc_id, line, word, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS word FROM l) WHERE word <> '' GROUP BY ALL),
+        x AS (SELECT w.*, w.n * coalesce(k.idf, {other!r}::DOUBLE) AS w FROM w LEFT JOIN k USING (word)),
+        z AS (SELECT doc_id, line, sqrt(sum(w * w)) AS size FROM x GROUP BY ALL),
+        c AS (SELECT doc_id, template, max(round(dot / size, 6)) AS score FROM (SELECT doc_id, line, template, sum(w * unit) AS dot FROM x JOIN t USING (word) GROUP BY ALL) JOIN z USING (doc_id, line) GROUP BY ALL),
+        o AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS r FROM c WHERE score >= 0.75) JOIN n USING (template) WHERE r = 1),
+        d AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) AS folder, length(text) < 400 AS is_file, source, lang FROM documents),
+        g AS (SELECT folder, arg_min(license, 'LICENSE-' || CAST(doc_id AS VARCHAR)) AS granted FROM d JOIN o USING (doc_id) WHERE is_file GROUP BY folder)
+        SELECT d.doc_id, o.license, o.score, CASE WHEN o.license IS NULL THEN g.folder END AS directory, CASE WHEN o.license IS NULL THEN g.granted END AS inherited
+        FROM d LEFT JOIN o USING (doc_id) LEFT JOIN g ON g.folder = d.folder
+    """
+
+
 def _spots(text: str) -> str:
     """SQL for the fingerprint of a text column."""
     common = ", ".join(f"'{w}'" for w in WORDS)
@@ -71,6 +101,7 @@ def _near(x: str, y: str) -> str:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_bpe": op4_bpe,
@@ -83,6 +114,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": _license_sql(),
     "op2_ngram_jaccard": """
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
