@@ -3,7 +3,8 @@
 Two sets with |A & B| / |A | B| >= t share a token among the first n - ceil(t * n) + 1 of each set, whatever global order the
 tokens are in. Three orders are used: rare first (corpus-wide heavy hitters last, the rest by hash), one
 by a second hash ascending, one by it descending. Candidates come from the first order's buckets and must share prefix tokens in the
-other two before the whole sets are compared.
+other two before the whole sets are compared. Two links' prefixes share not only one token but as many as the needed overlap
+exceeds what lies beyond them; candidates with fewer are dropped, which spares documents that only share a passage.
 
 Links inside a large group of near copies are many; components need only enough of them. So each bucket is
 first compared with one member (twice, with the components known by then), and only then every remaining pair of
@@ -27,6 +28,8 @@ WORDS, PERCENT = 5, 75
 HEAVY_TASK, HEAVY_ALL = 1 << 18, 1 << 18
 #: Tokens counted this often are dealt out by document, too.
 SALTED, SALTS = 2000, 64
+#: Documents of a group that meet in one piece.
+PIECE = 1024
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -143,7 +146,8 @@ def _verify(percent: int):
     def alike(left: bytes, right: bytes) -> bool:
         x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
         p, q = prefix_length(len(x), percent), prefix_length(len(y), percent)
-        if not len(np.intersect1d(x[:p], y[:q], assume_unique=True)) or not len(np.intersect1d(x[-p:], y[-q:], assume_unique=True)):
+        least = max(1, -(-percent * (len(x) + len(y)) // (100 + percent)) - -(-percent * max(len(x), len(y)) // 100) + 1)
+        if min(len(np.intersect1d(x[:p], y[:q], assume_unique=True)), len(np.intersect1d(x[-p:], y[-q:], assume_unique=True))) < least:
             return False
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
@@ -156,6 +160,44 @@ def _verify(percent: int):
     return run
 
 
+def _meetings(percent: int):
+    """Pairs of a group's documents that may link, from rows (group, doc, token, n, component, groups, i, j, part).
+
+    A pair shares as many prefix tokens as it needs in all; they lie in as many groups as the one of its documents in fewer groups, so one group holds
+    at least that share of them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: table[c].to_numpy() for c in ("group", "doc", "token", "n", "component", "groups", "i", "j", "part")}
+        order = np.lexsort((col["j"], col["i"], col["group"]))
+        keys = np.stack([col[c][order] for c in ("group", "i", "j")])
+        cuts = np.flatnonzero((np.diff(keys, axis=1, prepend=keys[:, :1] - 1) != 0).any(0))
+        left, right = [], []
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            at = order[a:b]
+            docs, first, row = np.unique(col["doc"][at], return_index=True, return_inverse=True)
+            if len(docs) < 2:
+                continue
+            tokens, column = np.unique(col["token"][at], return_inverse=True)
+            n, component, groups, part = (col[c][at][first].astype(np.int64) for c in ("n", "component", "groups", "part"))
+            has = np.zeros((len(docs), len(tokens)), np.float32)
+            has[row, column] = 1
+            shared = (has @ has.T).astype(np.int64)
+            big, small, both = np.maximum.outer(n, n), np.minimum.outer(n, n), np.add.outer(n, n)
+            needed = np.maximum(1, -(-percent * both // (100 + percent)) - -(-percent * big // 100) + 1)
+            apart = np.not_equal.outer(component, component) & (100 * small >= percent * big)
+            apart &= shared * np.minimum.outer(groups, groups) >= needed
+            if col["i"][at[0]] != col["j"][at[0]]:
+                apart &= np.not_equal.outer(part, part)
+            x, y = np.nonzero(np.triu(apart, 1))
+            left.append(docs[x])
+            right.append(docs[y])
+        both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    return run
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -182,38 +224,77 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = single.mapInArrow(_prefixes(sent, words, percent), "token long, salt int, doc long, n int")
     shared = prefixes.withColumn("many", F.count("*").over(Window.partitionBy("token", "salt"))).where("many > 1 or salt > 0")
     table = cut(shared.select("token", "doc", "n"))
-    wanted = cut(table.select("doc").distinct())
-    sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, tokens binary"))
 
+    # Of two sets that link, at least this many tokens are in both prefixes (one order): the overlap they need, less what the longer set's prefix leaves out.
+    needed = F.expr(f"greatest(1L, ({percent}L * (n + m) + {99 + percent}L) div {100 + percent}L - ({percent}L * greatest(n, m) + 99L) div 100L + 1L)")
     near = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are links."""
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, tokens binary"))
         left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
         right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
+        found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long"))
+        discard(wanted, sets)
+        return found
+
+    def labelled(known: DataFrame | None) -> DataFrame:
+        if known is None:
+            return table.withColumn("component", F.col("doc"))
+        return table.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component"))
 
     tested = links = known = None
     for _ in range(2):
-        lead = F.col("doc") if known is None else F.coalesce("component", "doc")
-        at = (table if known is None else table.join(known.withColumnRenamed("node", "doc"), "doc", "left")).select("token", "doc", "n", lead.alias("component"))
+        at = labelled(known)
         low, high = F.min(F.struct("component", "doc", "n")), F.max(F.struct("component", "doc", "n"))
         pivots = at.groupBy("token").agg(low.alias("low"), high.alias("high")).where("low.component <> high.component")
         pivot = F.when(F.col("component") == F.col("low.component"), F.col("high")).otherwise(F.col("low"))
-        pairs = at.join(pivots, "token").select("doc", "n", pivot.alias("pivot")).select(F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b"), "n", F.col("pivot.n").alias("m"))
-        pairs = pairs.where(near).select("a", "b").distinct()
+        pairs = at.join(pivots, "token").select("doc", "n", pivot.alias("pivot")).select("doc", "n", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m"))
+        pairs = pairs.where(near).groupBy("doc", "n", "other", "m").count().where(F.col("count") >= needed)
+        pairs = pairs.groupBy("doc").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(linked(pairs))
+        found = linked(pairs)
         tested, links = (pairs, found) if tested is None else (tested.union(pairs), links.union(found))
         known = components(links)
-    at = cut(table.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
-    mark = F.xxhash64("doc")
-    mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"), F.sum(mark % (1 << 40)).alias("one"), F.bit_xor(mark).alias("two")).where("low <> high")
-    mixed = cut(mixed.groupBy("many", "one", "two").agg(F.min("token").alias("token")).select("token"))
+    # Every pair left of members of different components. The buckets with the same least document make a group; its commonest
+    # component is dealt out once, the members of others go to each of its pieces and, in pieces of their own, meet each other.
+    at = cut(labelled(known))
+    mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc").alias("group")).where("low <> high").select("token", "group")
     rest = cut(at.join(mixed, "token"))
-    far = rest.select("token", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    pairs = rest.join(far, "token").where("component < apart").where(near).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    links = links.union(cut(linked(pairs.join(tested, ["a", "b"], "left_anti"))))
+    members = cut(rest.select("group", "doc", "component").distinct())
+    groups_of = members.groupBy("doc").agg(F.count("*").alias("groups"))
+    sizes = members.groupBy("group", "component").agg(F.count("*").alias("size"))
+    sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")))
+    pieces = lambda c: F.ceil(F.col(c) / PIECE)
+    other, own = F.col("component") != F.col("main"), F.pmod(F.xxhash64("doc"), pieces("mains"))
+    mine = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), pieces("others")))
+    unit = lambda i, j, part: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), part.cast("long").alias("part"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), pieces(c)) - 1)
+    meets = F.concat(F.transform(upto("mains"), lambda k: unit(F.lit(-1), k, F.lit(1))), F.transform(upto("others"), lambda k: unit(F.least(mine, k), F.greatest(mine, k), mine)))
+    dealt = members.join(sizes, "group").join(groups_of, "doc").withColumn("unit", F.explode(F.when(other, meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))))
+    units = rest.select("group", "doc", "token", "n").join(dealt.select("group", "doc", "component", "groups", "unit.*"), ["group", "doc"])
+    blocks = max(1, rest.count() // 20_000)
+    sought = units.withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks))).groupBy("block").applyInArrow(_meetings(percent), "a long, b long")
+    pairs = sought.distinct()
+    links = links.union(linked(cut(pairs.join(tested, ["a", "b"], "left_anti"))))
     known = components(links)
     out = member.join(known, "node", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    discard(seen, copies, table, wanted, sets, at, mixed, rest)
+    discard(seen, copies, table, at, rest, members, sizes)
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, whose document has the least id of its component.
+
+    Of rows that repeat an id one stays (the first by text). Rows without an id, and those without words, all stay.
+    """
+    found = cut(ngram_components(docs, id_col, text_col, words, percent))
+    dropped = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct())
+    again = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    stay = docs.join(hinted(dropped), F.col(id_col).cast("long") == F.col("_drop"), "left_anti")
+    single = stay.join(hinted(again), F.col(id_col).cast("long") == F.col("_again"), "left_anti")
+    twice = stay.join(hinted(again), F.col(id_col).cast("long") == F.col("_again"), "left_semi")
+    order = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).asc_nulls_last())
+    return single.unionByName(twice.withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first"))
