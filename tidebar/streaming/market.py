@@ -1,0 +1,154 @@
+"""The streaming twins: candles with a watermark, latest prices, the average cascade, alerts with re-arming."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.market import upsert
+
+
+def tick_stream(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
+    """Files of events as a stream of ticks with a zoned event time."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+
+
+def demultiplex(messages: DataFrame, schemas: dict[str, str], payload: str = "value", kind: str = "e") -> dict[str, DataFrame]:
+    """JSON messages by their discriminator, each parsed by its schema."""
+    return {k: messages.where(F.get_json_object(payload, f"$.{kind}") == k).select(F.from_json(payload, s).alias("m")).select("m.*") for k, s in schemas.items()}
+
+
+def candle_stream(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Tumbling candles; in append mode a bar comes once the watermark has passed it: it is closed."""
+    at = F.struct("time", "seq")
+    out = ticks.withWatermark("time", late).groupBy("symbol", F.window("time", width)).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"))
+    return out.select("symbol", F.unix_millis("window.start").alias("open_time"), "open", "high", "low", "close", "volume")
+
+
+def latest_stream(ticks: DataFrame) -> DataFrame:
+    """The last price of each symbol, for update or complete mode."""
+    return ticks.groupBy("symbol").agg(F.max_by("price", F.struct("time", "seq")).alias("last_price"))
+
+
+def upsert_sink(path: str, keys: list[str], order: str):
+    """A foreachBatch function that lays each batch over a table at path, written as whole new versions that readers switch to by number."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        try:
+            stored = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            stored = batch.limit(0)
+        upsert(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+
+    return write
+
+
+# The cascade: short over middle average, then the close over the long one within `wait` bars, then the outcome `hold` bars on.
+CASCADE = "kind string, open_time long, price double, outcome double"
+CASCADE_STATE = "closes array<double>, stage string, since int, level double, entry double"
+
+
+class Cascade:
+    """Averages of 7, 25 and 99 closes. 'cascade' when the short one crosses up through the middle one and both lie under the close; 'breakout' when
+    a close then exceeds the highest since by `rise`; 'outcome' the return `hold` bars later. A cascade that waits longer than `wait` bars expires."""
+
+    def __init__(self, state: tuple | None = None, rise: float = 0.02, wait: int = 30, hold: int = 30):
+        self.closes, self.stage, self.since, self.level, self.entry = (list(state[0]), *state[1:]) if state else ([], "idle", 0, 0.0, 0.0)
+        self.rise, self.wait, self.hold = rise, wait, hold
+
+    def state(self) -> tuple:
+        return self.closes, self.stage, self.since, self.level, self.entry
+
+    def mean(self, n: int, back: int = 0) -> float | None:
+        own = self.closes[len(self.closes) - n - back : len(self.closes) - back]
+        return sum(own) / n if len(own) == n else None
+
+    def step(self, time: int, close: float) -> list[tuple]:
+        self.closes = (self.closes + [close])[-100:]
+        now, old = [self.mean(n) for n in (7, 25, 99)], [self.mean(n, 1) for n in (7, 25)]
+        self.since += 1
+        if self.stage == "hold" and self.since >= self.hold:
+            self.stage = "idle"
+            return [("outcome", time, close, close / self.entry - 1)]
+        if self.stage == "armed":
+            if close > self.level * (1 + self.rise):
+                self.stage, self.since, self.entry = "hold", 0, close
+                return [("breakout", time, close, None)]
+            if self.since >= self.wait:
+                self.stage = "idle"
+        if self.stage == "idle" and now[2] is not None and old[1] is not None and old[0] <= old[1] and now[0] > now[1] and close > now[2]:
+            self.stage, self.since, self.level = "armed", 0, close
+            return [("cascade", time, close, None)]
+        return []
+
+
+def cascade_stream(candles: DataFrame, rise: float = 0.02, wait: int = 30, hold: int = 30) -> DataFrame:
+    """Events of each symbol's cascade over a stream of closed candles; its state is a hundred closes and where it stands."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = Cascade(state.get if state.exists else None, rise, wait, hold)
+        rows = pd.concat(list(batches)).sort_values("open_time")
+        out = [(*key, *e) for t, c in zip(rows["open_time"], rows["close"]) for e in machine.step(int(t), float(c))]
+        state.update(machine.state())
+        yield pd.DataFrame(out, columns=["symbol", "kind", "open_time", "price", "outcome"])
+
+    return candles.groupBy("symbol").applyInPandasWithState(run, f"symbol string, {CASCADE}", CASCADE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+class _BatchCascade:
+    def __init__(self, **settings):
+        self.machine = Cascade(**settings)
+
+    def step(self, r) -> list[tuple]:
+        return self.machine.step(r.open_time, r.close)
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def cascade_batch(candles: DataFrame, **settings) -> DataFrame:
+    """The same over stored candles."""
+    from ..functions.recursive import scan
+
+    return scan(candles, lambda _key: _BatchCascade(**settings), ["symbol", "open_time", "close"], CASCADE, keys=["symbol"])
+
+
+class Alert:
+    """A rule on a value: fires when armed and met, then waits until the value has come back by the re-arming margin and the cool-down is over."""
+
+    def __init__(self, armed: bool = True, fired_at: float = -1e18):
+        self.armed, self.fired_at = armed, fired_at
+
+    def step(self, time: float, value: float, operator: str, threshold: float, rearm: float, cooldown: float, expires: float | None = None) -> bool:
+        if expires is not None and time > expires:
+            return False
+        met = {"above": value > threshold, "below": value < threshold, "at_least": value >= threshold, "at_most": value <= threshold}[operator]
+        up = operator in ("above", "at_least")
+        if not self.armed and (value <= threshold - rearm if up else value >= threshold + rearm):
+            self.armed = True
+        if met and self.armed and time - self.fired_at >= cooldown:
+            self.armed, self.fired_at = False, time
+            return True
+        return False
+
+
+def alert_stream(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """values (symbol, time in seconds, value) against a small table of rules (rule_id, symbol, operator, threshold, rearm, cooldown): what fired."""
+    joined = values.join(rules, "symbol")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        alert = Alert(*(state.get if state.exists else ()))
+        rows = pd.concat(list(batches)).sort_values("time")
+        out = [(*key, r.symbol, r.time, r.value) for r in rows.itertuples(index=False) if alert.step(r.time, r.value, r.operator, r.threshold, r.rearm, r.cooldown)]
+        state.update((alert.armed, alert.fired_at))
+        yield pd.DataFrame(out, columns=["rule_id", "symbol", "time", "value"])
+
+    return joined.groupBy("rule_id").applyInPandasWithState(run, "rule_id string, symbol string, time double, value double", "armed boolean, fired_at double", "append", GroupStateTimeout.NoTimeout)
