@@ -82,11 +82,11 @@ def with_td9(df: DataFrame, lookback: int = 4, most: int = 28) -> DataFrame:
     return out.withColumn("td9_exhaustion", F.when(F.col("td9_up") >= 9, "uptrend_9").when(F.col("td9_down") >= 9, "downtrend_9").otherwise("none"))
 
 
-def fair_value_gap(multiple: float = 0.25) -> dict[str, Column]:
-    """A gap between this bar and that two before of more than a multiple of ATR(14) (0 while that is unknown)."""
+def fair_value_gap(multiple: float = 0.25, size: Column | None = None) -> dict[str, Column]:
+    """A gap between this bar and that two before of more than a multiple of `size`, ATR(14) unless given (0 while that is unknown)."""
     w = series()
     high, low = F.lag("high", 2).over(w), F.lag("low", 2).over(w)
-    floor = F.coalesce(atr(14), F.lit(0.0)) * multiple
+    floor = F.coalesce(atr(14) if size is None else size, F.lit(0.0)) * multiple
     side = F.when(F.col("low") - high > floor, "bullish").when(low - F.col("high") > floor, "bearish").otherwise("none")
     return {"fvg_side": ready(3, side), "fvg_size": F.when(side == "bullish", F.col("low") - high).when(side == "bearish", low - F.col("high")), "fvg_filled": F.when(side == "bullish", F.col("close") <= high).when(side == "bearish", F.col("close") >= low)}
 
