@@ -30,12 +30,12 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 COSINE = 0.75
-# Words that lines of any kind have.
-PLAIN = set("a and any are by for free in into is of or person source subject terms the this to use version with without work 0 2 3 4".split())
+# Words that lines of any kind have; they count for nothing.
+PLAIN = "a and any are by for in into is it of or that the this to with".split()
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in PLAIN]
 
 
 def model(least: float = COSINE) -> tuple[dict[str, float], float, list[tuple[int, str, float]], list[str]]:
@@ -51,8 +51,8 @@ def model(least: float = COSINE) -> tuple[dict[str, float], float, list[tuple[in
         rows += [(k, w, n * idf[w] / size) for w, n in sorted(bag.items())]
     strong: set[str] = set()
     for unit in units:
-        # Words that are strong already come first, then the heaviest that aren't plain words, until the rest can't reach `least`.
-        for word in sorted(unit, key=lambda w: (w not in strong, w in PLAIN, -unit[w], w)):
+        # Words that are strong already come first, then the heaviest that aren't numbers, until the rest can't reach `least`.
+        for word in sorted(unit, key=lambda w: (w not in strong, w.isdigit(), -unit[w], w)):
             if sqrt(sum(x * x for w, x in unit.items() if w not in strong)) < least:
                 break
             strong.add(word)
@@ -66,7 +66,7 @@ def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(strong) + ")(?![a-z0-9])"
     hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").rlike(pattern))
     lines = hits.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(pattern))
-    terms = lines.select("doc", "line", F.explode(F.split(F.lower("body"), "[^a-z0-9]+")).alias("word")).where("word <> ''").groupBy("doc", "line", "word").agg(F.count("*").alias("n"))
+    terms = lines.select("doc", "line", F.explode(F.split(F.lower("body"), "[^a-z0-9]+")).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(PLAIN)).groupBy("doc", "line", "word").agg(F.count("*").alias("n"))
     known = spark.createDataFrame([(w, x) for w, x in idf.items()], "word string, idf double")
     weighed = terms.join(F.broadcast(known), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     unit = spark.createDataFrame(rows, "template int, word string, unit double").groupBy("word").agg(F.collect_list(F.struct("template", "unit")).alias("units"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .bpe import bpe_encode
 from .cap_filters import near_vectors
-from .licenses import TEMPLATES, license_scan, model
+from .licenses import PLAIN, TEMPLATES, license_scan, model
 from .mixing import replicate
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
@@ -69,11 +69,12 @@ def _license_sql() -> str:
     idf, other, rows, _ = model()
     known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
     units = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE)" for k, w, x in rows)
+    plain = ", ".join(f"'{w}'" for w in PLAIN)
     names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(TEMPLATES))
     return f"""
         WITH k AS (SELECT * FROM (VALUES {known}) k(word, idf)), t AS (SELECT * FROM (VALUES {units}) t(template, word, unit)), n AS (SELECT * FROM (VALUES {names}) n(template, license)),
         l AS (SELECT doc_id, generate_subscripts(a, 1) AS line, unnest(a) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
-        w AS (SELECT doc_id, line, word, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS word FROM l) WHERE word <> '' GROUP BY ALL),
+        w AS (SELECT doc_id, line, word, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS word FROM l) WHERE word <> '' AND word NOT IN ({plain}) GROUP BY ALL),
         x AS (SELECT w.*, w.n * coalesce(k.idf, {other!r}::DOUBLE) AS w FROM w LEFT JOIN k USING (word)),
         z AS (SELECT doc_id, line, sqrt(sum(w * w)) AS size FROM x GROUP BY ALL),
         c AS (SELECT doc_id, template, max(round(dot / size, 6)) AS score FROM (SELECT doc_id, line, template, sum(w * unit) AS dot FROM x JOIN t USING (word) GROUP BY ALL) JOIN z USING (doc_id, line) GROUP BY ALL),
