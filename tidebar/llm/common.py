@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast up to this many bytes of Parquet; above it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: Texts are worked on in chunks of about this many bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +55,7 @@ def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Arrow batches of few rows, so that a batch of long texts stays small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -94,7 +94,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
             for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-                steps = np.full(max(n, 1 << 21), b, np.uint64)
+                steps = np.full(max(n * 5 // 4, 1 << 19), b, np.uint64)
                 steps[0] = 1
                 _powers[k] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]

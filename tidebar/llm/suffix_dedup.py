@@ -22,7 +22,7 @@ from .common import CHUNK_BYTES, chunks, cut, discard, hinted, mix64, powers, sm
 
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a sorted block, about; different surroundings of an anchor that one block takes.
-BLOCK_BYTES, CROWD = 400_000, 1000
+BLOCK_BYTES, CROWD = 150_000, 1000
 PLACE = np.uint64((1 << 20) - 1)
 
 
