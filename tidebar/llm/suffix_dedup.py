@@ -2,7 +2,7 @@
 
 All suffixes of a corpus are too many to ship, so what can't repeat is left out first, exactly: winnowing picks in each window of
 `length` bytes the least hash of its GRAM-byte strings, so equal windows have the same anchor at the same place. Anchors whose hash occurs
-once end there. The surroundings of the others (each window that holds the anchor) are cut out; equal
+once end there. The surroundings of the others (all windows that pick the anchor) are cut out; equal
 surroundings are repeats as a whole and go on as one. What is left is sorted in blocks by two-stage suffix sorting: suffixes smaller than
 their successors directly, the others induced from them by bucket scans; neighbours with `length` bytes in common are repeats.
 An anchor with very many different surroundings, which no single task should hold, is settled by counting window hashes instead.
@@ -34,9 +34,9 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors_of(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of one text: its anchors' places, hashes, hashes of their surroundings, and ends of these."""
+    """Of one text: its anchors' places and hashes, and the hashes, starts and ends of their surroundings: the windows that pick them."""
     span = length - GRAM + 1
-    places = []
+    picks = []
     step = CHUNK_BYTES - length
     whole = np.frombuffer(text, np.uint8)
     for at in range(0, max(1, len(text) - length + 1), step):
@@ -53,16 +53,18 @@ def anchors_of(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         windows = len(data) - length + 1
         least = np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows])
-        places.append(at + np.unique((least & PLACE).astype(np.int64)))
-    if not places:
+        picks.append(at + (least & PLACE).astype(np.int64))
+    if not picks:
         none = np.empty(0, np.int64)
-        return none, none, none, none
-    place = np.unique(np.concatenate(places)) if len(places) > 1 else places[0]
-    first, last = np.maximum(place - span + 1, 0), np.minimum(place + length, len(text))
+        return none, none, none, none, none
+    # Windows in order pick anchors in order, so each anchor's are a run.
+    pick = np.concatenate(picks)
+    first = np.flatnonzero(np.diff(pick, prepend=-1))
+    place, last = pick[first], np.append(first[1:] - 1, len(pick) - 1) + length
     sums, down = _hashes(whole)
     gram = mix64((sums[place + GRAM] - sums[place]) * down[place])
     around = mix64((sums[last] - sums[first]) * down[first] + (((last - first) << 12) | (place - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return place, gram.view(np.int64), around.view(np.int64), last
+    return place, gram.view(np.int64), around.view(np.int64), first, last
 
 
 def _anchor_rows(length: int):
@@ -71,8 +73,8 @@ def _anchor_rows(length: int):
             found = [anchors_of(x, length) for x in texts]
             many = [len(x[0]) for x in found]
             at = np.repeat(np.arange(len(texts)), many)
-            place, gram, around, last = (np.concatenate([x[k] for x in found]) for k in range(4))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(place.astype(np.int32)), pa.array((last - place).astype(np.int16)), pa.array(gram), pa.array(around)], names=["doc", "mark", "place", "beyond", "gram", "around"])
+            place, gram, around, first, last = (np.concatenate([x[k] for x in found]) for k in range(5))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(place.astype(np.int32)), pa.array((place - first).astype(np.int16)), pa.array((last - place).astype(np.int16)), pa.array(gram), pa.array(around)], names=["doc", "mark", "place", "before", "beyond", "gram", "around"])
 
     return run
 
@@ -92,22 +94,29 @@ def two_stage_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     direct = np.flatnonzero(smaller)
     order = direct[np.argsort(words[direct], kind="stable")]
     tied = np.arange(len(order))
-    group = np.cumsum(np.diff(words[order], prepend=words[order[:1]] ^ np.uint64(1)) != 0) if len(order) else tied
+    # A group of suffixes that are equal so far goes by the place of its first one.
+    group = np.maximum.accumulate(np.where(np.diff(words[order], prepend=words[order[:1]] ^ np.uint64(1)) != 0, tied, 0)) if len(order) else tied
+    # Where all of a tied group have the same hash of the next `depth` bytes, there is nothing left to sort.
+    sums, down = _hashes(padded)
+    ahead = ((sums[depth : depth + n] - sums[:n]) * down[:n])[order] if len(order) else np.empty(0, np.uint64)
     for off in range(8, depth, 8):
-        own = group[tied]
-        again = np.zeros(len(own), bool)
-        again[1:] = own[1:] == own[:-1]
-        again[:-1] |= again[1:]
-        tied = tied[again]
+        own, hashed = group[tied], ahead[tied]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        if not len(first):
+            break
+        mixed = np.minimum.reduceat(hashed, first) != np.maximum.reduceat(hashed, first)
+        tied = tied[np.repeat(mixed, np.diff(first, append=len(own)))]
         if not len(tied):
             break
-        keys = words[order[tied] + off]
-        sort = np.lexsort((keys, group[tied]))
-        order[tied], keys, own = order[tied][sort], keys[sort], group[tied]
+        own, keys = group[tied], words[order[tied] + off]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        sizes = np.diff(first, append=len(own))
+        here = np.repeat(np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first), sizes)
+        at, keys = tied[here], keys[here]
+        sort = np.lexsort((keys, group[at]))
+        order[at], ahead[at], keys, own = order[at][sort], ahead[at][sort], keys[sort], group[at]
         new = (np.diff(own, prepend=-1) != 0) | (np.diff(keys, prepend=keys[:1]) != 0)
-        fresh = np.zeros(len(order), np.int64)
-        fresh[tied] = new & (np.diff(own, prepend=-1) == 0)
-        group = group + np.cumsum(fresh)
+        group[at] = np.maximum.accumulate(np.where(new, at, 0))
     out = np.empty(n, np.int64)
     counts = np.bincount(text, minlength=256)
     ends = np.cumsum(counts)
@@ -194,13 +203,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = length - GRAM + 1
     texts = docs.select(F.col(id_col).alias("doc"), F.hash(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    anchors = cut(texts.mapInArrow(_anchor_rows(length), f"doc {kind}, mark int, place int, beyond short, gram long, around long"))
+    anchors = cut(texts.mapInArrow(_anchor_rows(length), f"doc {kind}, mark int, place int, before short, beyond short, gram long, around long"))
     often = cut(anchors.groupBy("gram").agg(F.count("*").alias("many"), F.min("around").alias("low"), F.max("around").alias("high")).where("many > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")))
     found = cut(anchors.join(hinted(often), "gram"))
-    kinds = cut(found.groupBy("gram", "around").agg(F.count("*").alias("many"), F.first("mixed").alias("mixed"), F.min(F.struct("doc", "mark", "place", "beyond")).alias("one")))
+    kinds = cut(found.groupBy("gram", "around").agg(F.count("*").alias("many"), F.first("mixed").alias("mixed"), F.min(F.struct("doc", "mark", "place", "before", "beyond")).alias("one")))
     crowds = cut(kinds.where("mixed").groupBy("gram").agg(F.count("*").alias("size")).where(f"size > {CROWD}").select("gram"))
     alone = kinds.where("mixed").join(hinted(crowds).withColumn("crowd", F.lit(True)), "gram", "left").select("gram", "around", "one.*", F.coalesce("crowd", F.lit(False)).alias("crowd"))
-    wanted = cut(alone.groupBy("doc", "mark").agg(F.collect_list(F.struct("place", "beyond", "gram", "around", "crowd")).alias("cuts")))
+    wanted = cut(alone.groupBy("doc", "mark").agg(F.collect_list(F.struct("place", "before", "beyond", "gram", "around", "crowd")).alias("cuts")))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("crowd", pa.bool_()), ("left", pa.int32()), ("piece", pa.binary())])
@@ -208,8 +217,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for text, cuts in zip(own, batch.column(1).to_pylist(), strict=True):
                 for c in cuts:
-                    first = max(0, c["place"] - span + 1)
-                    out.append({"gram": c["gram"], "around": c["around"], "crowd": c["crowd"], "left": c["place"] - first, "piece": text[first : c["place"] + c["beyond"]]})
+                    out.append({"gram": c["gram"], "around": c["around"], "crowd": c["crowd"], "left": c["before"], "piece": text[c["place"] - c["before"] : c["place"] + c["beyond"]]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     once = texts.alias("t").join(hinted(wanted).alias("w"), F.expr("t.doc <=> w.doc and t.mark = w.mark")).select("text", "cuts")
@@ -225,7 +233,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         covers = pa.array([_runs(x, left, length) for x, left in zip(starts, lefts.tolist(), strict=True)], pa.list_(pa.int32()))
         return pa.table({"gram": table["gram"], "around": table["around"], "cover": covers})
 
-    blocks = max(1, int(kinds.where("mixed").count() * (length + span) / BLOCK_BYTES))
+    blocks = max(1, int(kinds.where("mixed").count() * (length + span / 2) / BLOCK_BYTES))
     covers = pieces.where("not crowd").withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks))).groupBy("block").applyInArrow(block, "gram long, around long, cover array<int>")
     if not crowds.isEmpty():
 
@@ -245,9 +253,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covers = cut(covers.where("size(cover) > 0"))
     # What a place in a document is covered by: its whole surroundings, or what the sorted block found.
     known = cut(kinds.select("gram", "around", (F.col("many") > 1).alias("whole")).join(covers, ["gram", "around"], "left").where("whole or cover is not null"))
-    first = F.greatest(F.col("place") - (span - 1), F.lit(0))
+    first = F.col("place") - F.col("before").cast("int")
     cover = F.when(F.col("whole"), F.array(first, F.col("place") + F.col("beyond").cast("int"))).otherwise(F.transform("cover", lambda x: x + F.col("place")))
-    spans = cut(found.select("doc", "mark", "place", "beyond", "gram", "around").join(hinted(known), ["gram", "around"]).select("doc", "mark", cover.alias("cover")).groupBy("doc", "mark").agg(F.flatten(F.collect_list("cover")).alias("cover")))
+    spans = cut(found.select("doc", "mark", "place", "before", "beyond", "gram", "around").join(hinted(known), ["gram", "around"]).select("doc", "mark", cover.alias("cover")).groupBy("doc", "mark").agg(F.flatten(F.collect_list("cover")).alias("cover")))
     discard(anchors, often, found, kinds, wanted, covers, known)
     return texts, spans
 
