@@ -14,7 +14,7 @@ from .functions import indicators as ind
 from .functions.patterns import candlesticks, fair_value_gap, price_action, volume_profile, with_methodology, with_structure, with_td9, with_wicks
 from .functions.recursive import recursive
 from .functions.scalars import bounded, direction, fold_text, percentile
-from .operators import joins, labels, ledger, replay, retrieval, stats
+from .operators import gates, joins, labels, ledger, replay, retrieval, stats
 from .plans import conditions, guarded_sql, strategies
 from .session import table
 from .sources import market
@@ -304,7 +304,14 @@ def structure_breaks(spark, sf_dir):
     return with_structure(prepared(spark, sf_dir)).select(*KEY, F.col("swing_high.price").alias("swing_high"), F.col("swing_low.price").alias("swing_low"), "bos")
 
 
-@query()
+def _action_sql() -> str:
+    bar = ", ".join(f"lag({c}, {k}) OVER ({W}) AS {c[0]}{k}" for k in (1, 2, 3) for c in ("open", "high", "low", "close"))
+    up, low, body, rng = "h1 - greatest(o1, c1)", "least(o1, c1) - l1", "abs(c1 - o1)", "greatest(h1 - l1, 1e-12)"
+    return f"""WITH {PREPARED}, q AS (SELECT *, {bar} FROM p) SELECT symbol, open_time, CASE WHEN bar < 4 THEN 'none' WHEN h2 < h3 AND l2 > l3 AND h1 > h3 AND c1 < h3 THEN 'bearish_fakey' WHEN h2 < h3 AND l2 > l3 AND l1 < l3 AND c1 > l3 THEN 'bullish_fakey'
+        WHEN h2 > l2 AND h1 < h2 AND l1 > l2 THEN 'inside_bar' WHEN {low} >= {body} * 2 AND {low} >= ({up}) * 1.5 AND c1 >= l1 + {rng} * 0.6 THEN 'bullish_pin_bar' WHEN {up} >= {body} * 2 AND {up} >= ({low}) * 1.5 AND c1 <= l1 + {rng} * 0.4 THEN 'bearish_pin_bar' ELSE 'none' END AS price_action FROM q"""
+
+
+@query(_action_sql())
 def price_action_setups(spark, sf_dir):
     return prepared(spark, sf_dir).select(*KEY, price_action().alias("price_action"))
 
@@ -321,6 +328,18 @@ def methodology(spark, sf_dir):
     return rounded(df, [*KEY, "regime", "turtle", "wyckoff_event", "elliott"], same("confluence", "fib_236", "fib_786"))
 
 
+@query(f"""WITH {PREPARED}, a AS (SELECT *, sum(CASE WHEN (high - low) * 100 <= 0.05 * low THEN 1 ELSE 0 END) {L(5)} AS f5, sum(CASE WHEN (high - low) * 100 <= 0.05 * low THEN 1 ELSE 0 END) {L(30)} AS f30, CASE WHEN min(low) {L(3)} > 0 THEN (max(high) {L(3)} - min(low) {L(3)}) / min(low) {L(3)} * 100 END AS r3 FROM p)
+    SELECT symbol, CASE WHEN bar < 30 THEN 'WARMING' WHEN coalesce(f30 > 18 OR f5 = 5 OR r3 < 0.3, true) THEN 'PASSIVE' ELSE 'ACTIVE' END AS activity, count(*) AS n FROM a GROUP BY ALL""")
+def activity_states(spark, sf_dir):
+    return gates.activity(prepared(spark, sf_dir)).groupBy("symbol", "activity").agg(F.count("*").alias("n"))
+
+
+@query()
+def entry_blocks(spark, sf_dir):
+    df = ind.snapshot(hourly(spark, sf_dir)).withColumn("block", gates.entry_block())
+    return df.groupBy("symbol", F.coalesce("block", F.lit("none")).alias("block")).agg(F.count("*").alias("n"))
+
+
 # Joins on time
 
 
@@ -388,9 +407,12 @@ def control_bars(spark, sf_dir):
     return labels.controls(bars, labels.spikes(bars, 0.5, 6 * market.HOUR, 12 * market.HOUR), 3 * market.HOUR, 6 * market.HOUR).select(*KEY)
 
 
-@query()
+@query(f"""WITH {BARS}, l AS (SELECT symbol, open_time, close, list(high) OVER f AS hs, list(low) OVER f AS ls, list(close) OVER f AS cs FROM c WINDOW f AS ({W} ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING)),
+    e AS (SELECT *, CAST(list_position(hs, list_max(hs)) AS BIGINT) AS pb, CAST(list_position(ls, list_min(ls)) AS BIGINT) AS tb FROM l)
+    SELECT symbol, open_time, pb AS peak_bar, tb AS trough_bar, CASE WHEN pb < tb THEN 'up' WHEN tb < pb THEN 'down' ELSE 'both' END AS first_direction, {r(peak='list_max(hs) / nullif(close, 0) - 1', trough='list_min(ls) / nullif(close, 0) - 1', giveback='list_max(hs) / nullif(close, 0) - cs[-1] / nullif(close, 0)')} FROM e""")
 def trajectories(spark, sf_dir):
-    return rounded(labels.trajectory(hourly(spark, sf_dir)), [*KEY, "peak_bar", "trough_bar", "first_direction"], same("peak", "trough", "giveback"))
+    out = labels.trajectory(hourly(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("peak_bar", "trough_bar")})
+    return rounded(out, [*KEY, "peak_bar", "trough_bar", "first_direction"], same("peak", "trough", "giveback"))
 
 
 @query(f"""WITH {TRADES}, e AS (SELECT strategy, value FROM tr WHERE pnl > 0), k AS (SELECT strategy, value FROM tr WHERE pnl <= 0), a AS (SELECT strategy, value, pnl > 0 AS ev, rank() OVER (PARTITION BY strategy ORDER BY value) + (count(*) OVER (PARTITION BY strategy, value) - 1) / 2.0 AS rk FROM tr)
