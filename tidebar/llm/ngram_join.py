@@ -161,7 +161,7 @@ def _verify(percent: int):
 
 
 def _meetings(percent: int):
-    """Pairs of a group's documents that may link, from rows (group, doc, token, n, component, groups, i, j, part).
+    """Pairs of a group's documents that may link, and how much of what they need is seen here, from rows (group, doc, token, n, component, groups, i, j, part).
 
     A pair shares as many prefix tokens as it needs in all; they lie in as many groups as the one of its documents in fewer groups, so one group holds
     at least that share of them.
@@ -172,7 +172,7 @@ def _meetings(percent: int):
         order = np.lexsort((col["j"], col["i"], col["group"]))
         keys = np.stack([col[c][order] for c in ("group", "i", "j")])
         cuts = np.flatnonzero((np.diff(keys, axis=1, prepend=keys[:, :1] - 1) != 0).any(0))
-        left, right = [], []
+        left, right, parts = [], [], []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             at = order[a:b]
             docs, first, row = np.unique(col["doc"][at], return_index=True, return_inverse=True)
@@ -192,8 +192,9 @@ def _meetings(percent: int):
             x, y = np.nonzero(np.triu(apart, 1))
             left.append(docs[x])
             right.append(docs[y])
+            parts.append(shared[x, y] / needed[x, y])
         both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64()), "part": pa.array(np.concatenate(parts) if parts else np.empty(0))})
 
     return run
 
@@ -231,7 +232,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links."""
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
         sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, tokens binary"))
         left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
         right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
@@ -276,10 +277,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = members.join(sizes, "group").join(groups_of, "doc").withColumn("unit", F.explode(F.when(other, meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))))
     units = rest.select("group", "doc", "token", "n").join(dealt.select("group", "doc", "component", "groups", "unit.*"), ["group", "doc"])
     blocks = max(1, rest.count() // 20_000)
-    sought = units.withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks))).groupBy("block").applyInArrow(_meetings(percent), "a long, b long")
-    pairs = sought.distinct()
-    links = links.union(linked(cut(pairs.join(tested, ["a", "b"], "left_anti"))))
-    known = components(links)
+    sought = units.withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks))).groupBy("block").applyInArrow(_meetings(percent), "a long, b long, part double")
+    left = cut(sought.groupBy("a", "b").agg(F.max("part").alias("part")).join(tested, ["a", "b"], "left_anti"))
+    named = lambda end, name: known.select(F.col("node").alias(end), F.col("component").alias(name))
+    for last in (False, False, True):
+        # Twice the most promising pair of each document, as one link spares all other pairs of two components; then every pair still apart.
+        apart = left.join(named("a", "_x"), "a", "left").join(named("b", "_y"), "b", "left").where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b", "part")
+        if not last:
+            ends = apart.select(F.col("a").alias("doc"), F.struct("part", "a", "b").alias("pair")).union(apart.select("b", F.struct("part", "a", "b")))
+            apart = ends.groupBy("doc").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+        pairs = cut(apart.select("a", "b"))
+        links = links.union(linked(pairs))
+        known = components(links)
+        left = cut(left.join(pairs, ["a", "b"], "left_anti")) if not last else left
     out = member.join(known, "node", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     discard(seen, copies, table, at, rest, members, sizes)
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
