@@ -17,7 +17,7 @@ from tidebar.llm.cap_filters import near_vectors
 from tidebar.llm.components import components
 from tidebar.llm.licenses import TEMPLATES, license_scan
 from tidebar.llm.mixing import replicate
-from tidebar.llm.ngram_join import ngram_components, one_of_each
+from tidebar.llm.ngram_join import bitmap, most_shared, ngram_components, one_of_each
 from tidebar.llm.quality import Settings, fit_quality, keep_good, quality_scores
 from tidebar.llm.secrets import ACCESS, ASSIGN, find_secrets, guess_cost, secret_spans, without_secrets
 from tidebar.llm.span_dedup import remove_repeated_spans, sentences
@@ -74,6 +74,16 @@ def test_components(spark):
     assert {r["component"] for r in components(chain).collect()} == {0}
 
 
+def test_bitmaps_bound_the_overlap_from_above():
+    rng = np.random.default_rng(3)
+    for n, m, both in [(1, 1, 1), (5, 4, 0), (100, 90, 80), (100, 800, 60), (3000, 2900, 2500), (7, 5000, 7)]:
+        tokens = np.unique(rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64))
+        x, y = tokens[:n], tokens[n - both :]
+        assert both <= most_shared(bitmap(x), len(x), bitmap(y), len(y)) <= min(n, m)
+        assert most_shared(bitmap(x), len(x), bitmap(x), len(x)) == n
+    assert most_shared(bitmap(tokens[:100]), 100, bitmap(tokens[100:200]), 100) < 50
+
+
 def test_ngram_join(docs, empty):
     rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
     root = {i: i for i, _ in rows if i is not None}

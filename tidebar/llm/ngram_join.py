@@ -4,7 +4,8 @@ Two sets with |A & B| / |A | B| >= t share a token among the first n - ceil(t *
 tokens are in. Three orders are used: rare first (corpus-wide heavy hitters last, the rest by hash), one
 by a second hash ascending, one by it descending. Candidates come from the first order's buckets and must share prefix tokens in the
 other two before the whole sets are compared. Two links' prefixes share not only one token but as many as the needed overlap
-exceeds what lies beyond them; candidates with fewer are dropped, which spares documents that only share a passage.
+exceeds what lies beyond them; candidates with fewer are dropped, which spares documents that only share a passage. So do
+bitmaps of the sets, which bound the overlap from above before whole sets are fetched.
 
 Links inside a large group of near copies are many; components need only enough of them. So each bucket is
 first compared with one member (twice, with the components known by then), and only then every remaining pair of
@@ -129,13 +130,41 @@ def _prefixes(heavy, words: int, percent: int):
     return run
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each residue of the tokens, modulo a power of two that is at least four times their number."""
+    bits = 1 << max(8, (4 * len(tokens) - 1).bit_length())
+    seen = np.zeros(bits, bool)
+    seen[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
+    """An upper bound of what two sets of n and m tokens share, from their bitmaps: a bit that only one has is a token that the other lacks."""
+    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(one), len(two))
+    one, two = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in (one, two))
+    return min(n - int(np.bitwise_count(one & ~two).sum()), m - int(np.bitwise_count(two & ~one).sum()))
+
+
 def _stored(words: int):
-    """Rows (doc, n, tokens): the set as bytes, in the second order."""
+    """Rows (doc, n, bits, tokens): the set's bitmap, and the set as bytes, in the second order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            sets = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([np.sort(mix64(x)).tobytes() for x in sets], pa.binary())], names=["doc", "n", "tokens"])
+            sets = [np.sort(mix64(x)) for x in shingle_sets(texts, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(bitmap, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc", "n", "bits", "tokens"])
+
+    return run
+
+
+def _possible(percent: int):
+    """Of rows (a, b, n, m, x, y) those pairs whose bitmaps leave room for the overlap that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
+            keep = [(100 + percent) * most_shared(x, n, y, m) >= percent * (n + m) for n, m, x, y in rows]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -233,11 +262,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links."""
         wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-        sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, tokens binary"))
-        left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
-        right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-        found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long"))
-        discard(wanted, sets)
+        sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, bits binary, tokens binary"))
+        # Bitmaps, a tenth of the sets' size, rule out most pairs that only share a passage; whole sets go only to the others.
+        left, right = sets.select(F.col("doc").alias("a"), "n", F.col("bits").alias("x")), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        possible = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(percent), "a long, b long"))
+        asked = cut(possible.select(F.col("a").alias("doc")).union(possible.select("b")).distinct())
+        whole = sets.join(hinted(asked), "doc", "left_semi")
+        left = whole.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
+        right = whole.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
+        found = cut(possible.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long"))
+        discard(wanted, sets, possible, asked)
         return found
 
     def labelled(known: DataFrame | None) -> DataFrame:
