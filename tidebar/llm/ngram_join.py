@@ -263,7 +263,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         """Those of the pairs (a, b) that are links."""
         wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
         sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, bits binary, tokens binary"))
-        # Bitmaps, a tenth of the sets' size, rule out most pairs that only share a passage; whole sets go only to the others.
+        # Bitmaps, a tenth of the sets' size, rule out pairs that share too little; whole sets go only to the others.
         left, right = sets.select(F.col("doc").alias("a"), "n", F.col("bits").alias("x")), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         possible = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(percent), "a long, b long"))
         asked = cut(possible.select(F.col("a").alias("doc")).union(possible.select("b")).distinct())
