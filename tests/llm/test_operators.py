@@ -187,6 +187,34 @@ def test_sentence_spans(spark, empty):
     assert remove_repeated_spans(empty).count() == 0
 
 
+def test_repeated_passages_of_few_sentences(spark):
+    """Passages of 51 to 80 words in 1, 2 and 3 sentences, cut off anywhere in their texts or a whole text; copies inside long unpunctuated texts; a line of its own stays."""
+    rng = random.Random(6)
+    texts, copies = [], []
+    for n in [*range(51, 81, 4), 80]:
+        for parts in (1, 2, 3):
+            own = words(rng, n).split()
+            for k in range(1, parts):
+                own[n * k // parts] += rng.choice([".", "!", "?", ".\n"])
+            passage = " ".join(own)
+            for before, after in ((3, 5), (rng.randint(20, 90), rng.randint(20, 90))):
+                texts.append(f"{words(rng, before)} {passage} {words(rng, after)}")
+            copies += [len(texts) - 1, len(texts)]
+            texts.append(passage)
+    long = words(rng, 1500)
+    texts += [long, f"{words(rng, 40)} {long} {words(rng, 30)}", f"{words(rng, 40)} {long[3000:7000]}"]
+    copies += [len(texts) - 2, len(texts) - 1]
+    line = words(rng, 14) + "."
+    texts += [f"{words(rng, 60)}\n{line}\n{words(rng, 50)}" for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in remove_repeated_spans(df).collect()}
+    assert [i for i in range(len(texts)) if got[i]["n_removed"]] == copies
+    lost = {i: len(texts[i].split()) - len(got[i]["kept"].split()) for i in copies}
+    assert all(19 <= x for x in lost.values()) and lost[copies[-2]] >= 1500 - 32
+    for i in copies[1:-2:2]:
+        assert lost[i] >= len(texts[i].split()) - 32
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints(docs).collect()
     text = {(r["doc_id"], r["text"]) for r in docs.collect()}
