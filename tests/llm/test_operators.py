@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from hashlib import sha256
 
@@ -15,7 +16,7 @@ from tidebar.llm import queries
 from tidebar.llm.bpe import bpe_encode, loaded
 from tidebar.llm.cap_filters import near_vectors
 from tidebar.llm.components import components
-from tidebar.llm.licenses import TEMPLATES, license_scan
+from tidebar.llm.licenses import TEMPLATES, license_scan, model, scan_lines
 from tidebar.llm.mixing import replicate
 from tidebar.llm.ngram_join import bitmap, most_shared, ngram_components, one_of_each
 from tidebar.llm.quality import Settings, fit_quality, keep_good, quality_scores
@@ -327,3 +328,20 @@ def test_licenses(spark, empty):
     assert got[2]["inherited"] == "MIT" and got[2]["directory"] == "a" and got[4]["inherited"] == "Apache-2.0" and got[4]["directory"] == "a/b/c"
     assert got[6]["license"] == "CC-BY-NC-4.0" and got[7]["license"] == "GPL-3.0" and got[5]["license"] is None and got[5]["inherited"] is None
     assert license_scan(df).count() == len(rows) and license_scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
+
+
+def test_license_lines_count_all_their_words(spark):
+    """Common words count in the vectors, and repeated ones by their squares."""
+    rows = [(k, t) for k, (_, t) in enumerate(TEMPLATES)]
+    rows += [(100, TEMPLATES[0][1] + " and to the of with this"), (101, "released released under mit license"), (102, TEMPLATES[0][1] + " x y x x"), (103, "GNU Affero General Public License, version 3 version 3"), (104, TEMPLATES[2][1].replace(" to ", " ").replace(" of ", " "))]
+    idf, other, units, _ = model()
+    assert {"the", "and", "of"} <= set(idf)
+    want = {}
+    for i, text in rows:
+        bag = Counter(re.findall("[a-z0-9]+", text.lower()))
+        size = sum((n * idf.get(w, other)) ** 2 for w, n in bag.items()) ** 0.5
+        best = max((round(sum(bag[w] * idf[w] * x for k, w, x in units if k == t) / size, 6), -t) for t in range(len(TEMPLATES)))
+        if best[0] >= 0.75:
+            want[i] = (TEMPLATES[-best[1]][0], pytest.approx(best[0], abs=2e-6))
+    got = {r["doc"]: (r["license"], r["score"]) for r in scan_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 100 not in got and 102 not in got

@@ -30,12 +30,12 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 COSINE = 0.75
-# Words that lines of any kind have; they count for nothing.
-PLAIN = "a and any are by for in into is it of or that the this to with".split()
+# Words that lines of any kind have.
+PLAIN = set("a and any are by for free in into is of or person source subject terms the this to use version with without work 0 2 3 4".split())
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in PLAIN]
+    return re.findall("[a-z0-9]+", text.lower())
 
 
 def model(least: float = COSINE) -> tuple[dict[str, float], float, list[tuple[int, str, float]], list[str]]:
@@ -51,8 +51,8 @@ def model(least: float = COSINE) -> tuple[dict[str, float], float, list[tuple[in
         rows += [(k, w, n * idf[w] / size) for w, n in sorted(bag.items())]
     strong: set[str] = set()
     for unit in units:
-        # Words that are strong already come first, then the heaviest that aren't numbers, until the rest can't reach `least`.
-        for word in sorted(unit, key=lambda w: (w not in strong, w.isdigit(), -unit[w], w)):
+        # Words that are strong already come first, then the heaviest that aren't plain words, until the rest can't reach `least`.
+        for word in sorted(unit, key=lambda w: (w not in strong, w in PLAIN, -unit[w], w)):
             if sqrt(sum(x * x for w, x in unit.items() if w not in strong)) < least:
                 break
             strong.add(word)
@@ -62,16 +62,28 @@ def model(least: float = COSINE) -> tuple[dict[str, float], float, list[tuple[in
 def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = COSINE) -> DataFrame:
     """(doc, license, score): the best license of each document that has a line like a template, by cosine, then template order."""
     idf, other, rows, strong = model(least)
-    spark = docs.sparkSession
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(strong) + ")(?![a-z0-9])"
     hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").rlike(pattern))
-    lines = hits.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(pattern))
-    terms = lines.select("doc", "line", F.explode(F.split(F.lower("body"), "[^a-z0-9]+")).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(PLAIN)).groupBy("doc", "line", "word").agg(F.count("*").alias("n"))
-    known = spark.createDataFrame([(w, x) for w, x in idf.items()], "word string, idf double")
-    weighed = terms.join(F.broadcast(known), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
-    unit = spark.createDataFrame(rows, "template int, word string, unit double").groupBy("word").agg(F.collect_list(F.struct("template", "unit")).alias("units"))
-    vectors = weighed.join(F.broadcast(unit), "word", "left").groupBy("doc", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.collect_list(F.struct("w", "units")).alias("parts"))
-    dot = lambda k: F.aggregate("parts", F.lit(0.0), lambda at, p: at + p["w"] * F.coalesce(F.aggregate(F.filter(p["units"], lambda u: u["template"] == k), F.lit(0.0), lambda s, u: s + u["unit"]), F.lit(0.0)))
+    lines = hits.select("doc", F.explode(F.split("text", "\n")).alias("body")).where(F.col("body").rlike(pattern))
+    # Lines are scored where they are: no word leaves its row. Words that no template has all weigh the same, so the squares of their counts are enough.
+    words = lines.select("doc", F.filter(F.split(F.lower("body"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
+    split = words.select("doc", F.filter("words", lambda w: w.isin(list(idf))).alias("known"), F.array_sort(F.filter("words", lambda w: ~w.isin(list(idf)))).alias("others"))
+    runs = F.aggregate(
+        "others", F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum")),
+        # A word's n-th time takes its square from (n - 1)^2 to n^2.
+        lambda at, w: F.struct(w.alias("word"), F.when(at["word"] == w, at["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"), (at["sum"] + F.when(at["word"] == w, 2 * at["n"] + 1).otherwise(F.lit(1).cast("long"))).alias("sum")),
+        lambda at: at["sum"],
+    )
+    units: dict[str, list[Column]] = {w: [] for w in idf}
+    for k, w, x in rows:
+        units[w].append(F.struct(F.lit(k).alias("template"), F.lit(x).alias("unit")))
+    table = F.create_map(*[c for w, x in idf.items() for c in (F.lit(w), F.struct(F.lit(x).alias("idf"), F.array(*units[w]).alias("units")))])
+    parts = F.transform(F.array_distinct("known"), lambda w: F.struct((F.size(F.filter("known", lambda v: v == w)) * table[w]["idf"]).alias("w"), table[w]["units"].alias("units")))
+    weighed = split.where(F.size("known") > 0).select("doc", runs.alias("rest"), parts.alias("parts"))
+    squares = F.aggregate("parts", F.lit(0.0), lambda at, p: at + p["w"] * p["w"])
+    # By Cauchy-Schwarz no template's cosine is above the share of its words in the line's length.
+    vectors = weighed.select("doc", "parts", squares.alias("own"), (F.col("rest") * F.lit(other * other)).alias("rest")).where(F.col("own") >= (least - 1e-6) ** 2 * (F.col("own") + F.col("rest"))).select("doc", "parts", F.sqrt(F.col("own") + F.col("rest")).alias("size"))
+    dot = lambda k: F.aggregate("parts", F.lit(0.0), lambda at, p: at + p["w"] * F.aggregate(F.filter(p["units"], lambda u: u["template"] == k), F.lit(0.0), lambda s, u: s + u["unit"]))
     scores = F.array(*[F.struct(F.round(dot(k) / F.col("size"), 6).alias("score"), F.lit(-k).alias("rank")) for k in range(len(TEMPLATES))])
     best = vectors.select("doc", F.array_max(scores).alias("best")).groupBy("doc").agg(F.max("best").alias("best")).where(F.col("best.score") >= least)
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
