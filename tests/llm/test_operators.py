@@ -18,7 +18,7 @@ from tidebar.llm.cap_filters import near_vectors
 from tidebar.llm.components import components
 from tidebar.llm.licenses import TEMPLATES, license_scan, model, scan_lines
 from tidebar.llm.mixing import replicate
-from tidebar.llm.ngram_join import bitmap, most_shared, ngram_components, one_of_each
+from tidebar.llm.ngram_join import ngram_components, one_of_each, overlaps
 from tidebar.llm.quality import Settings, fit_quality, keep_good, quality_scores
 from tidebar.llm.secrets import ACCESS, ASSIGN, find_secrets, guess_cost, secret_spans, without_secrets
 from tidebar.llm.span_dedup import remove_repeated_spans, sentences
@@ -75,18 +75,16 @@ def test_components(spark):
     assert {r["component"] for r in components(chain).collect()} == {0}
 
 
-def test_bitmaps_bound_the_overlap_from_above():
+def test_overlaps_are_exact():
     rng = np.random.default_rng(3)
-    for n, m, both in [(1, 1, 1), (5, 4, 0), (100, 90, 80), (100, 800, 60), (3000, 2900, 2500), (7, 5000, 7)]:
-        tokens = np.unique(rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64))
-        x, y = tokens[:n], tokens[n - both :]
-        assert both <= most_shared(bitmap(x), len(x), bitmap(y), len(y)) <= min(n, m)
-        assert most_shared(bitmap(x), len(x), bitmap(x), len(x)) == n
-    assert most_shared(bitmap(tokens[:100]), 100, bitmap(tokens[100:200]), 100) < 50
+    sets = [np.unique(rng.integers(0, top, n)).astype(np.uint64) for n, top in [(1, 5), (0, 9), (5, 9), (400, 500), (3000, 4000), (3000, 10**6), (60, 64), (60, 64)] * 9]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets[:40]] for x in sets])
+    assert (overlaps(sets, sets[:40]) == want).all()
+    assert overlaps([], sets).shape == (0, len(sets)) and overlaps(sets[1:2], sets[1:2]).tolist() == [[0]]
 
 
-def test_ngram_join(docs, empty):
-    rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
+def grouped(rows):
+    """The least id that each id's texts reach by links, from (id, text)."""
     root = {i: i for i, _ in rows if i is not None}
 
     def find(a):
@@ -94,12 +92,42 @@ def test_ngram_join(docs, empty):
             a = root[a]
         return a
 
-    own = [(i, s) for i, s in rows if i is not None and s]
+    own = [(i, shingles(t)) for i, t in rows if i is not None]
     for x, (i, s) in enumerate(own):
         for j, t in own[x + 1 :]:
-            if 100 * len(s & t) >= 75 * len(s | t):
+            if s and 100 * len(s & t) >= 75 * len(s | t):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}
+
+
+def test_ngram_join_in_pieces(spark, monkeypatch):
+    """A large group of near copies, chains through it and shared passages, with pieces so small that all kinds of pieces meet; an id with one copied and one near-copied version."""
+    import tidebar.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "PIECE", 2000)
+    rng = random.Random(12)
+    base, passage = words(rng, 110).split(), words(rng, 70)
+    texts = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(k % 8):
+            own[rng.randrange(len(own))] = words(rng, 1)
+        texts.append(" ".join(own))
+    texts += [f"{words(rng, rng.randint(1, 30))} {passage} {words(rng, rng.randint(1, 30))}" for _ in range(60)]
+    rows = list(enumerate(texts))
+    other = words(rng, 90)
+    rows += [(500, other), (501, other), (501, texts[3] + " x"), (502, words(rng, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = grouped(rows)
+    got = ngram_components(df).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((i, want[i]) for i, _ in rows)
+    assert want[501] == want[500] == want[3] and len(set(want.values())) > 20
+
+
+def test_ngram_join(docs, empty):
+    rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
+    find = grouped([(r['doc_id'], r['text']) for r in docs.collect()]).__getitem__
     got = ngram_components(docs).collect()
     assert len(got) == len(rows)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == Counter((i, len(s), find(i)) for i, s in rows if i is not None)
@@ -107,7 +135,9 @@ def test_ngram_join(docs, empty):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted({find(i) for i in root})
+    assert sorted(ids) == sorted({find(i) for i, _ in rows if i is not None})
+    clashing = docs.withColumnRenamed("lang", "key").withColumnRenamed("source", "first")
+    assert sorted(map(str, one_of_each(clashing).collect())) == sorted(map(str, one_of_each(clashing).collect())) and one_of_each(clashing).columns == clashing.columns
     assert ngram_components(empty).count() == 0 and one_of_each(empty).count() == 0
 
 

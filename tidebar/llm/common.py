@@ -8,29 +8,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to this many bytes of Parquet; above it the join shuffles.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 6 << 20
 #: Texts are worked on in chunks of about this many bytes.
 CHUNK_BYTES = 1 << 19
+#: Bytes of a batch that Spark hands to Python.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset on a local master (tests), a new one of our own. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidebar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: executors may come and go from here on."""
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def cut(df: DataFrame, seen: Observation | None = None, *counts) -> DataFrame:
+    """df, written to the shared folder and read back: executors may come and go from here on. seen, if given, gets counts of what is written.
+
+    If the driver finds none of the files that the tasks wrote, the folder isn't shared and this raises; an empty table has a file, too.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidebar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.observe(seen, *counts) if seen else df).write.parquet(path)
+    system, hadoop = _files(spark, path)
+    if not any(f.getPath().getName().startswith("part-") for f in system.listStatus(hadoop)):
+        raise OSError(f"the driver sees no part of {path}: spark.checkpoint.dir isn't shared")
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -38,16 +53,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Bytes that cut() wrote."""
-    jvm, path = df.sparkSession._jvm, df.written_to
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    system, hadoop = _files(df.sparkSession, df.written_to)
+    return system.getContentSummary(hadoop).getLength()
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """name, or a longer one that isn't a column yet."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def renamed(df: DataFrame, **names: str) -> DataFrame:
+    """A frame from cut() with the columns old=new only, still known as written."""
+    out = df.select(*[F.col(old).alias(new) for old, new in names.items()])
+    out.written_to = df.written_to
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes what cut() wrote for frames that nothing reads any more."""
     for df in frames:
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+        system, hadoop = _files(df.sparkSession, df.written_to)
+        system.delete(hadoop, True)
 
 
 def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -55,10 +83,9 @@ def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch, so that one of long texts stays small; batches of short rows are as before."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

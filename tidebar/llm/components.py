@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, renamed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,14 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        fresh = cut(step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("far", "component")).alias("component")))
-        done = fresh.where("was <> component").isEmpty()
+        fresh = step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("far", "component")).alias("component"))
+        seen = Observation()
+        fresh = cut(fresh, seen, F.count_if(F.col("was") != F.col("component")).alias("changed"))
         discard(labels)
-        if done:
+        labels = renamed(fresh, node="node", component="component")
+        if not seen.get["changed"]:
             discard(both)
-            out = fresh.select("node", "component")
-            out.written_to = fresh.written_to
-            return out
-        written = fresh.written_to
-        labels = fresh.select("node", "component")
-        labels.written_to = written
+            return labels

@@ -1,15 +1,14 @@
 """N-gram Jaccard join: multiple-global-order prefix filtering over sets of word shingles.
 
 Two sets with |A & B| / |A | B| >= t share a token among the first n - ceil(t * n) + 1 of each set, whatever global order the
-tokens are in. Three orders are used: rare first (corpus-wide heavy hitters last, the rest by hash), one
-by a second hash ascending, one by it descending. Candidates come from the first order's buckets and must share prefix tokens in the
-other two before the whole sets are compared. Two links' prefixes share not only one token but as many as the needed overlap
-exceeds what lies beyond them; candidates with fewer are dropped, which spares documents that only share a passage. So do
-bitmaps of the sets, which bound the overlap from above before whole sets are fetched.
-
-Links inside a large group of near copies are many; components need only enough of them. So each bucket is
-first compared with one member (twice, with the components known by then), and only then every remaining pair of
-members of *different* components, all of them: no link that would join two components is lost.
+tokens are in; and not only one, but as many as the needed overlap exceeds what lies beyond the prefixes. Three orders are used: rare first
+(corpus-wide heavy hitters last, the rest by hash), one by a second hash ascending, one by it descending. The first order's buckets give candidates; only those whose prefixes
+share enough tokens in all three orders go on to have their whole sets compared.
+
+Links inside a large group of near copies are many; components need only enough of them. So each document is first held against the pivot of one of its
+buckets (that with which it shares most prefix tokens), a pair a document. Buckets that hold several components after that are compared whole: their
+documents' sets are dealt out in pieces of bounded size, every two pieces meet in one task, and a task returns no pairs but only which components it joins. Members of
+the commonest component needn't meet each other. No link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, discard, hinted, mix64, small_batches, words_of
+from .common import chunks, cut, discard, hinted, mix64, renamed, small_batches, unused, words_of
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -29,8 +28,8 @@ WORDS, PERCENT = 5, 75
 HEAVY_TASK, HEAVY_ALL = 1 << 18, 1 << 18
 #: Tokens counted this often are dealt out by document, too.
 SALTED, SALTS = 2000, 64
-#: Documents of a group that meet in one piece.
-PIECE = 1024
+#: A piece of a group holds about this many tokens; a document counts as DOC more. A task takes about TASK_BYTES of sets.
+PIECE, DOC, TASK_BYTES = 1 << 18, 256, 6 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -76,7 +75,7 @@ def heavier(tokens: np.ndarray, counts: np.ndarray, more: np.ndarray, most: int)
 
 
 def _summaries(words: int):
-    """Rows of two kinds: 0, a document (id, size, 128 bits that stand for its set); 1, a heavy token and its count."""
+    """Rows of two kinds: 0, a document (id, hash of its text, 128 bits that stand for its set, size); 1, a heavy token and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, waiting, held = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
@@ -86,7 +85,7 @@ def _summaries(words: int):
             with np.errstate(over="ignore"):
                 one = np.array([mix64(x).sum(dtype=np.uint64) for x in sets], np.uint64)
                 two = np.array([mix64(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) for x in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n, pa.int64())], names=["kind", "a", "b", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), batch.column(1), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n, pa.int64())], names=["kind", "a", "mark", "b", "c", "n"])
             waiting += sets
             held += int(n.sum())
             if held > 1 << 20:
@@ -97,87 +96,97 @@ def _summaries(words: int):
         keep = counts > 1
         tokens, counts = tokens[keep], counts[keep]
         zero = pa.array(np.zeros(len(tokens), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int8)), pa.array(tokens.view(np.int64)), zero, zero, pa.array(counts)], names=["kind", "a", "b", "c", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int8)), pa.array(tokens.view(np.int64)), zero, zero, zero, pa.array(counts)], names=["kind", "a", "mark", "b", "c", "n"])
 
     return run
 
 
+class RareFirst:
+    """The order that puts heavy tokens last; heavy holds them, ascending, and their counts."""
+
+    def __init__(self, heavy: tuple[np.ndarray, np.ndarray]):
+        self.tokens, self.counts = heavy
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.tokens >> np.uint64(42)] = True
+
+    def prefix(self, own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokens of a set, and how often each occurs, as far as it is heavy."""
+        often = np.zeros(len(own), np.int64)
+        if len(self.tokens) and len(some := np.flatnonzero(self.maybe[own >> np.uint64(42)])):
+            at = np.minimum(np.searchsorted(self.tokens, own[some]), len(self.tokens) - 1)
+            often[some] = np.where(self.tokens[at] == own[some], self.counts[at], 0)
+        first = np.argsort(often, kind="stable")[: prefix_length(len(own), percent)]
+        return own[first], often[first]
+
+
 def _prefixes(heavy, words: int, percent: int):
-    """heavy: a broadcast of heavy tokens, ascending, and their counts. Rows (token, salt, doc, n)."""
+    """Rows (token, salt, doc, n): the prefixes in the first order. heavy: a broadcast of what RareFirst takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = heavy.value
-        maybe = np.zeros(1 << 22, bool)
-        maybe[tokens >> np.uint64(42)] = True
+        order = RareFirst(heavy.value)
         for batch, texts in chunks(batches):
             out, docs, sizes, salts = [], [], [], []
             for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(texts, words), strict=True):
                 if not len(own):
                     continue
-                p = prefix_length(len(own), percent)
-                often = np.zeros(len(own), np.int64)
-                if len(tokens) and len(some := np.flatnonzero(maybe[own >> np.uint64(42)])):
-                    at = np.minimum(np.searchsorted(tokens, own[some]), len(tokens) - 1)
-                    often[some] = np.where(tokens[at] == own[some], counts[at], 0)
-                first = np.argsort(often, kind="stable")[:p]
-                out.append(own[first])
-                docs.append(np.full(p, doc, np.int64))
-                sizes.append(np.full(p, len(own), np.int32))
-                salts.append(np.where(often[first] >= SALTED, 1 + doc % SALTS, 0).astype(np.int32))
+                first, often = order.prefix(own, percent)
+                out.append(first)
+                docs.append(np.full(len(first), doc, np.int64))
+                sizes.append(np.full(len(first), len(own), np.int32))
+                salts.append(np.where(often >= SALTED, 1 + doc % SALTS, 0).astype(np.int32))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in out], salts, docs, sizes)], names=["token", "salt", "doc", "n"])
 
     return run
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each residue of the tokens, modulo a power of two that is at least four times their number."""
-    bits = 1 << max(8, (4 * len(tokens) - 1).bit_length())
-    seen = np.zeros(bits, bool)
-    seen[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(seen, bitorder="little").tobytes()
-
-
-def most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
-    """An upper bound of what two sets of n and m tokens share, from their bitmaps: a bit that only one has is a token that the other lacks."""
-    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    size = min(len(one), len(two))
-    one, two = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in (one, two))
-    return min(n - int(np.bitwise_count(one & ~two).sum()), m - int(np.bitwise_count(two & ~one).sum()))
-
-
-def _stored(words: int):
-    """Rows (doc, n, bits, tokens): the set's bitmap, and the set as bytes, in the second order."""
+def _stored(heavy, words: int, percent: int):
+    """Rows (doc, n, rare, up, down, tokens): the set as bytes in the second order, its prefix in the first, and 32 bits of each token of its prefixes in the other two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = RareFirst(heavy.value)
         for batch, texts in chunks(batches):
-            sets = [np.sort(mix64(x)) for x in shingle_sets(texts, words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(bitmap, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc", "n", "bits", "tokens"])
+            found = shingle_sets(texts, words)
+            sets = [np.sort(mix64(x)) for x in found]
+            p = [prefix_length(len(x), percent) for x in sets]
+            columns = [
+                [order.prefix(x, percent)[0].tobytes() for x in found],
+                [x[:k].astype(np.uint32).tobytes() for x, k in zip(sets, p, strict=True)],
+                [x[len(x) - k :].astype(np.uint32).tobytes() for x, k in zip(sets, p, strict=True)],
+                [x.tobytes() for x in sets],
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["doc", "n", "rare", "up", "down", "tokens"])
 
     return run
 
 
-def _possible(percent: int):
-    """Of rows (a, b, n, m, x, y) those pairs whose bitmaps leave room for the overlap that a link needs."""
+def needed(n, m, percent: int):
+    """The least number of tokens that prefixes of two linked sets of n and m tokens share: the overlap, less what lies beyond the longer set's prefix."""
+    return np.maximum(1, -(-percent * (n + m) // (100 + percent)) - -(-percent * np.maximum(n, m) // 100) + 1)
+
+
+def _agree(percent: int):
+    """Of rows (a, b, n, m, and both sets' prefixes in the second and the third order) those pairs that share enough in each order."""
+
+    def enough(x: bytes, y: bytes, least: int) -> bool:
+        # 32 bits may take two tokens for one: then more seem to be shared, never fewer.
+        return int(np.isin(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum()) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
-            keep = [(100 + percent) * most_shared(x, n, y, m) >= percent * (n + m) for n, m, x, y in rows]
+            least = needed(batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64), percent).tolist()
+            rows = zip(least, *(batch.column(k).to_pylist() for k in (4, 5, 6, 7)), strict=True)
+            keep = [enough(up, up2, k) and enough(down, down2, k) for k, up, up2, down, down2 in rows]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verify(percent: int):
-    """Of rows (a, b, left, right) those whose sets are alike: first by the prefixes in two orders, then whole."""
+    """Of rows (a, b, left, right) those whose sets are alike."""
 
     def alike(left: bytes, right: bytes) -> bool:
         x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-        p, q = prefix_length(len(x), percent), prefix_length(len(y), percent)
-        least = max(1, -(-percent * (len(x) + len(y)) // (100 + percent)) - -(-percent * max(len(x), len(y)) // 100) + 1)
-        if min(len(np.intersect1d(x[:p], y[:q], assume_unique=True)), len(np.intersect1d(x[-p:], y[-q:], assume_unique=True))) < least:
-            return False
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -189,41 +198,105 @@ def _verify(percent: int):
     return run
 
 
-def _meetings(percent: int):
-    """Pairs of a group's documents that may link, and how much of what they need is seen here, from rows (group, doc, token, n, component, groups, i, j, part).
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of left shares with each of right: common tokens by products of narrow matrices, others pair by pair."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not out.size:
+        return out
+    tokens = [np.concatenate(x) for x in (left, right)]
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    known = np.intersect1d(*tokens)
+    if not len(known):
+        return out
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(known, tokens[k]), len(known) - 1)
+        here = known[at] == tokens[k]
+        order = np.argsort(at[here], kind="stable")
+        tokens[k], owners[k] = at[here][order], owners[k][here][order]
+    (x, y), (i, j) = tokens, owners
+    n, m = np.bincount(x, minlength=len(known)), np.bincount(y, minlength=len(known))
+    wide = n * m * 200 > out.size
+    columns = np.flatnonzero(wide)
+    for a in range(0, len(columns), 1024):
+        parts = []
+        for t, own, rows in ((x, i, len(left)), (y, j, len(right))):
+            place = np.full(len(known), -1)
+            place[columns[a : a + 1024]] = np.arange(len(columns[a : a + 1024]))
+            here = place[t] >= 0
+            width = len(columns[a : a + 1024])
+            parts.append(np.bincount(own[here] * width + place[t[here]], minlength=rows * width).reshape(rows, width).astype(np.float32))
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    starts = np.cumsum(m) - m
+    x, i = x[~wide[x]], i[~wide[x]]
+    many = m[x]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+        own = many[at:to]
+        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        flat = np.repeat(i[at:to] * len(right), own) + j[np.repeat(starts[x[at:to]], own) + step]
+        out += np.bincount(flat, minlength=out.size).reshape(out.shape)
+        at = to
+    return out
 
-    A pair shares as many prefix tokens as it needs in all; they lie in as many groups as the one of its documents in fewer groups, so one group holds
-    at least that share of them.
-    """
+
+def joined(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
+    """Components that links between the documents of left and of right (None: among those of left) join, as pairs with the least."""
+    sides = [left, left if right is None else right]
+    n, m = (np.array([len(x) // 8 for x in t["tokens"].to_pylist()], np.int64) for t in sides)
+    one, two = (t["component"].to_numpy() for t in sides)
+    ok = np.not_equal.outer(one, two) & (100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m))
+    rows, cols = np.arange(len(n)), np.arange(len(m))
+    for name, kind in (("rare", np.uint64), ("up", np.uint32), ("down", np.uint32), ("tokens", np.uint64)):
+        # Documents without a candidate left go out before the next order is looked at.
+        stay, keep = ok.any(1), ok.any(0)
+        rows, cols, ok = rows[stay], cols[keep], ok[np.ix_(stay, keep)]
+        if not len(rows):
+            return []
+        # Tokens with the same 32 bits are several of one kind here and there: their product is no less than what is shared.
+        shared = overlaps(*([np.frombuffer(x, kind) for x in t[name].take(pa.array(at)).to_pylist()] for t, at in zip(sides, (rows, cols))))
+        if name == "tokens":
+            ok &= 100 * shared >= percent * (np.add.outer(n[rows], m[cols]) - shared)
+        else:
+            ok &= shared >= needed(n[rows][:, None], m[cols][None], percent)
+    x, y = np.nonzero(ok)
+    if not len(x):
+        return []
+    names, at = np.unique(np.concatenate([one[rows[x]], two[cols[y]]]), return_inverse=True)
+    x, y, label = at[: len(x)], at[len(x) :], np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, low[x])
+        low = low[low]
+        if (low == label).all():
+            return [(a, b) for a, b in zip(names.tolist(), names[label].tolist()) if a != b]
+        label = low
+
+
+def _meetings(percent: int):
+    """(a, b): components joined by links between documents that meet, from rows (group, i, j, part, doc, component, rare, up, down, tokens)."""
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: table[c].to_numpy() for c in ("group", "doc", "token", "n", "component", "groups", "i", "j", "part")}
-        order = np.lexsort((col["j"], col["i"], col["group"]))
-        keys = np.stack([col[c][order] for c in ("group", "i", "j")])
+        keys = np.stack([table[c].to_numpy() for c in ("group", "i", "j")])
+        order = np.lexsort(keys[::-1])
+        keys = keys[:, order]
         cuts = np.flatnonzero((np.diff(keys, axis=1, prepend=keys[:, :1] - 1) != 0).any(0))
-        left, right, parts = [], [], []
+        found: list[tuple[int, int]] = []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            at = order[a:b]
-            docs, first, row = np.unique(col["doc"][at], return_index=True, return_inverse=True)
-            if len(docs) < 2:
-                continue
-            tokens, column = np.unique(col["token"][at], return_inverse=True)
-            n, component, groups, part = (col[c][at][first].astype(np.int64) for c in ("n", "component", "groups", "part"))
-            has = np.zeros((len(docs), len(tokens)), np.float32)
-            has[row, column] = 1
-            shared = (has @ has.T).astype(np.int64)
-            big, small, both = np.maximum.outer(n, n), np.minimum.outer(n, n), np.add.outer(n, n)
-            needed = np.maximum(1, -(-percent * both // (100 + percent)) - -(-percent * big // 100) + 1)
-            apart = np.not_equal.outer(component, component) & (100 * small >= percent * big)
-            apart &= shared * np.minimum.outer(groups, groups) >= needed
-            if col["i"][at[0]] != col["j"][at[0]]:
-                apart &= np.not_equal.outer(part, part)
-            x, y = np.nonzero(np.triu(apart, 1))
-            left.append(docs[x])
-            right.append(docs[y])
-            parts.append(shared[x, y] / needed[x, y])
-        both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64()), "part": pa.array(np.concatenate(parts) if parts else np.empty(0))})
+            if b - a > 1:
+                own = table.take(pa.array(order[a:b]))
+                part = own["part"].to_numpy()
+                if keys[1, a] == keys[2, a]:
+                    found += joined(own, None, percent)
+                else:
+                    # -1: the pieces of the commonest component, met by all other members.
+                    first = part == part.min()
+                    if not first.all():
+                        found += joined(own.filter(pa.array(first)), own.filter(pa.array(~first)), percent)
+        found = sorted(set(found))
+        return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate("ab")})
 
     return run
 
@@ -235,98 +308,73 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of `words` words, or its whole sequence as one if it has fewer. Documents link when 100 * |A & B| >= percent * |A | B|;
     component_id is the least id reachable. Null or blank texts have no shingles and link with nothing. Rows that
     repeat an id are versions of one document: a link of any of them counts, n_shingles is each row's own. Rows without an id match
-    nothing and have a null component_id (but for copies of a text that has one). Other columns don't matter.
+    nothing and have a null component_id (but for copies of a text that has one). An empty table gives none. Other columns don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    seen = cut(docs.mapInArrow(_summaries(words), "kind byte, a long, b long, c long, n long"))
-    rows = seen.where("kind = 0").select(F.col("a").alias("doc"), "b", "c", "n")
-    heavy = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY_ALL).toPandas()
-    heavy = heavy.assign(a=heavy["a"].to_numpy(np.int64).view(np.uint64)).sort_values("a")
-    sent = spark.sparkContext.broadcast((heavy["a"].to_numpy(), heavy["n"].to_numpy(np.int64)))
-
-    classes = rows.groupBy("b", "c", "n").agg(F.min("doc").alias("node"))
-    member = cut(rows.join(classes, ["b", "c", "n"]).select("doc", "n", "node"))
-    copies = cut(member.where("doc <> node").select("doc").distinct())
-    single = docs.where("doc is not null").join(hinted(copies), "doc", "left_anti").select("doc", "text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    seen = cut(docs.mapInArrow(_summaries(words), "kind byte, a long, mark long, b long, c long, n long"))
+    rows = seen.where("kind = 0").select(F.col("a").alias("doc"), "mark", "b", "c", "n")
+    heavy = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY_ALL).toArrow()
+    tokens = heavy["a"].to_numpy().view(np.uint64)
+    at = np.argsort(tokens)
+    sent = spark.sparkContext.broadcast((tokens[at], heavy["n"].to_numpy()[at]))
+
+    # Sets that several rows have are worked on once, as the least document that has them.
+    classes = cut(rows.groupBy("b", "c", "n").agg(F.min("doc").alias("node"), F.count("*").alias("many")).where("many > 1").drop("many"))
+    member = cut(rows.join(hinted(classes), ["b", "c", "n"], "left").select("doc", "mark", "n", F.coalesce("node", "doc").alias("node")))
+    copies = cut(member.where("doc <> node").select("doc", "mark").distinct())
+    single = docs.where("doc is not null").join(hinted(copies), ["doc", "mark"], "left_anti").select("doc", "text")
+    # A document with several versions is linked to the sets that stand for them.
+    several = member.where("doc is not null").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).where("a <> b")
+    versions = several.select("doc", F.explode("nodes").alias("node")).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
 
     prefixes = single.mapInArrow(_prefixes(sent, words, percent), "token long, salt int, doc long, n int")
     shared = prefixes.withColumn("many", F.count("*").over(Window.partitionBy("token", "salt"))).where("many > 1 or salt > 0")
     table = cut(shared.select("token", "doc", "n"))
 
-    # Of two sets that link, at least this many tokens are in both prefixes (one order): the overlap they need, less what the longer set's prefix leaves out.
-    needed = F.expr(f"greatest(1L, ({percent}L * (n + m) + {99 + percent}L) div {100 + percent}L - ({percent}L * greatest(n, m) + 99L) div 100L + 1L)")
+    least = F.expr(f"greatest(1L, ({percent}L * (n + m) + {99 + percent}L) div {100 + percent}L - ({percent}L * greatest(n, m) + 99L) div 100L + 1L)")
     near = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are links."""
-        wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-        sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(words), "doc long, n int, bits binary, tokens binary"))
-        # Bitmaps, a tenth of the sets' size, rule out pairs that share too little; whole sets go only to the others.
-        left, right = sets.select(F.col("doc").alias("a"), "n", F.col("bits").alias("x")), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-        possible = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(percent), "a long, b long"))
-        asked = cut(possible.select(F.col("a").alias("doc")).union(possible.select("b")).distinct())
-        whole = sets.join(hinted(asked), "doc", "left_semi")
-        left = whole.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
-        right = whole.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-        found = cut(possible.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long"))
-        discard(wanted, sets, possible, asked)
-        return found
-
-    def labelled(known: DataFrame | None) -> DataFrame:
-        if known is None:
-            return table.withColumn("component", F.col("doc"))
-        return table.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component"))
-
-    tested = links = known = None
-    for _ in range(2):
-        at = labelled(known)
-        low, high = F.min(F.struct("component", "doc", "n")), F.max(F.struct("component", "doc", "n"))
-        pivots = at.groupBy("token").agg(low.alias("low"), high.alias("high")).where("low.component <> high.component")
-        pivot = F.when(F.col("component") == F.col("low.component"), F.col("high")).otherwise(F.col("low"))
-        pairs = at.join(pivots, "token").select("doc", "n", pivot.alias("pivot")).select("doc", "n", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m"))
-        pairs = pairs.where(near).groupBy("doc", "n", "other", "m").count().where(F.col("count") >= needed)
-        pairs = pairs.groupBy("doc").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = linked(pairs)
-        tested, links = (pairs, found) if tested is None else (tested.union(pairs), links.union(found))
-        known = components(links)
-    # Every pair left of members of different components. The buckets with the same least document make a group; its commonest
-    # component is dealt out once, the members of others go to each of its pieces and, in pieces of their own, meet each other.
-    at = cut(labelled(known))
-    mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc").alias("group")).where("low <> high").select("token", "group")
-    rest = cut(at.join(mixed, "token"))
-    members = cut(rest.select("group", "doc", "component").distinct())
-    groups_of = members.groupBy("doc").agg(F.count("*").alias("groups"))
-    sizes = members.groupBy("group", "component").agg(F.count("*").alias("size"))
+    pivots = table.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.max("doc").alias("last")).where("pivot.doc <> last")
+    pivots = cut(pivots.select("token", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m")))
+    tried = table.join(hinted(pivots), "token").where("doc <> other").where(near).groupBy("doc", "n", "other", "m").count().where(F.col("count") >= least)
+    pairs = cut(tried.groupBy("doc").agg(F.max_by("other", F.struct("count", "other")).alias("b")).withColumnRenamed("doc", "a"))
+
+    # The pairs' prefixes in the other orders, then the whole sets of those that are left.
+    stored = "doc long, n int, rare binary, up binary, down binary, tokens binary"
+    wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+    sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
+    left, right = sets.select(F.col("doc").alias("a"), "n", "up", "down"), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("up").alias("up2"), F.col("down").alias("down2"))
+    agreed = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "up", "up2", "down", "down2").mapInArrow(_agree(percent), "a long, b long"))
+    left, right = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
+    links = agreed.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
+    known = components(links.union(versions))
+    discard(wanted, sets, agreed, pairs, pivots)
+
+    # Buckets with several components. Those with the same least component make a group, whose documents meet.
+    at = cut(table.join(hinted(renamed(known, node="doc", component="component")), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
+    mixed = cut(at.groupBy("token").agg(F.min("component").alias("group"), F.max("component").alias("high")).where("group <> high").select("token", "group"))
+    members = cut(at.join(hinted(mixed), "token").groupBy("group", "doc", "component").agg(F.max("n").alias("n")))
+    sizes = members.groupBy("group", "component").agg(F.sum(F.col("n") + DOC).alias("size"))
     sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")))
-    pieces = lambda c: F.ceil(F.col(c) / PIECE)
-    other, own = F.col("component") != F.col("main"), F.pmod(F.xxhash64("doc"), pieces("mains"))
-    mine = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), pieces("others")))
+    pieces = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / PIECE))
     unit = lambda i, j, part: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), part.cast("long").alias("part"))
-    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), pieces(c)) - 1)
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), pieces(c) - 1)
+    own, mine = F.pmod(F.xxhash64("doc"), pieces("mains")), F.pmod(F.xxhash64("doc"), pieces("others"))
     meets = F.concat(F.transform(upto("mains"), lambda k: unit(F.lit(-1), k, F.lit(1))), F.transform(upto("others"), lambda k: unit(F.least(mine, k), F.greatest(mine, k), mine)))
-    dealt = members.join(sizes, "group").join(groups_of, "doc").withColumn("unit", F.explode(F.when(other, meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))))
-    units = rest.select("group", "doc", "token", "n").join(dealt.select("group", "doc", "component", "groups", "unit.*"), ["group", "doc"])
-    blocks = max(1, rest.count() // 20_000)
-    sought = units.withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks))).groupBy("block").applyInArrow(_meetings(percent), "a long, b long, part double")
-    left = cut(sought.groupBy("a", "b").agg(F.max("part").alias("part")).join(tested, ["a", "b"], "left_anti"))
-    named = lambda end, name: known.select(F.col("node").alias(end), F.col("component").alias(name))
-    for last in (False, False, True):
-        # Twice the most promising pair of each document, as one link spares all other pairs of two components; then every pair still apart.
-        apart = left.join(named("a", "_x"), "a", "left").join(named("b", "_y"), "b", "left").where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b", "part")
-        if not last:
-            ends = apart.select(F.col("a").alias("doc"), F.struct("part", "a", "b").alias("pair")).union(apart.select("b", F.struct("part", "a", "b")))
-            apart = ends.groupBy("doc").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-        pairs = cut(apart.select("a", "b"))
-        links = links.union(linked(pairs))
-        known = components(links)
-        left = cut(left.join(pairs, ["a", "b"], "left_anti")) if not last else left
-    out = member.join(known, "node", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    discard(seen, copies, table, at, rest, members, sizes)
-    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    dealt = cut(members.join(hinted(sizes), "group").withColumn("units", F.when(F.col("component") != F.col("main"), meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))).select("group", "doc", "component", "n", "units"))
+    asked = cut(dealt.select("doc").distinct())
+    sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
+    blocks = max(1, (dealt.agg(F.sum(F.size("units") * (F.col("n") * 12 + 64))).first()[0] or 0) // TASK_BYTES)
+    units = dealt.select("group", "doc", "component", F.explode("units").alias("unit")).select("group", "unit.i", "unit.j", "unit.part", "doc", "component")
+    met = units.join(sets.drop("n"), "doc").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
+    again = components(met.groupBy("block").applyInArrow(_meetings(percent), "a long, b long"))
+    discard(at, mixed, members, sizes, dealt, asked, sets, table, copies, classes, seen)
+
+    first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
+    out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("_two", "_one")).otherwise(F.col("doc"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -335,10 +383,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat an id one stays (the first by text). Rows without an id, and those without words, all stay.
     """
     found = cut(ngram_components(docs, id_col, text_col, words, percent))
-    dropped = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct())
-    again = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
-    stay = docs.join(hinted(dropped), F.col(id_col).cast("long") == F.col("_drop"), "left_anti")
-    single = stay.join(hinted(again), F.col(id_col).cast("long") == F.col("_again"), "left_anti")
-    twice = stay.join(hinted(again), F.col(id_col).cast("long") == F.col("_again"), "left_semi")
-    order = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).asc_nulls_last())
-    return single.unionByName(twice.withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first"))
+    dropped = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    key, mark = unused("key", docs.columns), unused("first", docs.columns)
+    gone, twice = renamed(dropped, doc_id=key), renamed(again, doc_id=key)
+    stay = docs.withColumn(key, F.col(id_col).cast("long")).join(hinted(gone), key, "left_anti")
+    if again.isEmpty():
+        return stay.drop(key)
+    order = Window.partitionBy(key).orderBy(F.col(text_col).asc_nulls_last())
+    first = stay.join(hinted(twice), key, "left_semi").withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1).drop(mark)
+    return stay.join(hinted(twice), key, "left_anti").unionByName(first).drop(key)
