@@ -6,9 +6,10 @@ tokens are in; and not only one, but as many as the needed overlap exceeds what
 share enough tokens in all three orders go on to have their whole sets compared.
 
 Links inside a large group of near copies are many; components need only enough of them. So each document is first held against the pivot of one of its
-buckets (that with which it shares most prefix tokens), a pair a document. Buckets that hold several components after that are compared whole: their
-documents' sets are dealt out in pieces of bounded size, every two pieces meet in one task, and a task returns no pairs but only which components it joins. Members of
-the commonest component needn't meet each other. No link that would join two components is lost.
+buckets (that with which it shares most prefix tokens), a pair a document. Buckets that hold several components after that make groups, whose documents are dealt out
+in pieces of bounded size; every two pieces meet in one task, but for those of the commonest component. They meet twice: with their prefixes in the first order, which leaves the documents
+that have a candidate at all, then with whole sets, whose three prefixes are intersected before the sets are. A task returns no pairs but only which
+components it joins. No link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _prefixes(heavy, words: int, percent: int):
 
 
 def _stored(heavy, words: int, percent: int):
-    """Rows (doc, n, rare, up, down, tokens): the set as bytes in the second order, its prefix in the first, and 32 bits of each token of its prefixes in the other two."""
+    """Rows (doc, n, rare, up, down, tokens): the set as bytes in the second order, its prefix in the first, and 32 bits of each token of its prefixes in the second and third."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = RareFirst(heavy.value)
@@ -241,66 +242,107 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joined(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
-    """Components that links between the documents of left and of right (None: among those of left) join, as pairs with the least."""
-    sides = [left, left if right is None else right]
-    n, m = (np.array([len(x) // 8 for x in t["tokens"].to_pylist()], np.int64) for t in sides)
-    one, two = (t["component"].to_numpy() for t in sides)
-    ok = np.not_equal.outer(one, two) & (100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m))
-    rows, cols = np.arange(len(n)), np.arange(len(m))
-    for name, kind in (("rare", np.uint64), ("up", np.uint32), ("down", np.uint32), ("tokens", np.uint64)):
+def possible(left: dict[str, np.ndarray], right: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Which documents of left and right, by their components and sizes, could be linked and aren't joined yet."""
+    n, m = left["n"], right["n"]
+    return np.not_equal.outer(left["component"], right["component"]) & (100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m))
+
+
+def hopeful(left: dict, right: dict, percent: int) -> np.ndarray:
+    """The documents that share enough prefix tokens of the first order in this group for a link with one they meet.
+
+    A pair's shared tokens lie in as many groups as the one of its documents in fewer groups at most, so one group holds at least that share of them.
+    """
+    shared = overlaps(left["own"], right["own"]) * np.minimum.outer(left["groups"], right["groups"])
+    ok = possible(left, right, percent) & (shared >= needed(left["n"][:, None], right["n"][None], percent))
+    return np.union1d(left["doc"][ok.any(1)], right["doc"][ok.any(0)])
+
+
+def joined(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components that links between documents of left and right join, each with the least of those it is joined to."""
+    sides, ok = (left, right), possible(left, right, percent)
+    at = [np.arange(len(x["doc"])) for x in sides]
+    cuts = [lambda x, k: x["rare"][k], lambda x, k: x["tokens"][k][: prefix_length(len(x["tokens"][k]), percent)], lambda x, k: x["tokens"][k][-prefix_length(len(x["tokens"][k]), percent) :], lambda x, k: x["tokens"][k]]
+    for step, prefix in enumerate(cuts):
         # Documents without a candidate left go out before the next order is looked at.
         stay, keep = ok.any(1), ok.any(0)
-        rows, cols, ok = rows[stay], cols[keep], ok[np.ix_(stay, keep)]
-        if not len(rows):
-            return []
-        # Tokens with the same 32 bits are several of one kind here and there: their product is no less than what is shared.
-        shared = overlaps(*([np.frombuffer(x, kind) for x in t[name].take(pa.array(at)).to_pylist()] for t, at in zip(sides, (rows, cols))))
-        if name == "tokens":
-            ok &= 100 * shared >= percent * (np.add.outer(n[rows], m[cols]) - shared)
-        else:
-            ok &= shared >= needed(n[rows][:, None], m[cols][None], percent)
+        at, ok = [at[0][stay], at[1][keep]], ok[np.ix_(stay, keep)]
+        if not ok.size:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        shared = overlaps(*([prefix(x, k) for k in own] for x, own in zip(sides, at)))
+        n, m = left["n"][at[0]][:, None], right["n"][at[1]][None]
+        ok &= shared >= needed(n, m, percent) if step < 3 else 100 * shared >= percent * (n + m - shared)
     x, y = np.nonzero(ok)
-    if not len(x):
-        return []
-    names, at = np.unique(np.concatenate([one[rows[x]], two[cols[y]]]), return_inverse=True)
-    x, y, label = at[: len(x)], at[len(x) :], np.arange(len(names))
+    names, both = np.unique(np.concatenate([left["component"][at[0][x]], right["component"][at[1][y]]]), return_inverse=True)
+    x, y, label = both[: len(x)], both[len(x) :], np.arange(len(names))
     while True:
         low = label.copy()
         np.minimum.at(low, x, label[y])
         np.minimum.at(low, y, low[x])
         low = low[low]
         if (low == label).all():
-            return [(a, b) for a, b in zip(names.tolist(), names[label].tolist()) if a != b]
+            return names[label != np.arange(len(names))], names[label[label != np.arange(len(names))]]
         label = low
 
 
-def _meetings(percent: int):
-    """(a, b): components joined by links between documents that meet, from rows (group, i, j, part, doc, component, rare, up, down, tokens)."""
+def _meetings(meet, columns: list[str]):
+    """What meet(left, right) returns for each two pieces of a group, or a piece and itself, from rows (group, i, j, part, ...), with the group first; as a table of distinct rows."""
+
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        column = column.combine_chunks()
+        if pa.types.is_binary(column.type):
+            return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        stops, values = column.offsets.to_numpy().tolist(), column.values.to_numpy()
+        return [values[a:b] for a, b in zip(stops, stops[1:])]
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.stack([table[c].to_numpy() for c in ("group", "i", "j")])
         order = np.lexsort(keys[::-1])
         keys = keys[:, order]
         cuts = np.flatnonzero((np.diff(keys, axis=1, prepend=keys[:, :1] - 1) != 0).any(0))
-        found: list[tuple[int, int]] = []
+        plain = {c: table[c].to_numpy().astype(np.int64) for c in table.column_names if pa.types.is_integer(table[c].type)}
+        listed = {c: lists(table[c]) for c in table.column_names if c not in plain}
+        side = lambda at: {c: x[at] for c, x in plain.items()} | {c: [x[k] for k in at] for c, x in listed.items()}
+        found = [np.empty((0, len(columns)), np.int64)]
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            if b - a > 1:
-                own = table.take(pa.array(order[a:b]))
-                part = own["part"].to_numpy()
-                if keys[1, a] == keys[2, a]:
-                    found += joined(own, None, percent)
-                else:
-                    # -1: the pieces of the commonest component, met by all other members.
-                    first = part == part.min()
-                    if not first.all():
-                        found += joined(own.filter(pa.array(first)), own.filter(pa.array(~first)), percent)
-        found = sorted(set(found))
-        return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate("ab")})
+            at = order[a:b]
+            component, part = plain["component"][at], plain["part"][at]
+            if b - a < 2 or (component == component[0]).all():
+                continue
+            if keys[1, a] == keys[2, a]:
+                left = right = side(at)
+            else:
+                left, right = side(at[part == part.min()]), side(at[part != part.min()])
+            if len(right["doc"]):
+                out = meet(left, right)
+                found.append(np.stack(out if isinstance(out, tuple) else (np.full(len(out), keys[0, a]), out), 1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(columns)})
 
     return run
 
 
+def dealt(members: DataFrame, weight, each: int) -> tuple[DataFrame, list[DataFrame]]:
+    """members (group, doc, component, ...) in pieces that meet: a row (i, j, part) for each meeting of a document, dealt to blocks of about TASK_BYTES; and the tables it reads.
+
+    weight: a column, what a document takes of its piece beside DOC; each: bytes for a unit of it (a document has 1024 more). The commonest component's pieces are met by all other members and
+    not by each other; the others' pieces meet each other and themselves.
+    """
+    sizes = members.groupBy("group", "component").agg(F.sum(weight + DOC).alias("size"))
+    sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")))
+    pieces = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / PIECE))
+    unit = lambda i, j, part: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), part.cast("long").alias("part"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), pieces(c) - 1)
+    own, mine = F.pmod(F.xxhash64("doc"), pieces("mains")), F.pmod(F.xxhash64("doc"), pieces("others"))
+    meets = F.concat(F.transform(upto("mains"), lambda k: unit(F.lit(-1), k, F.lit(1))), F.transform(upto("others"), lambda k: unit(F.least(mine, k), F.greatest(mine, k), mine)))
+    units = F.when(F.col("component") != F.col("main"), meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))
+    met = cut(members.join(hinted(sizes), "group").withColumn("units", units).drop("main", "mains", "others"))
+    blocks = max(1, (met.agg(F.sum(F.size("units") * (weight * each + 1024))).first()[0] or 0) // TASK_BYTES)
+    names = [c for c in members.columns if c != "units"]
+    out = met.select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
+    return out, [sizes, met]
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -354,22 +396,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Buckets with several components. Those with the same least component make a group, whose documents meet.
     at = cut(table.join(hinted(renamed(known, node="doc", component="component")), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
     mixed = cut(at.groupBy("token").agg(F.min("component").alias("group"), F.max("component").alias("high")).where("group <> high").select("token", "group"))
-    members = cut(at.join(hinted(mixed), "token").groupBy("group", "doc", "component").agg(F.max("n").alias("n")))
-    sizes = members.groupBy("group", "component").agg(F.sum(F.col("n") + DOC).alias("size"))
-    sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")))
-    pieces = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / PIECE))
-    unit = lambda i, j, part: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), part.cast("long").alias("part"))
-    upto = lambda c: F.sequence(F.lit(0).cast("long"), pieces(c) - 1)
-    own, mine = F.pmod(F.xxhash64("doc"), pieces("mains")), F.pmod(F.xxhash64("doc"), pieces("others"))
-    meets = F.concat(F.transform(upto("mains"), lambda k: unit(F.lit(-1), k, F.lit(1))), F.transform(upto("others"), lambda k: unit(F.least(mine, k), F.greatest(mine, k), mine)))
-    dealt = cut(members.join(hinted(sizes), "group").withColumn("units", F.when(F.col("component") != F.col("main"), meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))).select("group", "doc", "component", "n", "units"))
-    asked = cut(dealt.select("doc").distinct())
+    members = cut(at.join(hinted(mixed), "token").groupBy("group", "doc", "component", "n").agg(F.collect_list("token").alias("own")))
+    groups = cut(members.groupBy("doc").agg(F.countDistinct("group").alias("groups")))
+    units, used = dealt(members.join(hinted(groups), "doc"), F.size("own"), 8)
+    alive = cut(units.groupBy("block").applyInArrow(_meetings(lambda x, y: hopeful(x, y, percent), ["group", "doc"]), "group long, doc long").distinct())
+    asked = cut(alive.select("doc").distinct())
     sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
-    blocks = max(1, (dealt.agg(F.sum(F.size("units") * (F.col("n") * 12 + 64))).first()[0] or 0) // TASK_BYTES)
-    units = dealt.select("group", "doc", "component", F.explode("units").alias("unit")).select("group", "unit.i", "unit.j", "unit.part", "doc", "component")
-    met = units.join(sets.drop("n"), "doc").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
-    again = components(met.groupBy("block").applyInArrow(_meetings(percent), "a long, b long"))
-    discard(at, mixed, members, sizes, dealt, asked, sets, table, copies, classes, seen)
+    left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
+    units, more = dealt(left, F.col("n"), 10)
+    met = units.drop("n").join(sets.select("doc", "n", "rare", "tokens"), "doc")
+    again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
+    discard(at, mixed, members, groups, alive, asked, sets, left, table, copies, classes, seen, *used, *more)
 
     first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
     out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
