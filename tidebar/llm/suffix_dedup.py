@@ -5,13 +5,15 @@ All suffixes of a corpus are too many to ship, so what can't repeat is left out
 once end there. The surroundings of the others (all windows that pick the anchor) are cut out; equal
 surroundings are repeats as a whole and go on as one. What is left is sorted in blocks by two-stage suffix sorting: suffixes smaller than
 their successors directly, the others induced from them by bucket scans; neighbours with `length` bytes in common are repeats.
-An anchor with very many different surroundings, which no single task should hold, is settled by counting window hashes instead.
+An anchor with more different surroundings than a task should hold is split instead: they meet by digests of every STEP-th window and of what all windows between two of
+these have in common. As every window holds the anchor, the first and the last repeated one say what is covered, so single windows are looked
+at only where the common part is repeated and some surroundings have no repeated window known on both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .common import CHUNK_BYTES, chunks, cut, discard, hinted, mix64, powers, sm
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a sorted block, about; different surroundings of an anchor that one block takes.
 BLOCK_BYTES, CROWD = 150_000, 1000
+#: Of the surroundings of such an anchor, every STEP-th window is looked at first.
+STEP = 21
 PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -187,6 +191,29 @@ def repeats_in(surroundings: list[bytes], lefts: np.ndarray, grams: np.ndarray,
     return [starts[stops[i] : stops[i + 1]] for i in range(len(sizes))]
 
 
+def _digest(piece: bytes) -> bytes:
+    return blake2b(piece, digest_size=16).digest()
+
+
+def coarse(piece: bytes, left: int, length: int) -> list[tuple[int, bytes]]:
+    """Of one of the surroundings (its anchor `left` bytes in): each STEP-th window by its start (0 or less, from the anchor), and by k = 1, 2, ... what
+    the windows that start between -k * STEP and -(k - 1) * STEP have in common."""
+    last, out = len(piece) - length - left, []
+    for k in range(left // STEP + 1):
+        start = -k * STEP
+        if start <= last:
+            out.append((start, _digest(piece[left + start : left + start + length])))
+        if max(start - STEP + 1, -left) <= min(start - 1, last):
+            out.append((k + 1, _digest(piece[left + start - 1 : left + start - STEP + 1 + length])))
+    return out
+
+
+def fine(piece: bytes, left: int, length: int, classes: list[int]) -> list[tuple[int, bytes]]:
+    """The windows of these of the classes k of coarse()."""
+    last = len(piece) - length - left
+    return [(s, _digest(piece[left + s : left + s + length])) for k in classes for s in range(max(-k * STEP + 1, -left), min(-(k - 1) * STEP - 1, last) + 1)]
+
+
 def _runs(starts: np.ndarray, left: int, length: int) -> list[int]:
     """Starts of windows, ascending, as pairs (from, to) of covered bytes, relative to the anchor."""
     if not len(starts):
@@ -235,28 +262,44 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     blocks = max(1, int(kinds.where("mixed").count() * (length + span / 2) / BLOCK_BYTES))
     covers = pieces.where("not crowd").withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks))).groupBy("block").applyInArrow(block, "gram long, around long, cover array<int>")
+    parts = []
     if not crowds.isEmpty():
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for gram, around, left, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    data = np.frombuffer(piece, np.uint8)
-                    sums, down = _hashes(data)
-                    many = len(data) - length + 1
-                    hashes = mix64((sums[length:] - sums[:many]) * down[:many]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(many, gram)), pa.array(np.full(many, around)), pa.array(np.arange(many, dtype=np.int32) - np.int32(left)), pa.array(hashes)], names=["gram", "around", "start", "window"])
-
-        each = cut(pieces.where("crowd").dropDuplicates(["gram", "around"]).select("gram", "around", "left", "piece").mapInArrow(windows, "gram long, around long, start int, window long"))
-        again = each.groupBy("gram", "start", "window").count().where("count > 1").select("gram", "start", "window")
-        merged = F.flatten(F.transform(F.sort_array(F.collect_list("start")), lambda s: F.array(s, s + length)))
-        covers = covers.unionByName(each.join(again, ["gram", "start", "window"]).groupBy("gram", "around").agg(merged.alias("cover")))
+        def digests(use):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    rows = [(gram, around, *x) for gram, around, *args in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in use(*args)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gram", "around", "at", "code"])
+
+            return run
+
+        def repeated(rows: DataFrame) -> DataFrame:
+            """The rows whose code another one has at the same place."""
+            rows = cut(rows)
+            twice = cut(rows.groupBy("gram", "at", "code").count().where("count > 1").drop("count"))
+            out = cut(rows.join(hinted(twice), ["gram", "at", "code"]))
+            discard(rows, twice)
+            return out
+
+        kind = "gram long, around long, at int, code binary"
+        crowd = cut(pieces.where("crowd").dropDuplicates(["gram", "around"]).select("gram", "around", "left", "piece"))
+        first = repeated(crowd.mapInArrow(digests(lambda left, piece: coarse(piece, left, length)), kind))
+        known = first.where("at <= 0").groupBy("gram", "around").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+        classes = first.where("at > 0")
+        open_ones = classes.join(known, ["gram", "around"], "left").where(f"a is null or -(at - 1) * {STEP} - 1 < a or 1 - at * {STEP} > b")
+        wanted_ones = cut(open_ones.select("gram", "at", "code").distinct())
+        ask = classes.join(hinted(wanted_ones), ["gram", "at", "code"]).groupBy("gram", "around").agg(F.collect_list("at").alias("classes"))
+        second = repeated(crowd.join(ask, ["gram", "around"]).mapInArrow(digests(lambda left, piece, which: fine(piece, left, length, which)), kind))
+        parts = [crowd, first, wanted_ones, second]
+        starts = first.where("at <= 0").unionByName(second).groupBy("gram", "around").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+        covers = covers.unionByName(starts.select("gram", "around", F.array("a", F.col("b") + length).alias("cover")))
     covers = cut(covers.where("size(cover) > 0"))
     # What a place in a document is covered by: its whole surroundings, or what the sorted block found.
     known = cut(kinds.select("gram", "around", (F.col("many") > 1).alias("whole")).join(covers, ["gram", "around"], "left").where("whole or cover is not null"))
     first = F.col("place") - F.col("before").cast("int")
     cover = F.when(F.col("whole"), F.array(first, F.col("place") + F.col("beyond").cast("int"))).otherwise(F.transform("cover", lambda x: x + F.col("place")))
     spans = cut(found.select("doc", "mark", "place", "before", "beyond", "gram", "around").join(hinted(known), ["gram", "around"]).select("doc", "mark", cover.alias("cover")).groupBy("doc", "mark").agg(F.flatten(F.collect_list("cover")).alias("cover")))
-    discard(anchors, often, found, kinds, wanted, covers, known)
+    discard(anchors, often, found, kinds, wanted, crowds, covers, known, *parts)
     return texts, spans
 
 
