@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hinted
+from .common import cut, hinted, unused
 
 #: A Poisson variable of a larger mean is the sum of several of at most this mean, each with its own hash.
 PART = 500.0
@@ -39,20 +39,22 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     count as one source of their own, null ids hash as the empty string. Extra columns of these two names are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
-    sizes = cut(docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("_source")).agg(F.count("*").alias("_n")))
+    names = docs.columns
+    own, size, many, parts, sums = (unused(x, names) for x in ("own", "size", "many", "parts", "sums"))
+    named = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
+    sizes = cut(docs.groupBy(named.alias(own)).agg(F.count("*").alias(size)))
     if weights is None:
-        weight = F.pow(F.col("_n").cast("double"), F.lit(temperature))
+        weight = F.pow(F.col(size).cast("double"), F.lit(temperature))
     else:
-        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("_source")), F.lit(0.0)) if weights else F.lit(0.0)
-    sums = sizes.withColumn("_w", weight.cast("double")).agg(F.sum("_w"), F.sum("_n")).first()
-    share, rows = sums[0] or 1.0, total if total is not None else sums[1] or 0
-    rates = sizes.withColumn("_rate", weight * F.lit(float(rows)) / F.lit(float(share)) / F.col("_n"))
-    rates = rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int")).withColumn("_table", poisson_table(F.col("_rate") / F.col("_parts")))
-    rates = cut(rates.select("_source", "_parts", "_table"))
-    joined = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))).join(hinted(rates), "_source")
-    draw = lambda k: F.size(F.filter("_table", lambda c: c < uniform(F.lit(seed), F.col(id_col), k)))
-    many = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda total, k: total + draw(k))
-    names = docs.columns
-    out = joined.withColumn("_many", many).where("_many > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("copy"))
+        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col(own)), F.lit(0.0)) if weights else F.lit(0.0)
+    whole = sizes.agg(F.sum(weight.cast("double")), F.sum(size)).first()
+    share, rows = whole[0] or 1.0, total if total is not None else whole[1] or 0
+    rate = weight * F.lit(float(rows)) / F.lit(float(share)) / F.col(size)
+    count = F.greatest(F.lit(1), F.ceil(rate / PART)).cast("int")
+    rates = cut(sizes.select(own, count.alias(parts), poisson_table(rate / count).alias(sums)))
+    joined = docs.withColumn(own, named).join(hinted(rates), own)
+    draw = lambda k: F.size(F.filter(sums, lambda c: c < uniform(F.lit(seed), F.col(id_col), k)))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda at, k: at + draw(k))
+    out = joined.withColumn(many, drawn).where(F.col(many) > 0).select(*names, F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias("copy"))
     out = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
     return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

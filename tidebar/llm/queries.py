@@ -31,7 +31,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_chars")
+    return replicate(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +133,9 @@ ORACLES = {
         WITH s AS (SELECT coalesce(source, chr(0)) AS s, count(*) AS n FROM documents GROUP BY 1),
         r AS (SELECT s, (pow(CAST(n AS DOUBLE), 0.5) * (SELECT sum(n) FROM s) / (SELECT sum(pow(CAST(n AS DOUBLE), 0.5)) FROM s)) / n AS rate FROM s),
         p AS (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS below FROM r, range(0, 200) g(k)),
-        u AS (SELECT doc_id, source, n_chars, (CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u FROM documents),
-        c AS (SELECT doc_id, source, n_chars, (SELECT count(*) FROM p WHERE p.s = coalesce(u.source, chr(0)) AND p.below < u.u AND p.k < 60) AS many FROM u)
-        SELECT doc_id, source, CAST(g.copy AS INTEGER) AS copy, n_chars FROM c, range(0, 60) g(copy) WHERE g.copy < many
+        u AS (SELECT doc_id, source, n_chars, sha256(text) AS text_sha256, (CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u FROM documents),
+        c AS (SELECT doc_id, source, n_chars, text_sha256, (SELECT count(*) FROM p WHERE p.s = coalesce(u.source, chr(0)) AND p.below < u.u AND p.k < 60) AS many FROM u)
+        SELECT doc_id, source, CAST(g.copy AS INTEGER) AS copy, n_chars, text_sha256 FROM c, range(0, 60) g(copy) WHERE g.copy < many
     """,
     "op10_cap_filters": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
