@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and credential-context values that are costly to guess.
 
 The guess cost of a value is the least over its segmentations into words, dates, repeats, keyboard walks and brute-force spans of
-the product of the parts' guesses, found by dynamic programming over its characters (in log10).
+the product of the parts' guesses, found by dynamic programming over its characters (in log10). Words are ranked: those that guessers
+try early, then the DICTIONARY commonest of the documents themselves.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 from math import log10
 
 import pyarrow as pa
@@ -43,7 +45,8 @@ COMMON = (
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: Words of the documents that are ranked, and the lengths that words have.
+DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 16
 LEET = str.maketrans("@4310$57!", "aaeiossti")
 #: The direction of a step from one key to a neighbouring one.
 STEP = {(a, b): "right" for row in ROWS for a, b in zip(row, row[1:])} | {(b, a): "left" for row in ROWS for a, b in zip(row, row[1:])}
@@ -58,16 +61,23 @@ def _classes(text: str) -> int:
     return 26 * any(c.islower() for c in text) + 26 * any(c.isupper() for c in text) + 10 * any(c.isdigit() for c in text) + 33 * any(not c.isalnum() for c in text)
 
 
-def parts(value: str) -> Iterator[tuple[int, int, str, float]]:
+def ranked_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of words: COMMON's, then those of the `most` commonest words (of a-z, A-Z lower-cased) of all texts, ties in order of the words."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "[^a-z]+")).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *(r["word"] for r in top)]))}
+
+
+def parts(value: str, rank: dict[str, int] = RANK) -> Iterator[tuple[int, int, str, float]]:
     """Spans (start, end, kind, log10 guesses) of the cheaper ways to make a piece of value."""
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            if rank := RANK.get(low[i:j]) or RANK.get(plain[i:j]):
+        for j in range(i + SHORTEST, min(n, i + LONGEST) + 1):
+            if place := rank.get(low[i:j]) or rank.get(plain[i:j]):
                 own = value[i:j]
-                yield i, j, "word", log10(rank) + (0 if own.islower() else 0.4 if own.istitle() else 1) + (0 if low[i:j] in RANK else 0.6)
+                yield i, j, "word", log10(place) + (0 if own.islower() else 0.4 if own.istitle() else 1) + (0 if low[i:j] in rank else 0.6)
         if found := DATES.match(low, i):
             yield i, found.end(), "date", log10(365 * 60) if found.end() - i > 4 else log10(120)
     for i in range(n - 2):
@@ -101,10 +111,10 @@ def parts(value: str) -> Iterator[tuple[int, int, str, float]]:
         i = max(j, i + 1)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses that the cheapest segmentation of value takes, and that segmentation. Empty: 0."""
     by_end: dict[int, list[tuple[int, str, float]]] = {}
-    for i, j, kind, cost in parts(value):
+    for i, j, kind, cost in parts(value, rank):
         by_end.setdefault(j, []).append((i, kind, cost))
     single = log10(max(10, _classes(value)))
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
@@ -124,7 +134,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[-1][0], found[::-1]
 
 
-def find_secrets(text: str, costly: float = COSTLY) -> list[tuple[int, int, str]]:
+def find_secrets(text: str, costly: float = COSTLY, rank: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then kind as in KINDS. guess spans are those that no base span covers."""
     out = []
     low = text.lower()
@@ -135,14 +145,16 @@ def find_secrets(text: str, costly: float = COSTLY) -> list[tuple[int, int, str]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(x in low for x in HINTS):
         base = sorted(out)
+        ends = list(accumulate((e for _, e, _ in base), max))
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip("\"'`,;.)]}>")
             start = m.start(1)
             end = start + len(value)
+            # The furthest end of the base spans that start no later: what reaches beyond the value covers it.
             at = bisect_left(base, (start + 1,))
-            if any(s <= start and e >= end for s, e, _ in base[max(0, at - 3) : at]):
+            if at and ends[at - 1] >= end:
                 continue
-            if len(value) >= 8 and guess_cost(value)[0] >= costly:
+            if len(value) >= 8 and guess_cost(value, rank)[0] >= costly:
                 out.append((start, end, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
@@ -155,14 +167,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_assign, n_access, n_hex, base_sha256, n_guess, spans), a row for each row of docs.
 
     Whole texts are searched; null and empty ones hold nothing (the digest is that of the empty string). Positions count code points, the
-    end is exclusive. Texts of any length take one pass; repeated rows give repeated results.
+    end is exclusive. Texts of any length take one pass, after one over all texts that ranks their words; repeated rows give repeated results.
     """
     small_batches(docs.sparkSession)
+    rank = docs.sparkSession.sparkContext.broadcast(ranked_words(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            found = [find_secrets(x.decode(), costly) for x in texts]
+            found = [find_secrets(x.decode(), costly, rank.value) for x in texts]
             many = [pa.array([sum(y[2] == k for y in x) for x in found], pa.int64()) for k in KINDS]
             base = [sha256(_digest([y for y in x if y[2] != "guess"]).encode()).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *many[:3], pa.array(base, pa.string()), many[3], pa.array([_digest(x) for x in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "n_guess", "spans"])
@@ -170,9 +183,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, n_guess long, spans string")
 
 
-def redact(text: str, costly: float = COSTLY, mark: str = "[SECRET]") -> str:
+def redact(text: str, costly: float = COSTLY, rank: dict[str, int] = RANK, mark: str = "[SECRET]") -> str:
     out, at = [], 0
-    for start, end, _ in find_secrets(text, costly):
+    for start, end, _ in find_secrets(text, costly, rank):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
@@ -182,11 +195,12 @@ def redact(text: str, costly: float = COSTLY, mark: str = "[SECRET]") -> str:
 def without_secrets(docs: DataFrame, text_col: str = "text", costly: float = COSTLY) -> DataFrame:
     """docs with each run of overlapping secrets replaced by [SECRET]; every row and column stays, null texts too."""
     small_batches(docs.sparkSession)
+    rank = docs.sparkSession.sparkContext.broadcast(ranked_words(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = pa.array([None if x is None else redact(x, costly) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            texts = pa.array([None if x is None else redact(x, costly, rank.value) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
     return docs.mapInArrow(run, docs.schema)
