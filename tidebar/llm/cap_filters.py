@@ -56,15 +56,25 @@ def code_books(size: int, words: int, seed: int) -> tuple[np.ndarray, list[np.nd
 
 
 def list_decode(scores: list[np.ndarray], least: float) -> np.ndarray:
-    """The combinations of one entry of each list (as numbers in mixed radix) that sum to `least` or more, at any rate the LEAST best."""
+    """The combinations of one entry of each list (as numbers in mixed radix) that sum to `least` or more, at any rate the LEAST best.
+
+    Entries go first that can't reach it even with the best of the other lists, so the cost is that of the lists and of what is found.
+    """
     words = len(scores[0])
-    left, right = (scores[0][:, None] + scores[1]).ravel(), (scores[2][:, None] + scores[3]).ravel()
-    top = LEAST
-    best_left, best_right = np.sort(left)[-top:], np.sort(right)[-top:]
-    least = min(least, np.sort((best_left[:, None] + best_right).ravel())[-min(top, best_left.size * best_right.size)])
-    a, b = np.flatnonzero(left >= least - best_right[-1]), np.flatnonzero(right >= least - best_left[-1])
-    i, j = np.nonzero(left[a][:, None] + right[b] >= least)
-    return a[i] * words * words + b[j]
+    sums = np.zeros(1)
+    for s in scores:
+        sums = np.add.outer(sums, np.sort(s)[-LEAST:]).ravel()
+    least = min(least, np.sort(sums)[-min(LEAST, len(sums))])
+    tops = [s.max() for s in scores]
+    slack = least - sum(tops) - 1e-9
+    kept = [np.flatnonzero(s >= slack + top) for s, top in zip(scores, tops)]
+    left = np.add.outer(scores[0][kept[0]], scores[1][kept[1]])
+    right = np.add.outer(scores[2][kept[2]], scores[3][kept[3]])
+    a, b = (np.flatnonzero(x.ravel() >= least - y.max() - 1e-9) for x, y in ((left, right), (right, left)))
+    i, j = np.nonzero(np.add.outer(left.ravel()[a], right.ravel()[b]) >= least - 1e-12)
+    one = (kept[0][:, None] * words + kept[1]).ravel()[a]
+    two = (kept[2][:, None] * words + kept[3]).ravel()[b]
+    return one[i] * words * words + two[j]
 
 
 def unit(rows: list, kind=np.float64) -> np.ndarray:
@@ -104,7 +114,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reachable, kept marks the row that has it. A vector that is null, empty, zero, or holds null or non-finite components links with
     nothing; nor do vectors of different lengths. Equal vectors are worked on once, with their number. Rows
     that repeat an id are copies if their vectors are equal, else versions of one vector: links of any count. Vectors of rows without an id
-    take part only as copies of one with an id; their component is null otherwise. Other columns don't matter.
+    take part only as copies of one with an id; their component is null otherwise. A cosine of just `cosine` links; an empty table gives none. Other columns don't matter.
     """
     spark = vectors.sparkSession
     wide = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -134,8 +144,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     y = x @ turn
                     scores = [book @ y[a:b] for book, a, b in zip(books, starts, starts[1:])]
                     found.append(list_decode(scores, least / sqrt(len(x))) * CODES + c)
-                # Vectors of different lengths never meet.
-                out.append(np.sort(np.concatenate(found)) * 8192 + len(x) % 8192)
+                # Vectors of different lengths don't meet (those whose lengths differ by 2^20 are told apart later).
+                out.append((np.sort(np.concatenate(found)) << 20) + len(x) % (1 << 20))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "copies", "v", "filters"])
 
     listed = cut(classes.where("node is not null").select("v", "node", "copies").mapInArrow(passed, "node long, copies long, v binary, filters array<long>"))
@@ -148,11 +158,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks = max(1, int((sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / PIECE))).first()[0] or 0) / TASK_ROWS))
 
     def meeting(table: pa.Table) -> pa.Table:
-        keys = np.stack([table[k].to_numpy() for k in ("filter", "i", "j")], 1)
+        raw = table["v"].to_pylist()
+        keys = np.stack([*(table[k].to_numpy() for k in ("filter", "i", "j")), np.array([len(x) for x in raw], np.int64)], 1)
         order = np.lexsort(keys.T[::-1])
         cuts = np.flatnonzero((np.diff(keys[order], axis=0, prepend=keys[order][:1] - 1) != 0).any(1))
         ids, copies, parts = (table[k].to_numpy() for k in ("node", "copies", "part"))
-        raw, lists = table["v"].to_pylist(), table["filters"].combine_chunks()
+        lists = table["filters"].combine_chunks()
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         found = []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
