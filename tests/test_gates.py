@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_market import candles
+from tests.test_market import candles, newest
 from tidebar.functions import indicators as ind
 from tidebar.operators import gates, orders
 from tidebar.sources import klines
@@ -20,13 +20,15 @@ def test_liquidity_fails_closed(spark):
 
 
 def test_gates(spark):
-    df = spark.createDataFrame([(True, True, None), (False, None, None)], "a boolean, b boolean, c boolean")
-    assert [x[0] for x in df.select(gates.mtf_gate(["a", "b", "c"], "aligned_2")).collect()] == [True, False]
+    one = "struct<alignment:string,radar_bullish:boolean,volume_ratio_20:double,orderflow_proxy_20:double,rsi_14:double,atr_pct:double,bb_width_pct:double,bb_position:double>"
+    good, poor = ("bullish", True, 1.5, 0.1, 38.0, 0.01, 0.05, 0.1), ("mixed", False, 0.5, -0.1, 60.0, 0.0001, 0.001, 0.9)
+    df = spark.createDataFrame([(dict.fromkeys(gates.FRAMES, good),), (dict.fromkeys(gates.FRAMES, poor),), ({"1h": good},), ({"1h": good, "15m": good},)], f"tf map<string,{one}>")
+    want = {"bullish-count": [1, 0, 0, 0], "all-5": [1, 0, 0, 0], "all-5-volume-flow": [1, 0, 0, 0], "acetry-rule": [1, 0, 0, 0], "acetry-rule-relaxed": [1, 0, 0, 0], "high-tf": [1, 0, 1, 1], "score": [1, 0, 1, 1]}
     for mode in gates.MODES:
-        assert df.select(gates.mtf_gate(["a", "b", "c"], mode).alias("x")).where("x is null").count() == 0
+        assert [int(x[0]) for x in df.select(gates.mtf_gate(mode)).collect()] == want[mode]
     plan = spark.createDataFrame([(100.0, 98.0, 105.0, 1.0, 500.0), (100.0, 101.0, 99.0, 0.0, 50.0)], "entry double, stop double, target double, quantity double, cash double")
     assert [x[0] for x in plan.select(F.size(gates.plan_problems())).collect()] == [0, 3]
-    assert [x[0] for x in plan.select(gates.order_value(F.col("cash"))).collect()] == [125.0, 0.0]
+    assert [x[0] for x in plan.select(F.round(gates.order_value(F.col("cash") * 1.0015), 6)).collect()] == [250.0, 5.0]
 
 
 def test_activity(spark):
@@ -35,8 +37,12 @@ def test_activity(spark):
     assert got[5] == "WARMING" and got[40] == "PASSIVE"
     move = candles(spark, [100] * 40, [103] * 40, [99] * 40, [101] * 40)
     df = gates.activity(ind.prepare(move)).withColumns({"volume_ratio": ind.volume_ratio(20), "atr_pct": ind.atr(14) / F.col("close"), "spread_pct": F.lit(0.0)})
-    last = df.select("activity", gates.quality_score().alias("q"), gates.quiet_score().alias("z"), gates.compressed().alias("c"), gates.adr_used().alias("u")).where("activity = 'ACTIVE'").collect()[-1]
-    assert last["q"] > 0 and last["z"] < 0.5 and last["c"] is False and last["u"] == 1.0
+    last = df.select("activity", gates.quality_score().alias("q"), gates.quiet_score().alias("z"), gates.compressed().alias("c")).where("activity = 'ACTIVE'").collect()[-1]
+    assert last["q"] > 0 and last["z"] < 0.5 and last["c"] is False
+    days = gates.adr_capacity()
+    got = newest(ind.prepare(move).withColumns(days), "adr_pct", "range_pct", "utilization", "adr_ok")
+    assert got[0] == pytest.approx(4 / 101) and got[1] == pytest.approx(0.01) and got[3] is True
+    assert newest(ind.prepare(candles(spark, [100] * 5, [103] * 5, [99] * 5, [101] * 5)).withColumns(days), "adr_pct", "adr_ok") == (None, True)
 
 
 def test_orders(spark):

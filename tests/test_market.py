@@ -196,9 +196,11 @@ def test_asof_keeps_every_left_row(spark):
 
 def test_cascade_batch_and_stream_agree(spark, tmp_path):
     closes = [108] * 75 + [105] * 19 + [100] * 6 + [138, 140, 140, 145] + [146] * 30
-    df = candles(spark, closes, [c + 1 for c in closes], [c - 1 for c in closes], closes).select("symbol", "open_time", "close")
+    df = candles(spark, closes, [c + 1 for c in closes], [c - 1 for c in closes], closes).select("symbol", "open_time", "close", "high", "low")
     batch = sorted(map(tuple, streams.cascade_batch(df).collect()))
-    assert [x[1] for x in sorted(batch, key=lambda x: x[2])] == ["cascade", "breakout", "outcome"]
+    assert [x[1] for x in sorted(batch, key=lambda x: x[4])] == ["cascade", "breakout", "outcome"]
+    outcome = next(x for x in batch if x[1] == "outcome")
+    assert outcome[8] > 0 and outcome[9] >= outcome[8] and outcome[2] == "X-" + str(outcome[3])
     src = str(tmp_path / "c")
     for part in range(3):
         df.where(F.floor(F.col("open_time") / 60_000 / 50) == part).coalesce(1).write.mode("append").parquet(src)
@@ -229,5 +231,5 @@ def test_candle_stream_equals_batch(spark, tmp_path):
 
 def test_alerts_rearm():
     a = streams.Alert()
-    got = [a.step(t, v, "above", 10, 1, 0) for t, v in enumerate([9, 11, 12, 9.5, 11, 8.9, 11])]
+    got = [a.step(t, v, "gt", 10, 9, 0) for t, v in enumerate([9, 11, 12, 9.5, 11, 8.9, 11])]
     assert got == [False, True, False, False, False, False, True]

@@ -54,6 +54,28 @@ def sma(c: str, n: int) -> Column:
     return ready(n, F.avg(c).over(last(n)))
 
 
+def macd_finite(line: str = "macd_f_line", signal: int = 9, need: int = 35) -> dict[str, Column]:
+    """Signal and histogram of a line of finite averages (12 less 26) in a column."""
+    s = ema_finite(line, signal)
+    return {"macd_f_signal": ready(need, s), "macd_f_hist": ready(need, F.col(line) - s)}
+
+
+def ut_whole(n: int = 11, factor: float = 1.0, window: int = 250, need: int = 16) -> Column:
+    """'buy' or 'sell' where the smoothed close crosses its trailing stop, with the stop worked out anew at each bar over the last `window` bars and this bar's mean range."""
+    gap = factor * F.avg("tr").over(last(n))
+    closes = F.collect_list((F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4).over(last(window))
+    start = F.struct(F.lit(None).cast("double").alias("was"), F.lit(None).cast("double").alias("held"), F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("stop"))
+
+    def step(at: Column, c: Column) -> Column:
+        stop = F.when(at["stop"].isNull(), c - gap).when((c > at["stop"]) & (at["close"] > at["stop"]), F.greatest(at["stop"], c - gap)).when((c < at["stop"]) & (at["close"] < at["stop"]), F.least(at["stop"], c + gap)).when(c > at["stop"], c - gap).otherwise(c + gap)
+        return F.struct(at["close"].alias("was"), at["stop"].alias("held"), c.alias("close"), stop.alias("stop"))
+
+    def said(at: Column) -> Column:
+        return F.when((at["close"] > at["stop"]) & (at["was"] <= at["held"]), "buy").when((at["close"] < at["stop"]) & (at["was"] >= at["held"]), "sell")
+
+    return ready(need, F.when(gap > 0, F.aggregate(closes, start, step, said)))
+
+
 def ema_finite(c: str, n: int) -> Column:
     """Weights exp(-k / (n - 1)) for the bar k ago, k < n."""
     weights = [exp(-k / (n - 1)) if n > 1 else 1.0 for k in range(n)]
@@ -251,7 +273,7 @@ def snapshot(candles: DataFrame) -> DataFrame:
         **bollinger(), **stochastic(), **obv(), **dx(), **donchian(), **keltner(),
         "sma_9": sma("close", 9), "sma_20": sma("close", 20), "sma_50": sma("close", 50), "atr_14": atr(14), "cmo_9": cmo(9), "mfi_14": mfi(14), "cci_20": cci(20), "ao": awesome(), "williams_r": williams_r(), "ultimate": ultimate(),
         "vwap_20": vwap(20), "vwma_20": vwap(20, "close"), "base_26": midpoint(26), "volume_ratio": volume_ratio(20), "flow_proxy": flow_proxy(20), "chop": choppiness(14), "cmf_20": chaikin_flow(20), "crsi": connors_rsi(),
-        "ema_9": ema_finite("close", 9), "ema_21": ema_finite("close", 21), "ema_50": ema_finite("close", 50), "return_1": change_over(1), "return_3": change_over(3), "return_12": change_over(12), "return_21": change_over(21),
+        "ema_9": ema_finite("close", 9), "ema_21": ema_finite("close", 21), "ema_50": ema_finite("close", 50), "return_1": change_over(1), "return_3": change_over(3), "return_12": change_over(12), "return_5": change_over(5), "return_20": change_over(20), "return_21": change_over(21), "atr_20": atr(20), "ema_20_f": ema_finite("close", 20), "mfi_16": mfi(16), "bb21_lower": bollinger(21)["bb_lower"], "bb21_upper": bollinger(21)["bb_upper"],
         "poc_distance": poc_distance(20), "fractal_low": fractal_low(), "stoch_rsi_k": ready(34, F.col("_srk")), "stoch_rsi_d": ready(34, F.avg("_srk").over(last(3))),
     })
-    return df.withColumns({"adx": ready(28, F.avg("dx").over(last(14))), "atr_pct": ratio(F.col("atr_14"), F.col("close")), "macd_finite": ready(35, ema_finite("close", 12) - ema_finite("close", 26))}).drop("_sr", "_srk", "stoch_raw")
+    return df.withColumns({"adx": ready(28, F.avg("dx").over(last(14))), "atr_pct": ratio(F.col("atr_14"), F.col("close")), "macd_f_line": ema_finite("close", 12) - ema_finite("close", 26)}).withColumns({"macd_finite": ready(35, F.col("macd_f_line")), **macd_finite()}).drop("_sr", "_srk", "stoch_raw")

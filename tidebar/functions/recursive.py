@@ -228,30 +228,83 @@ class StrengthIndex:
         return None if size is None else 100 * up / size if size else 0.0
 
 
-FIELDS = (
-    "open_time long, ema_9_r double, ema_21_r double, ema_50_r double, ewm_21 double, rsi_wilder double, macd_line double, macd_signal double, macd_hist double, kama double, efficiency double, sar double, sar_trend int, "
-    "supertrend int, ut_stop double, ut_signal string, ha_open double, ha_high double, ha_low double, ha_close double, tsi double, force double, bull_power double, bear_power double"
-)
+class WilderConnors:
+    """Connors RSI from smoothed RSIs of closes and of streaks, and the share of the last `rank` relative changes (this one included) that are smaller than this one."""
 
+    def __init__(self, rsi: int = 3, streak: int = 2, rank: int = 100):
+        self.price, self.run, self.changes, self.need = WilderRsi(rsi), WilderRsi(streak), deque(maxlen=rank), rank + rsi + streak + 2
+        self.count, self.past, self.streak = 0, None, 0
 
-class Recursive:
-    """All of the above for one series."""
+    def __call__(self, x: float) -> float | None:
+        past, self.past = self.past, x
+        self.count += 1
+        price = self.price(x)
+        if past is None:
+            return None
+        step = (x > past) - (x < past)
+        self.streak = step + (self.streak if step * self.streak > 0 else 0)
+        run = self.run(self.streak)
+        self.changes.append((x - past) / past if past else float("nan"))
+        if self.count < self.need or price is None or run is None:
+            return None
+        return (price + run + 100 * sum(c < self.changes[-1] for c in self.changes) / len(self.changes)) / 3
 
-    def __init__(self, _key=None):
-        self.averages = [Ema(9), Ema(21), Ema(50), Ema(21, "first")]
-        self.rsi, self.macd, self.kama, self.sar, self.trend, self.stop, self.ha, self.tsi, self.force, self.ema13, self.past = WilderRsi(), Macd(), Kama(), Sar(), Supertrend(), TrailingStop(), HeikinAshi(), StrengthIndex(), Ema(13), Ema(13), None
 
-    def step(self, r) -> list[tuple]:
+class _Change:
+    """Feeds a machine with changes of the close, weighed if asked."""
+
+    def __init__(self, machine: Callable, weigh: bool = False):
+        self.machine, self.weigh, self.past = machine, weigh, None
+
+    def __call__(self, r):
         past, self.past = self.past, r.close
-        force = self.force(None if past is None else (r.close - past) * r.volume)
-        middle = self.ema13(r.close)
-        powers = (None, None) if middle is None else (r.high - middle, r.low - middle)
-        return [(r.open_time, *(e(r.close) for e in self.averages), self.rsi(r.close), *self.macd(r.close), *self.kama(r.close), *self.sar(r.high, r.low), self.trend(r.high, r.low, r.close), *self.stop(r.high, r.low, r.close), *self.ha(r.open, r.high, r.low, r.close), self.tsi(r.close), force, *powers)]
+        return self.machine(None if past is None else (r.close - past) * (r.volume if self.weigh else 1))
+
+
+def _of(machine, *names):
+    """A machine fed with these columns of a row, giving a tuple."""
+    one = (lambda r: (machine(*(getattr(r, n) for n in names)),)) if not isinstance(machine, (Macd, Kama, Sar, TrailingStop, HeikinAshi)) else (lambda r: machine(*(getattr(r, n) for n in names)))
+    return one
+
+
+def _powers():
+    middle = Ema(13)
+
+    def step(r):
+        m = middle(r.close)
+        return (None, None) if m is None else (r.high - m, r.low - m)
+
+    return step
+
+
+def _force():
+    machine = _Change(Ema(13), weigh=True)
+    return lambda r: (machine(r),)
+
+
+#: Fields, and what makes the machine that gives them.
+MACHINES: dict[str, Callable] = {
+    "ema_9_r double": lambda: _of(Ema(9), "close"), "ema_21_r double": lambda: _of(Ema(21), "close"), "ema_50_r double": lambda: _of(Ema(50), "close"), "ewm_21 double": lambda: _of(Ema(21, "first"), "close"),
+    "rsi_wilder double": lambda: _of(WilderRsi(), "close"), "rsi_13 double": lambda: _of(WilderRsi(13), "close"), "crsi_wilder double": lambda: _of(WilderConnors(), "close"),
+    "macd_line double, macd_signal double, macd_hist double": lambda: _of(Macd(), "close"), "kama double, efficiency double": lambda: _of(Kama(), "close"), "sar double, sar_trend int": lambda: _of(Sar(), "high", "low"),
+    "supertrend int": lambda: _of(Supertrend(), "high", "low", "close"), "ut_stop double, ut_signal string": lambda: _of(TrailingStop(), "high", "low", "close"),
+    "ha_open double, ha_high double, ha_low double, ha_close double": lambda: _of(HeikinAshi(), "open", "high", "low", "close"), "tsi double": lambda: _of(StrengthIndex(), "close"), "force double": _force, "bull_power double, bear_power double": _powers,
+}
+
+
+class _All:
+    def __init__(self, fields: list[str]):
+        self.machines = [MACHINES[f]() for f in fields]
+
+    def step(self, r) -> list[tuple]:
+        return [(r.open_time, *(x for machine in self.machines for x in machine(r)))]
 
     def finish(self) -> list[tuple]:
         return []
 
 
-def recursive(candles: DataFrame) -> DataFrame:
-    """(symbol, timeframe, open_time, ...): the recursive indicators of every bar; null until they have the bars they need."""
-    return scan(candles, Recursive, ["symbol", "timeframe", "open_time", "open", "high", "low", "close", "volume"], FIELDS)
+def recursive(candles: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(symbol, timeframe, open_time, ...): the recursive indicators of every bar, or those with these names only; null until they have the bars they need."""
+    fields = [f for f in MACHINES if names is None or {x.split()[0] for x in f.split(", ")} & set(names)]
+    out = scan(candles, lambda _key: _All(fields), ["symbol", "timeframe", "open_time", "open", "high", "low", "close", "volume"], f"open_time long, {', '.join(fields)}")
+    return out if names is None else out.select(*SERIES, "open_time", *names)

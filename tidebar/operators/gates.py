@@ -52,25 +52,42 @@ def compressed(n: int = 12, share: float = 0.6) -> Column:
     return ready(2 * n, now <= share * (F.max("high").over(past) - F.min("low").over(past)))
 
 
-def bear_pressure() -> Column:
-    """A strong falling trend: DX of 25 or more led by the minus side, falling closes and volume above its mean."""
-    return closed_if_null((F.col("dx") >= 25) & (F.col("minus_di") > F.col("plus_di")) & (F.col("return_3") < 0) & (F.col("volume_ratio") > 1))
-
-
-def entry_block(spread: float = 0.003) -> Column:
-    """The first reason against an entry, null if there is none."""
-    return F.when(bear_pressure(), "bear_pressure").when(F.coalesce(F.col("volume_ratio") < 0.8, F.lit(True)), "low_volume").when(F.coalesce((F.col("close") - F.col("low")) < 0.55 * (F.col("high") - F.col("low")), F.lit(True)), "weak_close").when(F.coalesce(F.col("flow_proxy") < -0.3, F.lit(False)), "sell_flow")
-
-
-MODES = ("off", "aligned_1", "aligned_2", "aligned_3", "all", "trend_only", "score", "not_bearish")
-
-
-def mtf_gate(bullish: list[str], mode: str, least: float = 0.6) -> Column:
-    """Of boolean columns, one a higher timeframe; unknown counts as not bullish."""
-    flags = [F.when(closed_if_null(F.col(c)), 1).otherwise(0) for c in bullish]
-    n = sum(flags, F.lit(0))
-    known = F.coalesce(*[F.col(c) for c in bullish[-1:]], F.lit(False))
-    return {"off": F.lit(True), "aligned_1": n >= 1, "aligned_2": n >= 2, "aligned_3": n >= 3, "all": n == len(bullish), "trend_only": known, "score": n / max(1, len(bullish)) >= least, "not_bearish": n > 0}[mode]
+def bear_pressure(adx: float = 50, gap: float = 25, hour: float = 0.50, quarter: float = 0.50) -> Column:
+    """A sell-off (returns in percent over 12 and 3 bars) in a strong trend led by the minus side. Unknown: no."""
+    return closed_if_null((F.col("dx") >= adx) & (F.col("minus_di") - F.col("plus_di") >= gap) & (F.col("return_12") <= -hour / 100) & (F.col("return_3") <= -quarter / 100))
+
+
+def entry_block(place: float = 0.60, reversal: float = 1.0, flow: str = "mfi_16", flow_bars: int = 16, data_ready: Column | None = None, alignment: Column | None = None) -> Column:
+    """Why a reversal entry is blocked, null if it isn't: data that aren't ready; against falling averages also a close too low in its bar or a money flow that hasn't turned up."""
+    usable = F.col("bar") >= 55 if data_ready is None else data_ready
+    falling = (F.col("ema_9") < F.col("ema_21")) & (F.col("ema_21") < F.col("ema_50")) if alignment is None else alignment == "bearish"
+    own = F.when(F.col("high") > F.col("low"), (F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    turned = F.col(flow) >= F.lag(flow).over(series()) + reversal
+    checks = F.when(F.col("bar") < flow_bars + 2, "bearish_reversal_data_insufficient").when(own < place, "bearish_reversal_candle_unconfirmed").when(~closed_if_null(turned), "bearish_reversal_mfi_unconfirmed")
+    return F.when(~closed_if_null(usable), "technical_data_not_ready").when(closed_if_null(falling), checks)
+
+
+FRAMES = ("1m", "5m", "15m", "1h", "4h")
+MODES = ("bullish-count", "all-5", "all-5-volume-flow", "acetry-rule", "acetry-rule-relaxed", "high-tf", "score")
+
+
+def mtf_gate(mode: str, frames: str = "tf") -> Column:
+    """Whether features of five timeframes allow an entry. frames: a map from each of FRAMES to a struct with alignment ('bullish', 'bearish', 'mixed'), radar_bullish,
+    volume_ratio_20, orderflow_proxy_20, rsi_14, atr_pct, bb_width_pct and bb_position. What is unknown counts against it."""
+    of = lambda f, c: F.col(frames)[f][c]
+    says = lambda f, *words: closed_if_null(of(f, "alignment").isin(*words))
+    some = lambda checks: sum((F.when(x, 1).otherwise(0) for x in checks), F.lit(0))
+    every = lambda checks: some(checks) == len(checks)
+    bullish = some([says(f, "bullish") for f in FRAMES])
+    radar = every([closed_if_null(of(f, "radar_bullish")) for f in FRAMES])
+    high = says("1h", "bullish") & ~says("15m", "mixed")
+    # The strict and the relaxed limits of RSI, ATR and band width.
+    rsi, atr, width = (45, 0.0005, 0.005) if mode == "acetry-rule-relaxed" else (40, 0.00866, 0.03830)
+    rule = every([closed_if_null(of("1m", "rsi_14") < rsi), closed_if_null(of("1m", "atr_pct") >= atr), closed_if_null(of("1m", "bb_width_pct") >= width), says("1h", "bullish"), says("4h", "bullish", "mixed")]) & (bullish >= 2)
+    weights = {2: [high], 1: [says("15m", "bullish"), closed_if_null(of("5m", "atr_pct") >= 0.0034), closed_if_null(of("5m", "bb_position") <= 0.145)], -2: [says("1m", "mixed"), says("15m", "mixed") | says("1h", "mixed")]}
+    score = sum((w * some(checks) for w, checks in weights.items()), F.lit(0))
+    busy = every([closed_if_null(of(f, "volume_ratio_20") >= 1.0) & closed_if_null(of(f, "orderflow_proxy_20") >= 0.0) for f in ("1m", "5m")])
+    return {"bullish-count": bullish >= 3, "all-5": radar, "all-5-volume-flow": radar & busy, "acetry-rule": rule, "acetry-rule-relaxed": rule, "high-tf": high, "score": score >= 2}[mode]
 
 
 def plan_problems() -> Column:
@@ -78,16 +95,23 @@ def plan_problems() -> Column:
     return reasons({"no_quantity": F.col("quantity") > 0, "stop_not_below_entry": F.col("stop") < F.col("entry"), "target_not_above_entry": F.col("target") > F.col("entry"), "not_enough_cash": F.col("entry") * F.col("quantity") <= F.col("cash"), "reward_below_risk": (F.col("target") - F.col("entry")) >= (F.col("entry") - F.col("stop"))})
 
 
-def order_value(cash: Column, share: float = 0.10, least: float = 100.0) -> Column:
-    """A share of the cash, a quarter of it where that is too little, nothing below the least order."""
-    return F.when(cash * share >= least, cash * share).when(cash * 0.25 >= least, cash * 0.25).when(cash >= least, F.lit(least)).otherwise(0.0)
+def order_value(cash: Column, share: float = 0.10, least: float = 100.0, fallback: float = 250.0, commission: float = 0.0015, ladder: bool = True) -> Column:
+    """A share of the cash that is left after commission; with the ladder, below the least partial order the fallback order if there is cash for it, else all there is if that is a partial order."""
+    free = cash / (1 + commission)
+    own = free * max(0.001, min(share, 1.0))
+    return F.when((own >= least) | F.lit(not ladder), own).when(free >= fallback, F.lit(fallback)).when(free >= least, free).otherwise(own)
 
 
-def adr_used(days: int = 14) -> Column:
-    """Today's range against the mean of the days before, over daily bars."""
-    w = series().rowsBetween(-days, -1)
-    mean = F.avg(F.col("high") - F.col("low")).over(w)
-    return ready(days + 1, F.when(mean > 0, (F.col("high") - F.col("low")) / mean))
+def adr_capacity(days: int = 14, least: float = 0.02, left: float = 0.01, most: float = 0.80) -> dict[str, Column]:
+    """Over daily bars, the last still open: the mean range of the days before in parts of their closes, how far the price is from today's open, the share used, and whether an entry still
+    fits (yes while there are too few days or no open)."""
+    own = F.when(F.col("close") > 0, (F.col("high") - F.col("low")) / F.col("close"))
+    known = (F.count(own).over(series().rowsBetween(-days, -1)) == days) & (F.col("open") > 0)
+    mean = F.avg(own).over(series().rowsBetween(-days, -1))
+    moved = F.when(F.col("close") > 0, F.greatest("close", "open") / F.least("close", "open") - 1).otherwise(0.0)
+    share = F.when(mean > 0, moved / mean).otherwise(1.0)
+    fits = (mean >= least) & (mean - moved >= left) & (share <= most)
+    return {"adr_pct": F.when(known, mean), "range_pct": F.when(known, moved), "utilization": F.when(known, share), "adr_ok": F.when(known, fits).otherwise(True)}
 
 
 def quiet_score() -> Column:

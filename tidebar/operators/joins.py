@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,12 +32,13 @@ def within(left: DataFrame, right: DataFrame, by: list[str], start: str, end: st
     return a.join(b, [*by, "_day"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_day")
 
 
-def nearest_unique(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tolerance: int, left_id: str) -> DataFrame:
-    """Pairs no further apart than `tolerance`, of left rows that have exactly one: neighbouring buckets meet, so no pair at a bucket's edge is missed."""
+def nearest_unique(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tolerance: int, left_id: str, also: Column | None = None) -> DataFrame:
+    """Pairs no further apart than `tolerance` (and for which `also` holds), of left rows that have exactly one: neighbouring buckets meet, so no pair at a bucket's edge is missed."""
     at = F.floor(F.col(left_time) / tolerance)
     a = left.withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
     b = right.withColumn("_b", F.floor(F.col(right_time) / tolerance))
     pairs = a.join(b, [*by, "_b"]).where(F.abs(F.col(left_time) - F.col(right_time)) <= tolerance).drop("_b")
+    pairs = pairs if also is None else pairs.where(also)
     return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(left_id))).where("_n = 1").drop("_n")
 
 

@@ -34,10 +34,12 @@ def first_touch(candles: DataFrame, target: float, stop: float, bars: int) -> Da
     return out.withColumns({"outcome": F.when(F.col("_entry").isNotNull(), F.coalesce(first["outcome"], F.lit("timeout"))), "touch_bar": first["touch_bar"]}).drop("_entry", "_path")
 
 
-def trajectory(candles: DataFrame, bars: int = 15) -> DataFrame:
-    """peak_bar, trough_bar, peak, trough, giveback: where the next bars' extremes lie and how much of the peak the last close gives back."""
+def trajectory(candles: DataFrame, bars: int = 15, whole: bool = False) -> DataFrame:
+    """peak_bar, trough_bar, peak, trough, giveback: where the next bars' extremes lie and how much of the peak the last close gives back. whole: null where fewer than `bars` bars follow."""
     w = Window.partitionBy("symbol", "timeframe").orderBy("open_time")
     out = candles.withColumn("_p", F.collect_list(F.struct("high", "low", "close")).over(w.rowsBetween(1, bars)))
+    if whole:
+        out = out.withColumn("_p", F.when(F.size("_p") == bars, F.col("_p")))
     highs, lows, base = F.transform("_p", lambda p: p["high"]), F.transform("_p", lambda p: p["low"]), F.nullif(F.col("close"), F.lit(0.0))
     end = F.try_element_at("_p", F.lit(-1))["close"]
     out = out.withColumns({"peak": F.array_max(highs) / base - 1, "trough": F.array_min(lows) / base - 1, "peak_bar": F.nullif(F.array_position(highs, F.array_max(highs)), F.lit(0)), "trough_bar": F.nullif(F.array_position(lows, F.array_min(lows)), F.lit(0)), "_end": end / base - 1})
@@ -64,15 +66,42 @@ def cooldown(marked: DataFrame, gap_ms: int, hit: str = "hit") -> DataFrame:
     return scan(hits, lambda _key: _Cooldown(gap_ms), ["symbol", "timeframe", "open_time", "hit"], "open_time long")
 
 
-def spikes(candles: DataFrame, rise: float, horizon_ms: int, gap_ms: int) -> DataFrame:
-    """Bars after which the high rises by `rise` within the horizon, thinned to one every gap_ms, with the move and when it was crossed."""
+class _FromPeak:
+    """Hits in order, none before the last one's peak and `gap` more."""
+
+    def __init__(self, gap: int):
+        self.gap, self.until = gap, None
+
+    def step(self, r) -> list[tuple]:
+        if self.until is not None and r.open_time < self.until:
+            return []
+        self.until = r.peak_time + self.gap
+        return [(r.open_time,)]
+
+    finish = _Cooldown.finish
+
+
+def spikes(candles: DataFrame, rise: float, horizon_ms: int, gap_ms: int, onset_bars: int | None = None) -> DataFrame:
+    """Bars from whose close the high rises by `rise` within the horizon, none before gap_ms after the peak of the one kept before it.
+
+    With the move, the peak's time (its first bar), when the rise was crossed, and the onset: the first lowest low of the onset_bars (as many as the horizon has minutes) up to the crossing.
+    """
+    back = max(1, horizon_ms // 60_000) if onset_bars is None else onset_bars
     w, base = ahead(horizon_ms), F.nullif(F.col("close"), F.lit(0.0))
-    level = F.col("close") * (1 + rise)
-    path = candles.withColumns({"move": F.max("high").over(w) / base - 1, "_next": F.collect_list(F.struct("open_time", "high")).over(w)})
-    crossed = F.try_element_at(F.filter("_next", lambda p: p["high"] >= level), F.lit(1))["open_time"]
-    path = path.withColumn("crossed_at", crossed).drop("_next")
-    kept = cooldown(path.withColumn("hit", F.coalesce(F.col("move") >= rise, F.lit(False))), gap_ms)
-    return kept.join(path.select("symbol", "timeframe", "open_time", "close", "move", "crossed_at"), ["symbol", "timeframe", "open_time"])
+    bar = F.struct("open_time", "high", "low")
+    order = Window.partitionBy("symbol", "timeframe").orderBy("open_time")
+    path = candles.withColumns({"peak_price": F.max("high").over(w), "_next": F.collect_list(bar).over(w), "_past": F.collect_list(bar).over(order.rowsBetween(-back, 0))})
+    path = path.withColumn("move", F.col("peak_price") / base - 1).where(F.col("move") >= rise)
+    first = lambda test: F.try_element_at(F.filter("_next", test), F.lit(1))["open_time"]
+    path = path.withColumns({"peak_time": first(lambda p: p["high"] == F.col("peak_price")), "crossed_at": first(lambda p: p["high"] / F.col("close") - 1 >= rise)})
+    path = path.withColumn("crossed_at", F.coalesce("crossed_at", "peak_time"))
+    run = F.concat("_past", F.filter("_next", lambda p: p["open_time"] <= F.col("crossed_at")))
+    path = path.withColumn("_run", F.when(F.size(run) > back + 1, F.slice(run, -(back + 1), back + 1)).otherwise(run))
+    lowest = F.array_min(F.transform("_run", lambda p: p["low"]))
+    path = path.withColumn("onset_at", F.try_element_at(F.filter("_run", lambda p: p["low"] == lowest), F.lit(1))["open_time"])
+    path = path.select("symbol", "timeframe", "open_time", "close", "move", "peak_price", "peak_time", "crossed_at", "onset_at")
+    kept = scan(path, lambda _key: _FromPeak(gap_ms), ["symbol", "timeframe", "open_time", "peak_time"], "open_time long")
+    return kept.join(path, ["symbol", "timeframe", "open_time"])
 
 
 class _Controls:

@@ -15,37 +15,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(x, y) / size)
 
 
-def word_share(text: Column, query: str) -> Column:
-    """The share of the query's words that a text has."""
-    words = sorted({w for w in query.lower().split() if w})
-    if not words:
-        return F.lit(0.0)
-    own = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), own)) / F.lit(float(len(words)))
-
-
-def retrieve(documents: DataFrame, vector: list[float], query: str = "", now: float = 0.0, limit: int = 10, contradictions: DataFrame | None = None) -> DataFrame:
-    """documents (document_id, content, embedding, observed_at in seconds, outcome) by 0.60 cosine + 0.15 words + 0.15 recency (30 days) + 0.10 for a
-    good outcome (-0.10 for a bad one) - 0.05 a contradiction; the best 1 to 50."""
-    q = F.array(*[F.lit(float(v)) for v in vector])
+# Outcome words.
+GOOD, BAD = ("success", "passed", "profit", "profitable"), ("failure", "failed", "loss", "losing")
+#: Queries that meet a document in one row.
+BLOCK = 64
+
+
+def retrieve(documents: DataFrame, queries: DataFrame, now: float = 0.0, limit: int = 10, contradictions: DataFrame | None = None) -> DataFrame:
+    """(query_id, document_id, score): for each of queries (query_id, vector, words) the best 1 to 50 documents (document_id, content, embedding, observed_at in seconds, outcome)
+    by 0.60 cosine + 0.15 words + 0.15 recency (30 days) + 0.10 for a good outcome (-0.10 for a bad one) - 0.05 a contradiction.
+
+    Queries are put in blocks, each block meets every document, and each task keeps only the best of a query before the shuffle. Ties go by document_id.
+    """
     docs = documents
     if contradictions is not None:
         docs = docs.join(contradictions.where("relation = 'contradicts'").groupBy(F.col("target_id").alias("document_id")).agg(F.count("*").alias("against")), "document_id", "left")
     else:
         docs = docs.withColumn("against", F.lit(0))
-    good = F.when(F.col("outcome") == "success", 0.10).when(F.col("outcome") == "failure", -0.10).otherwise(0.0)
+    said = F.lower("outcome")
+    good = F.when(said.isin(*GOOD), 0.10).when(said.isin(*BAD), -0.10).otherwise(0.0)
     age = F.exp(-F.greatest(F.lit(0.0), (F.lit(now) - F.col("observed_at")) / 86400) / 30)
-    score = 0.60 * F.coalesce(cosine(F.col("embedding"), q), F.lit(0.0)) + 0.15 * word_share(F.col("content"), query) + 0.15 * age + good - 0.05 * F.coalesce("against", F.lit(0))
-    return docs.withColumn("score", score).select("document_id", "score").orderBy(F.desc("score"), "document_id").limit(max(1, min(50, limit)))
+    own = F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))
+    docs = docs.select("document_id", "embedding", own.alias("_own"), (0.15 * age + good - 0.05 * F.coalesce("against", F.lit(0))).alias("_rest"))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("words", F.lit(""))), r"\s+"), lambda w: w != ""))
+    asked = queries.select(F.struct("query_id", "vector", words.alias("words")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("_h"))
+    many = max(1, -(-queries.count() // BLOCK))
+    blocks = asked.groupBy(F.pmod("_h", F.lit(many)).alias("_block")).agg(F.collect_list("q").alias("qs"))
+    share = lambda q: F.when(F.size(q["words"]) > 0, F.size(F.array_intersect(q["words"], F.col("_own"))) / F.size(q["words"])).otherwise(0.0)
+    scored = lambda q: F.struct(q["query_id"].alias("query_id"), (0.60 * F.coalesce(cosine(F.col("embedding"), q["vector"]), F.lit(0.0)) + 0.15 * share(q) + F.col("_rest")).alias("score"))
+    met = docs.crossJoin(blocks).select("document_id", F.explode(F.transform("qs", scored)).alias("s")).select("s.query_id", "document_id", "s.score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))
+    return met.withColumn("_n", place).where(F.col("_n") <= max(1, min(50, limit))).drop("_n")
 
 
 def contradictions(documents: DataFrame, fresh: DataFrame, most: int = 20) -> DataFrame:
-    """Edges from each fresh document to the newest ones of its symbol and strategy with the opposite outcome."""
+    """Edges from each fresh document to the newest ones of its symbol and strategy with the opposite outcome. Of a group only its newest most + 1 documents are joined: no fresh
+    document is linked to an older one (one of them may be the document itself)."""
+    group = ["symbol", "strategy", "outcome"]
+    order = Window.partitionBy(*group).orderBy(F.desc("observed_at"), "target_id")
+    newest = documents.select(F.col("document_id").alias("target_id"), *group, "observed_at").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most + 1)
     other = F.when(F.col("outcome") == "success", "failure").when(F.col("outcome") == "failure", "success")
     a = fresh.select(F.col("document_id").alias("source_id"), "symbol", "strategy", other.alias("outcome"))
-    pairs = a.join(documents.select(F.col("document_id").alias("target_id"), "symbol", "strategy", "outcome", "observed_at"), ["symbol", "strategy", "outcome"]).where("source_id <> target_id")
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("observed_at"), "target_id"))
-    return pairs.withColumn("_n", place).where(F.col("_n") <= most).select("source_id", "target_id", F.lit("contradicts").alias("relation"))
+    pairs = a.join(newest, group).where("source_id <> target_id")
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("_n"))
+    return pairs.withColumn("_k", place).where(F.col("_k") <= most).select("source_id", "target_id", F.lit("contradicts").alias("relation"))
 
 
 def merge_instincts(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,17 +61,51 @@ def select_rule(development: DataFrame, label: str, rules: dict[str, Column], mo
     return best["rule"] if best else None
 
 
+def numbered(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFrame:
+    """df with _at, the row's place (from 0) by the columns of order (the first a number), and _n, the number of rows.
+
+    The first column's range is cut in buckets: their counts are few rows, and rows are numbered inside their bucket, so that no task sorts the whole table.
+    """
+    edge = df.agg(F.min(order[0]).cast("double").alias("_lo"), F.max(order[0]).cast("double").alias("_hi"), F.count("*").alias("_n"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / buckets, F.lit(1e-300))
+    own = df.crossJoin(F.broadcast(edge)).withColumn("_b", F.coalesce(F.least(F.lit(buckets - 1), F.floor((F.col(order[0]).cast("double") - F.col("_lo")) / width)), F.lit(-1)).cast("long")).drop("_lo", "_hi")
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = own.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", before.alias("_first"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return own.join(F.broadcast(starts), "_b").withColumn("_at", place).drop("_b", "_first")
+
+
 def chronological_split(df: DataFrame, time: str, tie: list[str], shares: tuple[float, ...] = (0.6, 0.2, 0.2)) -> DataFrame:
-    """part 0, 1, ...: by share of the rows in order. Boundaries are exact quantiles of the order, found on one row a distinct time."""
-    sizes = df.groupBy(time).agg(F.count("*").alias("_c"))
-    w = Window.orderBy(time)
-    sizes = sizes.withColumn("_before", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_n", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    place = F.row_number().over(Window.partitionBy(time).orderBy(*tie)) - 1
-    out = df.join(sizes.select(time, "_before", "_n"), time).withColumn("_at", (F.col("_before") + place) / F.col("_n"))
+    """part 0, 1, ...: by share of the rows in order of time, then tie."""
+    out = numbered(df, [time, *tie]).withColumn("_share", F.col("_at") / F.col("_n"))
     part = F.lit(0)
     for k in range(1, len(shares)):
-        part = F.when(F.col("_at") >= round(sum(shares[:k]), 12), k).otherwise(part)
-    return out.withColumn("part", part).drop("_before", "_n", "_at")
+        part = F.when(F.col("_share") >= round(sum(shares[:k]), 12), k).otherwise(part)
+    return out.withColumn("part", part).drop("_share", "_n", "_at")
+
+
+def ranked_values(df: DataFrame, by: list[str], value: str, places: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """A row for each group of by, with the values at some places (from 1) of its order; places are columns of n, the number of the group's values that aren't null.
+
+    A group's range is cut in buckets, whose counts tell in which bucket a place lies; only those buckets' rows are sorted.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    edge = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / buckets, F.lit(1e-300))
+    own = rows.join(edge, by).withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / width)).cast("int"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_b"))
+    counts = own.groupBy(*by, "n", "_b").agg(F.count("*").alias("_c")).withColumn("_first", upto - F.col("_c"))
+    asked = [(p > F.col("_first")) & (p <= F.col("_first") + F.col("_c")) for p in places.values()]
+    held = counts.where(_any(asked))
+    near = own.drop("n").join(held, [*by, "_b"]).withColumn("_p", F.col("_first") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value)))
+    return near.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == p, F.col(value))).alias(name) for name, p in places.items()])
+
+
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
 
 
 def accept_folds(folds: DataFrame, least_folds: int = 3, least_trades: int = 30) -> DataFrame:
@@ -79,41 +115,46 @@ def accept_folds(folds: DataFrame, least_folds: int = 3, least_trades: int = 30)
     return out.withColumn("reasons", reasons).withColumn("verdict", F.when(F.size("reasons") == 0, "PASS").otherwise("FAIL"))
 
 
-def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, sample deviation, skewness and kurtosis (moments over n, deviation over n - 1), Sharpe-like ratio and the chance that it is above 0,
-    corrected for both."""
-    base = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("dev"))
-    d = F.col(value) - F.col("mean")
-    more = df.join(F.broadcast(base) if not by else base, by).groupBy(*by).agg(F.avg(d * d * d).alias("_m3"), F.avg(d * d * d * d).alias("_m4")) if by else df.crossJoin(F.broadcast(base)).agg(F.avg(d * d * d).alias("_m3"), F.avg(d * d * d * d).alias("_m4"))
-    out = base.join(more, by) if by else base.crossJoin(more)
-    s = F.nullif(F.col("dev"), F.lit(0.0))
-    out = out.withColumns({"skew": F.col("_m3") / F.pow(s, 3), "kurtosis": F.col("_m4") / F.pow(s, 4), "sharpe": F.col("mean") / s})
-    width = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1) / 4 * F.col("sharpe") * F.col("sharpe")))
-    return out.withColumn("probability", normal_cdf(F.col("sharpe") * F.sqrt(F.col("n") - 1) / width)).drop("_m3", "_m4")
+def moments(df: DataFrame, by: list[str], value: str, trials: int = 1) -> DataFrame:
+    """n, mean, sample deviation, skewness and kurtosis (moments over n, deviation over n - 1), Sharpe-like ratio and the chance that it is above the most that `trials` tries
+    would show by luck, corrected for both. One pass: Spark's moments over n are rescaled."""
+    x = F.col(value).cast("double")
+    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("dev"), F.skewness(x).alias("_g"), F.kurtosis(x).alias("_k"))
+    shrink = (F.col("n") - 1) / F.col("n")
+    out = out.withColumns({"skew": F.col("_g") * F.pow(shrink, F.lit(1.5)), "kurtosis": (F.col("_k") + 3) * shrink * shrink, "sharpe": F.col("mean") / F.nullif(F.col("dev"), F.lit(0.0))})
+    width = F.sqrt(F.greatest(F.lit(1e-12), (1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1) / 4 * F.col("sharpe") * F.col("sharpe")) / F.greatest(F.lit(1), F.col("n") - 1)))
+    luck = (2 * log(max(1, trials))) ** 0.5
+    return out.withColumn("probability", normal_cdf((F.col("sharpe") - luck) / width)).drop("_g", "_k")
 
 
 def block_bootstrap(df: DataFrame, value: str, order: list[str], draws: int = 500, seed: int = 42) -> DataFrame:
-    """(draw, total): sums of resampled series made of blocks of about sqrt(n) neighbours.
+    """(draw, total): sums of resampled series of n values, made of blocks of max(2, floor(sqrt(n))) neighbours that start anywhere, the last one cut to fit.
 
-    Sums of every block start come from one ordered pass as prefix sums of blocks; each draw then adds as many random blocks as fit. Draws are dealt out.
+    A block's sum is the difference of two running sums, which are made bucket by bucket; draws are dealt out and look theirs up.
     """
     spark, n = df.sparkSession, df.count()
-    size = max(1, int(round(n**0.5)))
-    w = Window.orderBy(*order)
-    blocks = df.select(value, F.floor((F.row_number().over(w) - 1) / size).alias("block")).groupBy("block").agg(F.sum(value).alias("sum"))
-    many = max(1, -(-n // size))
+    size = max(2, int(n**0.5))
+    rows = numbered(df.select(value, *[c for c in order if c != value]), order).withColumn("_g", F.floor(F.col("_at") / size))
+    groups = rows.groupBy("_g").agg(F.sum(value).alias("_s"))
+    earlier = F.coalesce(F.sum("_s").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    inside = F.sum(value).over(Window.partitionBy("_g").orderBy("_at"))
+    sums = rows.join(groups.select("_g", earlier.alias("_e")), "_g").select((F.col("_at") + 1).alias("place"), (F.col("_e") + inside).alias("sum"))
 
     def pick(batches):
         for pdf in batches:
             for d in pdf["draw"]:
-                chosen, times = np.unique(np.random.default_rng([seed, int(d)]).integers(0, many, many), return_counts=True)
-                yield pd.DataFrame({"draw": int(d), "block": chosen, "times": times})
+                starts = np.random.default_rng([seed, int(d)]).integers(0, max(1, n - size + 1), -(-n // size))
+                lengths = np.minimum(size, n - size * np.arange(len(starts)))
+                ends = np.minimum(n, starts + lengths)
+                yield pd.DataFrame({"draw": int(d), "place": np.concatenate([starts, ends]), "sign": np.repeat([-1.0, 1.0], len(starts))})
 
-    picks = spark.range(draws).withColumnRenamed("id", "draw").mapInPandas(pick, "draw long, block long, times long")
-    return picks.join(blocks, "block").groupBy("draw").agg(F.sum(F.col("sum") * F.col("times")).alias("total"))
+    if not n:
+        return spark.createDataFrame([], "draw long, total double")
+    picks = spark.range(draws).withColumnRenamed("id", "draw").mapInPandas(pick, "draw long, place long, sign double")
+    return picks.join(sums, "place", "left").groupBy("draw").agg(F.sum(F.coalesce("sum", F.lit(0.0)) * F.col("sign")).alias("total"))
 
 
 def overfit_share(trials: DataFrame) -> DataFrame:
     """trials (trial, part 'in' or 'out', score): whether the best in-sample trial falls below the out-of-sample median."""
     wide = trials.groupBy("trial").pivot("part", ["in", "out"]).agg(F.avg("score"))
-    return wide.agg(F.max_by("out", F.struct(F.col("in"), -F.col("trial"))).alias("best_out"), F.median("out").alias("median_out")).withColumn("overfit", F.col("best_out") < F.col("median_out"))
+    return wide.agg(F.max_by("out", F.struct(F.col("in"), -F.col("trial"))).alias("best_out"), F.sort_array(F.collect_list("out")).alias("_outs")).withColumn("median_out", F.try_element_at("_outs", (F.floor(F.size("_outs") / 2) + 1).cast("int"))).drop("_outs").withColumn("overfit", F.col("best_out") < F.col("median_out"))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indicators import before, bollinger, last, mfi, ready, series, snapshot, volume_ratio
+from ..functions.indicators import before, bollinger, last, mfi, ready, series, snapshot, ut_whole, volume_ratio
 from ..functions.patterns import candlesticks, fair_value_gap, price_action, with_methodology, with_structure, with_td9, with_wicks
 from ..functions.recursive import recursive
+from ..operators.gates import bear_pressure
 
 
 def features(candles: DataFrame) -> DataFrame:
     """candles with window, recursive, pattern and structure features."""
     df = snapshot(candles)
     df = with_methodology(with_structure(with_wicks(with_td9(df))))
-    df = df.withColumns({**fair_value_gap(), "patterns": candlesticks(), "price_action": price_action(), "return_5": F.col("close") / F.nullif(F.lag("close", 5).over(series()), F.lit(0.0)) - 1, "atr_stop": F.max("close").over(last(22)) - 3 * F.col("atr_14")})
+    df = df.withColumns({**fair_value_gap(), "patterns": candlesticks(), "price_action": price_action(), "ut_whole": ut_whole(), "atr_stop": F.max("close").over(last(22)) - 3 * F.col("atr_14")})
     return df.join(recursive(candles), ["symbol", "timeframe", "open_time"])
 
 
@@ -31,42 +34,100 @@ def bb_mfi(candles_prepared: DataFrame, std: float = 2.0, bb: int = 21, flow: in
     return out.withColumn("signal", F.when(buy, "buy").when(sell, "sell")).drop("_upper", "_lower", "_mfi", "_vr")
 
 
-def rules() -> dict[str, tuple[Column, Column]]:
-    """name -> (buy, sell) over features(); a rule whose inputs are unknown doesn't hold."""
-    c = F.col
-    no = F.lit(False)
-    rising, trend = c("close") > at("close"), (c("ema_9") > c("ema_21")) & (c("ema_21") > c("ema_50"))
-    busy, flow = c("volume_ratio") > 1.5, c("flow_proxy") >= 0
-    narrow = c("bb_width") <= 1.1 * F.min("bb_width").over(before(20))
-    loud = c("volume") > 1.5 * F.avg("volume").over(last(10))
-    score = sum((F.when(F.coalesce(x, no), w).otherwise(0) for x, w in ((c("return_3") > 0.003, 2), (c("return_12") > 0, 1), (c("volume_ratio") > 1.2, 2), (c("dx") > 20, 1), (trend, 2), (c("rsi_wilder").between(50, 72), 1), (c("macd_hist") > 0, 1))), F.lit(0))
-    place = (c("close") - c("low")) / F.nullif(c("high") - c("low"), F.lit(0.0))
-    near = (c("close") - c("ema_21")) <= 2 * c("atr_14")
-    touched = F.min(F.when(c("low") <= c("ema_21") * 1.002, 0).otherwise(1)).over(last(3)) == 0
+@dataclass(frozen=True)
+class Levels:
+    """The thresholds of the rules."""
+
+    squeeze_width: float = 1.1
+    squeeze_volume: float = 1.5
+    pullback_rsi: tuple[float, float] = (40, 55)
+    cmo_deep: float = 63
+    crsi_low: float = 30
+    pullback_adx: float = 18
+    pullback_volume: float = 1.0
+    pullback_touch: float = 1.002
+    breakout_volume: float = 1.5
+    flow: float = 0.10
+    momentum_return: float = 0.003
+    momentum_volume: float = 1.0
+    momentum_adx: float = 18
+    careful_return: float = 0.004
+    careful_volume: float = 1.2
+    careful_adx: float = 22
+    score: int = 7
+    close_place: float = 0.65
+    reach_atr: float = 2.0
+    oversold_rsi: float = 40
+    adaptive_adx: float = 20
+    adaptive_atr: tuple[float, float] = (0.0015, 0.012)
+    gate_adx: float = 25
+    gate_return: float = 0.01
+    gate_volume: float = 1.1
+    keltner_atr: float = 1.8
+    keltner_volume: float = 1.5
+    keltner_flow: float = 0.05
+    keltner_retest: float = 1.001
+    chop: float = 45
+    chop_rsi: float = 52
+    donchian_volume: float = 1.15
+    dip_place: float = 0.55
+    v1_rsi: tuple[float, float] = (30, 70)
+    v2_rsi: tuple[float, float] = (42, 76)
+    v3_mfi: tuple[float, float] = (59, 69)
+    v3_rsi: float = 69
+
+
+def rules(levels: Levels = Levels(), aligned: Column | None = None, book_flow: Column | None = None) -> dict[str, tuple[Column, Column]]:
+    """name -> (buy, sell) over features(); a rule whose inputs are unknown doesn't hold.
+
+    aligned: whether the next higher timeframe's averages rise, where known; book_flow: whether the order book leans to buyers. Without them, as in a replay of candles
+    alone, the first is taken to hold and the flow proxy of the candles stands for the second where the rule needs one at all.
+    """
+    v, c, no, yes = levels, F.col, F.lit(False), F.lit(True)
+    higher = yes if aligned is None else aligned
+    optional = yes if book_flow is None else book_flow
+    flow = lambda least: F.coalesce(c("flow_proxy"), F.lit(0.0)) >= least if book_flow is None else book_flow
+    from_bar = lambda n: c("bar") >= n
+    prev = at("close")
+    rising, trend = c("close") > prev, (c("ema_9") > c("ema_21")) & (c("ema_21") > c("ema_50"))
+    place = F.when(c("high") > c("low"), (c("close") - c("low")) / (c("high") - c("low"))).otherwise(0.0)
+    squeezed = (c("bb_width") <= v.squeeze_width * F.min(F.when(c("bar") >= 21, c("bb_width"))).over(before(19))) & (c("volume") > v.squeeze_volume * F.avg("volume").over(last(10)))
+    squeeze = squeezed & (c("close") > c("bb_upper"))
+    points = [
+        (trend, 2), ((c("return_5") >= v.momentum_return) & (c("return_20") > 0), 1), (c("volume_ratio") >= 1.2, 1), (c("volume_ratio") >= 1.0, 1), (c("dx") >= max(20, v.momentum_adx), 1),
+        (c("macd_hist") > 0, 1), (c("rsi_wilder").between(48, 72), 1), (c("cmo_9") > 0, 1), (c("close") > c("vwap_20"), 1),
+    ]
+    score = sum((F.when(F.coalesce(x, no), w).otherwise(0) for x, w in points), F.lit(0))
+    scored = from_bar(55) & (score >= v.score) & optional
+    band = c("ema_20_f") + v.keltner_atr * c("atr_20")
+    dip = place >= v.dip_place
+    with_levels = lambda rsi: ((c("close") < c("bb21_lower")) & (c("rsi_13") > rsi[0]) & dip, (c("close") > c("bb21_upper")) & (c("rsi_13") > rsi[1]))
     out = {
-        "ut_bot": (c("ut_signal") == "buy", c("ut_signal") == "sell"),
-        "bollinger_squeeze": (narrow & loud & (c("close") > c("bb_upper")), narrow & loud & (c("close") < c("bb_lower"))),
-        "ema_pullback": (trend & (at("close") < at("ema_21")) & (c("close") > c("ema_21")) & c("rsi_wilder").between(40, 55), c("ema_9") < c("ema_21")),
-        "vwap_macd": ((c("close") > c("vwap_20")) & (c("macd_hist") > 0) & (c("macd_line") > c("macd_signal")), (c("close") < c("vwap_20")) & (c("macd_hist") < 0)),
-        "cmo_crsi": ((c("cmo_9") <= -63) & (c("crsi") <= 30), c("cmo_9") >= 63),
-        "ema_vwap": (trend & (c("dx") > 20) & (c("close") > c("vwap_20")) & touched & (c("close") > c("ema_9")) & busy, c("ema_9") < c("ema_21")),
-        "breakout": ((c("close") > F.max("close").over(before(20))) & busy, no),
-        "order_flow": ((c("flow_proxy") > 0.15) & rising & (at("close") > at("close", 2)) & (at("close", 2) > at("close", 3)), c("flow_proxy") < -0.15),
-        "momentum": ((c("return_3") > 0.004) & (c("return_12") > 0) & busy & (c("dx") > 20), c("return_3") < -0.004),
-        "momentum_cost": ((c("return_3") > 0.008) & (c("return_12") > 0.004) & (c("volume_ratio") > 2) & (c("dx") > 25) & trend, c("return_3") < -0.004),
-        "momentum_scored": (score >= 7, c("ema_9") < c("ema_21")),
-        "momentum_scored_v2": ((score >= 7) & (place >= 0.6) & near, c("ema_9") < c("ema_21")),
-        "oversold_trend": ((c("cmo_9") < 0) & (c("stoch_k") < 40) & (c("rsi_wilder") < 50) & (c("ema_9") > c("ema_21")), c("rsi_wilder") > 70),
-        "adaptive_trend": (trend & (c("dx") > 22) & c("atr_pct").between(0.002, 0.03), c("close") < c("ema_50")),
-        "regime_gate": (trend & (c("dx") > 25) & (c("return_21") > 0.01) & (c("volume_ratio") > 1), c("ema_9") < c("ema_50")),
-        "mean_reversion": ((c("close") < c("bb_lower")) & (c("crsi") < 30) & flow, (c("close") > c("bb_middle")) & (c("crsi") > 70)),
-        "bb_mfi_v1": ((c("close") < c("bb_lower")) & (c("rsi_wilder") > 20), (c("close") > c("bb_upper")) & (c("rsi_wilder") > 70)),
-        "bb_mfi_v2": ((c("close") < c("bb_lower")) & (c("rsi_wilder") > 42), (c("close") > c("bb_upper")) & (c("rsi_wilder") > 76)),
-        "bb_mfi_v3": ((c("close") < c("bb_lower")) & (c("mfi_14") < 59), (c("close") > c("bb_upper")) & (c("rsi_wilder") > 69) & (c("mfi_14") > 69)),
-        "squeeze_flow": (narrow & loud & (c("close") > c("bb_upper")) & flow, no),
-        "keltner_breakout": ((c("close") > c("keltner_upper")) & (at("close") <= at("keltner_upper")) & busy, c("close") < c("sma_20")),
-        "chop_trend": ((c("chop") < 50) & (c("rsi_wilder") > 50) & rising & flow, no),
-        "donchian_breakout": ((c("close") > F.max("close").over(before(20))) & (c("volume") >= 1.5 * F.avg("volume").over(before(20))) & flow, no),
+        "ut_bot": (c("ut_whole") == "buy", c("ut_whole") == "sell"),
+        "bollinger_squeeze": (squeeze, squeezed & (c("close") < c("bb_lower"))),
+        "ema_pullback": (from_bar(55) & trend & (prev <= c("ema_21")) & (c("close") > c("ema_21")) & c("rsi_wilder").between(*v.pullback_rsi), from_bar(55) & (c("ema_9") < c("ema_21"))),
+        "vwap_macd": (from_bar(46) & (c("close") > c("vwap_20")) & (c("macd_f_hist") > 0), from_bar(46) & (c("macd_f_hist") < 0)),
+        "cmo_crsi": ((c("cmo_9") <= -v.cmo_deep) & (c("crsi_wilder") <= v.crsi_low), (c("cmo_9") >= v.cmo_deep) & c("crsi_wilder").isNotNull()),
+        "ema_vwap": (
+            from_bar(55) & trend & (c("dx") >= v.pullback_adx) & (c("volume_ratio") >= v.pullback_volume) & (c("close") > c("vwap_20")) & (F.min("low").over(before(3)) <= c("ema_21") * v.pullback_touch) & rising & (c("close") > c("ema_21")) & optional & higher, no),
+        "breakout": (from_bar(25) & (c("close") > F.max("close").over(before(20))) & (c("volume") > v.breakout_volume * F.avg("volume").over(before(20))) & optional, no),
+        "order_flow": (from_bar(5) & flow(v.flow) & rising & (prev > at("close", 2)), no),
+        "momentum": (from_bar(30) & (c("return_5") > v.momentum_return) & (c("return_20") > 0) & (c("volume_ratio") >= v.momentum_volume) & (c("dx") >= v.momentum_adx) & optional & higher, no),
+        "momentum_cost": (from_bar(55) & (c("return_5") >= v.careful_return) & (c("return_20") > 0) & (c("volume_ratio") >= v.careful_volume) & (c("dx") >= v.careful_adx) & optional & higher, no),
+        "momentum_scored": (scored, no),
+        "momentum_scored_v2": (scored & (c("close") > c("open")) & (place >= v.close_place) & (c("close") - c("ema_21") <= v.reach_atr * F.coalesce(F.nullif(c("atr_14"), F.lit(0.0)), c("close") * 0.01)), no),
+        "oversold_trend": (from_bar(55) & (c("cmo_9") < 0) & (c("stoch_k") < 40) & (c("rsi_wilder") < v.oversold_rsi) & (c("ema_9") > c("ema_21")), no),
+        "adaptive_trend": (from_bar(55) & trend & (c("dx") >= v.adaptive_adx) & c("atr_pct").between(*v.adaptive_atr) & higher, no),
+        "regime_gate": (from_bar(55) & trend & (c("dx") >= v.gate_adx) & (c("return_21") >= v.gate_return) & (c("volume_ratio") >= v.gate_volume) & higher, no),
+        "mean_reversion": (from_bar(110) & (c("close") < c("bb_lower")) & (c("crsi_wilder") < v.crsi_low) & optional, no),
+        "bb_mfi_v1": with_levels(v.v1_rsi),
+        "bb_mfi_v2": with_levels(v.v2_rsi),
+        "bb_mfi_v3": ((c("close") < c("bb21_lower")) & (c("mfi_16") < v.v3_mfi[0]) & dip & ~bear_pressure(), (c("close") > c("bb21_upper")) & (c("rsi_13") > v.v3_rsi) & (c("mfi_16") > v.v3_mfi[1])),
+        "squeeze_flow": (squeeze & flow(v.flow), no),
+        "keltner_breakout": (
+            from_bar(30) & (prev <= F.lag(band).over(series())) & (c("low") <= band * v.keltner_retest) & (c("close") > band) & (c("volume") >= v.keltner_volume * F.coalesce(F.when(from_bar(21), F.avg("volume").over(before(20))), F.lit(0.0))) & flow(v.keltner_flow) & higher, no),
+        "chop_trend": (from_bar(30) & (c("chop") < v.chop) & (c("rsi_wilder") > v.chop_rsi) & rising & flow(0.0), no),
+        "donchian_breakout": (from_bar(22) & (c("close") > F.max("close").over(before(20))) & (c("volume") >= v.donchian_volume * F.avg("volume").over(before(20))) & flow(0.0), no),
         "supertrend": ((c("supertrend") == 1) & (at("supertrend") == -1), (c("supertrend") == -1) & (at("supertrend") == 1)),
         "sar_trend": ((c("sar_trend") == 1) & (at("sar_trend") == -1) & (c("macd_hist") > 0), (c("sar_trend") == -1) & (at("sar_trend") == 1)),
         "fractal_trend": (c("fractal_low") & trend, c("ema_9") < c("ema_21")),

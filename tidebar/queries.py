@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import indicators as ind
 from .functions.patterns import candlesticks, fair_value_gap, price_action, volume_profile, with_methodology, with_structure, with_td9, with_wicks
 from .functions.recursive import recursive
-from .functions.scalars import bounded, direction, fold_text, percentile
+from .functions.scalars import bounded
 from .operators import gates, joins, labels, ledger, replay, retrieval, stats
 from .plans import conditions, guarded_sql, strategies
 from .session import table
@@ -234,13 +234,13 @@ def _ema_sql(n: int, col: str = "close", rows: str = "p") -> str:
     SELECT p.symbol, p.open_time, {r(ema_9_r='e9.v', rsi_wilder='CASE WHEN w.d = 0 THEN 100.0 ELSE 100 - 100 / (1 + w.u / w.d) END', macd_line='CASE WHEN p.bar >= 34 THEN e12.v - e26.v END')}
     FROM p LEFT JOIN e9 ON e9.symbol = p.symbol AND e9.bar = p.bar LEFT JOIN e12 ON e12.symbol = p.symbol AND e12.bar = p.bar LEFT JOIN e26 ON e26.symbol = p.symbol AND e26.bar = p.bar LEFT JOIN w ON w.symbol = p.symbol AND w.bar = p.bar""")
 def recursive_averages(spark, sf_dir):
-    return rounded(recursive(hourly(spark, sf_dir)), KEY, same("ema_9_r", "rsi_wilder", "macd_line"))
+    return rounded(recursive(hourly(spark, sf_dir), ["ema_9_r", "rsi_wilder", "macd_line"]), KEY, same("ema_9_r", "rsi_wilder", "macd_line"))
 
 
 @query(f"""WITH RECURSIVE {BARS}, b AS (SELECT *, row_number() OVER ({W}) AS bar FROM c), h AS (SELECT symbol, bar, open_time, (open + close) / 2 AS ho, (open + high + low + close) / 4 AS hc FROM b WHERE bar = 1
     UNION ALL SELECT b.symbol, b.bar, b.open_time, (h.ho + h.hc) / 2, (b.open + b.high + b.low + b.close) / 4 FROM h JOIN b ON b.symbol = h.symbol AND b.bar = h.bar + 1) SELECT symbol, open_time, {r(ha_open='ho', ha_close='hc')} FROM h""")
 def heikin_ashi(spark, sf_dir):
-    return rounded(recursive(hourly(spark, sf_dir)), KEY, same("ha_open", "ha_close"))
+    return rounded(recursive(hourly(spark, sf_dir), ["ha_open", "ha_close"]), KEY, same("ha_open", "ha_close"))
 
 
 @query()
@@ -350,28 +350,29 @@ def asof_higher_timeframe(spark, sf_dir):
     return joins.asof(bars, market.resample(bars, "4h"), ["symbol"], "close_time", "close_time", ["close", "close_time"], prefix="h4_").select(*KEY, "h4_close", "h4_close_time")
 
 
-@query(f"""WITH {TICKS}, a AS (SELECT symbol, time, seq FROM t WHERE seq % 10 = 0), b AS (SELECT symbol, time, price FROM t WHERE seq % 10 = 5)
-    SELECT a.symbol, a.seq, f.price AS next_price, p.price AS past_price FROM a ASOF LEFT JOIN b f ON a.symbol = f.symbol AND a.time <= f.time ASOF LEFT JOIN b p ON a.symbol = p.symbol AND a.time > p.time""")
+@query(f"""WITH {BARS} SELECT a.symbol, a.seq, f.open AS next_open, p.close AS past_close FROM t a ASOF LEFT JOIN c f ON a.symbol = f.symbol AND a.time <= f.open_time ASOF LEFT JOIN c p ON a.symbol = p.symbol AND a.time > p.open_time""")
 def asof_forward_and_strict(spark, sf_dir):
-    t = market.ticks(table(spark, sf_dir, "events"))
-    a, b = t.where("seq % 10 = 0").select("symbol", "time", "seq"), t.where("seq % 10 = 5").select("symbol", "time", "price")
-    out = joins.asof(a, b, ["symbol"], "time", "time", ["price"], forward=True, prefix="next_")
-    return joins.asof(out, b, ["symbol"], "time", "time", ["price"], strict=True, prefix="past_").select("symbol", "seq", "next_price", "past_price")
+    """Every tick with the first bar from its time on and the last one that began before it."""
+    ticks, bars = market.ticks(table(spark, sf_dir, "events")).select("symbol", "time", "seq"), hourly(spark, sf_dir)
+    out = joins.asof(ticks, bars, ["symbol"], "time", "open_time", ["open"], forward=True, prefix="next_")
+    return joins.asof(out, bars, ["symbol"], "time", "open_time", ["close"], strict=True, prefix="past_").select("symbol", "seq", "next_open", "past_close")
 
 
-@query(f"""WITH {TICKS}, a AS (SELECT * FROM t WHERE seq % 7 = 0), b AS (SELECT * FROM t WHERE seq % 7 = 3), m AS (SELECT a.symbol, a.seq, b.seq AS other, count(*) OVER (PARTITION BY a.seq) AS n FROM a JOIN b ON a.symbol = b.symbol AND abs(a.time - b.time) <= 600000)
+@query(f"""WITH {TICKS}, m AS (SELECT a.symbol, a.seq, b.seq AS other, count(*) OVER (PARTITION BY a.seq) AS n FROM t a JOIN t b ON a.symbol = b.symbol AND a.seq <> b.seq AND b.time BETWEEN a.time - 30000 AND a.time + 30000)
     SELECT symbol, seq, other FROM m WHERE n = 1""")
 def tolerance_join(spark, sf_dir):
+    """Every tick that has just one other tick of its symbol within 30 seconds."""
     t = market.ticks(table(spark, sf_dir, "events"))
-    a, b = t.where("seq % 7 = 0").select("symbol", "time", "seq"), t.where("seq % 7 = 3").select("symbol", F.col("time").alias("at"), F.col("seq").alias("other"))
-    return joins.nearest_unique(a, b, ["symbol"], "time", "at", 600_000, "seq").select("symbol", "seq", "other")
+    other = t.select("symbol", F.col("time").alias("at"), F.col("seq").alias("other"))
+    return joins.nearest_unique(t.select("symbol", "time", "seq"), other, ["symbol"], "time", "at", 30_000, "seq", F.col("seq") != F.col("other")).select("symbol", "seq", "other")
 
 
-@query(f"""WITH {BARS}, x AS (SELECT symbol, open_time AS entry_time, open_time + 36000000 AS exit_time, open AS entry_price FROM c WHERE (open_time // 3600000) % 24 = 5 AND open <> 0)
+@query(f"""WITH {BARS}, x AS (SELECT symbol, open_time AS entry_time, open_time + 36000000 AS exit_time, open AS entry_price FROM c WHERE open <> 0)
     SELECT x.symbol || '-' || x.entry_time AS trade_id, {r(mfe='max(c.high) / x.entry_price - 1', mae='min(c.low) / x.entry_price - 1')}, arg_max(c.open_time, (c.high, -c.open_time)) AS best_time, arg_min(c.open_time, (c.low, c.open_time)) AS worst_time FROM x JOIN c ON c.symbol = x.symbol AND c.open_time BETWEEN x.entry_time AND x.exit_time GROUP BY x.symbol, x.entry_time, x.entry_price""")
 def trade_excursions(spark, sf_dir):
+    """Every bar as a trade of ten hours."""
     bars = hourly(spark, sf_dir)
-    t = bars.where(((F.col("open_time") / market.HOUR).cast("long") % 24 == 5) & (F.col("open") != 0)).select(F.concat_ws("-", "symbol", "open_time").alias("trade_id"), "symbol", F.col("open_time").alias("entry_time"), (F.col("open_time") + 10 * market.HOUR).alias("exit_time"), F.col("open").alias("entry_price"))
+    t = bars.where("open <> 0").select(F.concat_ws("-", "symbol", "open_time").alias("trade_id"), "symbol", F.col("open_time").alias("entry_time"), (F.col("open_time") + 10 * market.HOUR).alias("exit_time"), F.col("open").alias("entry_price"))
     return rounded(labels.excursions(t, bars), ["trade_id", "best_time", "worst_time"], same("mfe", "mae"))
 
 
@@ -398,13 +399,13 @@ def first_touches(spark, sf_dir):
 
 @query()
 def spike_events(spark, sf_dir):
-    return rounded(labels.spikes(hourly(spark, sf_dir), 0.5, 6 * market.HOUR, 12 * market.HOUR), [*KEY, "crossed_at"], same("move"))
+    return rounded(labels.spikes(hourly(spark, sf_dir), 0.5, 6 * market.HOUR, 12 * market.HOUR, 6), [*KEY, "crossed_at", "peak_time", "onset_at"], same("move"))
 
 
 @query()
 def control_bars(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return labels.controls(bars, labels.spikes(bars, 0.5, 6 * market.HOUR, 12 * market.HOUR), 3 * market.HOUR, 6 * market.HOUR).select(*KEY)
+    return labels.controls(bars, labels.spikes(bars, 0.5, 6 * market.HOUR, 12 * market.HOUR, 6), 3 * market.HOUR, 6 * market.HOUR).select(*KEY)
 
 
 @query(f"""WITH {BARS}, l AS (SELECT symbol, open_time, close, list(high) OVER f AS hs, list(low) OVER f AS ls, list(close) OVER f AS cs FROM c WINDOW f AS ({W} ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING)),
@@ -460,8 +461,9 @@ def return_moments(spark, sf_dir):
 
 @query(f"""WITH {TRADES}, l AS (SELECT symbol, strategy, list_sort(list(pnl)) AS v FROM tr GROUP BY ALL) SELECT symbol, strategy, v[greatest(1, CAST(ceil(len(v) * 0.75::DOUBLE) AS INTEGER))] AS p75_nearest, v[CAST(floor((len(v) - 1) * 0.75::DOUBLE) AS INTEGER) + 1] AS p75_floor FROM l""")
 def percentile_variants(spark, sf_dir):
-    values = trades(spark, sf_dir).groupBy("symbol", "strategy").agg(F.collect_list("pnl").alias("v"))
-    return values.select("symbol", "strategy", percentile(F.col("v"), 0.75).alias("p75_nearest"), percentile(F.col("v"), 0.75, "floor").alias("p75_floor"))
+    n = F.col("n")
+    places = {"p75_nearest": F.greatest(F.lit(1), F.ceil(n * F.lit(0.75))), "p75_floor": F.floor((n - 1) * F.lit(0.75)) + 1}
+    return stats.ranked_values(trades(spark, sf_dir), ["symbol", "strategy"], "pnl", places)
 
 
 @query()
@@ -528,24 +530,27 @@ def forecast_report(spark, sf_dir):
     return rounded(ledger.forecast_report(forecasts(spark, sf_dir)), ["horizon_minutes", "total", "evaluated", "correct", "pending"], same("mean_confidence", "mean_return"))
 
 
-@query(f"""WITH {FORECASTS}, b AS (SELECT * REPLACE (unnest([symbol, NULL]) AS symbol) FROM f WHERE status = 'evaluated' AND direction_correct IS NOT NULL), m AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon_minutes, regime, direction ORDER BY created_at, forecast_id) > floor(count(*) OVER (PARTITION BY symbol, horizon_minutes, regime, direction) * 0.7::DOUBLE) AS late FROM b)
-    SELECT symbol, horizon_minutes, regime, direction, count(*) AS samples, {r(accuracy='avg(direction_correct)', late_accuracy='avg(direction_correct) FILTER (late)', calibration_error='avg(abs(confidence / 100 - direction_correct))')} FROM m GROUP BY ALL HAVING count(*) >= 15""")
+@query(f"""WITH {FORECASTS}, b AS (SELECT * REPLACE (unnest([upper(symbol), NULL]) AS symbol) FROM f WHERE status = 'evaluated' AND direction_correct IS NOT NULL), m AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon_minutes, regime, direction ORDER BY created_at, forecast_id) > greatest(1, floor(count(*) OVER (PARTITION BY symbol, horizon_minutes, regime, direction) * 0.7::DOUBLE)) AS late FROM b),
+    g AS (SELECT symbol, horizon_minutes, regime, direction, count(*) AS samples, count(*) FILTER (late) AS holdout, avg(direction_correct) FILTER (NOT late) AS a, avg(direction_correct) FILTER (late) AS l, avg(abs(confidence / 100 - direction_correct)) AS e FROM m GROUP BY ALL)
+    SELECT symbol, horizon_minutes, regime, direction, samples, holdout, {r(accuracy='a', late_accuracy='l', calibration_error='e')}, CASE WHEN l >= 0.55 AND abs(l - a) <= 0.20 THEN 'active' ELSE 'candidate' END AS status FROM g WHERE samples >= 12 AND holdout >= 4""")
 def forecast_lessons(spark, sf_dir):
-    return rounded(ledger.lessons(forecasts(spark, sf_dir)), ["symbol", "horizon_minutes", "regime", "direction", "samples"], same("accuracy", "late_accuracy", "calibration_error"))
+    return rounded(ledger.lessons(forecasts(spark, sf_dir)), ["symbol", "horizon_minutes", "regime", "direction", "samples", "holdout", "status"], same("accuracy", "late_accuracy", "calibration_error"))
 
 
 # Retrieval and text
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), d AS (SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS e, quality, CAST(doc_id * 3600 AS DOUBLE) AS seen FROM documents JOIN embeddings ON doc_id = vec_id LEFT JOIN labels USING (doc_id)),
-    s AS (SELECT doc_id AS document_id, 0.60 * coalesce(list_cosine_similarity(e, q.v), 0) + 0.15 * len(list_intersect(['of', 'the', 'under'], regexp_split_to_array(lower(text), '[^\\pL\\pN]+'))) / 3.0 + 0.15 * exp(-greatest(0, (5000000 - seen) / 86400) / 30) + CASE WHEN quality = 1 THEN 0.10 WHEN quality = 0 THEN -0.10 ELSE 0 END AS score FROM d, q)
-    SELECT document_id, round(CAST(score AS DOUBLE), 6) AS score FROM s ORDER BY s.score DESC, document_id LIMIT 20""")
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS e, quality, CAST(doc_id * 3600 AS DOUBLE) AS seen FROM documents JOIN embeddings ON doc_id = vec_id LEFT JOIN labels USING (doc_id)),
+    z AS (SELECT doc_id, e, 0.15 * len(list_intersect(['of', 'the', 'under'], regexp_split_to_array(lower(text), '[^\\pL\\pN]+'))) / 3.0 + 0.15 * exp(-greatest(0, (5000000 - seen) / 86400) / 30) + CASE WHEN quality = 1 THEN 0.10 WHEN quality = 0 THEN -0.10 ELSE 0 END AS rest FROM d),
+    s AS (SELECT query_id, doc_id AS document_id, 0.60 * coalesce(list_cosine_similarity(e, q.v), 0) + rest AS score FROM z, q)
+    SELECT query_id, document_id, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS n FROM s) WHERE n <= 20""")
 def memory_retrieval(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query, against all documents with a vector."""
     vectors = table(spark, sf_dir, "embeddings")
-    found = vectors.where("vec_id = 0").first()
     docs = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     docs = docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), "embedding", (F.col("doc_id") * 3600).cast("double").alias("observed_at"), F.when(F.col("quality") == 1, "success").when(F.col("quality") == 0, "failure").alias("outcome"))
-    return retrieval.retrieve(docs, list(found["embedding"]), "of the under", 5_000_000.0, 20).select("document_id", F.round("score", 6).alias("score"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit("of the under").alias("words"))
+    return retrieval.retrieve(docs, asked, 5_000_000.0, 20).select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH d AS (SELECT doc_id, lang, source, CASE WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'failure' END AS o FROM documents JOIN labels USING (doc_id)), p AS (SELECT a.doc_id AS source_id, b.doc_id AS target_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id DESC) AS n FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.o <> b.o AND a.doc_id <> b.doc_id)
@@ -555,10 +560,12 @@ def contradiction_links(spark, sf_dir):
     return retrieval.contradictions(d, d)
 
 
-@query("SELECT conv_id, turn, length(text) AS n, lower(role) AS role, CASE WHEN lower(trim(role)) = 'user' THEN NULL END AS direction FROM conversations")
+@query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations), h AS (SELECT *, left(t, 100) AS head FROM t), e AS (SELECT *, regexp_extract(head, '^(.*[.!?])(?:\\s|$)', 1) AS sentence FROM h)
+    SELECT conv_id, turn, CASE WHEN length(t) <= 100 THEN t WHEN length(sentence) >= 50 THEN sentence ELSE regexp_replace(head, '\\s+\\S*$', '') END AS short, sha256(t) AS hash FROM e""")
 def text_helpers(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").withColumns({"_b": bounded(F.col("text"), 100), "_f": fold_text(F.col("role"))})
-    return t.select("conv_id", "turn", F.length("text").cast("long").alias("n"), F.col("_f").alias("role"), direction(F.col("role")).alias("direction"))
+    """Every turn of a conversation cut to 100 characters at a sentence or a word."""
+    squeezed = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", bounded(F.col("text"), 100).alias("short"), F.sha2(squeezed, 256).alias("hash"))
 
 
 # Strategies, replays, the query surface
@@ -617,7 +624,7 @@ def guarded_select(spark, sf_dir):
 
 @query()
 def average_cascade(spark, sf_dir):
-    return cascade_batch(hourly(spark, sf_dir), rise=0.02)
+    return cascade_batch(hourly(spark, sf_dir), sequence=600, breakout=1800, outcome=1800)
 
 
 @query()
