@@ -329,7 +329,7 @@ def dealt(members: DataFrame, weight, each: int) -> tuple[DataFrame, list[DataFr
     not by each other; the others' pieces meet each other and themselves.
     """
     sizes = members.groupBy("group", "component").agg(F.sum(weight + DOC).alias("size"))
-    sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")))
+    sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")).where("others > 0"))
     pieces = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / PIECE))
     unit = lambda i, j, part: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), part.cast("long").alias("part"))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), pieces(c) - 1)
@@ -339,7 +339,7 @@ def dealt(members: DataFrame, weight, each: int) -> tuple[DataFrame, list[DataFr
     met = cut(members.join(hinted(sizes), "group").withColumn("units", units).drop("main", "mains", "others"))
     blocks = max(1, (met.agg(F.sum(F.size("units") * (weight * each + 1024))).first()[0] or 0) // TASK_BYTES)
     names = [c for c in members.columns if c != "units"]
-    out = met.select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
+    out = hinted(met).select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
     return out, [sizes, met]
 
 
@@ -372,14 +372,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     versions = several.select("doc", F.explode("nodes").alias("node")).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
 
     prefixes = single.mapInArrow(_prefixes(sent, words, percent), "token long, salt int, doc long, n int")
-    shared = prefixes.withColumn("many", F.count("*").over(Window.partitionBy("token", "salt"))).where("many > 1 or salt > 0")
-    table = cut(shared.select("token", "doc", "n"))
+    # Each row gets its bucket's pivot, the least document, where its bucket is counted; those of buckets that were dealt out are few and joined.
+    bucket = Window.partitionBy("token", "salt")
+    shared = prefixes.withColumns({"many": F.count("*").over(bucket), "pivot": F.min(F.struct("doc", "n")).over(bucket)}).where("many > 1 or salt > 0")
+    buckets = cut(shared.select("token", "salt", "doc", "n", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m")))
+    hot = cut(buckets.where("salt > 0").groupBy("token").agg(F.min(F.struct("other", "m")).alias("hot")))
+    table = buckets.join(hinted(hot), "token", "left").select("token", "doc", "n", F.coalesce("hot.other", "other").alias("other"), F.coalesce("hot.m", "m").alias("m"))
 
     least = F.expr(f"greatest(1L, ({percent}L * (n + m) + {99 + percent}L) div {100 + percent}L - ({percent}L * greatest(n, m) + 99L) div 100L + 1L)")
     near = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
-    pivots = table.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.max("doc").alias("last")).where("pivot.doc <> last")
-    pivots = cut(pivots.select("token", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m")))
-    tried = table.join(hinted(pivots), "token").where("doc <> other").where(near).groupBy("doc", "n", "other", "m").count().where(F.col("count") >= least)
+    tried = table.where("doc <> other").where(near).groupBy("doc", "n", "other", "m").count().where(F.col("count") >= least)
     pairs = cut(tried.groupBy("doc").agg(F.max_by("other", F.struct("count", "other")).alias("b")).withColumnRenamed("doc", "a"))
 
     # The pairs' prefixes in the other orders, then the whole sets of those that are left.
@@ -387,17 +389,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
     sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
     left, right = sets.select(F.col("doc").alias("a"), "n", "up", "down"), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("up").alias("up2"), F.col("down").alias("down2"))
-    agreed = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "up", "up2", "down", "down2").mapInArrow(_agree(percent), "a long, b long"))
-    left, right = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-    links = agreed.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
+    agreed = cut(hinted(pairs).join(left, "a").join(right, "b").select("a", "b", "n", "m", "up", "up2", "down", "down2").mapInArrow(_agree(percent), "a long, b long"))
+    ends = cut(agreed.select("b").distinct())
+    left, right = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right")).join(hinted(ends), "b", "left_semi")
+    links = hinted(agreed).join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
     known = components(links.union(versions))
-    discard(wanted, sets, agreed, pairs, pivots)
-
-    # Buckets with several components. Those with the same least component make a group, whose documents meet.
-    at = cut(table.join(hinted(renamed(known, node="doc", component="component")), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
-    mixed = cut(at.groupBy("token").agg(F.min("component").alias("group"), F.max("component").alias("high")).where("group <> high").select("token", "group"))
-    members = cut(at.join(hinted(mixed), "token").groupBy("group", "doc", "component", "n").agg(F.collect_list("token").alias("own")))
-    groups = cut(members.groupBy("doc").agg(F.countDistinct("group").alias("groups")))
+    discard(wanted, sets, agreed, ends, pairs)
+
+    # Buckets whose pivots are in one component make a group. Groups of several components are left; their documents meet.
+    of = lambda end, name: hinted(renamed(known, node=end, component=name))
+    at = table.join(of("doc", "_own"), "doc", "left").join(of("other", "_group"), "other", "left")
+    at = at.select("token", "doc", "n", F.coalesce("_own", "doc").alias("component"), F.coalesce("_group", "other").alias("group"))
+    every = cut(at.groupBy("group", "doc", "component", "n").agg(F.collect_list("token").alias("own")))
+    mixed = cut(every.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group"))
+    members = every.join(hinted(mixed), "group", "left_semi")
+    groups = cut(members.groupBy("doc").agg(F.count("*").alias("groups")))
     units, used = dealt(members.join(hinted(groups), "doc"), F.size("own"), 8)
     alive = cut(units.groupBy("block").applyInArrow(_meetings(lambda x, y: hopeful(x, y, percent), ["group", "doc"]), "group long, doc long").distinct())
     asked = cut(alive.select("doc").distinct())
@@ -406,7 +412,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     units, more = dealt(left, F.col("n"), 10)
     met = units.drop("n").join(sets.select("doc", "n", "rare", "tokens"), "doc")
     again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
-    discard(at, mixed, members, groups, alive, asked, sets, left, table, copies, classes, seen, *used, *more)
+    discard(every, mixed, groups, alive, asked, sets, left, buckets, hot, copies, classes, seen, *used, *more)
 
     first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
     out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
