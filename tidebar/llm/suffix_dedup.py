@@ -5,9 +5,9 @@ All suffixes of a corpus are too many to ship, so what can't repeat is left out
 once end there. The surroundings of the others (all windows that pick the anchor) are cut out; equal
 surroundings are repeats as a whole and go on as one. What is left is sorted in blocks by two-stage suffix sorting: suffixes smaller than
 their successors directly, the others induced from them by bucket scans; neighbours with `length` bytes in common are repeats.
-An anchor with more different surroundings than a task should hold is split instead: they meet by digests of every STEP-th window and of what all windows between two of
-these have in common. As every window holds the anchor, the first and the last repeated one say what is covered, so single windows are looked
-at only where the common part is repeated and some surroundings have no repeated window known on both sides.
+An anchor with more different surroundings than a task should hold is split: its windows are dealt to classes of STEP neighbouring starts, and in a class
+surroundings meet only if they have what all its windows share. These pieces are sorted like the others. A class that still has too many meets by digests of single windows. As
+every window holds the anchor, the first and the last repeated one say what is covered.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .common import CHUNK_BYTES, chunks, cut, discard, hinted, mix64, powers, sm
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a sorted block, about; different surroundings of an anchor that one block takes.
 BLOCK_BYTES, CROWD = 150_000, 1000
-#: Of the surroundings of such an anchor, every STEP-th window is looked at first.
-STEP = 21
+#: Windows of such an anchor that a class takes.
+STEP = 22
 PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -195,25 +195,17 @@ def _digest(piece: bytes) -> bytes:
     return blake2b(piece, digest_size=16).digest()
 
 
-def coarse(piece: bytes, left: int, length: int) -> list[tuple[int, bytes]]:
-    """Of one of the surroundings (its anchor `left` bytes in): each STEP-th window by its start (0 or less, from the anchor), and by k = 1, 2, ... what
-    the windows that start between -k * STEP and -(k - 1) * STEP have in common."""
+def classes(piece: bytes, left: int, length: int) -> list[tuple[int, int, bytes, bytes]]:
+    """One of the surroundings (its anchor `left` bytes in) by classes of windows: (class, first start from the anchor, digest of what all windows of the class share, the bytes of its own windows)."""
     last, out = len(piece) - length - left, []
     for k in range(left // STEP + 1):
-        start = -k * STEP
-        if start <= last:
-            out.append((start, _digest(piece[left + start : left + start + length])))
-        if max(start - STEP + 1, -left) <= min(start - 1, last):
-            out.append((k + 1, _digest(piece[left + start - 1 : left + start - STEP + 1 + length])))
+        low, high = -(k + 1) * STEP + 1, -k * STEP
+        a, b = max(low, -left), min(high, last)
+        if a <= b:
+            out.append((k, a, _digest(piece[left + high : left + low + length]), piece[left + a : left + b + length]))
     return out
 
 
-def fine(piece: bytes, left: int, length: int, classes: list[int]) -> list[tuple[int, bytes]]:
-    """The windows of these of the classes k of coarse()."""
-    last = len(piece) - length - left
-    return [(s, _digest(piece[left + s : left + s + length])) for k in classes for s in range(max(-k * STEP + 1, -left), min(-(k - 1) * STEP - 1, last) + 1)]
-
-
 def _runs(starts: np.ndarray, left: int, length: int) -> list[int]:
     """Starts of windows, ascending, as pairs (from, to) of covered bytes, relative to the anchor."""
     if not len(starts):
@@ -232,7 +224,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     anchors = cut(texts.mapInArrow(_anchor_rows(length), f"doc {kind}, mark int, place int, before short, beyond short, gram long, around long"))
     often = cut(anchors.groupBy("gram").agg(F.count("*").alias("many"), F.min("around").alias("low"), F.max("around").alias("high")).where("many > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")))
-    found = cut(anchors.join(hinted(often), "gram"))
+    found = cut(anchors.join(often, "gram"))
     kinds = cut(found.groupBy("gram", "around").agg(F.count("*").alias("many"), F.first("mixed").alias("mixed"), F.min(F.struct("doc", "mark", "place", "before", "beyond")).alias("one")))
     crowds = cut(kinds.where("mixed").groupBy("gram").agg(F.count("*").alias("size")).where(f"size > {CROWD}").select("gram"))
     alone = kinds.where("mixed").join(hinted(crowds).withColumn("crowd", F.lit(True)), "gram", "left").select("gram", "around", "one.*", F.coalesce("crowd", F.lit(False)).alias("crowd"))
@@ -247,8 +239,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append({"gram": c["gram"], "around": c["around"], "crowd": c["crowd"], "left": c["before"], "piece": text[c["place"] - c["before"] : c["place"] + c["beyond"]]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    once = texts.alias("t").join(hinted(wanted).alias("w"), F.expr("t.doc <=> w.doc and t.mark = w.mark")).select("text", "cuts")
-    pieces = once.mapInArrow(slices, "gram long, around long, crowd boolean, left int, piece binary")
+    once = texts.alias("t").join(wanted.alias("w"), F.expr("t.doc <=> w.doc and t.mark = w.mark")).select("text", "cuts")
+    pieces = cut(once.mapInArrow(slices, "gram long, around long, crowd boolean, left int, piece binary"))
 
     def block(table: pa.Table) -> pa.Table:
         lefts = table["left"].to_numpy()
@@ -265,41 +257,46 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = []
     if not crowds.isEmpty():
 
-        def digests(use):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    rows = [(gram, around, *x) for gram, around, *args in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in use(*args)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gram", "around", "at", "code"])
-
-            return run
-
-        def repeated(rows: DataFrame) -> DataFrame:
-            """The rows whose code another one has at the same place."""
-            rows = cut(rows)
-            twice = cut(rows.groupBy("gram", "at", "code").count().where("count > 1").drop("count"))
-            out = cut(rows.join(hinted(twice), ["gram", "at", "code"]))
-            discard(rows, twice)
-            return out
-
-        kind = "gram long, around long, at int, code binary"
-        crowd = cut(pieces.where("crowd").dropDuplicates(["gram", "around"]).select("gram", "around", "left", "piece"))
-        first = repeated(crowd.mapInArrow(digests(lambda left, piece: coarse(piece, left, length)), kind))
-        known = first.where("at <= 0").groupBy("gram", "around").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-        classes = first.where("at > 0")
-        open_ones = classes.join(known, ["gram", "around"], "left").where(f"a is null or -(at - 1) * {STEP} - 1 < a or 1 - at * {STEP} > b")
-        wanted_ones = cut(open_ones.select("gram", "at", "code").distinct())
-        ask = classes.join(hinted(wanted_ones), ["gram", "at", "code"]).groupBy("gram", "around").agg(F.collect_list("at").alias("classes"))
-        second = repeated(crowd.join(ask, ["gram", "around"]).mapInArrow(digests(lambda left, piece, which: fine(piece, left, length, which)), kind))
-        parts = [crowd, first, wanted_ones, second]
-        starts = first.where("at <= 0").unionByName(second).groupBy("gram", "around").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-        covers = covers.unionByName(starts.select("gram", "around", F.array("a", F.col("b") + length).alias("cover")))
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("class", pa.int32()), ("first", pa.int32()), ("core", pa.binary()), ("span", pa.binary())])
+            for batch in batches:
+                rows = [(gram, around, *x) for gram, around, left, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in classes(piece, left, length)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(gram, around, first + k, _digest(span[k : k + length])) for gram, around, first, span in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in range(len(span) - length + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gram", "around", "at", "code"])
+
+        def sorted_class(table: pa.Table) -> pa.Table:
+            first = table["first"].to_numpy().astype(np.int64)
+            groups = {x: k for k, x in enumerate(dict.fromkeys(zip(*(table[c].to_pylist() for c in ("gram", "class", "core")))))}
+            own = np.array([groups[x] for x in zip(*(table[c].to_pylist() for c in ("gram", "class", "core")))])
+            found = repeats_in(table["span"].to_pylist(), -first, own, length)
+            some = np.flatnonzero([len(x) > 0 for x in found])
+            ends = [(int(found[k][0] + first[k]), int(found[k][-1] + first[k])) for k in some]
+            return pa.table({"gram": table["gram"].take(pa.array(some)), "around": table["around"].take(pa.array(some)), "a": pa.array([x[0] for x in ends], pa.int32()), "b": pa.array([x[1] for x in ends], pa.int32())})
+
+        key = ["gram", "class", "core"]
+        crowd = pieces.where("crowd").dropDuplicates(["gram", "around"]).select("gram", "around", "left", "piece")
+        spread = cut(crowd.mapInArrow(split, "gram long, around long, class int, first int, core binary, span binary"))
+        shared = cut(spread.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"))
+        dealt = spread.join(hinted(shared), key)
+        bins = max(1, spread.count() * (length + STEP) // BLOCK_BYTES)
+        few = dealt.where(f"size <= {CROWD}").withColumn("block", F.pmod(F.xxhash64(*key), F.lit(bins))).groupBy("block").applyInArrow(sorted_class, "gram long, around long, a int, b int")
+        windows = cut(dealt.where(f"size > {CROWD}").select("gram", "around", "first", "span").mapInArrow(single, "gram long, around long, at int, code binary"))
+        twice = cut(windows.groupBy("gram", "at", "code").count().where("count > 1").drop("count"))
+        many = windows.join(hinted(twice), ["gram", "at", "code"]).select("gram", "around", F.col("at").alias("a"), F.col("at").alias("b"))
+        parts = [spread, shared, windows, twice]
+        ends = few.union(many).groupBy("gram", "around").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        covers = covers.unionByName(ends.select("gram", "around", F.array("a", F.col("b") + length).alias("cover")))
     covers = cut(covers.where("size(cover) > 0"))
     # What a place in a document is covered by: its whole surroundings, or what the sorted block found.
     known = cut(kinds.select("gram", "around", (F.col("many") > 1).alias("whole")).join(covers, ["gram", "around"], "left").where("whole or cover is not null"))
     first = F.col("place") - F.col("before").cast("int")
     cover = F.when(F.col("whole"), F.array(first, F.col("place") + F.col("beyond").cast("int"))).otherwise(F.transform("cover", lambda x: x + F.col("place")))
-    spans = cut(found.select("doc", "mark", "place", "before", "beyond", "gram", "around").join(hinted(known), ["gram", "around"]).select("doc", "mark", cover.alias("cover")).groupBy("doc", "mark").agg(F.flatten(F.collect_list("cover")).alias("cover")))
-    discard(anchors, often, found, kinds, wanted, crowds, covers, known, *parts)
+    spans = cut(found.select("doc", "mark", "place", "before", "beyond", "gram", "around").join(known, ["gram", "around"]).select("doc", "mark", cover.alias("cover")).groupBy("doc", "mark").agg(F.flatten(F.collect_list("cover")).alias("cover")))
+    discard(anchors, often, found, kinds, wanted, crowds, pieces, covers, known, *parts)
     return texts, spans
 
 
@@ -337,6 +334,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             last = pa.array([sha256(x).hexdigest() for x in kept], pa.string()) if digest else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([sum(b - a for a, b in x) for x in gone], pa.int64()), pa.array([len(x) for x in gone], pa.int64()), last], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = texts.alias("t").join(hinted(spans).alias("s"), F.expr("t.doc <=> s.doc and t.mark = s.mark"), "left").select("t.doc", "text", "cover")
+    both = texts.alias("t").join(spans.alias("s"), F.expr("t.doc <=> s.doc and t.mark = s.mark"), "left").select("t.doc", "text", "cover")
     out = both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
