@@ -631,3 +631,6 @@ def average_cascade(spark, sf_dir):
 def feature_snapshots(spark, sf_dir):
     df = strategies.radar(strategies.features(hourly(spark, sf_dir)))
     return df.select("symbol", "open_time", "radar", F.round("rsi_wilder", 6).alias("rsi"), F.round("bb_position", 6).alias("bb_position"), "regime", "bos")
+
+
+from . import research_queries  # noqa: E402, F401  registers its own
