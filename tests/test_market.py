@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +235,77 @@ def test_alerts_rearm():
     a = streams.Alert()
     got = [a.step(t, v, "gt", 10, 9, 0) for t, v in enumerate([9, 11, 12, 9.5, 11, 8.9, 11])]
     assert got == [False, True, False, False, False, False, True]
+
+
+def test_sink_goes_on_from_what_is_stored(spark, tmp_path):
+    """A stream that starts anew counts its batches from 0 again, and a batch may come twice: no stored row is lost."""
+    path, cols = str(tmp_path / "table"), "symbol string, open_time long, close double, fetched_at double"
+    write = streams.upsert_sink(path, ["symbol", "open_time"], "fetched_at")
+    assert streams.read_latest(spark, path) is None
+    first, second = spark.createDataFrame([("X", 1, 1.0, 1.0), ("X", 2, 2.0, 1.0)], cols), spark.createDataFrame([("X", 2, 9.0, 2.0), ("Y", 1, 3.0, 2.0)], cols)
+    for epoch, batch in enumerate([first, second, second]):
+        write(batch, epoch if epoch < 1 else 0)
+    want = {("X", 1): 1.0, ("X", 2): 9.0, ("Y", 1): 3.0}
+    assert {(x["symbol"], x["open_time"]): x["close"] for x in streams.read_latest(spark, path).collect()} == want
+    (tmp_path / "table" / "v9").mkdir()
+    write(first.limit(0), 0)
+    assert streams.read_latest(spark, path).count() == 3
+
+
+def walk(n, seed):
+    rng = random.Random(seed)
+    closes = [100.0]
+    for _ in range(n - 1):
+        closes.append(closes[-1] * (1 + rng.gauss(0, 0.02)))
+    opens = [closes[0], *closes[:-1]]
+    return opens, [max(o, c) * 1.005 for o, c in zip(opens, closes)], [min(o, c) * 0.995 for o, c in zip(opens, closes)], closes
+
+
+def test_spikes_against_a_plain_walk(spark):
+    opens, highs, lows, closes = walk(200, 3)
+    horizon, cool, rise, want, allowed = 15, 20, 0.04, [], 0
+    for i in range(200):
+        ahead = range(i + 1, min(200, i + horizon + 1))
+        if i < allowed or not ahead or max(highs[k] for k in ahead) / closes[i] - 1 < rise:
+            continue
+        peak = max(ahead, key=lambda k: (highs[k], -k))
+        crossed = next(k for k in ahead if highs[k] / closes[i] - 1 >= rise)
+        onset = min(range(max(0, crossed - horizon), crossed + 1), key=lambda k: lows[k])
+        want.append((i, peak, crossed, onset))
+        allowed = peak + cool
+    got = labels.spikes(candles(spark, opens, highs, lows, closes), rise, horizon * 60_000, cool * 60_000).collect()
+    assert sorted((x["open_time"] // 60_000, x["peak_time"] // 60_000, x["crossed_at"] // 60_000, x["onset_at"] // 60_000) for x in got) == want and len(want) > 2
+
+
+def test_whole_window_stop_against_a_plain_walk(spark):
+    opens, highs, lows, closes = walk(90, 4)
+    got = {x["bar"]: x["s"] for x in ind.prepare(candles(spark, opens, highs, lows, closes)).select("bar", ind.ut_whole(window=40).alias("s")).collect()}
+    for n in range(1, 91):
+        want = None
+        if n >= 16:
+            ranges = [max(highs[k] - lows[k], abs(highs[k] - closes[k - 1]), abs(lows[k] - closes[k - 1])) for k in range(n - 11, n)]
+            gap, stop = sum(ranges) / 11, []
+            smooth = [(opens[k] + highs[k] + lows[k] + closes[k]) / 4 for k in range(max(0, n - 40), n)]
+            for k, x in enumerate(smooth):
+                if not k:
+                    stop.append(x - gap)
+                elif x > stop[-1] and smooth[k - 1] > stop[-1]:
+                    stop.append(max(stop[-1], x - gap))
+                elif x < stop[-1] and smooth[k - 1] < stop[-1]:
+                    stop.append(min(stop[-1], x + gap))
+                else:
+                    stop.append(x - gap if x > stop[-1] else x + gap)
+            want = "buy" if smooth[-1] > stop[-1] and smooth[-2] <= stop[-2] else "sell" if smooth[-1] < stop[-1] and smooth[-2] >= stop[-2] else None
+        assert got[n] == want
+    assert {"buy", "sell"} <= set(got.values())
+
+
+def test_alerts_cool_down_and_expire():
+    a = streams.Alert()
+    assert [a.step(t, v, "lte", 10, None, 3, 20) for t, v in [(0, 9), (1, 9), (2, 9), (4, 9), (5, 12), (9, None), (10, 9), (30, 9)]] == [True, False, False, True, False, False, True, False]
+
+
+def test_bootstrap_blocks_are_whole_series_of_n(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(50)], "t long, pnl double")
+    assert {x["total"] for x in stats.block_bootstrap(df, "pnl", ["t"], 20).collect()} == {50.0}
+    assert [x["_at"] for x in stats.numbered(df.union(df), ["t", "pnl"], 7).orderBy("_at").collect()] == list(range(100))
