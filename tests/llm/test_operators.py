@@ -259,6 +259,8 @@ def test_fingerprints(docs, empty):
         half = len(t) // 2
         want[i, sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["edited_sha256"]) for r in rows if r["doc_id"] is not None) == want
+    sparse = edited_fingerprints(docs.where("doc_id is not null").withColumn("doc_id", F.expr("doc_id * 100000000000001L - 2000000000000000L"))).collect()
+    assert Counter(r["edited_sha256"] for r in sparse) == Counter(r["edited_sha256"] for r in rows if r["doc_id"] is not None)
     assert all(0 <= r["near_edited"] <= 1 for r in rows) and all(r["near_next"] is None for r in rows if r["doc_id"] is None)
     sets = {r["doc_id"]: set(r["fingerprint"].split()) for r in got if r["doc_id"] is not None}
     pairs = {(r["a"], r["b"]): r["likeness"] for r in near_pairs(docs).collect()}

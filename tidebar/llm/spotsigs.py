@@ -22,8 +22,8 @@ COMMON = (
     "al como con cuando del donde el ella ellos era esta este fue ha hay las lo los mi muy nos para pero por porque sin sobre su sus te tiene todo una unos yo"
 ).split()
 WORDS = sorted(set(COMMON))
-#: Ids that share a bucket while the next document is looked up.
-RUN = 1024
+#: Ids that share a bucket while the next document is looked up, at least, and buckets at most: sparse ids get wider ones.
+RUN, RUNS = 1024, 1 << 16
 
 
 def bind(value: Column, use) -> Column:
@@ -96,10 +96,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A text's edited version has its last floor(n_chars / 2) code points replaced by the first as many of the next document by id (after the last:
     the first; rows that repeat an id are in order of text). Null texts are empty. Rows without an id have no next document: their edited
-    text is cut short and near_next is null. Ids are looked up in runs of RUN, so that no task holds more than the rows of a few runs.
+    text is cut short and near_next is null. Ids are looked up in runs, RUNS at most; a run's rows are sorted and walked in order, and only its first id is put in order with those of the others.
+    An empty table gives none; other columns don't matter.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    with_id = base.where("doc_id is not null").withColumn("run", F.floor(F.col("doc_id") / RUN).cast("long"))
+    with_id = base.where("doc_id is not null")
+    low, high = with_id.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = max(RUN, -(-((high or 0) - (low or 0) + 1) // RUNS))
+    # Whole numbers only: doubles can't tell large ids apart.
+    with_id = with_id.withColumn("run", F.expr(f"doc_id div {width}L"))
     heads = with_id.groupBy("run").agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("run")
     first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
