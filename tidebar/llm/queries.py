@@ -19,11 +19,13 @@ from .suffix_dedup import remove_repeats
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: source/language/hundred/name stands for one, and short texts are the licence files."""
+    """Documents have no paths: source/language/hundred/name stands for one. Every tenth is named as a licence file, every hundredth of its language's directory, every thousandth of its source's, so that
+    ancestors at several depths are looked up."""
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.length("text") < 400, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
-    hundred = F.floor(F.col("doc_id") / 100).cast("string")
-    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", hundred, name)))
+    i = F.col("doc_id")
+    hundred, name = F.floor(i / 100).cast("string"), F.when(i % 10 == 0, F.concat(F.lit("LICENSE-"), i.cast("string"))).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    path = F.when(i % 1000 == 0, F.concat_ws("/", "source", name)).when(i % 100 == 0, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", hundred, name))
+    return license_scan(docs.withColumn("path", path))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +80,11 @@ def _license_sql() -> str:
         z AS (SELECT doc_id, line, sqrt(sum(w * w)) AS size FROM x GROUP BY ALL),
         c AS (SELECT doc_id, template, max(round(dot / size, 6)) AS score FROM (SELECT doc_id, line, template, sum(w * unit) AS dot FROM x JOIN t USING (word) GROUP BY ALL) JOIN z USING (doc_id, line) GROUP BY ALL),
         o AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS r FROM c WHERE score >= 0.75) JOIN n USING (template) WHERE r = 1),
-        d AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) AS folder, length(text) < 400 AS is_file, source, lang FROM documents),
-        g AS (SELECT folder, arg_min(license, 'LICENSE-' || CAST(doc_id AS VARCHAR)) AS granted FROM d JOIN o USING (doc_id) WHERE is_file GROUP BY folder)
-        SELECT d.doc_id, o.license, o.score, CASE WHEN o.license IS NULL THEN g.folder END AS directory, CASE WHEN o.license IS NULL THEN g.granted END AS inherited
-        FROM d LEFT JOIN o USING (doc_id) LEFT JOIN g ON g.folder = d.folder
+        d AS (SELECT doc_id, doc_id % 10 = 0 AS is_file, CASE WHEN doc_id % 1000 = 0 THEN source WHEN doc_id % 100 = 0 THEN concat_ws('/', source, lang) ELSE concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) END AS folder FROM documents),
+        g AS (SELECT folder, arg_min(license, 'LICENSE-' || CAST(doc_id AS VARCHAR)) AS granted FROM d JOIN o USING (doc_id) WHERE is_file GROUP BY folder),
+        u AS (SELECT doc_id, folder, split_part(folder, '/', 1) AS f1, concat_ws('/', split_part(folder, '/', 1), split_part(folder, '/', 2)) AS f2 FROM d)
+        SELECT u.doc_id, o.license, o.score, CASE WHEN o.license IS NULL THEN coalesce(a.folder, b.folder, c.folder) END AS directory, CASE WHEN o.license IS NULL THEN coalesce(a.granted, b.granted, c.granted) END AS inherited
+        FROM u LEFT JOIN o USING (doc_id) LEFT JOIN g a ON a.folder = u.folder LEFT JOIN g b ON b.folder = u.f2 LEFT JOIN g c ON c.folder = u.f1
     """
 
 
