@@ -179,7 +179,7 @@ def test_bpe(docs, empty, vocabulary):
 
 def test_quality(spark, docs, empty):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    settings = Settings(epochs=6)
+    settings = Settings()
     model = fit_quality(d, labels, settings)
     scored = quality_scores(d, model, settings)
     out = scored.join(labels, "doc_id").where("held_out").toPandas()
@@ -188,6 +188,7 @@ def test_quality(spark, docs, empty):
     assert out[out["quality"] == 1]["predicted"].mean() >= 0.97
     assert quality_scores(docs, model, settings).count() == docs.count()
     assert keep_good(docs, model, settings).columns == docs.columns
+    assert fit_quality(d, labels, Settings(entries=40_000)).value[0].shape == model.value[0].shape
     none = fit_quality(docs, labels.limit(0), settings)
     assert {round(r["score"], 1) for r in quality_scores(docs, none, settings).collect()} <= {0.4, 0.5, 0.6}
     assert quality_scores(empty, model, settings).count() == 0 and keep_good(empty, model, settings).count() == 0

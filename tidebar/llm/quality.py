@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, mix64, small_batches, spans_hash
+from .common import SPACE, chunks, cut, discard, mix64, small_batches, spans_hash
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,8 @@ class Settings:
     buckets: int = 1 << 17  #: hash buckets of words and n-grams, so at most as many entries for a training document
     grams: tuple[int, ...] = (3, 4)  #: lengths of character n-grams, in bytes
     size: int = 8
-    rows: int = 3000  #: labelled rows to learn from at most, the first by hash of their id
+    rows: int = 3000  #: labelled documents to learn from at most, the first by hash of their id
+    entries: int = 1 << 24  #: and no more of these than have so many entries in all: what the driver holds
     epochs: int = 4
     batch: int = 32
     rate: float = 0.3
@@ -140,17 +141,20 @@ def held_out(id_col: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
     """A broadcast (odds by bucket, base) learned from the rows of labels that aren't held out.
 
-    At most settings.rows labelled documents are used, the first by hash of their id; with none, every score is the same (0.5). An id with
-    several labels counts as its highest; null labels, ids and texts don't count.
+    At most settings.rows labelled documents are used, the first by hash of their id, and of these as many as have settings.entries entries in all; with none, every score is the same (0.5). An id with
+    several labels counts as its highest, one with several texts as the least of them; null labels, ids and texts don't count.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(settings.rows)
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "key").select("key", "text", "label")
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "key").groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.mapInArrow(_training_rows(settings), f"key {kind}, label int, buckets array<int>, shares array<float>").toArrow()
-    rows = rows.sort_by("key")
+    found = cut(texts.mapInArrow(_training_rows(settings), f"key {kind}, label int, buckets array<int>, shares array<float>"))
+    # At most settings.rows narrow rows are put in order here.
+    upto = found.select("key", F.sum(F.size("buckets")).over(Window.orderBy(F.xxhash64("key"), "key")).alias("upto")).where(F.col("upto") <= settings.entries)
+    rows = found.join(F.broadcast(upto), "key", "left_semi").toArrow().sort_by("key")
+    discard(found)
     buckets, shares = ([np.asarray(x.values) for x in rows[c].combine_chunks()] if len(rows) else [] for c in ("buckets", "shares"))
     model = train((rows["label"].to_numpy() > 0).astype(np.int64), buckets, shares, settings)
     return spark.sparkContext.broadcast(model)
