@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, cut, discard, hinted, small_batches, spans_hash, words_of
+from .common import SPACE, chunks, cut, discard, small_batches, spans_hash, words_of
 
 #: Sentences a span, and the words that it has at least: spans of very short sentences recur by chance. Runs of any number of sentences have ENOUGH words, so
 #: that a license line or a saying of one sentence isn't a repeat.
@@ -127,7 +127,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # Hashes alone are counted first: most occur once, and their places needn't be shuffled.
     repeated = cut(texts.select("text").mapInArrow(hashes, "span long").groupBy("span").agg(F.count("*").alias("many")).where("many > 1").select("span"))
-    spans = cut(texts.mapInArrow(hashed, f"doc {kind}, mark int, place int, size int, span long").join(hinted(repeated), "span", "left_semi"))
+    spans = cut(texts.mapInArrow(hashed, f"doc {kind}, mark int, place int, size int, span long").join(repeated, "span", "left_semi"))
     # Written, so that a join can deal a common span's rows out.
     first = cut(spans.groupBy("span").agg(F.min(F.struct("doc", "mark", "place")).alias("first")))
     later = spans.join(first, "span").where(F.struct("doc", "mark", "place") != F.col("first"))
@@ -166,7 +166,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
             last = [sha256(x).hexdigest() for x in kept] if digest else [x.decode() for x in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(last, pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed", "kept"])
 
-    both = texts.alias("t").join(hinted(gone).alias("g"), F.expr("t.doc <=> g.doc and t.mark = g.mark"), "left").select("t.doc", "text", "places")
+    both = texts.alias("t").join(gone.alias("g"), F.expr("t.doc <=> g.doc and t.mark = g.mark"), "left").select("t.doc", "text", "places")
     discard(spans, repeated, first)
     out = both.mapInArrow(run, f"doc_id {kind}, n_sentences long, n_removed long, removed array<int>, kept string")
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
