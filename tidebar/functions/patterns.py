@@ -11,20 +11,28 @@ from .indicators import atr, before, last, ready, series, volume_ratio, zscore
 
 
 class Bar:
-    """A bar some places back: its prices, body, range and direction."""
+    """A bar some places back, as fields of a struct: its prices, body, range and direction."""
 
-    def __init__(self, back: int, mean_body: Column):
+    NAMES = ("open", "high", "low", "close", "top", "bottom", "body", "range", "up", "down", "material", "falling", "rising")
+
+    def __init__(self, fields: Column, back: int):
+        for name in self.NAMES:
+            setattr(self, name, fields[f"{name}_{back}"])
+
+    @staticmethod
+    def prices(back: int) -> list[Column]:
+        """What the window gives of the bar; the trend into it is its close against that three bars earlier, or the first there is."""
         w = series()
         get = lambda c: F.col(c) if not back else F.lag(c, back).over(w)
-        self.open, self.high, self.low, self.close = (get(c) for c in ("open", "high", "low", "close"))
-        self.top, self.bottom = F.greatest(self.open, self.close), F.least(self.open, self.close)
-        self.body, self.range = self.top - self.bottom, F.greatest(self.high - self.low, F.lit(1e-12))
-        self.up, self.down = self.close > self.open, self.close < self.open
-        self.material = self.body >= F.greatest(self.range * 0.10, mean_body * 0.20)
-        # The trend into a bar: its close against that three bars earlier, or the first there is.
         start = F.coalesce(F.lag("close", back + 3).over(w), F.first("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        here = F.col("bar") - back > 1
-        self.falling, self.rising = here & (self.close < start), here & (self.close > start)
+        return [*(get(c).alias(f"{c}_{back}") for c in ("open", "high", "low", "close")), start.alias(f"start_{back}")]
+
+    @staticmethod
+    def shape(x: Column, back: int) -> list[Column]:
+        o, h, lo, c, start = (x[f"{n}_{back}"] for n in ("open", "high", "low", "close", "start"))
+        top, bottom, size, here = F.greatest(o, c), F.least(o, c), F.greatest(h - lo, F.lit(1e-12)), x["bar"] - back > 1
+        material = top - bottom >= F.greatest(size * 0.10, x["mean"] * 0.20)
+        return [v.alias(f"{n}_{back}") for n, v in zip(Bar.NAMES, (o, h, lo, c, top, bottom, top - bottom, size, c > o, c < o, material, here & (c < start), here & (c > start)))]
 
 
 def inside(inner: Bar, outer: Bar) -> Column:
@@ -33,10 +41,15 @@ def inside(inner: Bar, outer: Bar) -> Column:
 
 def candlesticks() -> Column:
     """The reversal patterns that this closed bar completes, ['none'] if none. Rules: shape, a real body, and a trend to reverse."""
-    size = F.abs(F.col("close") - F.col("open"))
-    mean = F.avg(size).over(last(20))
-    mean = F.when(mean == 0, 1e-12).otherwise(mean)
-    c, p, f = Bar(0, mean), Bar(1, mean), Bar(2, mean)
+    mean = F.avg(F.abs(F.col("close") - F.col("open"))).over(last(20))
+    prices = F.struct(*[x for k in range(3) for x in Bar.prices(k)], F.when(mean == 0, 1e-12).otherwise(mean).alias("mean"), F.col("bar").alias("bar"))
+    # Each step's fields are worked out once, however many rules use them.
+    shapes = lambda x: F.struct(*[v for k in range(3) for v in Bar.shape(x, k)], x["mean"].alias("mean"), x["bar"].alias("bar"))
+    return F.element_at(F.transform(F.transform(F.array(prices), shapes), _completed), 1)
+
+
+def _completed(x: Column) -> Column:
+    c, p, f, mean, bar = Bar(x, 0), Bar(x, 1), Bar(x, 2), x["mean"], x["bar"]
     upper, lower = c.high - c.top, c.bottom - c.low
     solid = (c.body / c.range > 0.10) & c.material
     low_pin = solid & (lower >= F.greatest(c.body * 2, c.range * 0.45)) & (upper <= F.greatest(c.body * 0.75, c.range * 0.10))
@@ -45,7 +58,7 @@ def candlesticks() -> Column:
     bull, bear = pair & p.falling & p.down & c.up, pair & p.rising & p.up & c.down
     small = (c.body <= p.body * 0.60) & inside(c, p)
     half = (p.open + p.close) / 2
-    three = (F.col("bar") >= 5) & (f.body >= mean)
+    three = (bar >= 5) & (f.body >= mean)
     held, star = (p.body <= f.body * 0.60) & inside(p, f), (p.body <= f.body * 0.45) & (c.body >= f.body * 0.60)
     middle = (f.open + f.close) / 2
     rules = {
@@ -57,7 +70,7 @@ def candlesticks() -> Column:
         "morning_star": three & f.falling & f.down & c.up & star & (c.close > middle), "evening_star": three & f.rising & f.up & c.down & star & (c.close < middle),
     }
     found = F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]))
-    return F.when((F.col("bar") < 3) | (F.size(found) == 0), F.array(F.lit("none"))).otherwise(found)
+    return F.when((bar < 3) | (F.size(found) == 0), F.array(F.lit("none"))).otherwise(found)
 
 
 def price_action() -> Column:
