@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, discard, hinted, mix64, renamed, small_batches, unused, words_of
+from .common import BROADCAST_BYTES, chunks, cut, discard, hinted, mix64, renamed, small_batches, stored_bytes, unused, words_of
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -339,7 +339,7 @@ def dealt(members: DataFrame, weight, each: int) -> tuple[DataFrame, list[DataFr
     met = cut(members.join(hinted(sizes), "group").withColumn("units", units).drop("main", "mains", "others"))
     blocks = max(1, (met.agg(F.sum(F.size("units") * (weight * each + 1024))).first()[0] or 0) // TASK_BYTES)
     names = [c for c in members.columns if c != "units"]
-    out = hinted(met).select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
+    out = met.select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
     return out, [sizes, met]
 
 
@@ -410,7 +410,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
     left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
     units, more = dealt(left, F.col("n"), 10)
-    met = units.drop("n").join(sets.select("doc", "n", "rare", "tokens"), "doc")
+    units = units.drop("n")
+    # Sets needn't be dealt by document first where the meetings are few.
+    units = F.broadcast(units) if stored_bytes(more[-1]) <= BROADCAST_BYTES // 4 else units
+    met = units.join(sets.select("doc", "n", "rare", "tokens"), "doc")
     again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
     discard(every, mixed, groups, alive, asked, sets, left, buckets, hot, copies, classes, seen, *used, *more)
 
