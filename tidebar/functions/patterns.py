@@ -42,10 +42,14 @@ def inside(inner: Bar, outer: Bar) -> Column:
 def candlesticks() -> Column:
     """The reversal patterns that this closed bar completes, ['none'] if none. Rules: shape, a real body, and a trend to reverse."""
     mean = F.avg(F.abs(F.col("close") - F.col("open"))).over(last(20))
-    prices = F.struct(*[x for k in range(3) for x in Bar.prices(k)], F.when(mean == 0, 1e-12).otherwise(mean).alias("mean"), F.col("bar").alias("bar"))
-    # Each step's fields are worked out once, however many rules use them.
-    shapes = lambda x: F.struct(*[v for k in range(3) for v in Bar.shape(x, k)], x["mean"].alias("mean"), x["bar"].alias("bar"))
-    return F.element_at(F.transform(F.transform(F.array(prices), shapes), _completed), 1)
+    return _of_bars(range(3), mean, _completed)
+
+
+def _of_bars(backs, mean: Column, use) -> Column:
+    """use(bars), where each field of the bars some places back is worked out once, however many rules use it."""
+    prices = F.struct(*[x for k in backs for x in Bar.prices(k)], F.when(mean == 0, 1e-12).otherwise(mean).alias("mean"), F.col("bar").alias("bar"))
+    shapes = lambda x: F.struct(*[v for k in backs for v in Bar.shape(x, k)], x["mean"].alias("mean"), x["bar"].alias("bar"))
+    return F.element_at(F.transform(F.transform(F.array(prices), shapes), use), 1)
 
 
 def _completed(x: Column) -> Column:
@@ -75,14 +79,17 @@ def _completed(x: Column) -> Column:
 
 def price_action() -> Column:
     """The setup of the bar before this one: pin bars, then inside bar, then fakeys, the later named winning."""
-    none = F.lit(0.0)
-    c, m, g = Bar(1, none), Bar(2, none), Bar(3, none)
+    return _of_bars(range(1, 4), F.lit(0.0), _setup)
+
+
+def _setup(x: Column) -> Column:
+    c, m, g = Bar(x, 1), Bar(x, 2), Bar(x, 3)
     upper, lower = c.high - c.top, c.bottom - c.low
     out = F.when((lower >= c.body * 2) & (lower >= upper * 1.5) & (c.close >= c.low + c.range * 0.6), "bullish_pin_bar").when((upper >= c.body * 2) & (upper >= lower * 1.5) & (c.close <= c.low + c.range * 0.4), "bearish_pin_bar").otherwise("none")
     out = F.when((m.high > m.low) & (c.high < m.high) & (c.low > m.low), "inside_bar").otherwise(out)
     nested = (m.high < g.high) & (m.low > g.low)
     fake = F.when(nested & (c.high > g.high) & (c.close < g.high), "bearish_fakey").when(nested & (c.low < g.low) & (c.close > g.low), "bullish_fakey")
-    return F.when(F.col("bar") < 4, "none").otherwise(F.coalesce(fake, out))
+    return F.when(x["bar"] < 4, "none").otherwise(F.coalesce(fake, out))
 
 
 def with_td9(df: DataFrame, lookback: int = 4, most: int = 28) -> DataFrame:
