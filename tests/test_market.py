@@ -162,6 +162,11 @@ def test_conditions(spark):
             conditions.conditions(bad)
     with pytest.raises(ValueError):
         conditions.strategy({"exit_policy": {"mode": "never"}})
+    with pytest.raises(ValueError, match="trailing_stop_pct"):
+        conditions.ExitPolicy.read({"use_trailing_stop": True, "trailing_stop_pct": 2})
+    assert conditions.strategy({"entry": [{"indicator": "close", "op": "gt", "value": 2}]})[2] == {"stop": 0.02, "target": 0.03, "trail": None, "max_hold": None}
+    policy = {"mode": "conditions_only", "use_trailing_stop": True, "trailing_stop_pct": 0.1, "use_max_hold": True, "max_hold_bars": 5}
+    assert conditions.strategy({"exit_policy": policy})[2] == {"stop": None, "target": None, "trail": 0.1, "max_hold": 5}
 
 
 @pytest.mark.parametrize("text", ["DROP TABLE x", "SELECT 1; SELECT 2", "SELECT * FROM secret", "WITH a AS (SELECT * FROM secret) SELECT * FROM a"])
