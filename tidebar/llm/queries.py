@@ -9,6 +9,7 @@ from ..session import table
 from .bpe import bpe_encode
 from .cap_filters import near_vectors
 from .licenses import TEMPLATES, license_scan, model
+from .merkle import manifest, proof_digest
 from .mixing import replicate
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
@@ -67,6 +68,13 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's CRC-32 is even are found with their texts' line breaks gone."""
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    found = F.when(odd | F.col("doc_id").isNull(), F.col("text")).otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return manifest(table(spark, sf_dir, "documents"), {"text": found}).withColumn("proof_sha256", proof_digest(F.col("proof"))).drop("proof")
+
+
 def _license_sql() -> str:
     idf, other, rows, _ = model()
     known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
@@ -103,6 +111,44 @@ def _near(x: str, y: str) -> str:
     return f"CASE WHEN {x} = {y} THEN 1.0::DOUBLE ELSE {both} / (len({a}) + len({b}) - {both}) END"
 
 
+#: Two CTEs; the second holds the CRC-32 of the 256 single bytes, for _crc32().
+CRC_TABLE = """
+        crc_bits AS (SELECT k, k AS c, 0 AS n FROM range(256) r(k) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM crc_bits WHERE n < 8),
+        crc AS (SELECT list(c ORDER BY k) AS of FROM crc_bits WHERE n = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, null for null; needs CRC_TABLE and `crc` in FROM."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, crc.of[xor(c & 255, b) + 1]), 4294967295::BIGINT))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _merkle_sql() -> str:
+    leaf = lambda text: "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    return f"""
+        WITH RECURSIVE {CRC_TABLE},
+        z AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS found FROM documents, crc),
+        n AS (SELECT *, row_number() OVER (ORDER BY doc_id, leaf) AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS size FROM z),
+        t AS (SELECT source, 0 AS lvl, i, size, leaf AS h FROM n UNION ALL SELECT source, lvl + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE size > 1 GROUP BY source, lvl, i // 3, size),
+        s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS size FROM t WHERE size = 1),
+        u AS (SELECT 0 AS lvl, i, size, h FROM s UNION ALL SELECT lvl + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE size > 1 GROUP BY lvl, i // 3, size),
+        e AS (
+            SELECT n.rid, t.lvl, t.i, t.h, n.i // CAST(pow(3, t.lvl) AS BIGINT) AS own FROM n JOIN t ON t.source IS NOT DISTINCT FROM n.source AND t.size > 1 AND t.i // 3 = n.i // CAST(pow(3, t.lvl + 1) AS BIGINT)
+            UNION ALL SELECT n.rid, 100 + u.lvl, u.i, u.h, s.i // CAST(pow(3, u.lvl) AS BIGINT) FROM n JOIN s ON s.source IS NOT DISTINCT FROM n.source JOIN u ON u.size > 1 AND u.i // 3 = s.i // CAST(pow(3, u.lvl + 1) AS BIGINT)
+        ),
+        p AS (SELECT rid, sha256(string_agg(h, '' ORDER BY lvl, i)) AS proof FROM e WHERE i <> own GROUP BY rid),
+        k AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS step, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS l, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS r FROM e GROUP BY rid, lvl),
+        f AS (SELECT rid, 1 AS step, found AS h FROM n UNION ALL SELECT f.rid, f.step + 1, sha256(k.l || f.h || k.r) FROM f JOIN k ON k.rid = f.rid AND k.step = f.step),
+        g AS (SELECT rid, arg_max(h, step) AS folded FROM f GROUP BY rid), o AS (SELECT h AS root FROM u WHERE size = 1)
+        SELECT n.doc_id, n.leaf, s.h AS subroot, o.root, coalesce(p.proof, sha256('')) AS proof_sha256, g.folded AS folded_root, g.folded = o.root AS verified
+        FROM n JOIN s ON s.source IS NOT DISTINCT FROM n.source JOIN g USING (rid) LEFT JOIN p USING (rid), o
+    """
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -114,6 +160,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cap_filters": op10_cap_filters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -155,4 +202,5 @@ ORACLES = {
         f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_spots("text")} AS fingerprint, {_spots("edited")} AS edited_fingerprint, {_spots("nxt")} AS nx FROM e)
         SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near("fingerprint", "edited_fingerprint")} AS near_edited, {_near("fingerprint", "nx")} AS near_next FROM f
     """,
+    "op13_merkle_manifest": _merkle_sql(),
 }
