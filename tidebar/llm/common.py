@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ BROADCAST_BYTES = 6 << 20
 CHUNK_BYTES = 1 << 19
 #: Bytes of a batch that Spark hands to Python.
 BATCH_BYTES = 2 << 20
+#: Characters of a text that are cut into words at a time.
+PIECE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -102,6 +105,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             size += n or 0
 
 
+def pieces(text: str | bytes, edge: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE characters of text, each but the last ending where edge matches."""
+    at = 0
+    while at < len(text):
+        found = edge.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        yield at, end
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Murmur3's 64-bit finalizer, which spreads every input bit."""
     x = x ^ (x >> np.uint64(33))

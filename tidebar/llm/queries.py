@@ -15,6 +15,7 @@ from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
 from .secrets import secret_spans
 from .span_dedup import remove_repeated_spans
+from .spelling import spelling_variants
 from .spotsigs import WORDS, edited_fingerprints
 from .suffix_dedup import remove_repeats
 
@@ -68,6 +69,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose id's CRC-32 is even are found with their texts' line breaks gone."""
     odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
@@ -160,6 +165,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cap_filters": op10_cap_filters,
+    "op12_spelling": op12_spelling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -202,5 +208,18 @@ ORACLES = {
         f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_spots("text")} AS fingerprint, {_spots("edited")} AS edited_fingerprint, {_spots("nxt")} AS nx FROM e)
         SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near("fingerprint", "edited_fingerprint")} AS near_edited, {_near("fingerprint", "nx")} AS near_next FROM f
     """,
+    "op12_spelling": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+        h AS (SELECT run, n, {_crc32("(CAST(doc_id AS VARCHAR) || ':' || run)")} AS h FROM r, crc),
+        d AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        x AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM w, range(1, 10000) g(i) WHERE i <= length(word)),
+        p AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word UNION SELECT x.word, w.word FROM x JOIN w ON x.cut = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.cut = w.word),
+        b AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-w.n, p.near)) AS near, max(w.n) AS near_n FROM p JOIN w ON w.word = p.near GROUP BY p.word),
+        f AS (SELECT w.word, CASE WHEN near_n >= 10 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+        o AS (SELECT word, word AS upto, 0 AS step FROM f UNION ALL SELECT o.word, f.form, o.step + 1 FROM o JOIN f ON f.word = o.upto WHERE f.form IS NOT NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(upto, step) AS root FROM o GROUP BY word) USING (word)
+    """,
     "op13_merkle_manifest": _merkle_sql(),
 }
