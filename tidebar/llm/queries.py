@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .bpe import bpe_encode
 from .cap_filters import near_vectors
+from .langid import fit_languages, predict_languages
 from .licenses import TEMPLATES, license_scan, model
 from .merkle import manifest, proof_digest
 from .mixing import replicate
@@ -69,6 +70,11 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_languages(docs))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -165,6 +171,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cap_filters": op10_cap_filters,
+    "op11_language_id": op11_language_id,
     "op12_spelling": op12_spelling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -208,6 +215,29 @@ ORACLES = {
         f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_spots("text")} AS fingerprint, {_spots("edited")} AS edited_fingerprint, {_spots("nxt")} AS nx FROM e)
         SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near("fingerprint", "edited_fingerprint")} AS near_edited, {_near("fingerprint", "nx")} AS near_next FROM f
     """,
+    "op11_language_id": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        d AS (SELECT row_number() OVER () AS rid, doc_id, text, lang, {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 1 AS held_out FROM documents, crc),
+        a AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{1,64}}')) AS word FROM d) GROUP BY ALL),
+        c AS (SELECT lang, word, sum(n) AS n FROM a JOIN d USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+        l AS (SELECT lang, sum(n) AS size FROM c GROUP BY lang ORDER BY size DESC, lang LIMIT 256),
+        m AS (SELECT greatest(1, least(524288 // (5 * count(*)), 33554432 // (5 * count(*) * count(*)))) AS most FROM l),
+        s AS (SELECT word, k, CASE WHEN k > 1 THEN ' ' || word || ' ' ELSE word END AS whole FROM (SELECT DISTINCT word FROM a), range(1, 5) r(k)),
+        g AS (SELECT word, k, substr(whole, i, k) AS gram, count(*) AS times FROM s, range(1, 67) p(i) WHERE i <= length(whole) - k + 1 GROUP BY ALL),
+        n AS (SELECT lang, 0 AS k, word AS gram, n FROM c JOIN l USING (lang) UNION ALL SELECT lang, k, gram, sum(n * times) FROM c JOIN l USING (lang) JOIN g USING (word) GROUP BY ALL),
+        h AS (SELECT lang, k, n, many, sum(many) OVER (PARTITION BY lang, k ORDER BY n DESC) AS kept FROM (SELECT lang, k, n, count(*) AS many FROM n GROUP BY ALL)),
+        t AS (SELECT lang, k, min(n) FILTER (kept <= (SELECT most FROM m)) AS least, sum(n * many) AS total FROM h GROUP BY ALL),
+        u AS (SELECT k, CAST(round(-log10(0.5 / max(total)) * 1000000) AS BIGINT) AS unseen FROM t GROUP BY k),
+        e AS (SELECT lang, k, gram, CAST(round(-log10(CAST(n AS DOUBLE) / total) * 1000000) AS BIGINT) AS cost FROM n JOIN t USING (lang, k) WHERE n >= least),
+        b AS (SELECT k, gram, l.lang, coalesce(e.cost, u.unseen) AS cost FROM (SELECT DISTINCT k, gram FROM e) JOIN u USING (k) CROSS JOIN l LEFT JOIN e USING (k, gram, lang)),
+        w AS (SELECT word, lang, cost FROM (SELECT DISTINCT word FROM a) JOIN b ON b.k = 0 AND b.gram = word),
+        o AS (SELECT word, k, lang, CAST(sum(cost * times) // sum(times) AS BIGINT) AS cost FROM g JOIN b USING (k, gram) WHERE word NOT IN (SELECT word FROM w) GROUP BY ALL),
+        v AS (SELECT * FROM w UNION ALL SELECT word, lang, arg_max(cost, k) FROM o GROUP BY ALL),
+        x AS (SELECT a.rid, l.lang, l.size, sum(a.n * coalesce(v.cost, u.unseen)) AS cost, sum(a.n) AS words FROM a CROSS JOIN l JOIN u ON u.k = 0 LEFT JOIN v ON v.word = a.word AND v.lang = l.lang GROUP BY ALL),
+        y AS (SELECT rid, arg_min(lang, (cost, -size, lang)) AS lang_pred, min(cost) AS least, any_value(words) AS words FROM x GROUP BY rid),
+        z AS (SELECT rid, lang_pred, round(1 / sum(pow(10.0::DOUBLE, CAST(least - cost AS DOUBLE) / (CAST(y.words AS DOUBLE) * 1000000))), 9) AS score FROM x JOIN y USING (rid) GROUP BY ALL)
+        SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN z USING (rid)
+    """,
     "op12_spelling": f"""
         WITH RECURSIVE {CRC_TABLE},
         r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
