@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tidebar.functions import indicators as ind
 from tidebar.functions.patterns import candlesticks, fair_value_gap, volume_profile, with_structure, with_td9, with_wicks
-from tidebar.functions.recursive import Ema, HeikinAshi, Kama, Macd, WilderRsi, recursive
+from tidebar.functions.recursive import Ema, Kama, WilderRsi, recursive
 from tidebar.functions.scalars import bounded, direction, erf, fold_text, percentile, trade_economics
 from tidebar.operators import joins, labels, ledger, replay, retrieval, stats
 from tidebar.plans import conditions, guarded_sql, strategies
@@ -60,12 +60,8 @@ def test_machines():
     assert [e(x) for x in (1, 2, 3, 5)] == [None, None, 2.0, 3.5]
     r = WilderRsi(2)
     assert [r(x) for x in (1, 2, 3)] == [None, None, 100.0]
-    m = Macd()
-    out = [m(100 + 0.1 * i) for i in range(40)]
-    assert out[32] == (None, None, None) and out[34][2] is not None
     k = Kama()
     assert [k(float(i)) for i in range(11)][-1][1] == 1.0
-    assert HeikinAshi()(1, 3, 1, 2) == (1.5, 3, 1, 1.75)
 
 
 def test_no_look_ahead(spark):

@@ -1,4 +1,4 @@
-"""Recursive indicators: one pass over each series in order, carrying a small state from batch to batch.
+"""Recursive indicators that aren't linear (see `linear` for those): one pass over each series in order, carrying a small state from batch to batch.
 
 `scan` deals series to partitions, sorts them, and feeds rows to a machine a series as Arrow batches come, so a series of any length needs only its
 machine's state in memory; Spark's sort spills.
@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .linear import NAMES, linear
+
 SERIES = ["symbol", "timeframe"]
 
 
@@ -83,19 +85,6 @@ class WilderRsi:
         return 100.0 if self.down == 0 else 100 - 100 / (1 + self.up / self.down)
 
 
-class Macd:
-    """Line, signal and histogram of mean-seeded averages; the signal's seed starts at the line's first value."""
-
-    def __init__(self, fast: int = 12, slow: int = 26, signal: int = 9):
-        self.fast, self.slow, self.signal = Ema(fast), Ema(slow), Ema(signal)
-
-    def __call__(self, x: float) -> tuple[float | None, float | None, float | None]:
-        a, b = self.fast(x), self.slow(x)
-        line = None if b is None else a - b
-        signal = self.signal(line)
-        return (line, signal, line - signal) if signal is not None else (None, None, None)
-
-
 class Kama:
     """Kaufman's average: the smoothing follows the efficiency ratio of the last n changes. Returns (average, ratio)."""
 
@@ -116,64 +105,67 @@ class Kama:
 
 
 class Sar:
-    """Parabolic stop-and-reverse with the usual steps; (level, 1 rising or -1 falling)."""
+    """Parabolic stop-and-reverse; (level, 1 rising or -1 falling). The pace starts at `start` after each turn and grows by `step` with each new extreme."""
 
-    def __init__(self, step: float = 0.02, most: float = 0.2):
-        self.step, self.most, self.level, self.trend, self.edge, self.pace = step, most, None, 1, None, step
+    def __init__(self, start: float = 0.02, step: float = 0.05, most: float = 0.2):
+        self.start, self.step, self.most, self.level, self.trend, self.edge, self.pace = start, step, most, None, 1, None, start
         self.bars: deque = deque(maxlen=2)
 
     def __call__(self, high: float, low: float) -> tuple[float, int]:
+        side = self.trend
+        # Seen from the rising side: `ahead` is where the trend goes, `behind` where it may be stopped.
+        ahead, behind = (high, low) if side > 0 else (-low, -high)
         if self.level is None:
             self.level, self.edge = low, high
         else:
-            self.level += self.pace * (self.edge - self.level)
-            if self.trend > 0:
-                self.level = min([self.level, *(b[1] for b in self.bars)])
-                if low < self.level:
-                    self.trend, self.level, self.edge, self.pace = -1, self.edge, low, self.step
-                elif high > self.edge:
-                    self.edge, self.pace = high, min(self.most, self.pace + self.step)
-            else:
-                self.level = max([self.level, *(b[0] for b in self.bars)])
-                if high > self.level:
-                    self.trend, self.level, self.edge, self.pace = 1, self.edge, high, self.step
-                elif low < self.edge:
-                    self.edge, self.pace = low, min(self.most, self.pace + self.step)
+            level, edge = side * self.level, side * self.edge
+            level = min([level + self.pace * (edge - level), *(side * bar[side > 0] for bar in self.bars)])
+            if behind < level:
+                self.trend, level, edge, self.pace = -side, edge, behind, self.start
+            elif ahead > edge:
+                edge, self.pace = ahead, min(self.most, self.pace + self.step)
+            self.level, self.edge = side * level, side * edge
         self.bars.append((high, low))
         return self.level, self.trend
 
 
 class MeanRange:
-    """ATR as the plain mean of the last n true ranges."""
+    """ATR as the plain mean of the last n true ranges; the first bar has one (its own range) only if `whole`."""
 
-    def __init__(self, n: int):
-        self.ranges, self.past = deque(maxlen=n), None
+    def __init__(self, n: int, whole: bool = False):
+        self.ranges, self.past, self.whole = deque(maxlen=n), None, whole
 
     def __call__(self, high: float, low: float, close: float) -> float | None:
         if self.past is not None:
             self.ranges.append(max(high - low, abs(high - self.past), abs(low - self.past)))
+        elif self.whole:
+            self.ranges.append(high - low)
         self.past = close
         return sum(self.ranges) / len(self.ranges) if len(self.ranges) == self.ranges.maxlen else None
 
 
 class Supertrend:
-    """Bands at factor * ATR around the middle that only tighten; the direction turns when a close crosses the far one."""
+    """Bands at factor * ATR around the middle that only tighten until a close passes them; the direction, at first by the close against the middle, turns when a close passes the band it runs along."""
 
     def __init__(self, n: int = 9, factor: float = 0.35):
-        self.range, self.factor, self.upper, self.lower, self.trend, self.past = MeanRange(n), factor, None, None, 1, None
+        self.range, self.factor, self.upper, self.lower, self.trend, self.past = MeanRange(n, whole=True), factor, None, None, 0, None
 
     def __call__(self, high: float, low: float, close: float) -> int | None:
         size = self.range(high, low, close)
         past, self.past = self.past, close
-        if size is None:
+        if size is None or past is None:
             return None
         middle = (high + low) / 2
         upper, lower = middle + self.factor * size, middle - self.factor * size
-        if self.upper is not None:
-            upper = upper if upper < self.upper or past > self.upper else self.upper
-            lower = lower if lower > self.lower or past < self.lower else self.lower
-            self.trend = 1 if close > self.upper else -1 if close < self.lower else self.trend
-        self.upper, self.lower = upper, lower
+        if not self.trend:
+            self.upper, self.lower, self.trend = upper, lower, 1 if close >= middle else -1
+            return self.trend
+        if upper < self.upper or past > self.upper:
+            self.upper = upper
+        if lower > self.lower or past < self.lower:
+            self.lower = lower
+        if close > self.upper if self.trend < 0 else close < self.lower:
+            self.trend = -self.trend
         return self.trend
 
 
@@ -201,33 +193,6 @@ class TrailingStop:
         return self.stop, "buy" if past <= old and close > self.stop else "sell" if past >= old and close < self.stop else None
 
 
-class HeikinAshi:
-    """Smoothed candles: (open, high, low, close)."""
-
-    def __init__(self):
-        self.open = self.close = None
-
-    def __call__(self, o: float, h: float, l: float, c: float) -> tuple[float, float, float, float]:  # noqa: E741
-        close = (o + h + l + c) / 4
-        self.open = (o + c) / 2 if self.open is None else (self.open + self.close) / 2
-        self.close = close
-        return self.open, max(h, self.open, close), min(l, self.open, close), close
-
-
-class StrengthIndex:
-    """TSI: 100 times the doubly smoothed change over the doubly smoothed absolute change."""
-
-    def __init__(self, slow: int = 25, fast: int = 13):
-        self.past, self.chain = None, [(Ema(slow), Ema(fast)) for _ in range(2)]
-
-    def __call__(self, x: float) -> float | None:
-        past, self.past = self.past, x
-        if past is None:
-            return None
-        up, size = (fast(slow(v)) for (slow, fast), v in zip(self.chain, (x - past, abs(x - past))))
-        return None if size is None else 100 * up / size if size else 0.0
-
-
 class WilderConnors:
     """Connors RSI from smoothed RSIs of closes and of streaks, and the share of the last `rank` relative changes (this one included) that are smaller than this one."""
 
@@ -250,45 +215,16 @@ class WilderConnors:
         return (price + run + 100 * sum(c < self.changes[-1] for c in self.changes) / len(self.changes)) / 3
 
 
-class _Change:
-    """Feeds a machine with changes of the close, weighed if asked."""
-
-    def __init__(self, machine: Callable, weigh: bool = False):
-        self.machine, self.weigh, self.past = machine, weigh, None
-
-    def __call__(self, r):
-        past, self.past = self.past, r.close
-        return self.machine(None if past is None else (r.close - past) * (r.volume if self.weigh else 1))
-
-
 def _of(machine, *names):
     """A machine fed with these columns of a row, giving a tuple."""
-    one = (lambda r: (machine(*(getattr(r, n) for n in names)),)) if not isinstance(machine, (Macd, Kama, Sar, TrailingStop, HeikinAshi)) else (lambda r: machine(*(getattr(r, n) for n in names)))
+    one = (lambda r: (machine(*(getattr(r, n) for n in names)),)) if not isinstance(machine, (Kama, Sar, TrailingStop)) else (lambda r: machine(*(getattr(r, n) for n in names)))
     return one
 
 
-def _powers():
-    middle = Ema(13)
-
-    def step(r):
-        m = middle(r.close)
-        return (None, None) if m is None else (r.high - m, r.low - m)
-
-    return step
-
-
-def _force():
-    machine = _Change(Ema(13), weigh=True)
-    return lambda r: (machine(r),)
-
-
 #: Fields, and what makes the machine that gives them.
 MACHINES: dict[str, Callable] = {
-    "ema_9_r double": lambda: _of(Ema(9), "close"), "ema_21_r double": lambda: _of(Ema(21), "close"), "ema_50_r double": lambda: _of(Ema(50), "close"), "ewm_21 double": lambda: _of(Ema(21, "first"), "close"),
-    "rsi_wilder double": lambda: _of(WilderRsi(), "close"), "rsi_13 double": lambda: _of(WilderRsi(13), "close"), "crsi_wilder double": lambda: _of(WilderConnors(), "close"),
-    "macd_line double, macd_signal double, macd_hist double": lambda: _of(Macd(), "close"), "kama double, efficiency double": lambda: _of(Kama(), "close"), "sar double, sar_trend int": lambda: _of(Sar(), "high", "low"),
+    "crsi_wilder double": lambda: _of(WilderConnors(), "close"), "kama double, efficiency double": lambda: _of(Kama(), "close"), "sar double, sar_trend int": lambda: _of(Sar(), "high", "low"),
     "supertrend int": lambda: _of(Supertrend(), "high", "low", "close"), "ut_stop double, ut_signal string": lambda: _of(TrailingStop(), "high", "low", "close"),
-    "ha_open double, ha_high double, ha_low double, ha_close double": lambda: _of(HeikinAshi(), "open", "high", "low", "close"), "tsi double": lambda: _of(StrengthIndex(), "close"), "force double": _force, "bull_power double, bear_power double": _powers,
 }
 
 
@@ -303,8 +239,18 @@ class _All:
         return []
 
 
+#: What recursive() gives if it isn't told.
+USUAL = ["ema_9_r", "ema_21_r", "ema_50_r", "ewm_21", "rsi_wilder", "rsi_13", "macd_line", "macd_signal", "macd_hist", "ha_open", "ha_high", "ha_low", "ha_close", "tsi", "force", "bull_power", "bear_power"]
+
+
 def recursive(candles: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(symbol, timeframe, open_time, ...): the recursive indicators of every bar, or those with these names only; null until they have the bars they need."""
+    """(symbol, timeframe, open_time, ...): the recursive indicators of every bar, or those with these names only; null until they have the bars they need.
+
+    Those that are linear go through linear(), which needs no ordered pass a series; the others through scan().
+    """
+    straight = USUAL if names is None else [n for n in names if n in NAMES]
     fields = [f for f in MACHINES if names is None or {x.split()[0] for x in f.split(", ")} & set(names)]
-    out = scan(candles, lambda _key: _All(fields), ["symbol", "timeframe", "open_time", "open", "high", "low", "close", "volume"], f"open_time long, {', '.join(fields)}")
+    scanned = scan(candles, lambda _key: _All(fields), ["symbol", "timeframe", "open_time", "open", "high", "low", "close", "volume"], f"open_time long, {', '.join(fields)}") if fields else None
+    out = linear(candles, straight) if straight else scanned
+    out = out.join(scanned, [*SERIES, "open_time"]) if straight and fields else out
     return out if names is None else out.select(*SERIES, "open_time", *names)

@@ -633,4 +633,4 @@ def feature_snapshots(spark, sf_dir):
     return df.select("symbol", "open_time", "radar", F.round("rsi_wilder", 6).alias("rsi"), F.round("bb_position", 6).alias("bb_position"), "regime", "bos")
 
 
-from . import research_queries  # noqa: E402, F401  registers its own
+from . import research_queries, series_queries  # noqa: E402, F401  register their own
