@@ -47,19 +47,26 @@ class Model:
 
 
 @cache
-def _patterns(longest: int) -> tuple[re.Pattern, re.Pattern]:
-    """Words, and what is no letter. A letter is what Unicode calls one: \\w has numbers besides, and the underscore."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not unicodedata.category(c).startswith("L") and not c.isdecimal())
-    other = f"\\W\\d_{re.escape(numbers)}"
-    return re.compile(f"[^{other}]{{1,{longest}}}"), re.compile(f"[{other}]")
+def _word(longest: int) -> re.Pattern:
+    return re.compile(f"[^\\W\\d_]{{1,{longest}}}")
+
+
+EDGE = re.compile(r"[\W\d_]")
+
+
+@cache
+def _numbers() -> frozenset[str]:
+    """What a regular expression's \\w has besides letters, decimal digits and the underscore: fractions, numerals and the like."""
+    return frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
 
 
 def words_of(text: str, longest: int) -> Iterator[list[str]]:
-    """The lower-cased words of a text, in lists of bounded size."""
-    word, edge = _patterns(longest)
+    """The lower-cased words of a text, runs of what Unicode calls letters, in lists of bounded size."""
     text = text.lower()
-    for piece in pieces(text, edge):
-        yield word.findall(text, *piece)
+    if not text.isascii() and not _numbers().isdisjoint(text):
+        text = text.translate(dict.fromkeys(map(ord, _numbers()), " "))
+    for piece in pieces(text, EDGE):
+        yield _word(longest).findall(text, *piece)
 
 
 def grams(word: str, order: int) -> list[str]:
