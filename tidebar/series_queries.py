@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import cos, pi, sqrt
 
 from pyspark.sql import functions as F
 
 from .functions.linear import gaussian_trend
 from .functions.recursive import recursive
-from .queries import KEY, PREPARED, W, hourly, query, r, rounded, same
+from .functions.variants import hour_move
+from .operators import gates, multiframe
+from .queries import BARS, KEY, PREPARED, TICKS, L, P, W, hourly, nine, query, r, rounded, same
+from .session import table
+from .sources import market
 
 #: Bars of all series, bar 1 by a recursive table's first half, the others by its second.
 ROWS = f"{PREPARED}, q AS (SELECT *, coalesce(change, 0.0) AS d FROM p)"
@@ -78,3 +83,89 @@ def gaussian_filter(spark, sf_dir):
     SELECT p.symbol, p.open_time, CAST(nullif(s.trend, 0) AS INTEGER) AS supertrend, CAST(z.side AS INTEGER) AS sar_trend, {r(sar='z.level')} FROM p JOIN s ON s.symbol = p.symbol AND s.bar = p.bar JOIN z ON z.symbol = p.symbol AND z.bar = p.bar""")
 def trend_machines(spark, sf_dir):
     return rounded(recursive(hourly(spark, sf_dir), ["supertrend", "sar_trend", "sar"]), [*KEY, "supertrend", "sar_trend"], same("sar"))
+
+
+# Several timeframes at once
+
+MTF = ("1m", "5m", "15m", "1h", "4h")
+
+
+def framed(spark, sf_dir, frames=MTF):
+    """The ticks as candles of several timeframes, one table."""
+    minutes = market.bars(market.ticks(table(spark, sf_dir, "events")), "1m")
+    return reduce(lambda x, y: x.unionByName(y), [minutes, *[market.resample(minutes, f) for f in frames if f != "1m"]])
+
+
+def _features_sql(frames: tuple[str, ...]) -> str:
+    """Tables: x, a row a bar of every timeframe with at least 55 bars and its features; `symbol` is symbol/timeframe inside."""
+    widths = ", ".join(f"('{f}', {market.TIMEFRAMES[f]}::BIGINT)" for f in frames)
+    bars = f"""{TICKS}, f AS (SELECT * FROM (VALUES {widths}) f(tf, width)), c AS (SELECT symbol || '/' || tf AS symbol, (time // width) * width AS open_time, (time // width) * width + width - 1 AS close_time, arg_min(price, time) AS open, max(price) AS high, min(price) AS low,
+        arg_max(price, time) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(price) AS quote_volume FROM t CROSS JOIN f GROUP BY ALL)"""
+    gain, loss = f"avg(greatest(change, 0)) {L(14)}", f"avg(greatest(-change, 0)) {L(14)}"
+    emas = recurring("e", "p", {f"e{n}": smooth(f"s.e{n}", "q.bar", n, "q.close") for n in (9, 21, 50)})
+    return f"""{PREPARED.replace(BARS, bars)}, {emas},
+    y AS (SELECT split_part(symbol, '/', 1) AS symbol, split_part(symbol, '/', 2) AS tf, close_time, bar, e9, e21, e50, close, lag(e9) OVER (PARTITION BY symbol ORDER BY open_time) AS was,
+        volume / nullif(avg(volume) {P(20)}, 0) AS vr, greatest(-1, least(1, sum(volume * (0.7 * (2 * close - high - low) / greatest(high - low, 1e-12) + 0.3 * body_sign)) {L(20)} / nullif(sum(volume) {L(20)}, 0))) AS flow,
+        CASE WHEN {loss} = 0 THEN CASE WHEN {gain} > 0 THEN 100.0 ELSE 50.0 END ELSE 100 - 100 / (1 + {gain} / {loss}) END AS rsi, avg(tr) {L(14)} AS atr, avg(close) {L(20)} AS mid, stddev_pop(close) {L(20)} AS dev FROM (SELECT p.*, e.e9, e.e21, e.e50 FROM p JOIN e ON e.symbol = p.symbol AND e.bar = p.bar)),
+    x AS (SELECT *, CASE WHEN e9 > e21 AND e21 > e50 THEN 'bullish' WHEN e9 < e21 AND e21 < e50 THEN 'bearish' ELSE 'mixed' END AS al, close > e9 AND e9 > e21 AND e21 > e50 AND e9 > was AS radar, CASE WHEN mid <> 0 THEN 4 * dev / mid END AS bw, CASE WHEN dev <> 0 THEN (close - mid + 2 * dev) / (4 * dev) END AS bp FROM y WHERE bar >= 55)"""
+
+
+def _gates_sql() -> str:
+    al = {f: f"coalesce(x{f}.al, '-')" for f in MTF}
+    bulls, bears = (" + ".join(f"CASE WHEN {al[f]} = '{w}' THEN 1 ELSE 0 END" for f in MTF) for w in ("bullish", "bearish"))
+    high = f"({al['1h']} = 'bullish' AND {al['15m']} <> 'mixed')"
+    radar = " AND ".join(f"coalesce(x{f}.radar, false)" for f in MTF)
+    rule = lambda rsi, atr, bw: f"coalesce(x1m.rsi < {rsi} AND x1m.atr / g.close >= {atr}::DOUBLE AND x1m.bw >= {bw}::DOUBLE, false) AND {al['1h']} = 'bullish' AND {al['4h']} IN ('bullish', 'mixed') AND {bulls} >= 2"
+    one = lambda c, w=1: f"CASE WHEN {c} THEN {w} ELSE 0 END"
+    mixed = f"{al['15m']} = 'mixed' OR {al['1h']} = 'mixed'"
+    score = " + ".join([one(high, 2), one(f"{al['15m']} = 'bullish'"), one("coalesce(x5m.atr / g.close >= 0.0034::DOUBLE, false)"), one("coalesce(x5m.bp <= 0.145::DOUBLE, false)"), one(f"{al['1m']} = 'mixed'", -2), one(mixed, -2)])
+    busy = " AND ".join(f"coalesce(x{f}.vr >= 1.0 AND x{f}.flow >= 0, false)" for f in ("1m", "5m"))
+    joins = " ".join(f"ASOF LEFT JOIN (SELECT * FROM x WHERE tf = '{f}') x{f} ON x{f}.symbol = g.symbol AND g.time >= x{f}.close_time" for f in MTF)
+    ready = " AND ".join(f"x{f}.bar IS NOT NULL" for f in MTF)
+    return f"""WITH RECURSIVE {_features_sql(MTF)}, g AS (SELECT split_part(symbol, '/', 1) AS symbol, open_time, close_time AS time, close FROM c WHERE split_part(symbol, '/', 2) = '1h')
+    SELECT g.symbol, g.open_time, {', '.join(f'x{f}.al AS alignment_{f}' for f in MTF)}, {bulls} AS mtf_bullish_count, {bears} AS mtf_bearish_count, 5 - ({bulls}) - ({bears}) AS mtf_mixed_count, {bulls} - ({bears}) AS mtf_alignment_score, {ready} AS mtf_all_ready,
+        {bulls} >= 3 AS bullish_count, {radar} AS all_5, {radar} AND {busy} AS all_5_volume_flow, {rule(40, 0.00866, 0.03830)} AS acetry_rule, {rule(45, 0.0005, 0.005)} AS acetry_rule_relaxed, {high} AS high_tf, {score} >= 2 AS score,
+        {nine(rsi_5m='x5m.rsi', atr_pct_15m='x15m.atr / g.close', volume_ratio_1h='x1h.vr')} FROM g {joins}"""
+
+
+@query(_gates_sql())
+def mtf_entries(spark, sf_dir):
+    """Every hourly bar as a signal: its five timeframes, how they are aligned, what each gate says."""
+    candles = framed(spark, sf_dir)
+    signals = candles.where("timeframe = '1h'").select("symbol", "open_time", "close_time", F.col("close").alias("price"))
+    df = multiframe.entry_features(signals, multiframe.frame_features(candles))
+    tf = lambda f, c: F.col("tf")[f][c]
+    said = [gates.mtf_gate(m).alias(m.replace("-", "_")) for m in gates.MODES]
+    more = {"rsi_5m": tf("5m", "rsi_14"), "atr_pct_15m": tf("15m", "atr_pct"), "volume_ratio_1h": tf("1h", "volume_ratio_20")}
+    return df.select(*KEY, *[tf(f, "alignment").alias(f"alignment_{f}") for f in MTF], *[c.alias(k) for k, c in multiframe.alignment_counts().items()], *said, *[F.round(c, 9).alias(k) for k, c in more.items()])
+
+
+@query(f"""WITH RECURSIVE {_features_sql(multiframe.RIBBON)}, s AS (SELECT DISTINCT event_type AS symbol, tf FROM events CROSS JOIN f), n AS (SELECT max(epoch_us(ts) // 1000) AS now FROM events),
+    k AS (SELECT symbol, tf, arg_max(al, close_time) AS al, max(close_time) AS closed FROM x, n WHERE close_time <= now GROUP BY symbol, tf)
+    SELECT symbol, tf AS timeframe, coalesce(al, 'unknown') AS alignment, al IS NOT NULL AS data_ready, closed AS closed_at_ms FROM s LEFT JOIN k USING (symbol, tf)""")
+def trend_ribbon(spark, sf_dir):
+    candles = framed(spark, sf_dir, multiframe.RIBBON)
+    now = market.ticks(table(spark, sf_dir, "events")).agg(F.max("time")).first()[0]
+    return multiframe.ribbon(candles, multiframe.frame_features(candles), now or 0)
+
+
+_METRICS = {"rsi_14": "rsi", "atr_pct": "atr / nullif({x}.close, 0)", "bb_position": "bp", "bb_width_pct": "bw", "volume_ratio_20": "vr"}
+
+
+def _event_sql() -> str:
+    of = lambda x, c: _METRICS[c].replace("{x}", x) if "{x}" in _METRICS[c] else f"{x}.{_METRICS[c]}"
+    now = {c: of("x", c).replace("atr /", "x.atr /") for c in _METRICS}
+    was = {c: of("w", c).replace("atr /", "w.atr /") for c in _METRICS}
+    out = nine(**{k: v for c in _METRICS for k, v in ((c, now[c]), (f"{c}_before", was[c]), (f"{c}_delta", f"{now[c]} - {was[c]}"))})
+    return f"""WITH RECURSIVE {_features_sql(MTF)}, g AS (SELECT split_part(symbol, '/', 1) AS symbol, open_time AS start_ms FROM c WHERE split_part(symbol, '/', 2) = '1h' AND close / nullif(open, 0) - 1 >= 0.2::DOUBLE),
+    h AS (SELECT *, start_ms - width AS before_ms FROM g CROSS JOIN f)
+    SELECT h.symbol, h.start_ms, h.tf AS timeframe, {out} FROM h ASOF LEFT JOIN x ON x.symbol = h.symbol AND x.tf = h.tf AND h.start_ms > x.close_time ASOF LEFT JOIN x w ON w.symbol = h.symbol AND w.tf = h.tf AND h.before_ms > w.close_time"""
+
+
+@query(_event_sql())
+def event_snapshots(spark, sf_dir):
+    """Hours that close a fifth above their open: five timeframes before they began and a bar's length earlier, keys cut by days."""
+    candles = framed(spark, sf_dir)
+    events = candles.where("timeframe = '1h'").where(hour_move() == "confirmed").select("symbol", F.col("open_time").alias("start_ms"))
+    df = multiframe.event_snapshots(events, multiframe.frame_features(candles), bucket_ms=market.DAY)
+    return rounded(df, ["symbol", "start_ms", "timeframe"], same(*[x for m in multiframe.METRICS for x in (m, f"{m}_before", f"{m}_delta")]), 9)
