@@ -622,6 +622,11 @@ def guarded_select(spark, sf_dir):
     return guarded_sql.guarded(spark, text, {n: table(spark, sf_dir, n) for n in ("customer", "nation")}, 10)
 
 
+@query(f"""WITH {TRADES}, m AS (SELECT * FROM tr WHERE upper(strategy) = '1-URGENT' AND upper(symbol) = 'RF') SELECT symbol, strategy, exit_time, trade_id, round(pnl, 6) AS pnl, (SELECT count(*) FROM m) AS matched FROM m ORDER BY exit_time DESC, trade_id DESC LIMIT 200""")
+def resource_trades(spark, sf_dir):
+    return guarded_sql.resource({"trades": trades(spark, sf_dir)}, "Trades", "rf", "1-urgent", limit=200, order=("exit_time", "trade_id")).select("symbol", "strategy", "exit_time", "trade_id", F.round("pnl", 6).alias("pnl"), "matched")
+
+
 @query()
 def average_cascade(spark, sf_dir):
     return cascade_batch(hourly(spark, sf_dir), sequence=600, breakout=1800, outcome=1800)
