@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.linear import gaussian_trend
 from .functions.recursive import recursive
 from .functions.variants import hour_move
-from .operators import gates, multiframe
+from .operators import fulltext, gates, multiframe
 from .queries import BARS, KEY, PREPARED, TICKS, L, P, W, hourly, nine, query, r, rounded, same
 from .session import table
 from .sources import market
@@ -169,3 +169,24 @@ def event_snapshots(spark, sf_dir):
     events = candles.where("timeframe = '1h'").where(hour_move() == "confirmed").select("symbol", F.col("open_time").alias("start_ms"))
     df = multiframe.event_snapshots(events, multiframe.frame_features(candles), bucket_ms=market.DAY)
     return rounded(df, ["symbol", "start_ms", "timeframe"], same(*[x for m in multiframe.METRICS for x in (m, f"{m}_before", f"{m}_delta")]), 9)
+
+
+# Full text
+
+
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w <> '') AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS place FROM d),
+    q AS (SELECT doc_id AS query_id, list_distinct(ws[4:6]) AS ts FROM d WHERE doc_id % 100 = 0 AND len(ws) >= 6), t AS (SELECT query_id, unnest(ts) AS term, len(ts) AS n FROM q),
+    e AS (SELECT query_id, doc_id, term, place, n FROM t JOIN p USING (term)), h AS (SELECT query_id, doc_id FROM e GROUP BY query_id, doc_id, n HAVING count(DISTINCT term) = n),
+    o AS (SELECT e.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) AS k FROM e JOIN h USING (query_id, doc_id)),
+    l AS (SELECT o.query_id, o.doc_id, o.place, o.k, o.n, t.term, max(CASE WHEN o.term = t.term THEN o.place END) OVER (PARTITION BY o.query_id, o.doc_id, t.term ORDER BY o.place) AS lp, max(CASE WHEN o.term = t.term THEN o.k END) OVER (PARTITION BY o.query_id, o.doc_id, t.term ORDER BY o.place) AS lk FROM o JOIN t USING (query_id)),
+    s AS (SELECT query_id, doc_id, place, k, min(lp) AS p0, min(lk) AS k0 FROM l GROUP BY query_id, doc_id, place, k, n HAVING count(lp) = n),
+    c AS (SELECT *, lag(p0) OVER (PARTITION BY query_id, doc_id ORDER BY place) AS was FROM s)
+    SELECT query_id, doc_id AS document_id, round(sum(0.1::DOUBLE / (1 + place - p0 - (k - k0))), 6) AS lexical_score FROM c WHERE was IS NULL OR p0 > was GROUP BY ALL""")
+def text_search(spark, sf_dir):
+    """The fourth to sixth words of every hundredth document against all documents: those that have them all, and how close together."""
+    docs = table(spark, sf_dir, "documents")
+    words = fulltext.terms(F.col("text"))
+    asked = docs.where((F.col("doc_id") % 100 == 0) & (F.size(words) >= 6)).select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 4, 3)).alias("words"))
+    found = fulltext.search(fulltext.index(docs, "doc_id", "text"), asked)
+    return found.select("query_id", "document_id", F.round("lexical_score", 6).alias("lexical_score"))
