@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import fulltext
+from tidebar.operators import fulltext, vector_index
 
 
 def plain_density(places: dict[str, list[int]]) -> float:
@@ -57,3 +57,74 @@ def test_no_documents_no_queries(spark):
     assert fulltext.search(fulltext.index(docs.limit(0)), asked).count() == 0
     assert fulltext.search(fulltext.index(docs), asked.limit(0)).count() == 0
     assert [tuple(r) for r in fulltext.search(fulltext.index(docs), asked).collect()] == [(1, 1, 0.1)]
+
+
+def cosines(queries, vectors, k):
+    """The k best of each query as (id, cosine), by brute force."""
+    out = {}
+    for q, v in queries.items():
+        near = sorted(((-float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), i) for i, w in vectors.items() if len(w) == len(v)))
+        out[q] = [(i, -c) for c, i in near[:k]]
+    return out
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_index(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    vectors = vector_index.usable(rows, "vec_id", "embedding")
+    model = vector_index.fit(vectors)
+    index = vector_index.build(vectors, model)
+    assert index.count() == rows.count()
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    found = vector_index.search(index, vectors, asked, model).collect()
+    held = {r["vec_id"]: np.array(r["v"]) for r in vectors.collect()}
+    want = cosines({i: v for i, v in held.items() if i % 10 == 0}, held, 20)
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = np.mean([len(got[q] & {i for i, _ in own}) / 20 for q, own in want.items()])
+    print(sf, recall)
+    assert recall >= 0.9 and all(len(x) == 20 for x in got.values())
+
+
+def test_index_of_hard_rows(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=6)
+    rows = [(i, (hot + rng.normal(size=6) * 0.05).tolist()) for i in range(120)] + [(200 + i, rng.normal(size=6).tolist()) for i in range(60)]
+    rows += [(300, None), (301, []), (302, [0.0] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (None, [1.0] * 6), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (308, [-1.0, 1.0]), rows[0], (1, hot.tolist())]
+    vectors = vector_index.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    held = {r["vec_id"]: np.array(r["v"]) for r in vectors.collect()}
+    assert set(held) == set(range(120)) | set(range(200, 260)) | {306, 307, 308}
+    # Lists are cut into pieces of 7, and of all lists and candidates nothing is left out: the result is exact.
+    s = vector_index.Settings(cells=5, probes=5, parts=3, codes=8, keep=40, piece=7)
+    model = vector_index.fit(vectors, s)
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "v")
+    got = {}
+    for r in vector_index.search(vector_index.build(vectors, model), vectors, asked, model, 5, s).orderBy("query_id", F.desc("similarity"), "vec_id").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["similarity"])))
+    assert got == cosines(held, held, 5)
+    none = vectors.limit(0)
+    model = vector_index.fit(none)
+    assert vector_index.search(vector_index.build(none, model), none, none.select(F.col("vec_id").alias("query_id"), "v"), model).count() == 0
+
+
+def test_exact_top_in_pieces(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist() if i % 9 else None, float(rng.integers(3)) / 10, [w for w in "abc" if rng.random() < 0.5]) for i in range(60)] + [(60, [0.0, 0.0, 0.0], 0.3, None), (61, [1.0, 2.0], 0.0, ["a"]), (62, [1.0, float("nan"), 1.0], 0.1, [])]
+    asked = [(100 + i, rng.normal(size=3).tolist(), ["a", "b"][: i % 3]) for i in range(9)] + [(200, None, ["c"]), (201, [0.0] * 3, None), (202, [3.0, 4.0], ["a", "z"])]
+
+    def score(q, r):
+        ok = all(v is not None and np.isfinite(v).all() and np.any(v) for v in (q[1], r[1])) and len(q[1]) == len(r[1])
+        cos = float(np.dot(q[1], r[1]) / (np.linalg.norm(q[1]) * np.linalg.norm(r[1]))) if ok else 0.0
+        share = len(set(q[2]) & set(r[3] or [])) / len(q[2]) if q[2] else 0.0
+        return 0.6 * cos + 0.15 * share + r[2]
+
+    want = {q[0]: sorted(((round(-score(q, r), 9), r[0]) for r in rows))[:4] for q in asked}
+    left, right = spark.createDataFrame(rows, "row_id long, v array<double>, rest double, words array<string>"), spark.createDataFrame(asked, "query_id long, v array<double>, words array<string>")
+    for piece, block in ((7, 2), (1000, 1000)):
+        out = vector_index.exact_top(left, right, 4, 0.6, 0.15, piece, block)
+        assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["query_id"], []).append((round(-r["score"], 9), r["row_id"]))
+        assert {q: sorted(x) for q, x in got.items()} == want

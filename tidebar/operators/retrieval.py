@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vector_index import exact_top
+
 
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; null for a null, zero or differently long vector."""
@@ -17,15 +19,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 # Outcome words.
 GOOD, BAD = ("success", "passed", "profit", "profitable"), ("failure", "failed", "loss", "losing")
-#: Queries that meet a document in one row.
-BLOCK = 64
-
-
 def retrieve(documents: DataFrame, queries: DataFrame, now: float = 0.0, limit: int = 10, contradictions: DataFrame | None = None) -> DataFrame:
     """(query_id, document_id, score): for each of queries (query_id, vector, words) the best 1 to 50 documents (document_id, content, embedding, observed_at in seconds, outcome)
     by 0.60 cosine + 0.15 words + 0.15 recency (30 days) + 0.10 for a good outcome (-0.10 for a bad one) - 0.05 a contradiction.
 
-    Queries are put in blocks, each block meets every document, and each task keeps only the best of a query before the shuffle. Ties go by document_id.
+    Blocks of queries meet pieces of documents as products of matrices (exact_top); of a document's words only those travel that some query asks for. Ties go by document_id.
     """
     docs = documents
     if contradictions is not None:
@@ -35,17 +33,13 @@ def retrieve(documents: DataFrame, queries: DataFrame, now: float = 0.0, limit:
     said = F.lower("outcome")
     good = F.when(said.isin(*GOOD), 0.10).when(said.isin(*BAD), -0.10).otherwise(0.0)
     age = F.exp(-F.greatest(F.lit(0.0), (F.lit(now) - F.col("observed_at")) / 86400) / 30)
-    own = F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))
-    docs = docs.select("document_id", "embedding", own.alias("_own"), (0.15 * age + good - 0.05 * F.coalesce("against", F.lit(0))).alias("_rest"))
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("words", F.lit(""))), r"\s+"), lambda w: w != ""))
-    asked = queries.select(F.struct("query_id", "vector", words.alias("words")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("_h"))
-    many = max(1, -(-queries.count() // BLOCK))
-    blocks = asked.groupBy(F.pmod("_h", F.lit(many)).alias("_block")).agg(F.collect_list("q").alias("qs"))
-    share = lambda q: F.when(F.size(q["words"]) > 0, F.size(F.array_intersect(q["words"], F.col("_own"))) / F.size(q["words"])).otherwise(0.0)
-    scored = lambda q: F.struct(q["query_id"].alias("query_id"), (0.60 * F.coalesce(cosine(F.col("embedding"), q["vector"]), F.lit(0.0)) + 0.15 * share(q) + F.col("_rest")).alias("score"))
-    met = docs.crossJoin(blocks).select("document_id", F.explode(F.transform("qs", scored)).alias("s")).select("s.query_id", "document_id", "s.score")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))
-    return met.withColumn("_n", place).where(F.col("_n") <= max(1, min(50, limit))).drop("_n")
+    asked = queries.select("query_id", F.col("vector").alias("v"), words.alias("words"))
+    known = asked.select(F.explode("words").alias("word")).distinct()
+    own = docs.select("document_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))).alias("word")).join(known, "word", "left_semi")
+    docs = docs.join(own.groupBy("document_id").agg(F.collect_set("word").alias("words")), "document_id", "left")
+    rows = docs.select(F.col("document_id").alias("row_id"), F.col("embedding").alias("v"), (0.15 * age + good - 0.05 * F.coalesce("against", F.lit(0))).alias("rest"), "words")
+    return exact_top(rows, asked, max(1, min(50, limit)), 0.60, 0.15).withColumnRenamed("row_id", "document_id")
 
 
 def contradictions(documents: DataFrame, fresh: DataFrame, most: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.linear import gaussian_trend
 from .functions.recursive import recursive
 from .functions.variants import hour_move
-from .operators import fulltext, gates, multiframe
+from .operators import fulltext, gates, multiframe, vector_index
 from .queries import BARS, KEY, PREPARED, TICKS, L, P, W, hourly, nine, query, r, rounded, same
 from .session import table
 from .sources import market
@@ -171,7 +171,17 @@ def event_snapshots(spark, sf_dir):
     return rounded(df, ["symbol", "start_ms", "timeframe"], same(*[x for m in multiframe.METRICS for x in (m, f"{m}_before", f"{m}_delta")]), 9)
 
 
-# Full text
+# Full text and vectors
+
+
+@query()
+def vector_search(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query against all, through the index: a test measures its recall."""
+    vectors = vector_index.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    model = vector_index.fit(vectors)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return vector_index.search(vector_index.build(vectors, model), vectors, asked, model).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
 
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w <> '') AS ws FROM documents),
