@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranges, running
+
 TIMEOUT = "time|timeout|max_hold|early_failure|stale_position"
 
 
@@ -43,14 +45,34 @@ def top_reasons(trades: DataFrame, by: str = "strategy", k: int = 5) -> DataFram
 
 
 def outcome_profile(trades: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Expectancy, deepest fall of the running sum, longest and current run of losses, by exit time."""
-    w = Window.partitionBy(*by).orderBy("exit_time", "trade_id", "value")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    loss = F.col("pnl") < 0
-    rows = trades.withColumns({"_sum": F.sum("pnl").over(upto), "_run": F.sum(F.when(loss, 0).otherwise(1)).over(upto)})
-    rows = rows.withColumn("_top", F.greatest(F.lit(0.0), F.max("_sum").over(upto))).withColumn("_streak", F.when(loss, F.sum(F.when(loss, 1).otherwise(0)).over(Window.partitionBy(*by, "_run").orderBy("exit_time", "trade_id", "value"))).otherwise(0))
-    at = F.struct("exit_time", "trade_id", "value")
-    return rows.groupBy(*by).agg(F.count("*").alias("trades"), F.avg("pnl").alias("expectancy"), F.max(F.col("_top") - F.col("_sum")).alias("max_drawdown"), F.max("_streak").alias("longest_losses"), F.max_by("_streak", at).alias("current_losses"))
+    """Expectancy, deepest fall of the running sum, longest and current run of losses, by exit time.
+
+    Ranges of a group's trades are summed up apart (sum, highest and lowest point, deepest fall, losses at its ends and longest in between) and these chained in order, a row a range.
+    """
+    at = ["exit_time", "trade_id", "value"]
+    rows = ranges(trades.select(*by, *at, "pnl"), list(by), at)
+    upto = Window.partitionBy("_part", *by).orderBy(*at, "_id").rowsBetween(Window.unboundedPreceding, 0)
+    loss = F.coalesce(F.col("pnl") < 0, F.lit(False))
+    rows = rows.withColumns({"_sum": F.coalesce(F.sum("pnl").over(upto), F.lit(0.0)), "_run": F.sum(F.when(loss, 0).otherwise(1)).over(upto)})
+    streak = F.when(loss, F.sum(F.when(loss, 1).otherwise(0)).over(Window.partitionBy("_part", *by, "_run").orderBy(*at, "_id"))).otherwise(0)
+    rows = rows.withColumns({"_top": F.max("_sum").over(upto), "_streak": streak})
+    last = F.struct(*at, "_id")
+    spans = rows.groupBy(*by, "_part").agg(
+        F.count("*").alias("n"), F.count("pnl").alias("known"), F.sum(F.coalesce("pnl", F.lit(0.0))).alias("sum"), F.max("_sum").alias("top"), F.min("_sum").alias("low"), F.max(F.col("_top") - F.col("_sum")).alias("fall"),
+        F.count_if(F.col("_run") == 0).alias("first"), F.max_by("_streak", last).alias("last"), F.max("_streak").alias("longest"),
+    )
+    parts = F.array_sort(F.collect_list(F.struct("_part", "n", "known", "sum", "top", "low", "fall", "first", "last", "longest")))
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("known"), zero.alias("sum"), zero.alias("top"), zero.alias("fall"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("longest"))
+
+    def chain(a: Column, p: Column) -> Column:
+        return F.struct(
+            (a["n"] + p["n"]).alias("n"), (a["known"] + p["known"]).alias("known"), (a["sum"] + p["sum"]).alias("sum"), F.greatest(a["top"], a["sum"] + p["top"]).alias("top"), F.greatest(a["fall"], p["fall"], a["top"] - a["sum"] - p["low"]).alias("fall"),
+            F.when(p["first"] == p["n"], a["last"] + p["n"]).otherwise(p["last"]).alias("last"), F.greatest(a["longest"], p["longest"], a["last"] + p["first"]).alias("longest"),
+        )
+
+    whole = spans.groupBy(*by).agg(F.aggregate(parts, start, chain).alias("w"))
+    return whole.select(*by, F.col("w.n").alias("trades"), (F.col("w.sum") / F.nullif(F.col("w.known"), F.lit(0))).alias("expectancy"), F.col("w.fall").alias("max_drawdown"), F.col("w.longest").alias("longest_losses"), F.col("w.last").alias("current_losses"))
 
 
 def capital_lock(trades: DataFrame, hold: float, favourable: float) -> DataFrame:
@@ -93,9 +115,8 @@ def lessons(forecasts: DataFrame, least: int = 12) -> DataFrame:
     # Both groupings from one scan: each row counts for its symbol and for all.
     both = f.withColumn("symbol", F.explode(F.array(F.upper("symbol"), F.lit(None).cast("string"))))
     keys = ["symbol", "horizon_minutes", "regime", "direction"]
-    w = Window.partitionBy(*keys).orderBy("created_at", "forecast_id")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    marked = both.withColumn("_late", F.row_number().over(w) > F.greatest(F.lit(1), F.floor(n * F.lit(0.7))))
+    placed = running(both, keys, ["created_at", "forecast_id"], {"_at": F.lit(1)}, {"_n": F.lit(1)})
+    marked = placed.withColumn("_late", F.col("_at") > F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.7))))
     hit = F.col("direction_correct").cast("double")
     out = marked.groupBy(*keys).agg(
         F.count("*").alias("samples"), F.count_if("_late").alias("holdout"), F.avg(F.when(~F.col("_late"), hit)).alias("accuracy"), F.avg(F.when(F.col("_late"), hit)).alias("late_accuracy"),

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
+from .ordered import running
 
 
 def with_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Average ranks: equal values share the mean of their places. Values are counted first, so ranks come from one row a distinct value."""
     sizes = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranks = sizes.withColumn(name, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_c") - 1) / 2).drop("_c")
+    ranks = running(sizes, by, [value], {"_upto": F.col("_c")}).withColumn(name, F.col("_upto") - (F.col("_c") - 1) / 2).drop("_c", "_upto")
     return df.join(ranks, [*by, value], "left")
 
 
@@ -25,7 +25,8 @@ def rank_biserial(df: DataFrame, by: list[str], value: str, event: str) -> DataF
     known = df.where(F.col(event).isNotNull() & F.col(value).isNotNull())
     sizes = known.groupBy(*by, value).agg(F.count_if(F.col(event)).alias("_e"), F.count_if(~F.col(event)).alias("_c"))
     each = F.col("_e") + F.col("_c")
-    rank = F.sum(each).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - (each - 1) / 2
+    sizes = running(sizes, by, [value], {"_upto": each})
+    rank = F.col("_upto") - (each - 1) / 2
     mean = lambda c: F.sum(F.col(c) * F.col("_r")) / F.nullif(F.sum(c), F.lit(0))
     out = sizes.withColumn("_r", rank).groupBy(*by).agg(F.sum("_e").alias("n_event"), F.sum("_c").alias("n_control"), mean("_e").alias("_a"), mean("_c").alias("_b"))
     return out.select(*by, "n_event", "n_control", (2 * (F.col("_a") - F.col("_b")) / (F.col("n_event") + F.col("n_control"))).alias("rank_biserial"))
@@ -64,18 +65,9 @@ def select_rule(development: DataFrame, label: str, rules: dict[str, Column], mo
     return best["rule"] if best else None
 
 
-def numbered(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFrame:
-    """df with _at, the row's place (from 0) by the columns of order (the first a number), and _n, the number of rows.
-
-    The first column's range is cut in buckets: their counts are few rows, and rows are numbered inside their bucket, so that no task sorts the whole table.
-    """
-    edge = df.agg(F.min(order[0]).cast("double").alias("_lo"), F.max(order[0]).cast("double").alias("_hi"), F.count("*").alias("_n"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / buckets, F.lit(1e-300))
-    own = df.crossJoin(F.broadcast(edge)).withColumn("_b", F.coalesce(F.least(F.lit(buckets - 1), F.floor((F.col(order[0]).cast("double") - F.col("_lo")) / width)), F.lit(-1)).cast("long")).drop("_lo", "_hi")
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = own.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", before.alias("_first"))
-    place = F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return own.join(F.broadcast(starts), "_b").withColumn("_at", place).drop("_b", "_first")
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _at, the row's place (from 0) by the columns of order, and _n, the number of rows."""
+    return running(df, [], order, {"_at": F.lit(1)}, {"_n": F.lit(1)}).withColumn("_at", F.col("_at") - 1)
 
 
 def chronological_split(df: DataFrame, time: str, tie: list[str], shares: tuple[float, ...] = (0.6, 0.2, 0.2)) -> DataFrame:
@@ -87,34 +79,16 @@ def chronological_split(df: DataFrame, time: str, tie: list[str], shares: tuple[
     return out.withColumn("part", part).drop("_share", "_n", "_at")
 
 
-def ranked_values(df: DataFrame, by: list[str], value: str, places: dict[str, Column], buckets: int = 1024) -> DataFrame:
-    """A row for each group of by, with the values at some places (from 1) of its order; places are columns of n, the number of the group's values that aren't null.
-
-    A group's range is cut in buckets, whose counts tell in which bucket a place lies; only those buckets' rows are sorted.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(*by, value)
-    edge = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / buckets, F.lit(1e-300))
-    own = rows.join(edge, by).withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / width)).cast("int"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_b"))
-    counts = own.groupBy(*by, "n", "_b").agg(F.count("*").alias("_c")).withColumn("_first", upto - F.col("_c"))
-    asked = [(p > F.col("_first")) & (p <= F.col("_first") + F.col("_c")) for p in places.values()]
-    held = counts.where(_any(asked))
-    near = own.drop("n").join(held, [*by, "_b"]).withColumn("_p", F.col("_first") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value)))
-    return near.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == p, F.col(value))).alias(name) for name, p in places.items()])
-
-
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+def ranked_values(df: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """A row for each group of by, with the values at some places (from 1) of its order; places are columns of n, the number of the group's values that aren't null."""
+    rows = running(df.where(F.col(value).isNotNull()).select(*by, value), by, [value], {"_p": F.lit(1)}, {"n": F.lit(1)})
+    return rows.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == p, F.col(value))).alias(name) for name, p in places.items()])
 
 
 def accept_folds(folds: DataFrame, least_folds: int = 3, least_trades: int = 30) -> DataFrame:
     """folds (net_pnl, total_trades) to one row: sums, whether they pass, and why not."""
     out = folds.agg(F.count("*").alias("folds"), F.coalesce(F.sum("total_trades"), F.lit(0)).alias("trades"), F.coalesce(F.sum("net_pnl"), F.lit(0.0)).alias("net_pnl"), F.count_if(F.col("net_pnl") > 0).alias("positive"))
-    reasons = F.array_compact(F.array(F.when(F.col("folds") < least_folds, "insufficient_folds"), F.when(F.col("trades") < least_trades, "insufficient_trades"), F.when(F.col("positive") * 2 <= F.col("folds"), "no_positive_majority"), F.when(F.col("net_pnl") <= 0, "non_positive_total_net_pnl")))
+    reasons = F.array_compact(F.array(F.when(F.col("folds") < least_folds, "insufficient_folds"), F.when(F.col("trades") < least_trades, "insufficient_trades"), F.when(F.col("positive") * 2 <= F.col("folds"), "insufficient_positive_fold_majority"), F.when(F.col("net_pnl") <= 0, "non_positive_total_net_pnl")))
     return out.withColumn("reasons", reasons).withColumn("verdict", F.when(F.size("reasons") == 0, "PASS").otherwise("FAIL"))
 
 

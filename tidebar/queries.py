@@ -472,7 +472,7 @@ def bootstrap_totals(spark, sf_dir):
 
 
 @query(f"""WITH {TRADES}, f AS (SELECT strategy, sum(pnl) AS net_pnl, count(*) AS total_trades FROM tr GROUP BY strategy), a AS (SELECT count(*) AS folds, CAST(sum(total_trades) AS BIGINT) AS trades, round(sum(net_pnl), 4) AS net_pnl, count(*) FILTER (net_pnl > 0) AS positive FROM f)
-    SELECT *, concat_ws(',', CASE WHEN folds < 3 THEN 'insufficient_folds' END, CASE WHEN trades < 30 THEN 'insufficient_trades' END, CASE WHEN positive * 2 <= folds THEN 'no_positive_majority' END, CASE WHEN net_pnl <= 0 THEN 'non_positive_total_net_pnl' END) AS reasons, CASE WHEN folds >= 3 AND trades >= 30 AND positive * 2 > folds AND net_pnl > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a""")
+    SELECT *, concat_ws(',', CASE WHEN folds < 3 THEN 'insufficient_folds' END, CASE WHEN trades < 30 THEN 'insufficient_trades' END, CASE WHEN positive * 2 <= folds THEN 'insufficient_positive_fold_majority' END, CASE WHEN net_pnl <= 0 THEN 'non_positive_total_net_pnl' END) AS reasons, CASE WHEN folds >= 3 AND trades >= 30 AND positive * 2 > folds AND net_pnl > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a""")
 def walk_forward_verdict(spark, sf_dir):
     folds = trades(spark, sf_dir).groupBy("strategy").agg(F.sum("pnl").alias("net_pnl"), F.count("*").alias("total_trades"))
     return stats.accept_folds(folds).select("folds", "trades", F.round("net_pnl", 4).alias("net_pnl"), "positive", F.array_join("reasons", ",").alias("reasons"), "verdict")
