@@ -30,7 +30,7 @@ HEAVY_TASK, HEAVY_ALL = 1 << 18, 1 << 18
 #: Tokens counted this often are dealt out by document, too.
 SALTED, SALTS = 2000, 64
 #: A piece of a group holds about this many tokens; a document counts as DOC more. A task takes about TASK_BYTES of sets.
-PIECE, DOC, TASK_BYTES = 1 << 18, 256, 6 << 20
+PIECE, DOC, TASK_BYTES = 3 << 18, 256, 12 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -410,7 +410,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
     left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
     units, more = dealt(left, F.col("n"), 10)
-    met = units.drop("n").join(sets.select("doc", "n", "rare", "tokens"), "doc")
+    # Sets are dealt by document and then to meetings at every size, whatever would fit a broadcast here.
+    met = units.drop("n").hint("merge").join(sets.select("doc", "n", "rare", "tokens"), "doc")
     again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
     discard(every, mixed, groups, alive, asked, sets, left, buckets, hot, copies, classes, seen, *used, *more)
 
