@@ -7,11 +7,12 @@ from math import cos, pi, sqrt
 
 from pyspark.sql import functions as F
 
+from .functions import indicators as ind
 from .functions.linear import gaussian_trend
 from .functions.recursive import recursive
-from .functions.variants import hour_move
-from .operators import fulltext, gates, multiframe, vector_index
-from .queries import BARS, KEY, PREPARED, TICKS, L, P, W, hourly, nine, query, r, rounded, same
+from .functions.variants import hour_move, radar_state
+from .operators import fulltext, gates, multiframe, sequences, vector_index
+from .queries import BARS, DI_DOWN, DI_UP, KEY, PREPARED, TICKS, L, P, W, hourly, nine, on, query, r, rounded, same
 from .session import table
 from .sources import market
 
@@ -200,3 +201,60 @@ def text_search(spark, sf_dir):
     asked = docs.where((F.col("doc_id") % 100 == 0) & (F.size(words) >= 6)).select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 4, 3)).alias("words"))
     found = fulltext.search(fulltext.index(docs, "doc_id", "text"), asked)
     return found.select("query_id", "document_id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+# Patterns over ordered bars
+
+
+def _vwap_sql(n: int = 20) -> str:
+    return f"CASE WHEN bar >= {n} AND sum(volume) {L(n)} <> 0 THEN sum(typical * volume) {L(n)} / sum(volume) {L(n)} END"
+
+
+_GAIN, _LOSS = f"avg(greatest(change, 0)) {L(14)}", f"avg(greatest(-change, 0)) {L(14)}"
+#: Bars with what the patterns read.
+PATTERNED = f"""{PREPARED}, {recurring('e', 'p', {f'e{n}': smooth(f's.e{n}', 'q.bar', n, 'q.close') for n in (9, 21, 50)})},
+    j AS (SELECT p.*, CASE WHEN p.bar >= 9 THEN e.e9 END AS e9, e.e21, e.e50 FROM p JOIN e ON e.symbol = p.symbol AND e.bar = p.bar),
+    k AS (SELECT *, {_vwap_sql()} AS vw, lag(e9) OVER ({W}) AS e9p, CASE WHEN bar >= 15 THEN CASE WHEN {_LOSS} = 0 THEN CASE WHEN {_GAIN} > 0 THEN 100.0 ELSE 50.0 END ELSE 100 - 100 / (1 + {_GAIN} / {_LOSS}) END END AS rsi,
+        CASE WHEN bar >= 15 THEN CASE WHEN sum(fd) {L(14)} <> 0 THEN 100 - 100 / (1 + sum(fu) {L(14)} / sum(fd) {L(14)}) ELSE 100.0 END END AS mfi, {on(29, DI_UP)} AS dip, {on(29, DI_DOWN)} AS dim,
+        CASE WHEN bar >= 20 AND stddev_pop(close) {L(20)} <> 0 THEN (close - avg(close) {L(20)} + 2 * stddev_pop(close) {L(20)}) / (4 * stddev_pop(close) {L(20)}) END AS bp FROM j),
+    m AS (SELECT *, coalesce(bar >= 55 AND close > e9 AND e9 > e21 AND e21 > e50 AND e9 > e9p, false) AS radar FROM k),
+    x AS (SELECT *, radar AND NOT coalesce(lag(radar) OVER ({W}), false) AS onset, coalesce(low >= least(e9, vw) * 0.999::DOUBLE AND close > e9 AND close > vw AND close > open AND close > prev_close, false) AS hold,
+        coalesce(close > e9 AND close > vw AND rsi >= 60 AND mfi >= 50 AND coalesce(dip, 0) > coalesce(dim, 0) AND bp >= 0.65::DOUBLE, false) AS trig, coalesce(coalesce(dip, 0) > coalesce(dim, 0) AND rsi >= 60, false) AS cont,
+        coalesce(rsi > lag(rsi) OVER ({W}) AND mfi > lag(mfi) OVER ({W}), false) AS rev FROM m)"""
+
+
+def _patterned(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    df = ind.prepare(bars).join(recursive(bars, ["ema_9_r", "ema_21_r", "ema_50_r"]), ["symbol", "timeframe", "open_time"])
+    df = df.withColumns({**ind.dx(), "vwap_20": ind.vwap(20), "rsi_14": ind.rsi_simple(14), "mfi_14": ind.mfi(14), "bb_position": ind.bollinger()["bb_position"], "radar": radar_state(55)})
+    return df.withColumn("onset", F.col("radar") & ~F.coalesce(F.lag("radar").over(ind.series()), F.lit(False)))
+
+
+@query(f"""WITH RECURSIVE {PATTERNED}, f AS (SELECT a.symbol, a.open_time, min(z.bar) AS at FROM x a JOIN x z ON z.symbol = a.symbol AND z.bar > a.bar AND z.bar <= a.bar + 10 AND z.hold WHERE a.onset GROUP BY a.symbol, a.open_time)
+    SELECT f.symbol, f.open_time, y.open_time AS pullback_at, n.open_time AS entry_at FROM f JOIN x y ON y.symbol = f.symbol AND y.bar = f.at JOIN x n ON n.symbol = f.symbol AND n.bar = f.at + 1""")
+def pullback_entries(spark, sf_dir):
+    """Where a series first looks bullish, the first pullback within ten bars that holds, and the bar it is entered on."""
+    return sequences.pullbacks(_patterned(spark, sf_dir), F.col("onset")).select(*KEY, "pullback_at", "entry_at")
+
+
+@query(f"""WITH RECURSIVE {PATTERNED}, f AS (SELECT a.symbol, a.open_time, min(z.bar) AS b FROM x a JOIN x z ON z.symbol = a.symbol AND z.bar > a.bar AND z.bar <= a.bar + 3 AND z.cont WHERE a.trig GROUP BY a.symbol, a.open_time),
+    g AS (SELECT f.symbol, f.open_time, f.b, min(z.bar) AS c FROM f JOIN x z ON z.symbol = f.symbol AND z.bar > f.b AND z.bar <= f.b + 5 AND z.rev GROUP BY f.symbol, f.open_time, f.b)
+    SELECT g.symbol, g.open_time, y.open_time AS continuation_at, n.open_time AS reversal_at FROM g JOIN x y ON y.symbol = g.symbol AND y.bar = g.b JOIN x n ON n.symbol = g.symbol AND n.bar = g.c""")
+def context_sequences(spark, sf_dir):
+    """Triggers that go on within three bars and turn up again within five."""
+    steps = [sequences.Step("trigger", sequences.context_trigger()), sequences.Step("continuation", sequences.context_continuation(), 3), sequences.Step("reversal", sequences.context_reversal(), 5)]
+    return sequences.sequences(_patterned(spark, sf_dir), steps).select(*KEY, "continuation_at", "reversal_at")
+
+
+_STATES = {k: LINEAR[k] for k in ("fast", "slow", "signal")} | {"u": smooth("s.u", "(q.bar - 1)", 14, _up, alpha=1 / 14), "w": smooth("s.w", "(q.bar - 1)", 14, _down, alpha=1 / 14)}
+
+
+@query(f"""WITH RECURSIVE {ROWS}, {recurring('s', 'q', _STATES)}, v AS (SELECT q.*, coalesce(CASE WHEN q.bar > 14 THEN CASE WHEN s.w = 0 THEN 100.0 ELSE 100 - 100 / (1 + s.u / s.w) END END, 0) AS rsi, coalesce(CASE WHEN q.bar >= 34 THEN s.fast - s.slow - s.signal END, 0) AS hist FROM q JOIN s ON s.symbol = q.symbol AND s.bar = q.bar),
+    k AS (SELECT *, max(close) {L(10)} AS h, min(close) {L(10)} AS l, max(rsi) {L(10)} AS rh, min(rsi) {L(10)} AS rl, max(hist) {L(10)} AS mh, min(hist) {L(10)} AS ml FROM v)
+    SELECT b.symbol, b.open_time, CAST(b.l < a.l AND b.rl > a.rl AS INTEGER) AS rsi_bullish_divergence, CAST(b.h > a.h AND b.rh < a.rh AS INTEGER) AS rsi_bearish_divergence, CAST(b.l < a.l AND b.ml > a.ml AS INTEGER) AS macd_bullish_divergence, CAST(b.h > a.h AND b.mh < a.mh AS INTEGER) AS macd_bearish_divergence
+    FROM k b JOIN k a ON a.symbol = b.symbol AND a.bar = b.bar // 2 WHERE b.bar >= 40""")
+def divergence_flags(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    df = ind.prepare(bars).join(recursive(bars, ["rsi_wilder", "macd_hist"]), ["symbol", "timeframe", "open_time"])
+    out = sequences.divergences(df, {"rsi": "rsi_wilder", "macd": "macd_hist"})
+    return out.where("bar >= 40").select(*KEY, *[f"{n}_{kind}_divergence" for n in ("rsi", "macd") for kind in ("bullish", "bearish")])
