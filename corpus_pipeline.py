@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm.bpe import bpe_encode
-from tidebar.llm.common import cut
+from tidebar.llm.common import cut, discard
 from tidebar.llm.mixing import replicate
 from tidebar.llm.ngram_join import one_of_each
 from tidebar.llm.quality import fit_quality, keep_good
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
