@@ -14,9 +14,24 @@ from tidebar.sources import klines
 
 
 def test_liquidity_fails_closed(spark):
-    df = spark.createDataFrame([(100, 0.001, 50.0, 50.0, 10.0, 10.0, 2e6), (None, None, None, None, None, None, None)], "updated_at long, spread_pct double, bid_qty double, ask_qty double, bid_price double, ask_price double, quote_volume double")
-    a, b = gates.liquidity(df, 200, 100.0).collect()
-    assert a["liquid"] and not b["liquid"] and b["liquidity_reasons"] == ["book_stale", "spread_too_wide", "bid_too_thin", "ask_too_thin", "volume_too_low"]
+    schema = "name string, ticker_ms long, last_price double, kline_ms long, bars int, volume double, mean_volume double, book_ms long, bid_qty double, ask_qty double, spread_pct double, day_ms long, quote_volume double"
+    now, good = 10**9, dict(name="good", ticker_ms=10**9, last_price=100.0, kline_ms=10**9, bars=21, volume=10.0, mean_volume=10.0, book_ms=10**9, bid_qty=30.0, ask_qty=25.0, spread_pct=0.1, day_ms=10**9, quote_volume=2e6)
+    cases = {
+        "good": {}, "nothing": dict.fromkeys(list(good)[1:]), "old book": {"book_ms": now - 5001}, "few bars": {"bars": 20}, "old day": {"day_ms": now - 30_001}, "old ticker": {"ticker_ms": now - 15_001}, "old bars": {"kline_ms": now - 630_001},
+        "thin": {"bid_qty": 24.9}, "wide": {"spread_pct": 0.31}, "quiet": {"volume": 2.9}, "quiet but large": {"volume": 2.9, "quote_volume": 3e6}, "small": {"quote_volume": 999_999.0},
+    }
+    df = spark.createDataFrame([tuple((good | change | {"name": name}).values()) for name, change in cases.items()], schema)
+    want = {
+        "good": [], "nothing": ["fresh_inputs", "quote_volume", "volume_ratio", "spread", "orderbook_depth"], "old book": ["fresh_inputs"], "few bars": ["fresh_inputs", "volume_ratio"], "old day": ["fresh_inputs"], "old ticker": ["fresh_inputs"], "old bars": ["fresh_inputs"],
+        "thin": ["orderbook_depth"], "wide": ["spread"], "quiet": ["volume_ratio"], "quiet but large": [], "small": ["quote_volume"],
+    }
+    rows = {r["name"]: r for r in gates.liquidity(df, now, 1095.0).collect()}
+    assert {n: r["liquidity_reasons"] for n, r in rows.items()} == want and all(r["liquid"] == (not r["liquidity_reasons"]) for r in rows.values())
+    assert rows["nothing"]["missing_or_stale"] == ["ticker", "kline", "orderbook", "ticker_24h"] and rows["old book"]["missing_or_stale"] == ["orderbook"]
+    # Shortly after the start what is missing is passed over, and only that.
+    early = {r["name"]: r["liquidity_reasons"] for r in gates.liquidity(df, now, 1095.0, started_ms=now - 20_000).collect()}
+    assert {n for n, found in early.items() if found} == {"thin", "wide", "quiet", "small"}
+    assert [r["liquid"] for r in gates.liquidity(df.where("name = 'nothing'"), now, 1095.0, started_ms=now - 20_001).collect()] == [False]
 
 
 def test_gates(spark):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indicators import last, ready, series
+from ..sources.market import kline_max_age
 
 
 def closed_if_null(c: Column) -> Column:
@@ -17,13 +20,46 @@ def reasons(checks: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~closed_if_null(ok), F.lit(name)) for name, ok in checks.items()]))
 
 
-def liquidity(df: DataFrame, now_ms, order_value: float, max_spread: float = 0.003, max_age_ms: int = 10_000, depth: float = 3.0, least_volume: float = 1e6) -> DataFrame:
-    """df (updated_at, spread_pct, bid_qty, ask_qty, bid_price, ask_price, quote_volume): the five checks, whether all hold, and which don't."""
+@dataclass(frozen=True)
+class Liquid:
+    """Ages in milliseconds, money in the quote currency, the spread in percent."""
+
+    ticker_age: int = 15_000
+    book_age: int = 5_000
+    day_age: int = 30_000
+    bars: int = 21
+    least_volume: float = 1_000_000.0
+    high_volume: float = 3_000_000.0
+    least_ratio: float = 0.3
+    most_spread: float = 0.30
+    depth: float = 5.0
+    warm: int = 20_000
+
+
+def liquidity(df: DataFrame, now_ms: int, order_value: float, timeframe: str = "5m", limits: Liquid = Liquid(), started_ms: int | None = None) -> DataFrame:
+    """df (ticker_ms, last_price; kline_ms, bars, volume, mean_volume of the 20 bars before; book_ms, bid_qty, ask_qty, spread_pct; day_ms, quote_volume) with missing_or_stale, volume_ratio, the failed checks and whether
+    none has failed.
+
+    Everything must be known and fresh; the day's volume large enough; the bar's volume at least a share of the mean, unless the day's is very large; the spread narrow; both sides of the book together worth several
+    orders. What is unknown counts as 0 or fails. With started_ms, inputs that are missing in the first seconds after it are passed over, and so are the checks that rest on them.
+    """
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    fresh = lambda c, age: closed_if_null(F.lit(now_ms) - F.col(c) <= age)
+    ok = {
+        "ticker": fresh("ticker_ms", limits.ticker_age), "kline": fresh("kline_ms", kline_max_age(timeframe)) & (zero("bars") >= limits.bars),
+        "orderbook": fresh("book_ms", limits.book_age) & (zero("bid_qty") > 0) & (zero("ask_qty") > 0) & F.col("spread_pct").isNotNull(), "ticker_24h": fresh("day_ms", limits.day_age) & (zero("quote_volume") > 0),
+    }
+    out = df.withColumn("missing_or_stale", reasons(ok))
+    early = F.lit(started_ms is not None and now_ms - started_ms <= limits.warm)
+    excused = lambda *names: early & F.arrays_overlap("missing_or_stale", F.array(*[F.lit(n) for n in names]))
+    ratio = F.when((zero("mean_volume") > 0) & (zero("bars") >= limits.bars), zero("volume") / zero("mean_volume")).otherwise(0.0)
+    high = zero("quote_volume") >= limits.high_volume
     checks = {
-        "book_stale": F.lit(now_ms) - F.col("updated_at") <= max_age_ms, "spread_too_wide": F.col("spread_pct") <= max_spread, "bid_too_thin": F.col("bid_qty") * F.col("bid_price") >= depth * order_value,
-        "ask_too_thin": F.col("ask_qty") * F.col("ask_price") >= depth * order_value, "volume_too_low": F.col("quote_volume") >= least_volume,
+        "fresh_inputs": (F.size("missing_or_stale") == 0) | early, "quote_volume": excused("ticker_24h") | (zero("quote_volume") >= limits.least_volume), "volume_ratio": excused("kline") | high | (F.col("volume_ratio") >= limits.least_ratio),
+        "spread": excused("orderbook") | (F.col("spread_pct") <= limits.most_spread), "orderbook_depth": excused("ticker", "orderbook") | ((zero("bid_qty") + zero("ask_qty")) * zero("last_price") >= order_value * limits.depth),
     }
-    return df.withColumn("liquidity_reasons", reasons(checks)).withColumn("liquid", F.size("liquidity_reasons") == 0)
+    out = out.withColumns({"volume_ratio": ratio, "high_liquidity": high})
+    return out.withColumn("liquidity_reasons", reasons(checks)).withColumn("liquid", F.size("liquidity_reasons") == 0)
 
 
 def microstructure_flags(spread: float = 0.003, imbalance: float = 0.35) -> Column:
