@@ -30,7 +30,7 @@ HEAVY_TASK, HEAVY_ALL = 1 << 18, 1 << 18
 #: Tokens counted this often are dealt out by document, too.
 SALTED, SALTS = 2000, 64
 #: A piece of a group holds about this many tokens; a document counts as DOC more. A task takes about TASK_BYTES of sets.
-PIECE, DOC, TASK_BYTES = 3 << 18, 256, 12 << 20
+PIECE, DOC, TASK_BYTES = 1 << 18, 256, 6 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -258,6 +258,14 @@ def hopeful(left: dict, right: dict, percent: int) -> np.ndarray:
     return np.union1d(left["doc"][ok.any(1)], right["doc"][ok.any(0)])
 
 
+def agreeing(left: dict, right: dict, percent: int) -> np.ndarray:
+    """The documents that share enough prefix tokens of the second and the third order for a link with one they meet; tokens by 32 bits, so that more may seem to be shared, never fewer."""
+    ok = possible(left, right, percent)
+    for order in ("up", "down"):
+        ok &= overlaps(left[order], right[order]) >= needed(left["n"][:, None], right["n"][None], percent)
+    return np.union1d(left["doc"][ok.any(1)], right["doc"][ok.any(0)])
+
+
 def joined(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Components that links between documents of left and right join, each with the least of those it is joined to."""
     sides, ok = (left, right), possible(left, right, percent)
@@ -288,10 +296,11 @@ def joined(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarra
 def _meetings(meet, columns: list[str]):
     """What meet(left, right) returns for each two pieces of a group, or a piece and itself, from rows (group, i, j, part, ...), with the group first; as a table of distinct rows."""
 
-    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    def lists(name: str, column: pa.ChunkedArray) -> list[np.ndarray]:
         column = column.combine_chunks()
         if pa.types.is_binary(column.type):
-            return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+            kind = np.uint32 if name in ("up", "down") else np.uint64
+            return [np.frombuffer(x, kind).astype(np.uint64) for x in column.to_pylist()]
         stops, values = column.offsets.to_numpy().tolist(), column.values.to_numpy()
         return [values[a:b] for a, b in zip(stops, stops[1:])]
 
@@ -301,7 +310,7 @@ def _meetings(meet, columns: list[str]):
         keys = keys[:, order]
         cuts = np.flatnonzero((np.diff(keys, axis=1, prepend=keys[:, :1] - 1) != 0).any(0))
         plain = {c: table[c].to_numpy().astype(np.int64) for c in table.column_names if pa.types.is_integer(table[c].type)}
-        listed = {c: lists(table[c]) for c in table.column_names if c not in plain}
+        listed = {c: lists(c, table[c]) for c in table.column_names if c not in plain}
         side = lambda at: {c: x[at] for c, x in plain.items()} | {c: [x[k] for k in at] for c, x in listed.items()}
         found = [np.empty((0, len(columns)), np.int64)]
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
@@ -409,11 +418,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     asked = cut(alive.select("doc").distinct())
     sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
     left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
-    units, more = dealt(left, F.col("n"), 10)
-    # Sets are dealt by document and then to meetings at every size, whatever would fit a broadcast here.
+    # Prefixes of the second and third order meet before whole sets travel. Both are dealt by document and then to meetings at every size, whatever would fit a broadcast here.
+    units, fewer = dealt(left, F.col("n"), 3)
+    met = units.drop("n").hint("merge").join(sets.select("doc", "n", "up", "down"), "doc")
+    able = cut(met.groupBy("block").applyInArrow(_meetings(lambda x, y: agreeing(x, y, percent), ["group", "doc"]), "group long, doc long").distinct())
+    rest = cut(left.join(hinted(able), ["group", "doc"], "left_semi"))
+    units, more = dealt(rest, F.col("n"), 10)
     met = units.drop("n").hint("merge").join(sets.select("doc", "n", "rare", "tokens"), "doc")
     again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
-    discard(every, mixed, groups, alive, asked, sets, left, buckets, hot, copies, classes, seen, *used, *more)
+    discard(every, mixed, groups, alive, asked, sets, left, able, rest, buckets, hot, copies, classes, seen, *used, *fewer, *more)
 
     first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
     out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
