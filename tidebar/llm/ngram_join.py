@@ -424,9 +424,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     able = cut(met.groupBy("block").applyInArrow(_meetings(lambda x, y: agreeing(x, y, percent), ["group", "doc"]), "group long, doc long").distinct())
     rest = cut(left.join(hinted(able), ["group", "doc"], "left_semi"))
     units, more = dealt(rest, F.col("n"), 10)
-    met = units.drop("n").hint("merge").join(sets.select("doc", "n", "rare", "tokens"), "doc")
+    whole = cut(able.select("doc").distinct())
+    met = units.drop("n").hint("merge").join(sets.select("doc", "n", "rare", "tokens").join(hinted(whole), "doc", "left_semi"), "doc")
     again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
-    discard(every, mixed, groups, alive, asked, sets, left, able, rest, buckets, hot, copies, classes, seen, *used, *fewer, *more)
+    discard(every, mixed, groups, alive, asked, sets, left, able, rest, whole, buckets, hot, copies, classes, seen, *used, *fewer, *more)
 
     first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
     out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
