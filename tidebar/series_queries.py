@@ -12,6 +12,7 @@ from .functions.linear import gaussian_trend
 from .functions.recursive import recursive
 from .functions.variants import hour_move, radar_state
 from .operators import fulltext, gates, multiframe, sequences, vector_index
+from .plans import conditions, strategies
 from .queries import BARS, DI_DOWN, DI_UP, KEY, PREPARED, TICKS, L, P, W, hourly, nine, on, query, r, rounded, same
 from .session import table
 from .sources import market
@@ -258,3 +259,15 @@ def divergence_flags(spark, sf_dir):
     df = ind.prepare(bars).join(recursive(bars, ["rsi_wilder", "macd_hist"]), ["symbol", "timeframe", "open_time"])
     out = sequences.divergences(df, {"rsi": "rsi_wilder", "macd": "macd_hist"})
     return out.where("bar >= 40").select(*KEY, *[f"{n}_{kind}_divergence" for n in ("rsi", "macd") for kind in ("bullish", "bearish")])
+
+
+@query(f"""WITH RECURSIVE {ROWS}, {recurring('s', 'q', _STATES | {f'e{n}': smooth(f's.e{n}', 'q.bar', n, 'q.close') for n in (9, 21, 50)})},
+    v AS (SELECT q.*, coalesce(CASE WHEN q.bar > 14 THEN CASE WHEN s.w = 0 THEN 100.0 ELSE 100 - 100 / (1 + s.u / s.w) END END, 0) AS rsi, s.e9, s.e21, s.e50 FROM q JOIN s ON s.symbol = q.symbol AND s.bar = q.bar),
+    k AS (SELECT *, max(close) {L(10)} AS h, min(close) {L(10)} AS l, max(rsi) {L(10)} AS rh, min(rsi) {L(10)} AS rl, max(high) {P(20)} AS hi20, min(low) {P(20)} AS lo20, sum(CASE WHEN change > 0 THEN 1 ELSE 0 END) {L(8)} AS ups FROM v)
+    SELECT b.symbol, b.open_time FROM k b JOIN k a ON a.symbol = b.symbol AND a.bar = b.bar // 2
+    WHERE (b.bar >= 55 AND round(least(0.7::DOUBLE, 0.35::DOUBLE + abs(2 * b.ups - 8) * 0.05::DOUBLE), 3) >= 0.45::DOUBLE AND NOT (b.e9 > b.e21 AND b.e21 > b.e50)) AND (b.bar >= 40 AND b.l < a.l AND b.rl > a.rl) AND NOT (b.bar > 20 AND b.close < b.lo20)""")
+def divergence_conditions(spark, sf_dir):
+    """Bars on which a list of conditions holds that names a divergence and scores of methods."""
+    rules = [{"indicator": "elliott_score", "op": "gte", "value": 0.45}, {"indicator": "mtf_alignment_score", "op": "lt", "value": 1}, {"indicator": "rsi_bullish_divergence", "op": "eq", "value": 1}, {"indicator": "turtle_breakout_confirmed", "op": "gt", "value": -1}]
+    df = conditions.with_needed(strategies.features(hourly(spark, sf_dir)), rules)
+    return df.where(conditions.conditions(rules)).select(*KEY)
