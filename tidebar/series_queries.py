@@ -12,7 +12,7 @@ from .functions.linear import gaussian_trend
 from .functions.recursive import recursive
 from .functions.variants import hour_move, radar_state
 from .operators import fulltext, gates, multiframe, sequences, vector_index
-from .plans import conditions, strategies
+from .plans import candidates, conditions, strategies
 from .queries import BARS, DI_DOWN, DI_UP, KEY, PREPARED, TICKS, L, P, W, hourly, nine, on, query, r, rounded, same
 from .session import table
 from .sources import market
@@ -271,3 +271,39 @@ def divergence_conditions(spark, sf_dir):
     rules = [{"indicator": "elliott_score", "op": "gte", "value": 0.45}, {"indicator": "mtf_alignment_score", "op": "lt", "value": 1}, {"indicator": "rsi_bullish_divergence", "op": "eq", "value": 1}, {"indicator": "turtle_breakout_confirmed", "op": "gt", "value": -1}]
     df = conditions.with_needed(strategies.features(hourly(spark, sf_dir)), rules)
     return df.where(conditions.conditions(rules)).select(*KEY)
+
+
+# Research candidates
+
+
+def _candidates_sql() -> str:
+    states = {f"e{n}": smooth(f"s.e{n}", "q.bar", n, "q.close", "first") for n in (9, 21, 50)} | {k: LINEAR[k] for k in ("eup", "edown")}
+    trend = """s2 AS (SELECT symbol, bar, 0 AS trend, 0.0::DOUBLE AS up, 0.0::DOUBLE AS low FROM a WHERE bar = 1 UNION ALL
+        SELECT symbol, bar, CASE WHEN size IS NULL THEN 0 WHEN trend = 0 THEN CASE WHEN close >= mid THEN 1 ELSE -1 END WHEN trend < 0 AND close > nu THEN 1 WHEN trend > 0 AND close < nl THEN -1 ELSE trend END, nu, nl FROM (
+        SELECT a.symbol, a.bar, s2.trend, a.size, a.close, a.mid, CASE WHEN s2.trend = 0 OR a.mid + 0.35::DOUBLE * a.size < s2.up OR a.prev_close > s2.up THEN a.mid + 0.35::DOUBLE * a.size ELSE s2.up END AS nu, CASE WHEN s2.trend = 0 OR a.mid - 0.35::DOUBLE * a.size > s2.low OR a.prev_close < s2.low THEN a.mid - 0.35::DOUBLE * a.size ELSE s2.low END AS nl
+        FROM s2 JOIN a ON a.symbol = s2.symbol AND a.bar = s2.bar + 1))"""
+    g = lambda x, k=1: f"lag({x}, {k}) OVER ({W})"
+    mean = lambda n: f"CASE WHEN bar >= {n} THEN avg(close) {L(n)} END"
+    star = "f2 AND u0 AND b1 <= r1 * 0.35::DOUBLE AND close > (o2 + c2) / 2"
+    dusk = "u2 AND f0 AND b1 <= r1 * 0.35::DOUBLE AND close < (o2 + c2) / 2"
+    rules = {
+        "trend_regime": ("e9 > e21 AND e21 > e50 AND adx >= 25 AND vr >= 1.1::DOUBLE AND close > c1 + atr * 0.15::DOUBLE", "e9 < e21 OR adx < 18"), "donchian_volume": ("close > hi AND vr >= 1.2::DOUBLE AND adx >= 20", "close < lo"),
+        "rsi_bollinger": ("close < mid - 2 * dev AND rsi < 35 AND vr > 0.5", "close > mid OR rsi > 55"), "ess_long": ("close <= mid - 2.1::DOUBLE * dev AND rsi < 20", "close >= mid"),
+        "strong_candlestick": (f"(({star}) OR (u0 AND u1 AND u2 AND close > c1 AND c1 > c2 AND b0 / r0 > 0.55::DOUBLE)) AND vr >= 1.1::DOUBLE AND adx >= 18", f"({dusk}) OR (f0 AND f1 AND f2 AND close < c1 AND c1 < c2 AND b0 / r0 > 0.55::DOUBLE)"),
+        "williams_fractal_ma_long": ("raw AND NOT coalesce(raw1, false)", "false"), "supertrend_long": ("trend > 0 AND trend1 < 0", "false"),
+    }
+    each = " UNION ALL ".join(f"SELECT symbol, open_time, '{n}' AS candidate, coalesce({a}, false) AS en, coalesce({b}, false) AS ex FROM z" for n, (a, b) in rules.items())
+    return f"""WITH RECURSIVE {ROWS}, {recurring('s', 'q', states)}, a AS (SELECT *, CASE WHEN bar >= 9 THEN avg(coalesce(tr, high - low)) {L(9)} END AS size, (high + low) / 2 AS mid FROM p), {trend},
+    i AS (SELECT q.*, CASE WHEN q.bar >= 9 THEN s.e9 END AS e9, CASE WHEN q.bar >= 21 THEN s.e21 END AS e21, CASE WHEN q.bar >= 50 THEN s.e50 END AS e50, CASE WHEN q.bar > 14 AND s.edown <> 0 THEN 100 - 100 / (1 + s.eup / s.edown) END AS rsi, nullif(s2.trend, 0) AS trend FROM q JOIN s ON s.symbol = q.symbol AND s.bar = q.bar JOIN s2 ON s2.symbol = q.symbol AND s2.bar = q.bar),
+    k AS (SELECT *, {on(14, f'avg(coalesce(tr, high - low)) {L(14)}')} AS atr, {on(14, f'100 * abs(sum(du) {L(14)} - sum(dd) {L(14)}) / nullif(sum(du) {L(14)} + sum(dd) {L(14)}, 0)')} AS dxf, {on(20, f'volume / nullif(avg(volume) {L(20)}, 0)')} AS vr, {on(20, f'avg(close) {L(20)}')} AS mid, {on(20, f'stddev_samp(close) {L(20)}')} AS dev,
+        {on(21, f'max(high) {P(20)}')} AS hi, {on(21, f'min(low) {P(20)}')} AS lo, {g('close')} AS c1, {g('close', 2)} AS c2, {g('open', 2)} AS o2, abs(close - open) AS b0, nullif(high - low, 0) AS r0, close > open AS u0, close < open AS f0, {g('trend')} AS trend1,
+        coalesce({mean(20)} > {mean(50)} AND {mean(50)} > {mean(100)} AND (close <= {mean(20)} OR close <= {mean(50)}) AND bar >= 5 AND {g('low', 2)} = min(low) {L(5)} AND close > {mean(100)}, false) AS raw FROM i),
+    z AS (SELECT *, CASE WHEN count(dxf) {L(14)} = 14 THEN avg(dxf) {L(14)} END AS adx, {g('b0')} AS b1, {g('r0')} AS r1, coalesce({g('u0')}, false) AS u1, coalesce({g('u0', 2)}, false) AS u2, coalesce({g('f0')}, false) AS f1, coalesce({g('f0', 2)}, false) AS f2, {g('raw')} AS raw1 FROM k),
+    y AS ({each})
+    SELECT * FROM (SELECT symbol, open_time, candidate, coalesce(lag(en) OVER w, false) AS entry, coalesce(lag(ex) OVER w, false) AS "exit" FROM y WINDOW w AS (PARTITION BY symbol, candidate ORDER BY open_time)) WHERE entry OR "exit" """
+
+
+@query(_candidates_sql())
+def research_candidates(spark, sf_dir):
+    """The bars at which some candidate enters or leaves."""
+    return candidates.signals(hourly(spark, sf_dir)).where("entry or exit").select(*KEY, "candidate", "entry", "exit")
