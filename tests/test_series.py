@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.linear import NAMES, average, gaussian_trend, linear, run
 from tidebar.operators import multiframe
+from tidebar.operators.joins import asof
 from tidebar.operators.multiframe import alignment_counts, backfill, entry_features, frame_features, ribbon, snapshots
 from tidebar.sources.market import CANDLE, MINUTE, resample
 
@@ -186,3 +187,13 @@ def test_backfill_twice_is_backfill_once(spark):
 
 def test_names():
     assert {"dpmo", "rsi_ewm", "tsi"} <= NAMES
+
+
+@pytest.mark.parametrize("forward,strict", [(False, False), (False, True), (True, False)])
+def test_asof_in_buckets(spark, forward, strict):
+    rng = random.Random(7)
+    left = spark.createDataFrame([(i, rng.choice("ab"), rng.randrange(200)) for i in range(60)], "id int, k string, t long")
+    right = spark.createDataFrame([(rng.choice("aab"), rng.randrange(200), rng.choice([None, 1.0, 2.0]), i % 3) for i in range(90)], "k string, u long, v double, w int")
+    key = lambda df: sorted((r["id"], str(r["r_v"]), str(r["r_w"])) for r in df.collect())
+    one, cut = (key(asof(left, right, ["k"], "t", "u", ["v", "w"], strict, forward, "r_", b)) for b in (None, 9))
+    assert one == cut and any(x[1] == "None" and x[2] != "None" for x in one)

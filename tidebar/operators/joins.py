@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .multiframe import snapshots
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False, forward: bool = False, prefix: str = "") -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False, forward: bool = False, prefix: str = "", bucket_ms: int | None = None) -> DataFrame:
     """left with columns of the right row nearest in time: the last at or before (strict: before) each left row, or the first at or after.
 
     The sides are put in one stream by key and time and the right values carried along it: one shuffle and one sort, no range join. A null
-    value of a column in the matched row stays null.
+    value of a column in the matched row stays null; of several right rows at one time the one with the greatest columns counts. With bucket_ms (and times as numbers) keys are cut into buckets of time, so that a
+    key with most rows is many tasks' work (see multiframe.snapshots).
     """
     names = [f"{prefix}{c}" for c in columns]
     value = F.struct(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+    if bucket_ms is not None:
+        # Forward is backward with time reversed.
+        sign = F.lit(-1 if forward else 1)
+        stream = right.select(*by, F.lit("right").alias("_frame_of"), (sign * F.col(right_time)).alias("_at"), value.alias("_value_of"))
+        found = snapshots(left.withColumn("_now", sign * F.col(left_time)), stream, ("right",), "_now", tuple(by), "_frame_of", "_at", "_value_of", strict, bucket_ms, "_found")
+        return found.select(*left.columns, *[F.col("_found")["right"][n].alias(n) for n in names])
     # At equal times a matching right row has to come first in the direction of travel, one that must not match last.
     side = 1 if strict else 0
     a = left.select("*", F.col(left_time).alias("_t"), F.lit(1 - side).alias("_side"), F.lit(True).alias("_left"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
     b = right.select(*by, F.col(right_time).alias("_t"), F.lit(side).alias("_side"), F.lit(False).alias("_left"), value.alias("_v"))
     time, edge = (F.col("_t").desc(), F.col("_side").asc()) if forward else (F.col("_t").asc(), F.col("_side").asc())
-    w = Window.partitionBy(*by).orderBy(time, edge).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(time, edge, "_v").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left")
     return out.select(*left.columns, *[F.col("_v")[n].alias(n) for n in names])
 
