@@ -126,6 +126,23 @@ def test_ngram_join_in_pieces(spark, monkeypatch):
     assert want[501] == want[500] == want[3] and len(set(want.values())) > 20
 
 
+def test_ngram_meetings_in_rounds(spark, monkeypatch):
+    """A group of many pieces meets in rounds, none of which ships more than some COPIES rows a document, and no meeting is left out."""
+    import tidebar.llm.ngram_join as module
+    from tidebar.llm.common import cut
+
+    monkeypatch.setattr(module, "PIECE", 1024)
+    monkeypatch.setattr(module, "TASK_BYTES", 1 << 14)
+    members = cut(spark.range(100).selectExpr("1L AS group", "id AS doc", "id AS component", "50 AS n"))
+    rounds, _ = module.dealt(members, F.col("n"), 1)
+    parts = [r.select("i", "j", "doc").collect() for r in rounds]
+    assert len(parts) > 2 and max(map(len, parts)) <= 2 * module.COPIES * 100
+    here = {}
+    for r in [r for part in parts for r in part]:
+        here.setdefault((r["i"], r["j"]), set()).add(r["doc"])
+    assert len({(a, b) for x in here.values() for a in x for b in x if a < b}) == 100 * 99 // 2
+
+
 def test_ngram_join(docs, empty):
     rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
     find = grouped([(r['doc_id'], r['text']) for r in docs.collect()]).__getitem__

@@ -81,6 +81,11 @@ def discard(*frames: DataFrame) -> None:
         system.delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect: Spark then deletes the shuffle files that no frame refers to any more, which else stay on disk until its next collection."""
+    spark._jvm.System.gc()
+
+
 def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A frame from cut(), marked for broadcast if what was written is small enough."""
     return F.broadcast(df) if stored_bytes(df) <= limit else df

@@ -9,19 +9,20 @@ Links inside a large group of near copies are many; components need only enough
 buckets (that with which it shares most prefix tokens), a pair a document. Buckets that hold several components after that make groups, whose documents are dealt out
 in pieces of bounded size; every two pieces meet in one task, but for those of the commonest component. They meet twice: with their prefixes in the first order, which leaves the documents
 that have a candidate at all, then with whole sets, whose three prefixes are intersected before the sets are. A task returns no pairs but only which
-components it joins. No link that would join two components is lost.
+components it joins. Where a group's meetings are many they are held in rounds. No link that would join two components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, discard, hinted, mix64, renamed, small_batches, unused, words_of
+from .common import chunks, cut, discard, hinted, mix64, release, renamed, small_batches, unused, words_of
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -31,6 +32,8 @@ HEAVY_TASK, HEAVY_ALL = 1 << 18, 1 << 18
 SALTED, SALTS = 2000, 64
 #: A piece of a group holds about this many tokens; a document counts as DOC more. A task takes about TASK_BYTES of sets.
 PIECE, DOC, TASK_BYTES = 1 << 18, 256, 6 << 20
+#: A round of meetings ships a document this often on average at most.
+COPIES = 8
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -331,11 +334,12 @@ def _meetings(meet, columns: list[str]):
     return run
 
 
-def dealt(members: DataFrame, weight, each: int) -> tuple[DataFrame, list[DataFrame]]:
-    """members (group, doc, component, ...) in pieces that meet: a row (i, j, part) for each meeting of a document, dealt to blocks of about TASK_BYTES; and the tables it reads.
+def dealt(members: DataFrame, weight, each: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """members (group, doc, component, ...) in pieces that meet: a row (i, j, part) for each meeting of a document, dealt to blocks of about TASK_BYTES and these to rounds; and the tables it reads.
 
     weight: a column, what a document takes of its piece beside DOC; each: bytes for a unit of it (a document has 1024 more). The commonest component's pieces are met by all other members and
-    not by each other; the others' pieces meet each other and themselves.
+    not by each other; the others' pieces meet each other and themselves. A large group's documents go to as many meetings as it has pieces, which grows with the square of its size:
+    a round has as many of the blocks as ship COPIES rows a document.
     """
     sizes = members.groupBy("group", "component").agg(F.sum(weight + DOC).alias("size"))
     sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")).where("others > 0"))
@@ -346,10 +350,29 @@ def dealt(members: DataFrame, weight, each: int) -> tuple[DataFrame, list[DataFr
     meets = F.concat(F.transform(upto("mains"), lambda k: unit(F.lit(-1), k, F.lit(1))), F.transform(upto("others"), lambda k: unit(F.least(mine, k), F.greatest(mine, k), mine)))
     units = F.when(F.col("component") != F.col("main"), meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))
     met = cut(members.join(hinted(sizes), "group").withColumn("units", units).drop("main", "mains", "others"))
-    blocks = max(1, (met.agg(F.sum(F.size("units") * (weight * each + 1024))).first()[0] or 0) // TASK_BYTES)
+    total, copies, rows = met.agg(F.sum(F.size("units") * (weight * each + 1024)), F.sum(F.size("units")), F.count("*")).first()
+    blocks, rounds = max(1, (total or 0) // TASK_BYTES), max(1, -(-(copies or 0) // max(1, COPIES * rows)))
     names = [c for c in members.columns if c != "units"]
-    out = met.select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(blocks)))
-    return out, [sizes, met]
+    out = met.select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(max(blocks, rounds))))
+    return [out.where(F.pmod("block", F.lit(rounds)) == k) for k in range(rounds)], [sizes, met]
+
+
+def meetings(members: DataFrame, weight, each: int, meet, columns: list[str], sets: DataFrame | None = None) -> DataFrame:
+    """The distinct rows that meet(left, right) returns over all meetings of members, with columns of sets (doc, ...) beside theirs; round by round, so that the disk that a shuffle takes
+    grows with the documents, not with the meetings."""
+    rounds, used = dealt(members, weight, each)
+    found = []
+    for units in rounds:
+        # Sets are dealt by document and then to meetings at every size, whatever would fit a broadcast here.
+        met = units if sets is None else units.drop("n").hint("merge").join(sets, "doc")
+        found.append(cut(met.groupBy("block").applyInArrow(_meetings(meet, columns), ", ".join(f"{c} long" for c in columns)).distinct()))
+        release(members.sparkSession)
+    discard(*used)
+    if len(found) == 1:
+        return found[0]
+    out = cut(reduce(lambda x, y: x.union(y), found).distinct())
+    discard(*found)
+    return out
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -385,6 +408,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bucket = Window.partitionBy("token", "salt")
     shared = prefixes.withColumns({"many": F.count("*").over(bucket), "pivot": F.min(F.struct("doc", "n")).over(bucket)}).where("many > 1 or salt > 0")
     buckets = cut(shared.select("token", "salt", "doc", "n", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m")))
+    release(spark)
     hot = cut(buckets.where("salt > 0").groupBy("token").agg(F.min(F.struct("other", "m")).alias("hot")))
     table = buckets.join(hinted(hot), "token", "left").select("token", "doc", "n", F.coalesce("hot.other", "other").alias("other"), F.coalesce("hot.m", "m").alias("m"))
 
@@ -404,30 +428,28 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = hinted(agreed).join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
     known = components(links.union(versions))
     discard(wanted, sets, agreed, ends, pairs)
+    release(spark)
 
     # Buckets whose pivots are in one component make a group. Groups of several components are left; their documents meet.
     of = lambda end, name: hinted(renamed(known, node=end, component=name))
     at = table.join(of("doc", "_own"), "doc", "left").join(of("other", "_group"), "other", "left")
     at = at.select("token", "doc", "n", F.coalesce("_own", "doc").alias("component"), F.coalesce("_group", "other").alias("group"))
     every = cut(at.groupBy("group", "doc", "component", "n").agg(F.collect_list("token").alias("own")))
+    release(spark)
     mixed = cut(every.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group"))
     members = every.join(hinted(mixed), "group", "left_semi")
     groups = cut(members.groupBy("doc").agg(F.count("*").alias("groups")))
-    units, used = dealt(members.join(hinted(groups), "doc"), F.size("own"), 8)
-    alive = cut(units.groupBy("block").applyInArrow(_meetings(lambda x, y: hopeful(x, y, percent), ["group", "doc"]), "group long, doc long").distinct())
+    alive = meetings(members.join(hinted(groups), "doc"), F.size("own"), 8, lambda x, y: hopeful(x, y, percent), ["group", "doc"])
     asked = cut(alive.select("doc").distinct())
     sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
     left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
-    # Prefixes of the second and third order meet before whole sets travel. Both are dealt by document and then to meetings at every size, whatever would fit a broadcast here.
-    units, fewer = dealt(left, F.col("n"), 3)
-    met = units.drop("n").hint("merge").join(sets.select("doc", "n", "up", "down"), "doc")
-    able = cut(met.groupBy("block").applyInArrow(_meetings(lambda x, y: agreeing(x, y, percent), ["group", "doc"]), "group long, doc long").distinct())
+    # Prefixes of the second and third order meet before whole sets travel.
+    able = meetings(left, F.col("n"), 3, lambda x, y: agreeing(x, y, percent), ["group", "doc"], sets.select("doc", "n", "up", "down"))
     rest = cut(left.join(hinted(able), ["group", "doc"], "left_semi"))
-    units, more = dealt(rest, F.col("n"), 10)
     whole = cut(able.select("doc").distinct())
-    met = units.drop("n").hint("merge").join(sets.select("doc", "n", "rare", "tokens").join(hinted(whole), "doc", "left_semi"), "doc")
-    again = components(met.groupBy("block").applyInArrow(_meetings(lambda x, y: joined(x, y, percent), ["a", "b"]), "a long, b long"))
-    discard(every, mixed, groups, alive, asked, sets, left, able, rest, whole, buckets, hot, copies, classes, seen, *used, *fewer, *more)
+    links = meetings(rest, F.col("n"), 10, lambda x, y: joined(x, y, percent), ["a", "b"], sets.select("doc", "n", "rare", "tokens").join(hinted(whole), "doc", "left_semi"))
+    again = components(links)
+    discard(every, mixed, groups, alive, asked, sets, left, able, rest, whole, links, buckets, hot, copies, classes, seen)
 
     first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
     out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
