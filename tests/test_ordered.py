@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 from contextlib import contextmanager
 from itertools import accumulate
 
@@ -82,3 +83,18 @@ def test_outcome_profile_in_ranges(spark):
             fall, longest = max(fall, top - total), max(longest, run)
         known = [x for x in own if x is not None]
         assert got[s] == (len(own), pytest.approx(sum(known) / len(known)), pytest.approx(fall), longest, run)
+
+
+def test_medians_from_counts(spark):
+    """Odd and even groups, repeated values, nulls; no task gathers a group's values."""
+    rng = random.Random(5)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.randint(0, 9 * (k + 1)))) for k in range(5) for _ in range(40 + k)] + [(9, None), (None, 2.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    out = stats.medians(df, ["k"], "v")
+    assert {r["k"]: r["median"] for r in out.collect()} == {k: statistics.median(v) for k in {k for k, _ in rows} if (v := [x for g, x in rows if g == k and x is not None])}
+    trades = df.selectExpr("v AS pnl", "0L AS entry_time", "CAST(v AS LONG) AS exit_time", "v AS max_favorable_pct")
+    for found in (ledger.capital_lock(trades, 5, 20.0), stats.compare_features(df.selectExpr("k > 2 AS win", "v"), "win", ["v"])):
+        assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and "median(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["label"]: (r["trades"], r["median_pnl"]) for r in ledger.capital_lock(trades, 5, 20.0).collect()}
+    known = [v for _, v in rows if v is not None and 5 <= int(v) and v <= 20]
+    assert got["locked"] == (len(known), statistics.median(known))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import ranges, running
+from .stats import medians
 
 TIMEOUT = "time|timeout|max_hold|early_failure|stale_position"
 
@@ -78,7 +79,9 @@ def outcome_profile(trades: DataFrame, by: tuple[str, ...] = ("symbol",)) -> Dat
 def capital_lock(trades: DataFrame, hold: float, favourable: float) -> DataFrame:
     """Trades held long that never went far: how many, their sum, against the rest."""
     locked = (F.col("exit_time") - F.col("entry_time") >= hold) & (F.col("max_favorable_pct") <= favourable)
-    return trades.withColumn("label", F.when(locked, "locked").otherwise("normal")).groupBy("label").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net_pnl"), F.avg("pnl").alias("mean_pnl"), F.median("pnl").alias("median_pnl"))
+    marked = trades.select(F.when(locked, "locked").otherwise("normal").alias("label"), "pnl")
+    sums = marked.groupBy("label").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net_pnl"), F.avg("pnl").alias("mean_pnl"))
+    return sums.join(medians(marked, ["label"], "pnl", "median_pnl"), "label", "left")
 
 
 def solvency(trades: DataFrame, initial: float) -> DataFrame:

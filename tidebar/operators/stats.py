@@ -38,12 +38,23 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 
+def medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """(by, name): a row for each group with a value that isn't null. Values are counted first and the counts summed up range by range, so that no task holds a group's values."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = running(sizes, by, ["_v"], {"_upto": F.col("_c")}, {"_n": F.col("_c")})
+    holds = lambda place: F.max(F.when((F.col("_upto") - F.col("_c") < place) & (place <= F.col("_upto")), F.col("_v")))
+    low, high = holds(F.floor((F.col("_n") + 1) / 2)), holds(F.floor(F.col("_n") / 2) + 1)
+    return ranked.groupBy(*by).agg((low + (high - low) * 0.5).alias(name))
+
+
 def compare_features(df: DataFrame, event: str, features: list[str]) -> DataFrame:
     """A row a feature: counts, means and medians of events and controls, and the difference of the medians."""
     long = df.unpivot([event], features, "feature", "value").where("value is not null")
-    pick = lambda flag: F.when(F.col(event) == flag, F.col("value"))
-    out = long.groupBy("feature").agg(*[f(pick(flag)).alias(f"{name}_{side}") for flag, side in ((True, "event"), (False, "control")) for name, f in (("n", F.count), ("mean", F.avg), ("median", F.median))])
-    return out.withColumn("median_delta", F.col("median_event") - F.col("median_control"))
+    sides = ((True, "event"), (False, "control"))
+    pick = lambda flag, c: F.when(F.col(event) == flag, F.col(c))
+    out = long.groupBy("feature").agg(*[f(pick(flag, "value")).alias(f"{name}_{side}") for flag, side in sides for name, f in (("n", F.count), ("mean", F.avg))])
+    middle = medians(long.where(F.col(event).isNotNull()), ["feature", event], "value").groupBy("feature").agg(*[F.max(pick(flag, "median")).alias(f"median_{side}") for flag, side in sides])
+    return out.join(middle, "feature", "left").withColumn("median_delta", F.col("median_event") - F.col("median_control"))
 
 
 def score_rules(df: DataFrame, label: str, rules: dict[str, Column]) -> DataFrame:
