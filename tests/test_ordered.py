@@ -98,3 +98,17 @@ def test_medians_from_counts(spark):
     got = {r["label"]: (r["trades"], r["median_pnl"]) for r in ledger.capital_lock(trades, 5, 20.0).collect()}
     known = [v for _, v in rows if v is not None and 5 <= int(v) and v <= 20]
     assert got["locked"] == (len(known), statistics.median(known))
+
+
+def test_more_ranges_for_more_rows(spark, monkeypatch):
+    """What a task sorts is bounded by ROWS, not by the table over a fixed number of partitions."""
+    from tidebar.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS", 500)
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
+    with eight(spark):
+        rows = ranges(df, ["k"], ["v"])
+        sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+        assert len(sizes) == 40 and max(sizes) <= 2 * 500 and rows.rdd.getNumPartitions() == 40
+        trades = df.selectExpr("k AS symbol", "v AS exit_time", "'t' AS trade_id", "1.0D AS value", "IF(v % 5 < 3, -1.0D, 1.0D) AS pnl")
+        assert tuple(ledger.outcome_profile(trades).first()) == ("k", 20_000, -0.2, 4002.0, 3, 0)

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
+#: A range has about this many rows at most, so that what a task sorts doesn't grow with the table.
+ROWS = 1 << 19
+
 
 def ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """df with `_part`, the number of the range of (by, order) that a row is in, ascending, and `_id`, which orders rows that are alike.
 
     Ranges are cut by a sample of the rows, so that each has about as many, whatever values there are: one far off or one that a third of all rows have makes no large range. The
-    table is written, so that the ranges stay as they are.
+    table is written, so that the ranges stay as they are. There are as many as shuffle partitions, or more where these would have over ROWS rows; then the table is dealt to as many
+    tasks by range.
     """
-    dealt = df.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*[F.col(c) for c in (*by, *order, "_id")])
-    return stored(dealt.withColumn("_part", F.spark_partition_id()))
+    many = -(-df.count() // ROWS)
+    more = [many] if many > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    dealt = df.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*more, *[F.col(c) for c in (*by, *order, "_id")])
+    out = stored(dealt.withColumn("_part", F.spark_partition_id()))
+    return out.repartition(many, "_part") if more else out
 
 
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:
