@@ -10,7 +10,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import ledger, stats
+from tidebar.operators import joins, ledger, stats
 from tidebar.operators.ordered import ranges, running
 
 
@@ -112,3 +112,19 @@ def test_more_ranges_for_more_rows(spark, monkeypatch):
         assert len(sizes) == 40 and max(sizes) <= 2 * 500 and rows.rdd.getNumPartitions() == 40
         trades = df.selectExpr("k AS symbol", "v AS exit_time", "'t' AS trade_id", "1.0D AS value", "IF(v % 5 < 3, -1.0D, 1.0D) AS pnl")
         assert tuple(ledger.outcome_profile(trades).first()) == ("k", 20_000, -0.2, 4002.0, 3, 0)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_lone_neighbours(spark, repeated):
+    """Against all pairs: crowds at one time, rows at buckets' edges, missing keys and times; a crowd makes no pairs unless ids repeat."""
+    rng = random.Random(8)
+    times = [rng.randrange(-3000, 6000) for _ in range(400)] + [7000] * 60 + [7990, 8000, 8010, 8020, 9000, 9010, None]
+    rows = [(rng.choice(["a", "a", "b", None]), t, i) for i, t in enumerate(times)] + ([("a", 5, 1), ("b", 8000, 2)] if repeated else [])
+    df = spark.createDataFrame(rows, "k string, t long, i long")
+    want = []
+    for i in {r[2] for r in rows}:
+        pairs = [(x[0], i, y[2]) for x in rows if x[2] == i and None not in x for y in rows if y[0] == x[0] and y[1] is not None and y[2] != i and abs(x[1] - y[1]) <= 10]
+        want += pairs if len(pairs) == 1 else []
+    got = joins.lone_neighbours(df, ["k"], "t", "i", 10)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 40
+    assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == repeated

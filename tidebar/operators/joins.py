@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,25 @@ def nearest_unique(left: DataFrame, right: DataFrame, by: list[str], left_time:
     return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(left_id))).where("_n = 1").drop("_n")
 
 
+def lone_neighbours(df: DataFrame, by: list[str], time: str, row_id: str, tolerance: int, width: int = 10) -> DataFrame:
+    """(by, row_id, other): rows of df that have exactly one other row of their key no further than `tolerance` away, and that row.
+
+    No pairs are made: in order of time a row's two neighbours on each side say whether it has one, none or more. Keys are cut into buckets of `width` tolerances; rows nearer than a
+    tolerance to an edge go to both sides of it and count for the rows of the other side only. Where ids repeat, pairs are made (see nearest_unique).
+    """
+    known = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*by, time, row_id)])).select(*by, time, row_id)
+    if not known.groupBy(row_id).count().where("count > 1").isEmpty():
+        other = known.select(*by, F.col(time).alias("_at"), F.col(row_id).alias("other"))
+        return nearest_unique(known, other, by, time, "_at", tolerance, row_id, F.col(row_id) != F.col("other")).select(*by, row_id, "other")
+    at = lambda move: F.floor((F.col(time) + move) / (width * tolerance))
+    rows = known.withColumn("_own", at(0)).withColumn("_b", F.explode(F.array_distinct(F.array(at(-tolerance), at(0), at(tolerance)))))
+    w = Window.partitionBy(*by, "_b").orderBy(time, row_id)
+    near = lambda k: F.coalesce(F.abs(F.lag(time, k).over(w) - F.col(time)) <= tolerance, F.lit(False))
+    rows = rows.withColumns({"_1": near(1), "_2": near(2), "_3": near(-1), "_4": near(-2), "_was": F.lag(row_id).over(w), "_next": F.lead(row_id).over(w)})
+    other = F.when(F.expr("_1 and not _2 and not _3"), F.col("_was")).when(F.expr("_3 and not _4 and not _1"), F.col("_next"))
+    return rows.where("_own = _b").withColumn("other", other).where("other is not null").select(*by, row_id, "other")
+
+
 def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has, and which."""
     a, b = left.select(key).distinct().withColumn("_l", F.lit(1)), right.select(key).distinct().withColumn("_r", F.lit(1))

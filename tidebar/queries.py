@@ -362,9 +362,7 @@ def asof_forward_and_strict(spark, sf_dir):
     SELECT symbol, seq, other FROM m WHERE n = 1""")
 def tolerance_join(spark, sf_dir):
     """Every tick that has just one other tick of its symbol within 30 seconds."""
-    t = market.ticks(table(spark, sf_dir, "events"))
-    other = t.select("symbol", F.col("time").alias("at"), F.col("seq").alias("other"))
-    return joins.nearest_unique(t.select("symbol", "time", "seq"), other, ["symbol"], "time", "at", 30_000, "seq", F.col("seq") != F.col("other")).select("symbol", "seq", "other")
+    return joins.lone_neighbours(market.ticks(table(spark, sf_dir, "events")), ["symbol"], "time", "seq", 30_000)
 
 
 @query(f"""WITH {BARS}, x AS (SELECT symbol, open_time AS entry_time, open_time + 36000000 AS exit_time, open AS entry_price FROM c WHERE open <> 0)
