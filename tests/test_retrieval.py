@@ -128,3 +128,12 @@ def test_exact_top_in_pieces(spark):
         for r in out.collect():
             got.setdefault(r["query_id"], []).append((round(-r["score"], 9), r["row_id"]))
         assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_no_list_of_a_new_index_is_shuffled(spark):
+    docs = spark.createDataFrame([(1, "the cat ran"), (2, "a cat")], "document_id int, content string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = fulltext.search(fulltext.index(docs), spark.createDataFrame([(1, "cat ran")], "query_id int, words string"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not any("places" in line or "hashpartitioning(shard" in line for line in dealt)

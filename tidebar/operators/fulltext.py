@@ -57,8 +57,9 @@ def cover_density(entries: Column, n: Column) -> Column:
 def search(postings: DataFrame, queries: DataFrame, query_col: str = "query_id", words_col: str = "words") -> DataFrame:
     """(query_id, document_id, lexical_score) of all documents that have all words of a query, which each query (query_id, words) has at least one of.
 
-    A query's candidates are the list of its rarest term; each other term's list is met by (term, document), so that a common term's list is never joined to a query as a whole. Queries that
-    repeat an id are one query with all their words.
+    A query's candidates are the list of its rarest term; each other term's list is met by (term, document), so that a common term's list is never joined to a query as a whole. A new
+    index lies by document, as its texts were dealt: there only candidates are dealt to the documents' lists, and no list is shuffled. Queries that repeat an id are one query with all their words.
+    The terms that are asked for, and the queries, are broadcast.
     """
     asked = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query_id"), F.explode(terms(F.col(words_col))).alias("term")).distinct()
     shards = "shard" in postings.columns
@@ -66,13 +67,18 @@ def search(postings: DataFrame, queries: DataFrame, query_col: str = "query_id",
     place = _shard(F.col("term")) if shards else F.lit(0)
     asked = asked.withColumn("shard", place)
     # Only the lists of terms that are asked for are counted and read.
-    wanted = lists.join(asked.select("shard", "term").distinct(), ["shard", "term"], "left_semi")
+    wanted = lists.join(F.broadcast(asked.select("shard", "term").distinct()), ["shard", "term"], "left_semi")
     sizes = wanted.groupBy("term").agg(F.count("*").alias("size"))
     known = asked.join(sizes, "term", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     plans = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("size", "term"))).alias("order")).where(F.col("order")[0]["size"] > 0)
     plans = plans.select("query_id", F.transform("order", lambda x: x["term"]).alias("terms"))
-    first = plans.withColumn("term", F.col("terms")[0]).withColumn("shard", place).join(lists, ["shard", "term"]).select("query_id", "terms", "document_id")
-    needs = first.select("query_id", "document_id", F.size("terms").alias("n"), F.posexplode("terms").alias("t", "term")).withColumn("shard", place)
-    met = needs.join(wanted, ["shard", "term", "document_id"]).groupBy("query_id", "document_id").agg(F.first("n").alias("n"), F.count("*").alias("has"), F.collect_list(F.struct("t", "places")).alias("lists"))
+    first = wanted.select("shard", "term", "document_id").join(F.broadcast(plans.withColumn("term", F.col("terms")[0]).withColumn("shard", place)), ["shard", "term"]).select("query_id", "terms", "document_id")
+    if shards:
+        needs = first.select("query_id", "document_id", F.size("terms").alias("n"), F.posexplode("terms").alias("t", "term")).withColumn("shard", place)
+        met = needs.join(wanted, ["shard", "term", "document_id"]).groupBy("query_id", "document_id").agg(F.first("n").alias("n"), F.count("*").alias("has"), F.collect_list(F.struct("t", "places")).alias("lists"))
+    else:
+        own = wanted.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("own"))
+        asks = F.filter(F.transform("terms", lambda x, t: F.struct(t.alias("t"), F.col("own")[x].alias("places"))), lambda x: x["places"].isNotNull())
+        met = first.join(own.hint("merge"), "document_id").select("query_id", "document_id", F.size("terms").alias("n"), asks.alias("lists")).withColumn("has", F.size("lists"))
     entries = F.array_sort(F.flatten(F.transform("lists", lambda p: F.transform(p["places"], lambda x: F.struct(x.alias("place"), p["t"].alias("t"))))))
     return met.where("has = n").select("query_id", "document_id", cover_density(entries, F.col("n")).alias("lexical_score"))
