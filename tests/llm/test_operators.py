@@ -143,6 +143,57 @@ def test_ngram_meetings_in_rounds(spark, monkeypatch):
     assert len({(a, b) for x in here.values() for a in x for b in x if a < b}) == 100 * 99 // 2
 
 
+def test_ngram_prefixes_leave_little_but_links():
+    """By the second and third order together, pairs of which half is shared go out before whole sets travel, and no linked pair does, whatever the sizes."""
+    import tidebar.llm.ngram_join as module
+
+    def side(sets, component, percent):
+        sets = [np.sort(x) for x in sets]
+        k = [module.prefix_length(len(x), percent) for x in sets]
+        cut32 = lambda x: (x >> np.uint64(32)).astype(np.uint64)
+        return {
+            "doc": np.arange(len(sets)) + component * 1000, "component": np.arange(len(sets)) + component * 1000, "n": np.array([len(x) for x in sets]),
+            "up": [cut32(x[:p]) for x, p in zip(sets, k)], "down": [cut32(x[len(x) - p :]) for x, p in zip(sets, k)],
+        }
+
+    rng = np.random.default_rng(3)
+    linked = 0
+    for percent in (75, 40, 100):
+        for n in (*range(1, 14), 50, 301):
+            for m in {n, max(1, n - 1), n + 1, n * percent // 100, n * 4 // 5, n * 9 // 10} - {0}:
+                for both in {min(n, m), max(0, min(n, m) - 1), min(n, m) * 9 // 10, -(-percent * (n + m) // (100 + percent))}:
+                    if both > min(n, m):
+                        continue
+                    pool = rng.integers(0, 2**64, n + m - both, np.uint64)
+                    x, y = pool[:n], pool[n - both :]
+                    if 100 * both >= percent * (n + m - both):
+                        linked += 1
+                        assert module.agreeing(side([x], 0, percent), side([y], 1, percent), percent).tolist() == [0, 1000]
+    assert linked > 200
+    pool = rng.integers(0, 2**64, 1500, np.uint64)
+    half = [side([pool[:1000]], 0, 75), side([pool[500:]], 1, 75)]
+    assert not len(module.agreeing(*half, 75))
+
+
+def test_ngram_buckets_are_parted_by_size(spark, monkeypatch):
+    """Documents that share tokens but are too different in size to link make no group; chains of links over all sizes stay whole."""
+    import tidebar.llm.ngram_join as module
+
+    rng = random.Random(5)
+    met, plain = [], module.meetings
+    monkeypatch.setattr(module, "HEAVY_ALL", 1)
+    monkeypatch.setattr(module, "meetings", lambda members, *rest: met.append(members.count()) or plain(members, *rest))
+    long = words(rng, 1200).split()
+    apart = [(k, " ".join(long[:n])) for k, n in enumerate((100, 150, 220, 330, 500, 800, 1200))]
+    got = ngram_components(spark.createDataFrame(apart, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k for k, _ in apart} and met[0] == 0
+    other = words(rng, 1000).split()
+    chain = [(20 + k, " ".join(other[: round(100 * 1.2**k)])) for k in range(12)]
+    rows = rng.sample([*apart, *chain], len(apart) + len(chain))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == grouped(rows) == {k: k for k, _ in apart} | {k: 20 for k, _ in chain}
+
+
 def test_ngram_join(docs, empty):
     rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
     find = grouped([(r['doc_id'], r['text']) for r in docs.collect()]).__getitem__

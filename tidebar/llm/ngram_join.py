@@ -3,12 +3,12 @@
 Two sets with |A & B| / |A | B| >= t share a token among the first n - ceil(t * n) + 1 of each set, whatever global order the
 tokens are in; and not only one, but as many as the needed overlap exceeds what lies beyond the prefixes. Three orders are used: rare first
 (corpus-wide heavy hitters last, the rest by hash), one by a second hash ascending, one by it descending. The first order's buckets give candidates; only those whose prefixes
-share enough tokens in all three orders go on to have their whole sets compared.
+share enough tokens in all three orders, and lack few enough in the second and third together, go on to have their whole sets compared.
 
 Links inside a large group of near copies are many; components need only enough of them. So each document is first held against the pivot of one of its
-buckets (that with which it shares most prefix tokens), a pair a document. Buckets that hold several components after that make groups, whose documents are dealt out
-in pieces of bounded size; every two pieces meet in one task, but for those of the commonest component. They meet twice: with their prefixes in the first order, which leaves the documents
-that have a candidate at all, then with whole sets, whose three prefixes are intersected before the sets are. A task returns no pairs but only which
+buckets (that with which it shares most prefix tokens), a pair a document. A bucket's documents are parted where sizes leave a gap that no link crosses. Buckets that hold several components after that
+make groups, whose documents are dealt out in pieces of bounded size; every two pieces meet in one task, but for those of the commonest component. They meet three times: with their prefixes in the first order,
+which leaves the documents that have a candidate at all, with those in the second and third, which together are half of a set and leave little but links, then with whole sets. A task returns no pairs but only which
 components it joins. Where a group's meetings are many they are held in rounds. No link that would join two components is lost.
 """
 
@@ -144,26 +144,32 @@ def _prefixes(heavy, words: int, percent: int):
     return run
 
 
-def _stored(heavy, words: int, percent: int):
-    """Rows (doc, n, rare, up, down, tokens): the set as bytes in the second order, its prefix in the first, and 32 bits of each token of its prefixes in the second and third."""
+def ends(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes in the second and the third order, both ascending, of a set in the second order."""
+    k = prefix_length(len(tokens), percent)
+    return tokens[:k], tokens[len(tokens) - k :]
+
+
+def _stored(words: int, percent: int, columns: list[str]):
+    """Rows (doc, n, and of up, down, tokens those in columns): the set as bytes in the second order, and the upper 32 bits of each token of its prefixes in the second and third."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = RareFirst(heavy.value)
         for batch, texts in chunks(batches):
-            found = shingle_sets(texts, words)
-            sets = [np.sort(mix64(x)) for x in found]
-            p = [prefix_length(len(x), percent) for x in sets]
-            columns = [
-                [order.prefix(x, percent)[0].tobytes() for x in found],
-                [x[:k].astype(np.uint32).tobytes() for x, k in zip(sets, p, strict=True)],
-                [x[len(x) - k :].astype(np.uint32).tobytes() for x, k in zip(sets, p, strict=True)],
-                [x.tobytes() for x in sets],
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["doc", "n", "rare", "up", "down", "tokens"])
+            sets = [np.sort(mix64(x)) for x in shingle_sets(texts, words)]
+            kinds: dict[str, list[bytes]] = {"up": [], "down": [], "tokens": [x.tobytes() for x in sets] if "tokens" in columns else []}
+            for x in sets:
+                for name, end in zip(("up", "down"), ends(x, percent)):
+                    kinds[name].append((end >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(kinds[c], pa.binary()) for c in columns)], names=["doc", "n", *columns])
 
     return run
 
 
+def stored(texts: DataFrame, words: int, percent: int, *columns: str) -> DataFrame:
+    """What _stored gives for texts (doc, text), as a table."""
+    return cut(texts.mapInArrow(_stored(words, percent, list(columns)), ", ".join(["doc long", "n int", *(f"{c} binary" for c in columns)])))
+
+
 def needed(n, m, percent: int):
     """The least number of tokens that prefixes of two linked sets of n and m tokens share: the overlap, less what lies beyond the longer set's prefix."""
     return np.maximum(1, -(-percent * (n + m) // (100 + percent)) - -(-percent * np.maximum(n, m) // 100) + 1)
@@ -261,28 +267,59 @@ def hopeful(left: dict, right: dict, percent: int) -> np.ndarray:
     return np.union1d(left["doc"][ok.any(1)], right["doc"][ok.any(0)])
 
 
-def agreeing(left: dict, right: dict, percent: int) -> np.ndarray:
-    """The documents that share enough prefix tokens of the second and the third order for a link with one they meet; tokens by 32 bits, so that more may seem to be shared, never fewer."""
-    ok = possible(left, right, percent)
+def lacking(left: list[np.ndarray], right: list[np.ndarray], shared: np.ndarray, up: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens at least of each prefix of left are in no way in each set of right, and the other way round: those before the end of the shorter-reaching prefix, less the shared ones.
+
+    The prefixes are of the second order (up) or the third, ascending. Tokens may be parts of tokens: then fewer seem to lack, never more.
+    """
+    edge = [np.array([x[-1] if up else x[0] for x in side]) for side in (left, right)]
+    within = np.minimum.outer(*edge) if up else np.maximum.outer(*edge)
+    before = lambda x, at: np.searchsorted(x, at, "left") if up else len(x) - np.searchsorted(x, at, "right")
+    one = np.stack([before(x, within[k]) for k, x in enumerate(left)])
+    two = np.stack([before(x, within[:, k]) for k, x in enumerate(right)], 1)
+    return np.maximum(one - shared, 0), np.maximum(two - shared, 0)
+
+
+def agree(left: dict, right: dict, ok: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of those in ok may be linked by their prefixes of the second and the third order.
+
+    Each order's prefixes share enough. Where a set's two prefixes have no token in common, what one lacks is not what the other does: both together are
+    no more than a link leaves the set outside the overlap.
+    """
+    n, m = left["n"][:, None], right["n"][None]
+    overlap = -(-percent * (n + m) // (100 + percent))
+    lack = []
     for order in ("up", "down"):
-        ok &= overlaps(left[order], right[order]) >= needed(left["n"][:, None], right["n"][None], percent)
+        if not ok.any():
+            return ok
+        shared = overlaps(left[order], right[order])
+        ok = ok & (shared >= needed(n, m, percent))
+        lack.append(lacking(left[order], right[order], shared, order == "up"))
+    for size, one, two in ((n, lack[0][0], lack[1][0]), (m, lack[0][1], lack[1][1])):
+        apart = 2 * (size - -(-size * percent // 100) + 1) <= size
+        ok = ok & (np.where(apart, one + two, np.maximum(one, two)) <= size - overlap)
+    return ok
+
+
+def agreeing(left: dict, right: dict, percent: int) -> np.ndarray:
+    """The documents whose prefixes of the second and the third order allow for a link with one they meet; tokens by 32 bits, so that more may seem to be shared, never fewer."""
+    ok = agree(left, right, possible(left, right, percent), percent)
     return np.union1d(left["doc"][ok.any(1)], right["doc"][ok.any(0)])
 
 
 def joined(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Components that links between documents of left and right join, each with the least of those it is joined to."""
-    sides, ok = (left, right), possible(left, right, percent)
-    at = [np.arange(len(x["doc"])) for x in sides]
-    cuts = [lambda x, k: x["rare"][k], lambda x, k: x["tokens"][k][: prefix_length(len(x["tokens"][k]), percent)], lambda x, k: x["tokens"][k][-prefix_length(len(x["tokens"][k]), percent) :], lambda x, k: x["tokens"][k]]
-    for step, prefix in enumerate(cuts):
-        # Documents without a candidate left go out before the next order is looked at.
-        stay, keep = ok.any(1), ok.any(0)
-        at, ok = [at[0][stay], at[1][keep]], ok[np.ix_(stay, keep)]
-        if not ok.size:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        shared = overlaps(*([prefix(x, k) for k in own] for x, own in zip(sides, at)))
-        n, m = left["n"][at[0]][:, None], right["n"][at[1]][None]
-        ok &= shared >= needed(n, m, percent) if step < 3 else 100 * shared >= percent * (n + m - shared)
+    for side in (left, right):
+        side["up"], side["down"] = zip(*(ends(x, percent) for x in side["tokens"]), strict=True)
+    ok = agree(left, right, possible(left, right, percent), percent)
+    # Documents without a candidate left go out before whole sets are looked at.
+    at = [np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))]
+    ok = ok[np.ix_(*at)]
+    if not ok.size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    shared = overlaps(*([x["tokens"][k] for k in own] for x, own in zip((left, right), at)))
+    n, m = left["n"][at[0]][:, None], right["n"][at[1]][None]
+    ok &= 100 * shared >= percent * (n + m - shared)
     x, y = np.nonzero(ok)
     names, both = np.unique(np.concatenate([left["component"][at[0][x]], right["component"][at[1][y]]]), return_inverse=True)
     x, y, label = both[: len(x)], both[len(x) :], np.arange(len(names))
@@ -405,8 +442,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     prefixes = single.mapInArrow(_prefixes(sent, words, percent), "token long, salt int, doc long, n int")
     # Each row gets its bucket's pivot, the least document, where its bucket is counted; those of buckets that were dealt out are few and joined.
+    # By size a bucket falls into parts: where the next larger set is too large for a link, so are all after it. Of those that were dealt out no task sees all sizes.
     bucket = Window.partitionBy("token", "salt")
-    shared = prefixes.withColumns({"many": F.count("*").over(bucket), "pivot": F.min(F.struct("doc", "n")).over(bucket)}).where("many > 1 or salt > 0")
+    shared = prefixes.withColumn("many", F.count("*").over(bucket)).where("many > 1 or salt > 0").drop("many")
+    by_size = bucket.orderBy("n", "doc")
+    gap = F.when((F.col("salt") == 0) & (F.lag("n").over(by_size) * F.lit(100).cast("long") < F.col("n") * F.lit(percent).cast("long")), 1).otherwise(0)
+    part = shared.withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("token", "salt", "part")
+    shared = part.withColumns({"many": F.count("*").over(own), "pivot": F.min(F.struct("doc", "n")).over(own)}).where("many > 1 or salt > 0")
     buckets = cut(shared.select("token", "salt", "doc", "n", F.col("pivot.doc").alias("other"), F.col("pivot.n").alias("m")))
     release(spark)
     hot = cut(buckets.where("salt > 0").groupBy("token").agg(F.min(F.struct("other", "m")).alias("hot")))
@@ -418,16 +461,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = cut(tried.groupBy("doc").agg(F.max_by("other", F.struct("count", "other")).alias("b")).withColumnRenamed("doc", "a"))
 
     # The pairs' prefixes in the other orders, then the whole sets of those that are left.
-    stored = "doc long, n int, rare binary, up binary, down binary, tokens binary"
     wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-    sets = cut(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
+    sets = stored(single.join(hinted(wanted), "doc", "left_semi").select("doc", "text"), words, percent, "up", "down", "tokens")
     left, right = sets.select(F.col("doc").alias("a"), "n", "up", "down"), sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("up").alias("up2"), F.col("down").alias("down2"))
     agreed = cut(hinted(pairs).join(left, "a").join(right, "b").select("a", "b", "n", "m", "up", "up2", "down", "down2").mapInArrow(_agree(percent), "a long, b long"))
-    ends = cut(agreed.select("b").distinct())
-    left, right = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right")).join(hinted(ends), "b", "left_semi")
+    pivots = cut(agreed.select("b").distinct())
+    left, right = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right")).join(hinted(pivots), "b", "left_semi")
     links = hinted(agreed).join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
     known = components(links.union(versions))
-    discard(wanted, sets, agreed, ends, pairs)
+    discard(wanted, sets, agreed, pivots, pairs)
     release(spark)
 
     # Buckets whose pivots are in one component make a group. Groups of several components are left; their documents meet.
@@ -441,13 +483,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = cut(members.groupBy("doc").agg(F.count("*").alias("groups")))
     alive = meetings(members.join(hinted(groups), "doc"), F.size("own"), 8, lambda x, y: hopeful(x, y, percent), ["group", "doc"])
     asked = cut(alive.select("doc").distinct())
-    sets = cut(single.join(hinted(asked), "doc", "left_semi").select("doc", "text").mapInArrow(_stored(sent, words, percent), stored))
+    prefixed = stored(single.join(hinted(asked), "doc", "left_semi").select("doc", "text"), words, percent, "up", "down")
     left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
     # Prefixes of the second and third order meet before whole sets travel.
-    able = meetings(left, F.col("n"), 3, lambda x, y: agreeing(x, y, percent), ["group", "doc"], sets.select("doc", "n", "up", "down"))
+    able = meetings(left, F.col("n"), 3, lambda x, y: agreeing(x, y, percent), ["group", "doc"], prefixed)
+    discard(prefixed)
     rest = cut(left.join(hinted(able), ["group", "doc"], "left_semi"))
     whole = cut(able.select("doc").distinct())
-    links = meetings(rest, F.col("n"), 10, lambda x, y: joined(x, y, percent), ["a", "b"], sets.select("doc", "n", "rare", "tokens").join(hinted(whole), "doc", "left_semi"))
+    sets = stored(single.join(hinted(whole), "doc", "left_semi").select("doc", "text"), words, percent, "tokens")
+    links = meetings(rest, F.col("n"), 8, lambda x, y: joined(x, y, percent), ["a", "b"], sets)
     again = components(links)
     discard(every, mixed, groups, alive, asked, sets, left, able, rest, whole, links, buckets, hot, copies, classes, seen)
 
