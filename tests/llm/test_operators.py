@@ -10,10 +10,11 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA, same_rows
-from tidebar.llm import queries
+from tidebar.llm import quality, queries
 from tidebar.llm.bpe import bpe_encode, loaded
 from tidebar.llm.cap_filters import near_vectors
 from tidebar.llm.components import components
@@ -262,6 +263,24 @@ def test_quality(spark, docs, empty):
     assert quality_scores(empty, model, settings).count() == 0 and keep_good(empty, model, settings).count() == 0
 
 
+def test_quality_learns_in_a_task(spark, monkeypatch):
+    """The driver gets one number a bucket, not the rows that are learned from, and they are the ones that these rows in the order of their ids give."""
+    d, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    settings, learn, collect = Settings(rows=40), quality.train, type(d).toArrow
+    known = {r["doc_id"]: r["quality"] for r in labels.where(~quality.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()}
+    rows = collect(d.where(F.col("doc_id").isin(list(known))).orderBy("doc_id").coalesce(1).selectExpr("doc_id as key", "text", "0 as label").mapInArrow(quality._training_rows(settings), "key long, label int, buckets array<int>, shares array<float>"))
+
+    def in_task(*given):
+        assert TaskContext.get(), "the driver holds the rows"
+        return learn(*given)
+
+    monkeypatch.setattr(quality, "train", in_task)
+    monkeypatch.setattr(type(d), "toArrow", in_task)
+    odds, base = fit_quality(d, labels, settings).value
+    want = learn(np.array([known[k] for k in rows["key"].to_pylist()]), *([np.array(x) for x in rows[c].to_pylist()] for c in ("buckets", "shares")), settings)
+    assert len(rows) == 40 and np.allclose(odds, want[0], atol=1e-5) and abs(base - want[1]) < 1e-6
+
+
 def plain_spans(text, length, span=3, least=12):
     pieces = [p for p in sentences((text or "").encode()) if p.strip()]
     keys = [tuple(tuple(p.lower().split()) for p in pieces[k : k + span]) for k in range(len(pieces) - span + 1)]

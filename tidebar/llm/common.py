@@ -82,7 +82,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect: Spark then deletes the shuffle files that no frame refers to any more, which else stay on disk until its next collection."""
+    """Asks the driver's JVM to collect: Spark then deletes the shuffle files that no frame refers to any more, which else stay on disk until its next collection, and the heap shrinks to what plans and tasks in use need."""
     spark._jvm.System.gc()
 
 

@@ -435,6 +435,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = cut(rows.groupBy("b", "c", "n").agg(F.min("doc").alias("node"), F.count("*").alias("many")).where("many > 1").drop("many"))
     member = cut(rows.join(hinted(classes), ["b", "c", "n"], "left").select("doc", "mark", "n", F.coalesce("node", "doc").alias("node")))
     copies = cut(member.where("doc <> node").select("doc", "mark").distinct())
+    release(spark)
     single = docs.where("doc is not null").join(hinted(copies), ["doc", "mark"], "left_anti").select("doc", "text")
     # A document with several versions is linked to the sets that stand for them.
     several = member.where("doc is not null").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).where("a <> b")
@@ -494,6 +495,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = meetings(rest, F.col("n"), 8, lambda x, y: joined(x, y, percent), ["a", "b"], sets)
     again = components(links)
     discard(every, mixed, groups, alive, asked, sets, left, able, rest, whole, links, buckets, hot, copies, classes, seen)
+    release(spark)
 
     first, last = renamed(known, node="node", component="_one"), renamed(again, node="_one", component="_two")
     out = member.join(hinted(first), "node", "left").withColumn("_one", F.coalesce("_one", "node")).join(hinted(last), "_one", "left")
@@ -509,6 +511,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = cut(ngram_components(docs, id_col, text_col, words, percent))
     dropped = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
     again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    release(docs.sparkSession)
     key, mark = unused("key", docs.columns), unused("first", docs.columns)
     gone, twice = renamed(dropped, doc_id=key), renamed(again, doc_id=key)
     stay = docs.withColumn(key, F.col(id_col).cast("long")).join(hinted(gone), key, "left_anti")

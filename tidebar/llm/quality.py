@@ -2,8 +2,8 @@
 
 Each kind of feature (words, whether a word repeats the one before, n-grams of each length) has an equal share in the average.
 
-The vectors and the output weights are learned together by mini-batch stochastic gradient descent in numpy, on the driver, from a bounded
-sample of labelled rows. As the output is linear in the average, scoring needs one number a bucket.
+The vectors and the output weights are learned together by mini-batch stochastic gradient descent in numpy, in one task, from a bounded
+sample of labelled rows. As the output is linear in the average, scoring needs one number a bucket: these are all that the driver gets.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ class Settings:
     grams: tuple[int, ...] = (3, 4)  #: lengths of character n-grams, in bytes
     size: int = 8
     rows: int = 3000  #: labelled documents to learn from at most, the first by hash of their id
-    entries: int = 1 << 24  #: and no more of these than have so many entries in all: what the driver holds
+    entries: int = 1 << 24  #: and no more of these than have so many entries in all: what the task that learns holds
     epochs: int = 4
     batch: int = 32
     rate: float = 0.3
@@ -120,6 +121,20 @@ def train(labels: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray
     return (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _learned(settings: Settings):
+    """One row of what train() gives for all rows that _training_rows made, in the order of their keys: the odds as bytes, and the base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        order = pc.sort_indices(pa.chunked_array([b.column(0) for b in held])).to_pylist() if held else []
+        labels = np.concatenate([np.empty(0, np.int64), *((b.column(1).to_numpy() > 0).astype(np.int64) for b in held)])[order]
+        buckets, shares = ([np.asarray(x.values) for b in held for x in b.column(k)] for k in (2, 3))
+        odds, base = train(labels, [buckets[k] for k in order], [shares[k] for k in order], settings)
+        yield pa.RecordBatch.from_arrays([pa.array([odds.tobytes()], pa.binary()), pa.array([base])], names=["odds", "base"])
+
+    return run
+
+
 def _scores(model, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, base = model.value
@@ -153,10 +168,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setting
     found = cut(texts.mapInArrow(_training_rows(settings), f"key {kind}, label int, buckets array<int>, shares array<float>"))
     # At most settings.rows narrow rows are put in order here.
     upto = found.select("key", F.sum(F.size("buckets")).over(Window.orderBy(F.xxhash64("key"), "key")).alias("upto")).where(F.col("upto") <= settings.entries)
-    rows = found.join(F.broadcast(upto), "key", "left_semi").toArrow().sort_by("key")
+    # They are learned from in one task, too; without any there may be no task.
+    learned = found.join(F.broadcast(upto), "key", "left_semi").coalesce(1).mapInArrow(_learned(settings), "odds binary, base double").first()
     discard(found)
-    buckets, shares = ([np.asarray(x.values) for x in rows[c].combine_chunks()] if len(rows) else [] for c in ("buckets", "shares"))
-    model = train((rows["label"].to_numpy() > 0).astype(np.int64), buckets, shares, settings)
+    model = (np.frombuffer(learned["odds"], np.float32), learned["base"]) if learned else train(np.empty(0, np.int64), [], [], settings)
     return spark.sparkContext.broadcast(model)
 
 
