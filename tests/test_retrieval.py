@@ -59,6 +59,24 @@ def test_no_documents_no_queries(spark):
     assert [tuple(r) for r in fulltext.search(fulltext.index(docs), asked).collect()] == [(1, 1, 0.1)]
 
 
+def test_search_of_texts_takes_no_row_a_pair_through_spark(spark, monkeypatch):
+    """Queries of common words have most documents: they are met in tasks, slice by slice, with the rows that a search of an index gives."""
+    monkeypatch.setattr(fulltext, "PAIRS", 50)
+    monkeypatch.setattr(fulltext, "PLACES", 300)
+    rng = random.Random(5)
+    words = ["of", "the", "Über", "x1", "ran", "cat"]
+    rows = [(i, " ".join(rng.choices([*words, "-", "other", "of", "the"], k=rng.randint(0, 60)))) for i in range(200)] + [(3, "the cat"), (200, None), (201, ""), (None, "the cat of"), (202, "the " * 500 + "cat")]
+    asked = [(f"q{i}", " ".join(rng.choices([*words, "nowhere"], k=1 + i % 5))) for i in range(60)] + [("e", ""), ("n", None), (None, "the"), ("q1", "ran")]
+    docs, queries = spark.createDataFrame(rows, "document_id int, content string"), spark.createDataFrame(asked, "query_id string, words string")
+    key = lambda df: {(r["query_id"], r["document_id"]): round(r["lexical_score"], 9) for r in df.collect()}
+    found = fulltext.search_texts(docs, queries)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    want = key(fulltext.search(fulltext.index(docs), queries))
+    assert key(found) == want and len(want) > 1000 and found.count() == len(want)
+    assert fulltext.search_texts(docs.limit(0), queries).count() == 0 and fulltext.search_texts(docs, queries.limit(0)).count() == 0
+
+
 def cosines(queries, vectors, k):
     """The k best of each query as (id, cosine), by brute force."""
     out = {}
