@@ -144,6 +144,25 @@ def test_ngram_meetings_in_rounds(spark, monkeypatch):
     assert len({(a, b) for x in here.values() for a in x for b in x if a < b}) == 100 * 99 // 2
 
 
+def test_ngram_rounds_ship_bounded_bytes(spark, monkeypatch):
+    """Few copies of long sets can be more than the disk allows: a round's bytes are bounded too, and no meeting is left out."""
+    import tidebar.llm.ngram_join as module
+    from tidebar.llm.common import cut
+
+    monkeypatch.setattr(module, "PIECE", 50_000)
+    monkeypatch.setattr(module, "TASK_BYTES", 1 << 14)
+    members = cut(spark.range(100).selectExpr("1L AS group", "id AS doc", "id AS component", "2000 AS n"))
+    most = 8 * 2000 * 100
+    rounds, _ = module.dealt(members, F.col("n"), 8, most)
+    parts = [r.select("i", "j", "doc").collect() for r in rounds]
+    assert len(parts) > 2 and max(map(len, parts)) * 8 * 2000 <= 2 * most
+    here = {}
+    for r in [r for part in parts for r in part]:
+        here.setdefault((r["i"], r["j"]), set()).add(r["doc"])
+    assert len({(a, b) for x in here.values() for a in x for b in x if a < b}) == 100 * 99 // 2
+    assert len(module.dealt(members, F.col("n"), 8)[0]) == 1
+
+
 def test_ngram_prefixes_leave_little_but_links():
     """By the second and third order together, pairs of which half is shared go out before whole sets travel, and no linked pair does, whatever the sizes."""
     import tidebar.llm.ngram_join as module

@@ -32,8 +32,8 @@ HEAVY_TASK, HEAVY_ALL = 1 << 18, 1 << 18
 SALTED, SALTS = 2000, 64
 #: A piece of a group holds about this many tokens; a document counts as DOC more. A task takes about TASK_BYTES of sets.
 PIECE, DOC, TASK_BYTES = 1 << 18, 256, 6 << 20
-#: A round of meetings ships a document this often on average at most.
-COPIES = 8
+#: A round of meetings ships a document this often on average at most, and no more than this many bytes for each token of all documents (a token is about 4 bytes of Parquet input), or ROUND_LEAST.
+COPIES, ROUND, ROUND_LEAST = 8, 2, 64 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -371,12 +371,12 @@ def _meetings(meet, columns: list[str]):
     return run
 
 
-def dealt(members: DataFrame, weight, each: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def dealt(members: DataFrame, weight, each: int, most: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
     """members (group, doc, component, ...) in pieces that meet: a row (i, j, part) for each meeting of a document, dealt to blocks of about TASK_BYTES and these to rounds; and the tables it reads.
 
     weight: a column, what a document takes of its piece beside DOC; each: bytes for a unit of it (a document has 1024 more). The commonest component's pieces are met by all other members and
     not by each other; the others' pieces meet each other and themselves. A large group's documents go to as many meetings as it has pieces, which grows with the square of its size:
-    a round has as many of the blocks as ship COPIES rows a document.
+    a round has as many of the blocks as ship COPIES rows a document and `most` bytes. Where most documents are members and their sets are long, COPIES rows a document alone would be several times the input.
     """
     sizes = members.groupBy("group", "component").agg(F.sum(weight + DOC).alias("size"))
     sizes = cut(sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others")).where("others > 0"))
@@ -387,17 +387,17 @@ def dealt(members: DataFrame, weight, each: int) -> tuple[list[DataFrame], list[
     meets = F.concat(F.transform(upto("mains"), lambda k: unit(F.lit(-1), k, F.lit(1))), F.transform(upto("others"), lambda k: unit(F.least(mine, k), F.greatest(mine, k), mine)))
     units = F.when(F.col("component") != F.col("main"), meets).otherwise(F.array(unit(F.lit(-1), own, F.lit(0))))
     met = cut(members.join(hinted(sizes), "group").withColumn("units", units).drop("main", "mains", "others"))
-    total, copies, rows = met.agg(F.sum(F.size("units") * (weight * each + 1024)), F.sum(F.size("units")), F.count("*")).first()
-    blocks, rounds = max(1, (total or 0) // TASK_BYTES), max(1, -(-(copies or 0) // max(1, COPIES * rows)))
+    total, shipped, copies, rows = met.agg(F.sum(F.size("units") * (weight * each + 1024)), F.sum(F.size("units") * (weight * each + 64)), F.sum(F.size("units")), F.count("*")).first()
+    blocks, rounds = max(1, (total or 0) // TASK_BYTES), max(1, -(-(copies or 0) // max(1, COPIES * rows)), -(-(shipped or 0) // (most or max(1, shipped or 0))))
     names = [c for c in members.columns if c != "units"]
     out = met.select(*names, F.explode("units").alias("unit")).select(*names, "unit.*").withColumn("block", F.pmod(F.xxhash64("group", "i", "j"), F.lit(max(blocks, rounds))))
     return [out.where(F.pmod("block", F.lit(rounds)) == k) for k in range(rounds)], [sizes, met]
 
 
-def meetings(members: DataFrame, weight, each: int, meet, columns: list[str], sets: DataFrame | None = None) -> DataFrame:
-    """The distinct rows that meet(left, right) returns over all meetings of members, with columns of sets (doc, ...) beside theirs; round by round, so that the disk that a shuffle takes
+def meetings(members: DataFrame, weight, each: int, meet, columns: list[str], most: int | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """The distinct rows that meet(left, right) returns over all meetings of members, with columns of sets (doc, ...) beside theirs; round by round, of `most` bytes each, so that the disk that a shuffle takes
     grows with the documents, not with the meetings."""
-    rounds, used = dealt(members, weight, each)
+    rounds, used = dealt(members, weight, each, most)
     found = []
     for units in rounds:
         # Sets are dealt by document and then to meetings at every size, whatever would fit a broadcast here.
@@ -482,17 +482,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mixed = cut(every.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group"))
     members = every.join(hinted(mixed), "group", "left_semi")
     groups = cut(members.groupBy("doc").agg(F.count("*").alias("groups")))
-    alive = meetings(members.join(hinted(groups), "doc"), F.size("own"), 8, lambda x, y: hopeful(x, y, percent), ["group", "doc"])
+    most = max(ROUND_LEAST, ROUND * (member.agg(F.sum("n")).first()[0] or 0))
+    alive = meetings(members.join(hinted(groups), "doc"), F.size("own"), 8, lambda x, y: hopeful(x, y, percent), ["group", "doc"], most)
     asked = cut(alive.select("doc").distinct())
     prefixed = stored(single.join(hinted(asked), "doc", "left_semi").select("doc", "text"), words, percent, "up", "down")
     left = cut(members.join(hinted(alive), ["group", "doc"], "left_semi").select("group", "doc", "component", "n"))
     # Prefixes of the second and third order meet before whole sets travel.
-    able = meetings(left, F.col("n"), 3, lambda x, y: agreeing(x, y, percent), ["group", "doc"], prefixed)
+    able = meetings(left, F.col("n"), 3, lambda x, y: agreeing(x, y, percent), ["group", "doc"], most, prefixed)
     discard(prefixed)
     rest = cut(left.join(hinted(able), ["group", "doc"], "left_semi"))
     whole = cut(able.select("doc").distinct())
     sets = stored(single.join(hinted(whole), "doc", "left_semi").select("doc", "text"), words, percent, "tokens")
-    links = meetings(rest, F.col("n"), 8, lambda x, y: joined(x, y, percent), ["a", "b"], sets)
+    links = meetings(rest, F.col("n"), 8, lambda x, y: joined(x, y, percent), ["a", "b"], most, sets)
     again = components(links)
     discard(every, mixed, groups, alive, asked, sets, left, able, rest, whole, links, buckets, hot, copies, classes, seen)
     release(spark)
